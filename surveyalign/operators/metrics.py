@@ -70,7 +70,7 @@ def micro_metrics(cube: DataFrame, keys: list[str] = []) -> DataFrame:
     )
 
 
-def accuracy(df: DataFrame, truth: str = fv.TARGET_COLUMN, prediction: str = "predicted_mode") -> Column:
+def accuracy(truth: str = fv.TARGET_COLUMN, prediction: str = "predicted_mode") -> Column:
     """Share of exact matches, as an aggregate expression."""
     return F.avg((F.col(truth) == F.col(prediction)).cast("double"))
 

@@ -119,7 +119,7 @@ def fit_boosted_trees(
 
 def model_score(df: DataFrame, target: str = fv.TARGET_COLUMN) -> DataFrame:
     """Share of rows whose prediction is the target."""
-    return df.agg(metrics.accuracy(df, target).alias("score"))
+    return df.agg(metrics.accuracy(target).alias("score"))
 
 
 def baseline_grid(

@@ -1,0 +1,131 @@
+from pyspark.sql import functions as F
+
+from surveyalign.functions import fixed_values as fv
+from surveyalign.functions.text import prototype_label
+from surveyalign.operators import features as E
+from surveyalign.operators import prototypes as P
+from verification import survey_tables as st
+from verification.cases import case
+
+_N = range(1, 9)
+
+
+def scaled_columns(column="features", digits=6, n=8):
+    return [F.round(F.col(column)[i], digits).alias(f"z{i + 1}") for i in range(n)]
+
+
+_SCALED = ", ".join(f"round(z{i}, 6) AS z{i}" for i in _N)
+
+
+@case("tabular_encoder", f"SELECT case_id, {_SCALED} FROM fx_scaled")
+def _(spark, sf):
+    """Fitted on the first survey, applied to both."""
+    encoder = E.TabularEncoder.fit(st.clean_2011(spark, sf))
+    return encoder.transform(st.clean(spark, sf)).select("case_id", *scaled_columns())
+
+
+@case("encode_for_retrieval", "SELECT case_id, " + ", ".join(
+    f"round((x{i} - avg(x{i}) OVER ()) / CASE WHEN stddev_pop(x{i}) OVER () = 0 THEN 1 ELSE stddev_pop(x{i}) OVER () END, 6) AS z{i}" for i in _N)
+    + " FROM fx_raw_features WHERE survey_year = 2022")
+def _(spark, sf):
+    encoded, _encoder = E.encode_for_retrieval(st.clean_2022(spark, sf))
+    return encoded.select("case_id", *scaled_columns())
+
+
+_MODEL = ["x1", "x2", "x3", "x4", "x5", "x6", "jt", "x7", "x8"]
+
+
+@case("encode_for_model", "SELECT case_id, " + ", ".join(
+    f"round(({x} - avg({x}) OVER ()) / CASE WHEN stddev_pop({x}) OVER () = 0 THEN 1 ELSE stddev_pop({x}) OVER () END, 6) AS z{i}" for i, x in enumerate(_MODEL, 1))
+    + """ FROM (SELECT *, COALESCE(journey_time, (SELECT median(journey_time) FROM fx_clean WHERE survey_year = 2022)) AS jt
+FROM fx_raw_features WHERE survey_year = 2022)""")
+def _(spark, sf):
+    encoded, _encoder = E.encode_for_model(st.clean_2022(spark, sf))
+    return encoded.select("case_id", *scaled_columns(n=9))
+
+
+def _ordinal(column):
+    return (f"CAST(COALESCE((SELECT r FROM (SELECT v, ROW_NUMBER() OVER (ORDER BY v) - 1 AS r FROM (SELECT DISTINCT CAST({column} AS STRING) AS v "
+            f"FROM fx_unified WHERE survey_year = 2022)) k WHERE k.v = CAST(u.{column} AS STRING)), 0) AS INT) AS {column}")
+
+
+@case("ordinal_encoder", "SELECT case_id, " + ", ".join(_ordinal(c) for c in fv.CATEGORICAL_COLUMNS) + " FROM fx_unified u")
+def _(spark, sf):
+    """Fitted on the second survey, which lacks the income codes of the first."""
+    df = st.unified(spark, sf)
+    encoder = E.OrdinalEncoder().fit(df.where("survey_year = 2022"))
+    return encoder.transform(df).select("case_id", *fv.CATEGORICAL_COLUMNS)
+
+
+@case("kmeans")
+def _(spark, sf):
+    """Cluster sizes of the first survey."""
+    encoded, _encoder = E.encode_for_retrieval(st.clean_2011(spark, sf))
+    clustering = P.kmeans(encoded)
+    return P.assign_prototype(encoded, clustering).groupBy("prototype_id").agg(F.count(F.lit(1)).alias("n_samples"))
+
+
+_CLUSTER = "CAST((age_group * 2 + sex) % 10 AS INT)"
+_DEMO = ["car_availability", "age_group", "employment_status", "trip_purpose", "sex", "departure_period"]
+_PROTO = f"""SELECT {_CLUSTER} AS prototype_id, count(*) AS n_samples,
+ {", ".join(f"avg({c}) AS mean_{c}" for c in _DEMO)},
+ {", ".join(f"count(*) FILTER (WHERE main_mode = {m}) / count(*) AS mode_{m}" for m in fv.MODES)},
+ {", ".join(f"count(*) FILTER (WHERE trip_purpose = {p}) / count(*) AS purpose_{p}" for p in fv.PURPOSES)}
+ FROM fx_clean WHERE survey_year = 2011 GROUP BY {_CLUSTER}"""
+_LABEL = """CASE round_even(mean_age_group, 0) WHEN 1 THEN '0-14' WHEN 2 THEN '15-24' WHEN 3 THEN '25-44' WHEN 4 THEN '45-64' WHEN 5 THEN '65+' ELSE 'Middle-aged' END
+ || ' ' || CASE round_even(mean_employment_status, 0) WHEN 1 THEN 'Full-time' WHEN 2 THEN 'Part-time' WHEN 3 THEN 'Self-emp' WHEN 4 THEN 'Student' WHEN 5 THEN 'Homemaker' WHEN 6 THEN 'Retired' WHEN 7 THEN 'Other' ELSE 'Employed' END
+ || ' (' || CASE round_even(mean_car_availability, 0) WHEN 0 THEN 'No car' WHEN 1 THEN '1 car' WHEN 2 THEN '2+ cars' ELSE 'No car' END || ')'"""
+
+
+def _clustered(spark, sf):
+    cluster = ((F.col("age_group") * 2 + F.col("sex")) % 10).cast("int")
+    return st.clean_2011(spark, sf).withColumn("prototype_id", cluster)
+
+
+@case("build_prototypes", f"""SELECT prototype_id, n_samples, {", ".join(f"round(mean_{c}, 6) AS mean_{c}" for c in _DEMO)},
+ {", ".join(f"round(mode_{m}, 6) AS mode_{m}" for m in fv.MODES)}, {", ".join(f"round(purpose_{p}, 6) AS purpose_{p}" for p in fv.PURPOSES)}
+ FROM ({_PROTO})""")
+def _(spark, sf):
+    """Summaries of clusters given by a column."""
+    summary = P.summarize_prototypes(_clustered(spark, sf))
+    return summary.select(
+        "prototype_id", "n_samples",
+        *[F.round(F.col("demographic_summary")[c], 6).alias(f"mean_{c}") for c in _DEMO],
+        *[F.round(F.col("mode_share")[m], 6).alias(f"mode_{m}") for m in fv.MODES],
+        *[F.round(F.col("purpose_share")[p], 6).alias(f"purpose_{p}") for p in fv.PURPOSES])
+
+
+@case("prototype_label", f"SELECT prototype_id, {_LABEL} AS semantic_label FROM ({_PROTO})")
+def _(spark, sf):
+    means = _clustered(spark, sf).groupBy("prototype_id").agg(*[F.avg(c).alias(c) for c in _DEMO])
+    label = prototype_label(F.col("age_group"), F.col("employment_status"), F.col("car_availability"))
+    return means.select("prototype_id", label.alias("semantic_label"))
+
+
+@case("prototype_summary", f"""SELECT prototype_id, 'Behavioral Group ' || CAST(prototype_id AS STRING) || ': ' || {_LABEL} || chr(10)
+ || '  Size: ' || format('{{:,}}', n_samples) || ' historical travelers' || chr(10) || '  Mode share (2011): ' || concat_ws(', ',
+ {", ".join(f"CASE WHEN mode_{m} > 0 THEN '{name}=' || printf('%.1f', mode_{m} * 100) || '%' END" for m, name in fv.MODE_LABELS.items())}) AS summary
+ FROM ({_PROTO})""")
+def _(spark, sf):
+    return P.with_summary(P.summarize_prototypes(_clustered(spark, sf))).select("prototype_id", "summary")
+
+
+_CENTERS = "(SELECT main_mode, " + ", ".join(f"avg(z{i}) AS c{i}" for i in _N) + " FROM fx_scaled WHERE survey_year = 2011 GROUP BY main_mode)"
+_DIST = " + ".join(f"(z{i} - c{i}) * (z{i} - c{i})" for i in _N)
+
+
+@case("assign_prototype", f"""
+SELECT case_id, CAST(prototype_id AS INT) AS prototype_id, round(sqrt(d), 6) AS distance FROM (
+ SELECT s.case_id, c.main_mode - 1 AS prototype_id, {_DIST} AS d,
+        ROW_NUMBER() OVER (PARTITION BY s.case_id ORDER BY round({_DIST}, 9), c.main_mode) AS rn
+ FROM fx_scaled s CROSS JOIN {_CENTERS} c WHERE s.survey_year = 2022) WHERE rn = 1""")
+def _(spark, sf):
+    """Nearest of nine centres: the mean vectors of the modes in the first survey."""
+    encoder = E.TabularEncoder.fit(st.clean_2011(spark, sf))
+    past = encoder.transform(st.clean_2011(spark, sf))
+    means = past.groupBy("main_mode").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(8)]).alias("centroid"))
+    clustering = P.Clustering.from_frame(means.select((F.col("main_mode") - 1).alias("prototype_id"), "centroid"))
+    assigned = P.assign_prototype(encoder.transform(st.clean_2022(spark, sf)), clustering)
+    center = F.get(F.array(*[F.lit(c) for c in clustering.centers]), F.col("prototype_id"))
+    squared = F.aggregate(F.zip_with("features", center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
+    return assigned.select("case_id", "prototype_id", F.round(F.sqrt(squared), 6).alias("distance"))

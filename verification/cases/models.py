@@ -1,0 +1,99 @@
+from pyspark.sql import functions as F
+
+from surveyalign.functions.vectors import argmax_class
+from surveyalign.operators import inference as I
+from surveyalign.operators import models as ML
+from verification import survey_tables as st
+from verification.cases import case
+from verification.cases.retrieval import evidence, split
+
+
+def _train_test(spark, sf):
+    rows = split(spark, sf)
+    return rows.where("split = 'few_shot'").drop("split"), rows.where("split = 'test'").drop("split")
+
+
+@case("mnl_fit_predict")
+def _(spark, sf):
+    train, test = _train_test(spark, sf)
+    return ML.fit_mnl(train).predict(test).select("case_id", "main_mode", "predicted_mode")
+
+
+@case("boosted_trees_fit_predict")
+def _(spark, sf):
+    train, test = _train_test(spark, sf)
+    return ML.fit_boosted_trees(train, n_estimators=20).predict(test).select("case_id", "main_mode", "predicted_mode")
+
+
+@case("argmax_class", """
+SELECT case_id, CAST(CASE WHEN predicted_mode IN (9,8,7,6,5,3,2,1) THEN predicted_mode ELSE 9 END AS INT) AS best FROM fx_pred""")
+def _(spark, sf):
+    df = st.with_probabilities(st.predictions(spark, sf))
+    return df.select("case_id", argmax_class(F.col("classes"), F.col("proba")).alias("best"))
+
+
+@case("model_score", "SELECT round(avg(CASE WHEN main_mode = predicted_mode THEN 1.0 ELSE 0.0 END), 6) AS score FROM fx_pred")
+def _(spark, sf):
+    return ML.model_score(st.predictions(spark, sf)).select(F.round("score", 6).alias("score"))
+
+
+@case("baseline_grid")
+def _(spark, sf):
+    """Accuracy of every model and ratio of the grid at one seed."""
+    models = {"mnl": ML.fit_mnl, "boosted_trees": lambda df: ML.fit_boosted_trees(df, n_estimators=5)}
+    _predictions, metrics = ML.baseline_grid(st.clean_2022(spark, sf), models=models)
+    return metrics.where(F.col("metric").isin("accuracy", "macro_f1", "nll", "mode_share_mae"))
+
+
+@case("build_prompts")
+def _(spark, sf):
+    prompts = I.build_prompts(evidence(spark, sf))
+    return prompts.select("case_id", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
+
+
+@case("batch_inference")
+def _(spark, sf):
+    return I.batch_inference(I.build_prompts(evidence(spark, sf)))
+
+
+def _failing(prompts):
+    """A predictor that rejects every batch with a trip to education in it."""
+    if any("Purpose: Education" in p for p in prompts):
+        raise RuntimeError("rejected")
+    return ['{"predicted_mode": 6, "confidence": 0.9, "reasoning_brief": "bus"}'] * len(prompts)
+
+
+@case("error_isolation", """
+SELECT case_id, CAST(CASE WHEN trip_purpose = 2 THEN -1 ELSE 6 END AS INT) AS predicted_mode,
+       CAST(CASE WHEN trip_purpose = 2 THEN 0.0 ELSE 0.9 END AS DOUBLE) AS confidence,
+       CASE WHEN trip_purpose = 2 THEN 'error: rejected' ELSE 'bus' END AS reasoning_brief, -1 AS prototype_id,
+       0 AS n_hist_examples, 0 AS n_update_examples
+FROM fx_clean WHERE survey_year = 2022""")
+def _(spark, sf):
+    prompts = I.build_zero_shot_prompts(st.clean_2022(spark, sf))
+    return I.batch_inference(prompts, _failing, retry_delay=0.0)
+
+
+@case("parse_responses", """
+SELECT case_id,
+  CAST(CASE substr(raw_response, 1, 20) WHEN '{"predicted_mode": 4' THEN CASE WHEN raw_response LIKE '%mode_code%' THEN 8 WHEN raw_response LIKE '%42%' THEN 1 ELSE main_mode END
+    WHEN 'Sure: {"predicted_mo' THEN 6 WHEN '{"predicted_mode": "' THEN 3 WHEN '   ' THEN -1 WHEN 'no json here' THEN -1
+    WHEN '{"mode": 2, "probabi' THEN 2 WHEN '{"main_mode": 1, "co' THEN 1 WHEN '{"predicted_mode": n' THEN 1 ELSE main_mode END AS INT) AS predicted_mode,
+  CAST(CASE WHEN raw_response LIKE '%"confidence": 0.8%' THEN 0.8 WHEN raw_response LIKE 'Sure%' THEN 0.4
+    WHEN raw_response LIKE '%probability%' THEN 0.3 WHEN raw_response LIKE '%1.7%' THEN 1.0
+    WHEN trim(raw_response) = '' OR raw_response LIKE 'no json%' THEN 0.0 ELSE 0.5 END AS DOUBLE) AS confidence,
+  CASE WHEN raw_response LIKE '%"ok"%' THEN 'ok' WHEN raw_response LIKE '%alias%' THEN 'alias' WHEN trim(raw_response) = '' THEN 'empty_response'
+    WHEN raw_response LIKE 'no json%' THEN 'json_decode_error' ELSE '' END AS reasoning_brief
+FROM fx_responses""")
+def _(spark, sf):
+    return I.parse_responses(st.responses(spark, sf)).select("case_id", "predicted_mode", "confidence", "reasoning_brief")
+
+
+@case("usage_summary", """
+SELECT CAST(sum(length(text)) AS BIGINT) AS prompt_tokens, CAST(sum(conv_id % 97) AS BIGINT) AS completion_tokens,
+       CAST(sum(length(text)) + sum(conv_id % 97) AS BIGINT) AS total_tokens, count(*) AS call_count FROM conversations""")
+def _(spark, sf):
+    """A log with one call per conversation turn."""
+    log = st.table(spark, sf, "conversations").select(
+        F.length("text").alias("prompt_tokens"), (F.col("conv_id") % 97).alias("completion_tokens"))
+    return I.usage_summary(log)

@@ -127,16 +127,20 @@ def clean_lazy(spark, sf_dir) -> DataFrame:
     return harmonized_dataset(tables_2011(spark, sf_dir), tables_2022(spark, sf_dir))
 
 
-_stored: dict[tuple[str, str, str], DataFrame] = {}
+_stored: dict[tuple[str, str, str], object] = {}
 
 
-def _store(spark, sf_dir, name, build) -> DataFrame:
+def _store_object(spark, sf_dir, name, build):
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
-        _stored[key] = materialize(build(), name)
+        _stored[key] = build()
     return _stored[key]
 
 
+def _store(spark, sf_dir, name, build) -> DataFrame:
+    return _store_object(spark, sf_dir, name, lambda: materialize(build(), name))
+
+
 def clean(spark, sf_dir) -> DataFrame:
     """The cleaned canonical table, preprocessed once per session and then read as a table."""
     return _store(spark, sf_dir, "clean", lambda: clean_lazy(spark, sf_dir))
