@@ -39,10 +39,10 @@ def map_codes(value: Column, mapping: dict[int, int], default: int = -1) -> Colu
     sources = defaultdict(list)
     for raw, code in mapping.items():
         sources[code].append(raw)
-    result = F.lit(default)
+    branches = F
     for code, raws in sources.items():
-        result = F.when(value.isin(raws), F.lit(code)).otherwise(result)
-    return result
+        branches = branches.when(value.isin(raws), F.lit(code))
+    return branches.otherwise(F.lit(default))
 
 
 def as_id(df: DataFrame, name: str) -> Column:
@@ -103,10 +103,8 @@ def car_availability(df: DataFrame, columns: list[str], negative_is_none: bool)
 
 def decode(code: Column, labels: dict[int, str], default: str = "Unknown") -> Column:
     """Code to label; ``default`` for unknown codes and null."""
-    result = F.lit(default)
-    for key, label in labels.items():
-        result = F.when(code == key, F.lit(label)).otherwise(result)
-    return result
+    entries = ", ".join(f"{key}, '{label}'" for key, label in labels.items())
+    return F.coalesce(F.element_at(F.expr(f"map({entries})"), code.cast("int")), F.lit(default))
 
 
 def zone_int(zone: Column) -> Column:

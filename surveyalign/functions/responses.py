@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
@@ -79,53 +79,56 @@ def _as_text(value: Column) -> Column:
     )
 
 
-def _result(mode: Column, confidence: Column, reasoning: Column) -> Column:
-    return F.struct(
-        mode.cast("int").alias("predicted_mode"),
-        confidence.cast("double").alias("confidence"),
-        reasoning.alias("reasoning_brief"),
+def _python_type(kind: Column) -> Column:
+    return (
+        F.when(kind.startswith("ARRAY"), "list").when(kind == "STRING", "str")
+        .when(kind == "BOOLEAN", "bool").when(kind == "VOID", "NoneType")
+        .when(kind == "BIGINT", "int").otherwise("float")
     )
 
 
-def _failure(reason: Column) -> Column:
-    return _result(F.lit(-1), F.lit(0.0), reason)
-
-
-def parse_response(raw: Column) -> Column:
-    """Struct (predicted_mode, confidence, reasoning_brief) of one response text.
+def parse_responses(df: DataFrame, raw: str = "raw_response") -> DataFrame:
+    """Add predicted_mode, confidence and reasoning_brief parsed from the response text.
 
     The whole text, else its first flat ``{...}`` block, is read as JSON. The mode comes
     from the first present mode key; text is searched for a digit 1..9; what is still
-    no mode falls back to the alternative keys and then to mode 1.
+    no mode falls back to the alternative keys and then to mode 1. The steps are separate
+    columns so that each is evaluated once per row.
     """
-    whole = _json_value(raw)
-    block = F.regexp_extract(raw, FLAT_OBJECT, 0)
-    value = F.coalesce(whole, F.when(block != "", _json_value(block)))
-    kind = _kind(value)
-    data = F.try_variant_get(value, "$", _OBJECT)
-
+    text = F.col(raw)
+    block = F.nullif(F.regexp_extract(text, FLAT_OBJECT, 0), F.lit(""))
+    steps = df.withColumn("_whole", _json_value(text))
+    steps = steps.withColumn(
+        "_value", F.when(F.col("_whole").isNotNull(), F.col("_whole")).otherwise(_json_value(block)))
+    steps = steps.withColumns({
+        "_kind": F.schema_of_variant("_value"),
+        "_data": F.try_variant_get("_value", "$", _OBJECT),
+    })
+    data = F.col("_data")
     has_mode, mode_value = _first_present(data, MODE_KEYS)
-    searched = F.regexp_extract(_as_text(mode_value), MODE_DIGIT, 1)
-    mode = F.when(has_mode, F.coalesce(_as_int(mode_value), searched.try_cast("bigint"), F.lit(-1)))
-    fallback = F.coalesce(*[_as_int(data[k]) for k in FALLBACK_MODE_KEYS], F.lit(1))
-    mode = F.when(mode.isin(fv.MODES), mode).otherwise(fallback)
-
     _, confidence_value = _first_present(data, CONFIDENCE_KEYS)
-    confidence = F.coalesce(_as_float(confidence_value), F.lit(0.5))
-    confidence = F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence))
-
     has_reason, reason_value = _first_present(data, REASONING_KEYS)
-    reasoning = F.when(has_reason, F.substring(_as_text(reason_value), 1, MAX_REASONING))
-
-    python_type = (
-        F.when(kind.startswith("ARRAY"), "list").when(kind == "STRING", "str")
-        .when(kind == "BOOLEAN", "bool").when(kind == "VOID", "NoneType")
-        .when(kind == "BIGINT", "int").otherwise("float")
-    )
-    no_object = F.concat(F.lit("error: '"), python_type, F.lit("' object has no attribute 'get'"))
-    return (
-        F.when(F.coalesce(F.length(F.trim(raw)), F.lit(0)) == 0, _failure(F.lit("empty_response")))
-        .when(value.isNull(), _failure(F.lit("json_decode_error")))
-        .when(data.isNull(), _failure(no_object))
-        .otherwise(_result(mode, confidence, F.coalesce(reasoning, F.lit(""))))
+    steps = steps.withColumns({
+        "_has_mode": has_mode, "_mode_value": mode_value, "_confidence_value": confidence_value,
+        "_has_reason": has_reason, "_reason_value": reason_value,
+        "_fallback": F.coalesce(*[_as_int(data[k]) for k in FALLBACK_MODE_KEYS], F.lit(1)),
+    })
+    searched = F.regexp_extract(_as_text(F.col("_mode_value")), MODE_DIGIT, 1).try_cast("bigint")
+    steps = steps.withColumns({
+        "_mode": F.when(F.col("_has_mode"), F.coalesce(_as_int(F.col("_mode_value")), searched)),
+        "_confidence": F.coalesce(_as_float(F.col("_confidence_value")), F.lit(0.5)),
+        "_reason": F.when(F.col("_has_reason"), F.substring(_as_text(F.col("_reason_value")), 1, MAX_REASONING)),
+        "_failure": F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0, "empty_response")
+        .when(F.col("_value").isNull(), "json_decode_error")
+        .when(data.isNull(), F.concat(
+            F.lit("error: '"), _python_type(F.col("_kind")), F.lit("' object has no attribute 'get'"))),
+    })
+    failed = F.col("_failure").isNotNull()
+    mode = F.when(F.col("_mode").isin(fv.MODES), F.col("_mode")).otherwise(F.col("_fallback"))
+    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_confidence")))
+    return steps.select(
+        *df.columns,
+        F.when(failed, -1).otherwise(mode).cast("int").alias("predicted_mode"),
+        F.when(failed, 0.0).otherwise(clamped).alias("confidence"),
+        F.coalesce("_failure", "_reason", F.lit("")).alias("reasoning_brief"),
     )

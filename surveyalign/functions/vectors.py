@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
 
 SIMILARITY_DECIMALS = 10
+# Weighted similarities have more digits; rounding them no shorter leaves no ties to rounding.
+SCORE_DECIMALS = 12
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -18,33 +20,28 @@ def norm(a: Column) -> Column:
     return F.sqrt(dot(a, a))
 
 
-def unit(a: Column) -> Column:
-    """The vector over its length; a zero vector stays zero."""
-    length = norm(a)
-    safe = F.when(length == 0, F.lit(1.0)).otherwise(length)
-    return F.transform(a, lambda x: x / safe)
-
-
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; 0 where a vector is zero. Rounded so that it orders the same everywhere."""
-    return F.round(dot(unit(a), unit(b)), SIMILARITY_DECIMALS)
-
-
-def squared_distance(a: Column, b: Column) -> Column:
-    return F.aggregate(
-        F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda acc, x: acc + x
+    similarity = F.coalesce(F.try_divide(dot(a, b), norm(a) * norm(b)), F.lit(0.0))
+    return F.round(similarity, SIMILARITY_DECIMALS)
+
+
+def align_proba(
+    df: DataFrame, classes: str = "classes", proba: str = "proba", output: str = "aligned",
+    labels: list[int] = fv.MODES,
+) -> DataFrame:
+    """Add the probabilities in label order: labels the model does not know 0, rows sum to 1."""
+    placed = F.array(*[
+        F.coalesce(F.get(F.col(proba), F.array_position(F.col(classes), label).cast("int") - 1), F.lit(0.0))
+        for label in labels])
+    total = sum((F.get(F.col("_placed"), F.lit(i)) for i in range(1, len(labels))), F.get(F.col("_placed"), F.lit(0)))
+    safe = F.when(F.col("_sum") == 0, F.lit(1.0)).otherwise(F.col("_sum"))
+    return (
+        df.withColumn("_placed", placed).withColumn("_sum", total)
+        .withColumn(output, F.transform("_placed", lambda p: p / safe)).drop("_placed", "_sum")
     )
 
 
-def align_proba(classes: Column, proba: Column, labels: list[int] = fv.MODES) -> Column:
-    """Probabilities of the model's classes in label order: absent labels 0, rows sum to 1."""
-    by_class = F.map_from_arrays(classes, proba)
-    placed = F.array(*[F.coalesce(by_class[label], F.lit(0.0)) for label in labels])
-    total = F.aggregate(placed, F.lit(0.0), lambda acc, x: acc + x)
-    safe = F.when(total == 0, F.lit(1.0)).otherwise(total)
-    return F.transform(placed, lambda x: x / safe)
-
-
 def argmax_class(classes: Column, proba: Column) -> Column:
     """The class of the highest probability, the first one on ties."""
     return F.get(classes, F.array_position(proba, F.array_max(proba)).cast("int") - 1)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
-from surveyalign.functions.responses import parse_response
+from surveyalign.functions.responses import parse_responses
 from surveyalign.functions.text import context, demonstration, evidence_messages, profile_messages
 from surveyalign.operators.prototypes import PrototypeMemory, attach_prototype
 from surveyalign.operators.retrieval import RetrievalIndex, retrieve
@@ -130,24 +130,19 @@ def batch_inference(
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("prompt").schema)
     answered = slim.mapInPandas(run, f"{fields}, raw_response string, error string")
-    parsed = parse_response(F.col("raw_response"))
+    parsed = parse_responses(answered)
     failed = F.col("error").isNotNull()
-    return answered.withColumn("_parsed", parsed).select(
+    return parsed.select(
         key,
-        F.when(failed, -1).otherwise(F.col("_parsed.predicted_mode")).alias("predicted_mode"),
-        F.when(failed, 0.0).otherwise(F.col("_parsed.confidence")).alias("confidence"),
+        F.when(failed, -1).otherwise(F.col("predicted_mode")).alias("predicted_mode"),
+        F.when(failed, 0.0).otherwise(F.col("confidence")).alias("confidence"),
         F.when(failed, F.concat(F.lit("error: "), F.col("error")))
-        .otherwise(F.col("_parsed.reasoning_brief")).alias("reasoning_brief"),
+        .otherwise(F.col("reasoning_brief")).alias("reasoning_brief"),
         F.when(failed, -1).otherwise(F.col("prototype_id")).alias("prototype_id"),
         "n_hist_examples", "n_update_examples",
     )
 
 
-def parse_responses(df: DataFrame, raw: str = "raw_response") -> DataFrame:
-    """Add predicted_mode, confidence and reasoning_brief parsed from the response text."""
-    return df.withColumn("_parsed", parse_response(F.col(raw))).select(*df.columns, "_parsed.*")
-
-
 def usage_summary(log: DataFrame) -> DataFrame:
     """Token totals and calls of a response log (prompt_tokens, completion_tokens)."""
     return log.agg(

@@ -84,9 +84,8 @@ def negative_log_likelihood(aligned: Column, truth: Column, labels: list[int] =
 def brier(aligned: Column, truth: Column, labels: list[int] = fv.MODES) -> Column:
     """Squared distance between the probabilities and the one-hot truth."""
     position = _label_position(truth, labels)
-    squares = F.transform(aligned, lambda p, i: (p - F.when(i == position, 1.0).otherwise(0.0))
-                          * (p - F.when(i == position, 1.0).otherwise(0.0)))
-    return F.aggregate(squares, F.lit(0.0), lambda acc, x: acc + x)
+    gaps = [F.get(aligned, F.lit(i)) - (position == i).cast("double") for i in range(len(labels))]
+    return sum((g * g for g in gaps[1:]), gaps[0] * gaps[0])
 
 
 def _label_position(truth: Column, labels: list[int]) -> Column:
@@ -101,8 +100,7 @@ def probability_metrics(
     truth: str = fv.TARGET_COLUMN,
 ) -> DataFrame:
     """Mean negative log-likelihood and Brier score of the aligned probabilities."""
-    aligned = align_proba(F.col(classes), F.col(proba))
-    return df.withColumn("_aligned", aligned).groupBy(*keys).agg(
+    return align_proba(df, classes, proba, "_aligned").groupBy(*keys).agg(
         F.avg(negative_log_likelihood(F.col("_aligned"), F.col(truth))).alias("nll"),
         F.avg(brier(F.col("_aligned"), F.col(truth))).alias("brier_score"),
     )
@@ -138,23 +136,30 @@ def share_mae(true_share: Column, pred_share: Column) -> Column:
     return _array_sum(gaps) / F.size(gaps)
 
 
-def share_js(true_share: Column, pred_share: Column) -> Column:
-    """Jensen-Shannon distance (square root, natural logarithm) of the smoothed shares."""
-    def smooth(shares: Column) -> Column:
-        raised = F.transform(shares, lambda x: x + F.lit(fv.JS_SMOOTHING))
-        return F.transform(raised, lambda x: x / _array_sum(raised))
+def share_js(p: Column, q: Column, p_total: Column, q_total: Column) -> Column:
+    """Jensen-Shannon distance (square root, natural logarithm) of two arrays over their totals."""
+    def term(x, y):
+        a, b = x / p_total, y / q_total
+        return a * F.log(2 * a / (a + b)) + b * F.log(2 * b / (a + b))
 
-    p, q = smooth(true_share), smooth(pred_share)
-    terms = F.zip_with(p, q, lambda a, b: a * F.log(2 * a / (a + b)) + b * F.log(2 * b / (a + b)))
-    return F.sqrt(F.greatest(_array_sum(terms), F.lit(0.0)) / 2)
+    return F.sqrt(F.greatest(_array_sum(F.zip_with(p, q, term)), F.lit(0.0)) / 2)
 
 
 def macro_metrics(cube: DataFrame, keys: list[str] = [], codes: list[int] = fv.MODES) -> DataFrame:
-    """Mean absolute error and Jensen-Shannon distance of the shares, with the shares."""
-    return share_arrays(cube, keys, codes).withColumns({
+    """Mean absolute error and Jensen-Shannon distance of the shares, with the shares.
+
+    The distance is taken of the shares raised by a small constant and renormalised.
+    """
+    raised = lambda name: F.transform(name, lambda x: x + F.lit(fv.JS_SMOOTHING))
+    smoothed = (
+        share_arrays(cube, keys, codes)
+        .withColumns({"_p": raised("true_share"), "_q": raised("pred_share")})
+        .withColumns({"_pt": _array_sum(F.col("_p")), "_qt": _array_sum(F.col("_q"))})
+    )
+    return smoothed.withColumns({
         "mode_share_mae": share_mae(F.col("true_share"), F.col("pred_share")),
-        "mode_share_js": share_js(F.col("true_share"), F.col("pred_share")),
-    })
+        "mode_share_js": share_js(F.col("_p"), F.col("_q"), F.col("_pt"), F.col("_qt")),
+    }).drop("_p", "_q", "_pt", "_qt")
 
 
 def share_gaps(macro: DataFrame, keys: list[str] = [], codes: list[int] = fv.MODES) -> DataFrame:

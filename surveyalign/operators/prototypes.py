@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.ml.clustering import KMeans
@@ -14,10 +15,6 @@ from surveyalign.functions.text import prototype_label, prototype_summary
 from surveyalign.operators.features import TabularEncoder
 from surveyalign.session import materialize
 
-PROTOTYPE_SCHEMA = """prototype_id int, n_samples bigint, demographic_summary map<string,double>,
-mode_share map<int,double>, purpose_share map<int,double>, semantic_label string"""
-
-
 @dataclass
 class Clustering:
     centers: list[list[float]]
@@ -32,25 +29,30 @@ class Clustering:
         return cls([list(r["centroid"]) for r in rows], float("nan"))
 
 
-def kmeans(encoded: DataFrame, k: int = fv.N_PROTOTYPES, seed: int = 42, restarts: int = 10) -> Clustering:
+def kmeans(
+    encoded: DataFrame, k: int = fv.N_PROTOTYPES, seed: int = 42, restarts: int = 10,
+    max_iter: int = 300, tol: float = 0.003, concurrency: int = 10,
+) -> Clustering:
     """Best of ``restarts`` k-means runs by inertia.
 
     Coded trips repeat few vectors, so the runs see each distinct vector once with its
-    count as weight, which leaves the objective unchanged.
+    count as weight, which leaves the objective unchanged. The runs are independent and
+    overlap. ``tol`` bounds the move of each centre, in standard deviations.
     """
     distinct = materialize(
         encoded.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias("weight"))
         .select(array_to_vector("features").alias("features"), "weight"),
         "kmeans-input",
     ).cache()
+
+    def run(i: int) -> Clustering:
+        model = KMeans(k=k, seed=seed + i, weightCol="weight", maxIter=max_iter, tol=tol).fit(distinct)
+        centers = [[float(x) for x in c] for c in model.clusterCenters()]
+        return Clustering(centers, float(model.summary.trainingCost))
+
     try:
-        best = None
-        for run in range(restarts):
-            model = KMeans(k=k, seed=seed + run, weightCol="weight", maxIter=300, tol=1e-4).fit(distinct)
-            cost = model.summary.trainingCost
-            if best is None or cost < best.inertia:
-                best = Clustering([[float(x) for x in c] for c in model.clusterCenters()], float(cost))
-        return best
+        with ThreadPoolExecutor(concurrency) as pool:
+            return min(pool.map(run, range(restarts)), key=lambda c: c.inertia)
     finally:
         distinct.unpersist()
 

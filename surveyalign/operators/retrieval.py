@@ -7,10 +7,11 @@ never materialised and no side is broadcast:
 1. Stored trips with the same vector and offset score alike, so one representative stands
    for them and at most k of them can be returned. The same holds for query trips. However
    often a vector is repeated, it is scored once.
-2. Representatives are grouped around pivots. A bounded number of them, at most MAX_PIVOTS,
-   is known to every task: the k-th best pivot bounds the k-th best score from below, the
-   angle between query and pivot together with the radius of a cell bounds every score in
-   the cell from above. A query is sent only to cells that can hold one of its k best.
+2. A sample of at most SAMPLE representatives is known to every task: the k-th best score
+   within it bounds the k-th best score of the memory from below. At most MAX_PIVOTS of
+   them divide the memory into cells: the angle between query and pivot together with the
+   radius of the cell bounds every score in it from above. A query is sent only to the
+   cells that can hold one of its k best, a few percent of them.
 3. Each (cell, chunk, query block) is one small matrix product that keeps k rows per query.
 """
 
@@ -26,11 +27,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
-from surveyalign.functions.vectors import SIMILARITY_DECIMALS, cosine
+from surveyalign.functions.vectors import SCORE_DECIMALS, SIMILARITY_DECIMALS, cosine
 from surveyalign.operators.features import TabularEncoder
 from surveyalign.session import materialize
 
-MAX_PIVOTS = 1024
+MAX_PIVOTS = 2048
+SAMPLE = 8192            # vectors, whatever the size of the memory
+PER_PIVOT = 16           # stored vectors per cell while the memory is small
 CELL_CHUNK = 20_000      # stored vectors per matrix product
 QUERY_BLOCK = 200_000    # distinct query vectors per matrix product
 SLAB = 2_000_000         # scores held at once by a task
@@ -81,7 +84,7 @@ def score_offset(year: Column) -> Column:
 
 
 def retrieval_score(similarity: Column, offset: Column) -> Column:
-    return F.round(fv.LAMBDA_SIMILARITY * similarity + offset, SIMILARITY_DECIMALS)
+    return F.round(fv.LAMBDA_SIMILARITY * similarity + offset, SCORE_DECIMALS)
 
 
 def score_pairs(pairs: DataFrame, query: str, corpus: str, year: str) -> DataFrame:
@@ -140,8 +143,9 @@ class RetrievalIndex:
 
     candidates: DataFrame     # rep_id, key, record, at most k rows per representative
     cells: DataFrame          # cell, chunk, rep_id, features, offset
-    pivots: np.ndarray        # unit vectors, at most MAX_PIVOTS
-    pivot_offsets: np.ndarray
+    sample: np.ndarray        # unit vectors, at most SAMPLE; the first n_pivots are the pivots
+    sample_offsets: np.ndarray
+    n_pivots: int
     cell_radius: np.ndarray   # largest angle to the pivot, per cell; the last cell is that of zero vectors
     cell_offset: np.ndarray   # largest offset per cell, -inf for an empty cell
     cell_chunks: np.ndarray
@@ -162,10 +166,11 @@ def build_index(memory: DataFrame, k: int, key: str = "case_id") -> RetrievalInd
     )
     representatives = candidates.where("nth = 1").select("rep_id", "features", "offset")
     n = representatives.count()
-    n_pivots = max(1, min(MAX_PIVOTS, int(math.sqrt(n))))
-    chosen = representatives.orderBy(F.md5("rep_id"), "rep_id").limit(n_pivots).collect()
-    pivots = _unit_rows(np.array([r["features"] for r in chosen], dtype=float).reshape(len(chosen), -1))
-    pivot_offsets = np.array([r["offset"] for r in chosen], dtype=float)
+    n_pivots = max(1, min(MAX_PIVOTS, n // PER_PIVOT))
+    chosen = representatives.orderBy(F.md5("rep_id"), "rep_id").limit(SAMPLE).collect()
+    sample = _unit_rows(np.array([r["features"] for r in chosen], dtype=float).reshape(len(chosen), -1))
+    sample_offsets = np.array([r["offset"] for r in chosen], dtype=float)
+    pivots = sample[:n_pivots]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,7 +191,7 @@ def build_index(memory: DataFrame, k: int, key: str = "case_id") -> RetrievalInd
             assign, "cell int, angle double, rep_id string, features array<double>, offset double"),
         "index-cells",
     )
-    n_cells = len(chosen) + 1
+    n_cells = len(pivots) + 1
     radius, offset, chunks = np.zeros(n_cells), np.full(n_cells, -np.inf), np.ones(n_cells, dtype=int)
     stats = assigned.groupBy("cell").agg(
         F.max("angle").alias("radius"), F.max("offset").alias("offset"), F.count(F.lit(1)).alias("n"))
@@ -197,34 +202,41 @@ def build_index(memory: DataFrame, k: int, key: str = "case_id") -> RetrievalInd
     cells = assigned.select(
         "cell", F.pmod(F.xxhash64("rep_id"), chunk_count).cast("int").alias("chunk"),
         "rep_id", "features", "offset")
-    return RetrievalIndex(candidates, cells, pivots, pivot_offsets, radius, offset, chunks, k)
+    return RetrievalIndex(candidates, cells, sample, sample_offsets, len(pivots), radius, offset, chunks, k)
 
 
 def _probe(index: RetrievalIndex, k: int):
     """Query batches to one row per (query, cell that can hold one of its k best, chunk)."""
-    pivots, pivot_offsets = index.pivots, index.pivot_offsets
+    sample, sample_offsets, n_pivots = index.sample, index.sample_offsets, index.n_pivots
     radius, cell_offset, chunks = index.cell_radius, index.cell_offset, index.cell_chunks
     weight = fv.LAMBDA_SIMILARITY
+    step = max(1, SLAB // max(1, len(sample)))
+
+    def reachable(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        similarity = np.clip(vectors @ sample.T, -1.0, 1.0)
+        known = weight * similarity + sample_offsets
+        n = known.shape[1]
+        floor = np.partition(known, n - k, axis=1)[:, n - k] if n >= k else np.full(len(known), -np.inf)
+        angle = np.arccos(similarity[:, :n_pivots])
+        best = weight * np.cos(np.maximum(0.0, angle - radius[:-1])) + cell_offset[:-1]
+        # The vectors of the last cell are zero and score their offset.
+        best = np.hstack([best, np.full((len(best), 1), cell_offset[-1])])
+        return np.nonzero((best >= floor[:, None] - SLACK) & np.isfinite(best))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             vectors = _unit_rows(_matrix(batch.column("features")))
-            similarity = np.clip(vectors @ pivots.T, -1.0, 1.0)
-            known = weight * similarity + pivot_offsets
-            n = known.shape[1]
-            floor = np.partition(known, n - k, axis=1)[:, n - k] if n >= k else np.full(len(known), -np.inf)
-            nearest = np.cos(np.maximum(0.0, np.arccos(similarity) - radius[:-1]))
-            reach = np.hstack([weight * nearest + cell_offset[:-1], np.full((len(known), 1), cell_offset[-1])])
-            rows, cells = np.nonzero((reach >= floor[:, None] - SLACK) & np.isfinite(reach))
-            repeat = chunks[cells]
-            rows, cells = np.repeat(rows, repeat), np.repeat(cells, repeat)
-            chunk = np.arange(len(rows)) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-            sent = batch.take(pa.array(rows))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cells, pa.int32()), pa.array(chunk, pa.int32()), *sent.columns],
-                names=["cell", "chunk", *sent.schema.names])
+            for start in range(0, len(vectors), step):
+                rows, cells = reachable(vectors[start:start + step])
+                repeat = chunks[cells]
+                chunk = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+                rows, cells = np.repeat(rows, repeat) + start, np.repeat(cells, repeat)
+                sent = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cells, pa.int32()), pa.array(chunk, pa.int32()), *sent.columns],
+                    names=["cell", "chunk", *sent.schema.names])
 
     return run
 
@@ -246,7 +258,7 @@ def _match(k: int):
         parts = []
         for start in range(0, len(asked), step):
             similarity = np.round(asked[start:start + step] @ stored, SIMILARITY_DECIMALS)
-            score = np.round(weight * similarity + offset, SIMILARITY_DECIMALS)
+            score = np.round(weight * similarity + offset, SCORE_DECIMALS)
             rows, cols = best_k(score, k)
             parts.append(pa.Table.from_arrays(
                 [queries.column("query_id").take(pa.array(rows + start)).cast(pa.string()),

@@ -55,8 +55,7 @@ _TOTAL = "(" + " + ".join(_P[m] for m in _KNOWN) + ")"
 @case("align_proba", "SELECT case_id, " + ", ".join(f"round({_P[m]} / {_TOTAL}, 6) AS p_{m}" for m in fv.MODES) + " FROM fx_pred")
 def _(spark, sf):
     df = st.with_probabilities(st.predictions(spark, sf))
-    aligned = align_proba(F.col("classes"), F.col("proba"))
-    return df.select("case_id", *[F.round(aligned[i], 6).alias(f"p_{m}") for i, m in enumerate(fv.MODES)])
+    return align_proba(df).select("case_id", *[F.round(F.col("aligned")[i], 6).alias(f"p_{m}") for i, m in enumerate(fv.MODES)])
 
 
 _TRUE_P = "CASE main_mode " + " ".join(f"WHEN {m} THEN {_P[m]} / {_TOTAL}" for m in fv.MODES) + " END"

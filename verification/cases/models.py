@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from surveyalign.functions.responses import parse_responses
 from surveyalign.functions.vectors import argmax_class
 from surveyalign.operators import inference as I
 from surveyalign.operators import models as ML
@@ -86,7 +87,7 @@ SELECT case_id,
     WHEN raw_response LIKE 'no json%' THEN 'json_decode_error' ELSE '' END AS reasoning_brief
 FROM fx_responses""")
 def _(spark, sf):
-    return I.parse_responses(st.responses(spark, sf)).select("case_id", "predicted_mode", "confidence", "reasoning_brief")
+    return parse_responses(st.responses(spark, sf)).select("case_id", "predicted_mode", "confidence", "reasoning_brief")
 
 
 @case("usage_summary", """

@@ -89,8 +89,8 @@ _PAIR_DOT = " + ".join(f"a.u{i} * b.u{i}" for i in range(1, 9))
 
 
 @case("retrieval_score", f"""
-SELECT a.case_id AS query_id, b.case_id, round({_PAIR_DOT}, 6) AS similarity,
-       round(0.5 * ({_PAIR_DOT}) + 0.3 * CASE WHEN b.survey_year >= 2022 THEN 1.0 ELSE 0.5 END + 0.2, 6) AS score
+SELECT a.case_id AS query_id, b.case_id, round({_PAIR_DOT}, 10) AS similarity,
+       round(0.5::DOUBLE * round({_PAIR_DOT}, 10) + CASE WHEN b.survey_year >= 2022 THEN 0.5::DOUBLE ELSE 0.35::DOUBLE END, 12) AS score
 FROM fx_unit a JOIN fx_unit b ON a.person_id = b.person_id AND b.trip_no = a.trip_no + 1 AND a.survey_year = b.survey_year""")
 def _(spark, sf):
     """Every trip against the next trip of the same person."""
@@ -101,7 +101,7 @@ def _(spark, sf):
     pairs = rows.join(following, ["person_id", "survey_year", "trip_no"])
     scored = R.score_pairs(pairs, "features", "next", "survey_year")
     return scored.select(F.col("case_id").alias("query_id"), F.col("next_id").alias("case_id"),
-                         F.round("similarity", 6).alias("similarity"), F.round("score", 6).alias("score"))
+                         "similarity", "score")
 
 
 @case("topk_per_query", """
@@ -117,21 +117,21 @@ def _(spark, sf):
     return R.topk_per_query(scored, 8).withColumn("score", F.round("score", 6))
 
 
-@case("retrieve_topk", "SELECT query_id, rank, case_id, round(score, 6) AS score FROM fx_hist_neighbours")
+@case("retrieve_topk", "SELECT query_id, rank, case_id, score FROM fx_hist_neighbours")
 def _(spark, sf):
     """The four most similar trips of the first survey for every test trip."""
     _encoder, historical, _few, test = parts(spark, sf)
     found = R.retrieve_topk(test, R.build_index(historical, 4), 4)
-    return found.select("query_id", "rank", "case_id", F.round("score", 6).alias("score"))
+    return found.select("query_id", "rank", "case_id", "score")
 
 
 @case("query_corpus_pairs", """
-SELECT query_id, rank, case_id, round((score - 0.5) / 0.5, 6) AS similarity FROM fx_few_neighbours""")
+SELECT query_id, rank, case_id, round((score - 0.5) / 0.5, 10) AS similarity FROM fx_few_neighbours""")
 def _(spark, sf):
     """Every test trip is scored against every few-shot trip; the best eight pairs are kept."""
     _encoder, _historical, few, test = parts(spark, sf)
     found = R.retrieve_topk(test, R.build_index(few, 8), 8)
-    return found.select("query_id", "rank", "case_id", F.round((F.col("score") - 0.5) / 0.5, 6).alias("similarity"))
+    return found.select("query_id", "rank", "case_id", F.round("similarity", 10).alias("similarity"))
 
 
 def evidence(spark, sf):
@@ -141,13 +141,13 @@ def evidence(spark, sf):
 
 
 @case("retrieve_evidence", """
-SELECT query_id, 'historical' AS memory, rank, n.case_id, round(score, 6) AS score, c.main_mode FROM fx_hist_neighbours n JOIN fx_clean c ON c.case_id = n.case_id
+SELECT query_id, 'historical' AS memory, rank, n.case_id, score, c.main_mode FROM fx_hist_neighbours n JOIN fx_clean c ON c.case_id = n.case_id
 UNION ALL
-SELECT query_id, 'update', rank, n.case_id, round(score, 6), c.main_mode FROM fx_few_neighbours n JOIN fx_clean c ON c.case_id = n.case_id""")
+SELECT query_id, 'update', rank, n.case_id, score, c.main_mode FROM fx_few_neighbours n JOIN fx_clean c ON c.case_id = n.case_id""")
 def _(spark, sf):
     found = evidence(spark, sf)
     flat = lambda name: found.select(F.col("case_id").alias("query_id"), F.lit(name).alias("memory"), F.inline(name).alias(
         "rank", "neighbour", "similarity", "score", "record"))
     return flat("historical").unionByName(flat("update")).select(
-        "query_id", "memory", "rank", F.col("neighbour").alias("case_id"), F.round("score", 6).alias("score"),
+        "query_id", "memory", "rank", F.col("neighbour").alias("case_id"), "score",
         F.col("record.main_mode").alias("main_mode"))

@@ -198,7 +198,7 @@ def _neighbours(corpus: str, offset: float, k: int) -> str:
     return f"""
 SELECT query_id, CAST(pos AS INT) AS rank, best[pos]['c'] AS case_id, -best[pos]['s'] AS score
 FROM (SELECT q.case_id AS query_id,
-             min({{'s': -round(CAST(0.5 AS DOUBLE) * round({_DOT}, 10) + CAST({offset} AS DOUBLE), 10), 'c': c.case_id}}, {k}) AS best
+             min({{'s': -round(CAST(0.5 AS DOUBLE) * round({_DOT}, 10) + CAST({offset} AS DOUBLE), 12), 'c': c.case_id}}, {k}) AS best
       FROM (SELECT u.* FROM fx_unit u JOIN fx_split s USING (case_id) WHERE s.split = 'test') q
       CROSS JOIN ({corpus}) c GROUP BY q.case_id),
      LATERAL unnest(range(1, len(best) + 1)) AS r(pos)"""

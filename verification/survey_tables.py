@@ -23,8 +23,22 @@ MODELS = ["mnl", "boosted_trees", "retrieval"]
 RUN_KEYS = ["model", "fewshot_ratio", "seed"]
 
 
+_stored: dict[tuple[str, str, str], object] = {}
+
+
+def _store_object(spark, sf_dir, name, build):
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _stored:
+        _stored[key] = build()
+    return _stored[key]
+
+
+def _store(spark, sf_dir, name, build) -> DataFrame:
+    return _store_object(spark, sf_dir, name, lambda: materialize(build(), name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return read_table(spark, f"{sf_dir}/{name}.parquet")
+    return _store_object(spark, sf_dir, f"table {name}", lambda: read_table(spark, f"{sf_dir}/{name}.parquet"))
 
 
 def _null_if(condition: Column, value: Column) -> Column:
@@ -127,20 +141,6 @@ def clean_lazy(spark, sf_dir) -> DataFrame:
     return harmonized_dataset(tables_2011(spark, sf_dir), tables_2022(spark, sf_dir))
 
 
-_stored: dict[tuple[str, str, str], object] = {}
-
-
-def _store_object(spark, sf_dir, name, build):
-    key = (spark.sparkContext.applicationId, sf_dir, name)
-    if key not in _stored:
-        _stored[key] = build()
-    return _stored[key]
-
-
-def _store(spark, sf_dir, name, build) -> DataFrame:
-    return _store_object(spark, sf_dir, name, lambda: materialize(build(), name))
-
-
 def clean(spark, sf_dir) -> DataFrame:
     """The cleaned canonical table, preprocessed once per session and then read as a table."""
     return _store(spark, sf_dir, "clean", lambda: clean_lazy(spark, sf_dir))
