@@ -36,6 +36,7 @@ SAMPLE = 8192            # vectors, whatever the size of the memory
 PER_PIVOT = 16           # stored vectors per cell while the memory is small
 CELL_CHUNK = 20_000      # stored vectors per matrix product
 QUERY_BLOCK = 200_000    # distinct query vectors per matrix product
+TASK_ROWS = 2_000        # vectors per task of the steps that compare them with the sample
 SLAB = 2_000_000         # scores held at once by a task
 SLACK = 1e-9             # covers the rounding of similarities
 
@@ -167,9 +168,9 @@ def build_index(memory: DataFrame, k: int, key: str = "case_id") -> RetrievalInd
     representatives = candidates.where("nth = 1").select("rep_id", "features", "offset")
     n = representatives.count()
     n_pivots = max(1, min(MAX_PIVOTS, n // PER_PIVOT))
-    chosen = representatives.orderBy(F.md5("rep_id"), "rep_id").limit(SAMPLE).collect()
-    sample = _unit_rows(np.array([r["features"] for r in chosen], dtype=float).reshape(len(chosen), -1))
-    sample_offsets = np.array([r["offset"] for r in chosen], dtype=float)
+    chosen = representatives.orderBy(F.md5("rep_id"), "rep_id").limit(SAMPLE).toArrow()
+    sample = _unit_rows(_matrix(chosen.column("features")))
+    sample_offsets = chosen.column("offset").to_numpy()
     pivots = sample[:n_pivots]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +188,7 @@ def build_index(memory: DataFrame, k: int, key: str = "case_id") -> RetrievalInd
                 names=["cell", "angle", *batch.schema.names])
 
     assigned = materialize(
-        representatives.mapInArrow(
+        representatives.repartition(math.ceil(n / TASK_ROWS) or 1).mapInArrow(
             assign, "cell int, angle double, rep_id string, features array<double>, offset double"),
         "index-cells",
     )
@@ -213,6 +214,8 @@ def _probe(index: RetrievalIndex, k: int):
     step = max(1, SLAB // max(1, len(sample)))
 
     def reachable(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if not len(sample):  # an empty memory
+            return np.empty(0, dtype=int), np.empty(0, dtype=int)
         similarity = np.clip(vectors @ sample.T, -1.0, 1.0)
         known = weight * similarity + sample_offsets
         n = known.shape[1]
@@ -278,9 +281,10 @@ def neighbours(queries: DataFrame, index: RetrievalIndex, k: int, key: str = "ca
         raise ValueError(f"the index keeps {index.k} rows per vector, {k} were asked for")
     asked = materialize(
         queries.groupBy("features").agg(F.min(key).alias("query_id")), "queries")
-    blocks = max(1, math.ceil(asked.count() / QUERY_BLOCK))
+    n = asked.count()
+    blocks = max(1, math.ceil(n / QUERY_BLOCK))
     probes = (
-        asked.select("query_id", "features")
+        asked.select("query_id", "features").repartition(math.ceil(n / TASK_ROWS) or 1)
         .mapInArrow(_probe(index, k), "cell int, chunk int, query_id string, features array<double>")
         .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
     )

@@ -2,8 +2,10 @@
 
 A stratum may hold most of the table, so its rows are never ranked in one task. The
 rows are ordered by a seeded hash of their id; a histogram over the leading hash digits
-finds the bucket where the quota of each stratum ends, only that bucket is ranked, and
-what remains is a comparison of every row with the last sampled key of its stratum.
+finds the bucket where the quota of each stratum ends. The histogram is repeated inside
+that bucket until few rows are left, only those are ranked, and what remains is a
+comparison of every row with the last sampled key of its stratum. All passes read the id
+and the stratum alone, and shuffle at most a few thousand counts per stratum and task.
 """
 
 from __future__ import annotations
@@ -14,7 +16,8 @@ from pyspark.sql import functions as F
 from surveyalign.functions import fixed_values as fv
 from surveyalign.session import materialize
 
-HASH_DIGITS = 5
+HASH_STEP = 3            # hexadecimal digits per histogram, so at most 4096 counts per stratum
+RANK_ROWS = 1_000_000    # rows of a stratum that are ranked in one task
 
 
 def seeded_key(key: Column, seed: Column | int) -> Column:
@@ -28,23 +31,28 @@ def _last_sampled(rows: DataFrame, strata: list[str], key: str) -> DataFrame:
     ``rows`` has the strata, ``key``, its hash ``_hash`` and the sampling ``_ratio``.
     """
     rows = rows.where(F.col(strata[-1]).isNotNull())
-    bucket = F.substring("_hash", 1, HASH_DIGITS)
-    histogram = rows.groupBy(*strata, bucket.alias("_bucket")).agg(
-        F.count(F.lit(1)).alias("_n"), F.first("_ratio").alias("_ratio"))
-    # At most 16**HASH_DIGITS histogram rows per window, whatever the size of the table.
     per_stratum = Window.partitionBy(*strata)
-    running = F.sum("_n").over(per_stratum.orderBy("_bucket"))
     quota = F.greatest(F.lit(1), F.floor(F.sum("_n").over(per_stratum) * F.col("_ratio")))
-    cuts = (
-        histogram.select(*strata, "_bucket", "_n", running.alias("_upto"), quota.alias("_quota"))
-        .where((F.col("_upto") - F.col("_n") < F.col("_quota")) & (F.col("_upto") >= F.col("_quota")))
-        .select(*strata, "_bucket", (F.col("_quota") - F.col("_upto") + F.col("_n")).alias("_take"))
-    )
-    cuts = materialize(cuts, "sample-cuts")
+    scope, digits = rows.withColumn("_take", F.lit(None).cast("bigint")), 0
+    while True:
+        digits += HASH_STEP
+        histogram = scope.groupBy(*strata, F.substring("_hash", 1, digits).alias("_prefix")).agg(
+            F.count(F.lit(1)).alias("_n"), F.first("_ratio").alias("_ratio"), F.first("_take").alias("_take"))
+        upto = F.sum("_n").over(per_stratum.orderBy("_prefix"))
+        cuts = materialize(
+            histogram.select(*strata, "_prefix", "_n", upto.alias("_upto"),
+                             F.coalesce(F.col("_take"), quota).alias("_wanted"))
+            .where((F.col("_upto") - F.col("_n") < F.col("_wanted")) & (F.col("_upto") >= F.col("_wanted")))
+            .select(*strata, "_prefix", "_n", (F.col("_wanted") - F.col("_upto") + F.col("_n")).alias("_take")),
+            "sample-cuts")
+        scope = rows.withColumn("_prefix", F.substring("_hash", 1, digits)).join(
+            cuts.drop("_n"), [*strata, "_prefix"]).drop("_prefix")
+        largest = cuts.agg(F.max("_n")).first()[0]
+        if largest is None or largest <= RANK_ROWS or digits + HASH_STEP > 32:
+            break
     rank = F.row_number().over(per_stratum.orderBy("_hash", key))
     last = (
-        rows.withColumn("_bucket", bucket).join(cuts, [*strata, "_bucket"])
-        .select(*strata, "_hash", key, "_take", rank.alias("_rank"))
+        scope.select(*strata, "_hash", key, "_take", rank.alias("_rank"))
         .where(F.col("_rank") == F.col("_take"))
         .select(*strata, F.col("_hash").alias("_last_hash"), F.col(key).alias("_last_key"))
     )

@@ -86,6 +86,19 @@ def test_retrieval_from_a_memory_smaller_than_k(spark):
     assert [(r.rank, r.case_id) for r in found.orderBy("rank").collect()] == [(1, "c00000"), (2, "c00001")]
 
 
+def test_empty_memory_finds_nothing(spark):
+    memory = _frame(spark, [[1, 0]], "c").where("false")
+    found = R.retrieve(_frame(spark, [[1, 1]], "q"), R.build_index(memory, 8), 8).collect()
+    assert [r.neighbours for r in found] == [[]]
+
+
+def test_repeated_vectors_are_limited_before_the_shuffle(spark, sf_dir):
+    scored = st.table(spark, sf_dir, "lineitem").selectExpr("l_suppkey query_id", "l_orderkey case_id", "l_extendedprice score")
+    plan = R.topk_per_query(scored, 8)._jdf.queryExecution().executedPlan().toString()
+    limits = [line for line in plan.splitlines() if "WindowGroupLimit" in line]
+    assert len(limits) == 2 and plan.index("Partial") > plan.index("Exchange")
+
+
 def test_search_sends_queries_to_few_cells(spark, sf_dir):
     memory, encoder = R.build_memory(st.clean_2011(spark, sf_dir))
     index = R.build_index(memory, 4)

@@ -109,6 +109,14 @@ def test_split_covers_the_table_once(strata):
     assert counts[None, "pool"] == 3
 
 
+def test_refined_histograms_give_the_same_sample(strata, monkeypatch):
+    ids = lambda: sorted(r[0] for r in sampling.stratified_sample(strata, 0.3).select("case_id").collect())
+    plain = ids()
+    monkeypatch.setattr(sampling, "RANK_ROWS", 1)
+    monkeypatch.setattr(sampling, "HASH_STEP", 1)
+    assert ids() == plain
+
+
 def test_variants_equal_single_splits(strata):
     grid = sampling.fewshot_variants(strata, [0.01, 0.1], [42, 123])
     for ratio, seed in ((0.01, 123), (0.1, 42)):

@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from surveyalign.functions import codes as C
@@ -177,14 +178,16 @@ _EXAMPLE = (f"'  Profile: ' || {_AGE} || ' ' || {_SEX} || ', ' || {_EMP} || ', c
 
 @case("render_examples", f"""
 SELECT person_id, COALESCE(string_agg(CASE WHEN n <= 4 THEN 'Example ' || CAST(n AS STRING) || ':' || chr(10) || txt END, chr(10) ORDER BY n), '  (none)') AS text
-FROM (SELECT person_id, ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY trip_no) AS n, {_EXAMPLE} AS txt FROM fx_clean)
+FROM (SELECT person_id, ROW_NUMBER() OVER (PARTITION BY person_id ORDER BY trip_no, case_id) AS n, {_EXAMPLE} AS txt FROM fx_clean)
 GROUP BY person_id""")
 def _(spark, sf):
-    """The trips of each person as examples; a person has few trips."""
-    demos = st.clean(spark, sf).select("person_id", F.struct("trip_no", X.demonstration().alias("demo")).alias("d"))
-    lists = demos.groupBy("person_id").agg(F.sort_array(F.collect_list(F.struct(
-        F.col("d.trip_no").alias("trip_no"), F.to_json("d.demo").alias("json"), "d.demo"))).alias("ds"))
-    return lists.select("person_id", X.examples_text(F.transform("ds", lambda d: d["demo"]), 4).alias("text"))
+    """The first trips of each person as examples; the others are dropped before the shuffle."""
+    first = Window.partitionBy("person_id").orderBy("trip_no", "case_id")
+    trips = st.clean(spark, sf).withColumn("n", F.row_number().over(first)).where("n <= 4")
+    demos = trips.select("person_id", "n", X.demonstration().alias("demo"))
+    lists = demos.groupBy("person_id").agg(F.sort_array(F.collect_list(F.struct("n", F.struct(
+        F.to_json("demo").alias("json"), "demo").alias("d")))).alias("ds"))
+    return lists.select("person_id", X.examples_text(F.transform("ds", lambda d: d["d"]["demo"]), 4).alias("text"))
 
 
 @case("build_zero_shot_prompts", f"""
