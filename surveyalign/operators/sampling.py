@@ -78,7 +78,7 @@ def stratified_flag(
     """
     rows = df.withColumn("_hash", seeded_key(F.col(key), seed)).withColumn("_ratio", F.lit(float(ratio)))
     last = _last_sampled(rows.select(stratum, key, "_hash", "_ratio"), [stratum], key)
-    return _flag(rows, last, [stratum], key, flag).drop("_hash", "_ratio")
+    return _flag(rows, last, [stratum], key, flag).select(*df.columns, flag)
 
 
 def stratified_sample(
@@ -107,7 +107,7 @@ def split_test_pool_fewshot(
     rest = rows.where(~F.col("_test")).select(stratum, key, "_hash", "_ratio")
     flagged = _flag(rows, _last_sampled(rest, [stratum], key), [stratum], key, "_few")
     split = F.when(F.col("_test"), "test").when(F.col("_few"), "few_shot").otherwise("pool")
-    return flagged.withColumn("split", split).drop("_hash", "_ratio", "_test", "_few")
+    return flagged.select(*df.columns, split.alias("split"))
 
 
 def fewshot_variants(

@@ -4,8 +4,10 @@ from surveyalign.functions import fixed_values as fv
 from surveyalign.functions.text import prototype_label
 from surveyalign.operators import features as E
 from surveyalign.operators import prototypes as P
+from surveyalign.session import materialize
 from verification import survey_tables as st
 from verification.cases import case
+from verification.oracle_views import VIEWS
 
 _N = range(1, 9)
 
@@ -102,30 +104,46 @@ def _(spark, sf):
     return means.select("prototype_id", label.alias("semantic_label"))
 
 
-@case("prototype_summary", f"""SELECT prototype_id, 'Behavioral Group ' || CAST(prototype_id AS STRING) || ': ' || {_LABEL} || chr(10)
+_CENTERS = "(SELECT main_mode, " + ", ".join(f"avg(z{i}) AS c{i}" for i in _N) + " FROM fx_scaled WHERE survey_year = 2011 GROUP BY main_mode)"
+_DIST = " + ".join(f"(z{i} - c{i}) * (z{i} - c{i})" for i in _N)
+
+# Nearest of nine centres, the mean vectors of the modes in the first survey, and what they summarise.
+VIEWS["fx_nearest"] = f"""
+SELECT case_id, CAST(prototype_id AS INT) AS prototype_id, round(sqrt(d), 6) AS distance FROM (
+ SELECT s.case_id, ROW_NUMBER() OVER (PARTITION BY s.case_id ORDER BY round({_DIST}, 9), c.main_mode) AS rn,
+        c.rank AS prototype_id, {_DIST} AS d
+ FROM fx_scaled s CROSS JOIN (SELECT *, ROW_NUMBER() OVER (ORDER BY main_mode) - 1 AS rank FROM {_CENTERS}) c) WHERE rn = 1"""
+VIEWS["fx_proto"] = (
+    _PROTO.replace(f"GROUP BY {_CLUSTER}", "GROUP BY prototype_id").replace(f"{_CLUSTER} AS prototype_id", "prototype_id")
+    .replace("FROM fx_clean", "FROM fx_clean JOIN fx_nearest USING (case_id)"))
+_SUMMARY = f"""'Behavioral Group ' || CAST(prototype_id AS STRING) || ': ' || {_LABEL} || chr(10)
  || '  Size: ' || format('{{:,}}', n_samples) || ' historical travelers' || chr(10) || '  Mode share (2011): ' || concat_ws(', ',
- {", ".join(f"CASE WHEN mode_{m} > 0 THEN '{name}=' || printf('%.1f', mode_{m} * 100) || '%' END" for m, name in fv.MODE_LABELS.items())}) AS summary
- FROM ({_PROTO})""")
-def _(spark, sf):
-    return P.with_summary(P.summarize_prototypes(_clustered(spark, sf))).select("prototype_id", "summary")
+ {", ".join(f"CASE WHEN mode_{m} > 0 THEN '{name}=' || printf('%.1f', mode_{m} * 100) || '%' END" for m, name in fv.MODE_LABELS.items())})"""
+VIEWS["fx_summary"] = f"SELECT prototype_id, {_SUMMARY} AS summary FROM fx_proto"
 
 
-_CENTERS = "(SELECT main_mode, " + ", ".join(f"avg(z{i}) AS c{i}" for i in _N) + " FROM fx_scaled WHERE survey_year = 2011 GROUP BY main_mode)"
-_DIST = " + ".join(f"(z{i} - c{i}) * (z{i} - c{i})" for i in _N)
+def mode_mean_prototypes(spark, sf):
+    """Prototypes around the mean vectors of the modes, which SQL can state too."""
+    past = st.clean_2011(spark, sf)
+    encoder = E.TabularEncoder.fit(past)
+    encoded = encoder.transform(past)
+    means = encoded.groupBy("main_mode").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(8)]).alias("centroid"))
+    clustering = P.Clustering.from_frame(means.select(F.col("main_mode").alias("prototype_id"), "centroid"))
+    prototypes = P.summarize_prototypes(P.assign_prototype(encoded, clustering))
+    return P.PrototypeMemory(encoder, clustering, materialize(P.with_summary(prototypes), "prototypes"))
 
 
-@case("assign_prototype", f"""
-SELECT case_id, CAST(prototype_id AS INT) AS prototype_id, round(sqrt(d), 6) AS distance FROM (
- SELECT s.case_id, c.main_mode - 1 AS prototype_id, {_DIST} AS d,
-        ROW_NUMBER() OVER (PARTITION BY s.case_id ORDER BY round({_DIST}, 9), c.main_mode) AS rn
- FROM fx_scaled s CROSS JOIN {_CENTERS} c WHERE s.survey_year = 2022) WHERE rn = 1""")
+@case("prototype_summary", f"SELECT prototype_id, {_SUMMARY} AS summary FROM ({_PROTO})")
 def _(spark, sf):
-    """Nearest of nine centres: the mean vectors of the modes in the first survey."""
-    encoder = E.TabularEncoder.fit(st.clean_2011(spark, sf))
-    past = encoder.transform(st.clean_2011(spark, sf))
-    means = past.groupBy("main_mode").agg(F.array(*[F.avg(F.col("features")[i]) for i in range(8)]).alias("centroid"))
-    clustering = P.Clustering.from_frame(means.select((F.col("main_mode") - 1).alias("prototype_id"), "centroid"))
-    assigned = P.assign_prototype(encoder.transform(st.clean_2022(spark, sf)), clustering)
-    center = F.get(F.array(*[F.lit(c) for c in clustering.centers]), F.col("prototype_id"))
+    return P.with_summary(P.summarize_prototypes(_clustered(spark, sf))).select("prototype_id", "summary")
+
+
+@case("assign_prototype", """
+SELECT case_id, prototype_id, distance, summary FROM fx_nearest JOIN fx_summary USING (prototype_id) WHERE case_id LIKE '2022%'""")
+def _(spark, sf):
+    memory = mode_mean_prototypes(spark, sf)
+    assigned = P.attach_prototype(memory.encoder.transform(st.clean_2022(spark, sf)), memory)
+    center = F.get(F.array(*[F.lit(c) for c in memory.clustering.centers]), F.col("prototype_id"))
     squared = F.aggregate(F.zip_with("features", center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y)
-    return assigned.select("case_id", "prototype_id", F.round(F.sqrt(squared), 6).alias("distance"))
+    return assigned.select("case_id", "prototype_id", F.round(F.sqrt(squared), 6).alias("distance"),
+                           F.col("prototype_summary").alias("summary"))

@@ -1,5 +1,8 @@
+import re
+
 from pyspark.sql import functions as F
 
+from surveyalign.functions import fixed_values as fv
 from surveyalign.functions.responses import parse_responses
 from surveyalign.functions.vectors import argmax_class
 from surveyalign.operators import inference as I
@@ -7,6 +10,8 @@ from surveyalign.operators import models as ML
 from verification import survey_tables as st
 from verification.cases import case
 from verification.cases.retrieval import evidence, split
+from verification.cases.scalars import _AGE, _CAR, _EMP, _EXAMPLE, _INC, _JRN, _PER, _PUR, _SEX
+from verification.oracle_views import VIEWS
 
 
 def _train_test(spark, sf):
@@ -46,14 +51,46 @@ def _(spark, sf):
     return metrics.where(F.col("metric").isin("accuracy", "macro_f1", "nll", "mode_share_mae"))
 
 
-@case("build_prompts")
+VIEWS["fx_example"] = f"SELECT case_id, main_mode, {_EXAMPLE} AS txt FROM fx_clean"
+
+
+def _examples(view, n):
+    return f"""(SELECT query_id, string_agg('Example ' || CAST(rank AS STRING) || ':' || chr(10) || txt, chr(10) ORDER BY rank) AS txt
+FROM {view} JOIN fx_example USING (case_id) WHERE rank <= {n} GROUP BY query_id)"""
+
+
+def _template(text, values):
+    """The prompt text as an SQL concatenation."""
+    parts = re.split(r"\{(\w+)\}", text)
+    return " || ".join(values[p] if i % 2 else "'" + p.replace("'", "''") + "'" for i, p in enumerate(parts))
+
+
+_PROMPT = _template(fv.EVIDENCE_USER_PROMPT, {
+    "age_group": _AGE, "sex": _SEX, "employment_status": _EMP, "income_group": _INC, "car_availability": _CAR,
+    "trip_purpose": _PUR, "departure_period": _PER, "journey_time": _JRN,
+    "prototype_summary": "s.summary", "historical_examples": "h.txt", "update_examples": "f.txt"})
+
+
+@case("build_prompts", f"""
+SELECT q.case_id, {_PROMPT} AS prompt, 'system' AS first_role
+FROM fx_split q JOIN fx_nearest USING (case_id) JOIN fx_summary s USING (prototype_id)
+JOIN {_examples('fx_hist_neighbours', 3)} h ON h.query_id = q.case_id JOIN {_examples('fx_few_neighbours', 4)} f ON f.query_id = q.case_id
+WHERE q.split = 'test'""")
 def _(spark, sf):
     prompts = I.build_prompts(evidence(spark, sf))
-    return prompts.select("case_id", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
+    return prompts.select("case_id", F.col("messages")[1]["content"].alias("prompt"), F.col("messages")[0]["role"].alias("first_role"))
 
 
-@case("batch_inference")
+@case("batch_inference", """
+SELECT case_id, CAST(mode AS INT) AS predicted_mode, CAST(printf('%.3f', votes / 7) AS DOUBLE) AS confidence,
+       CAST(votes AS STRING) || ' of 7 examples' AS reasoning_brief, prototype_id, 4 AS n_hist_examples, 8 AS n_update_examples
+FROM (SELECT query_id AS case_id, main_mode AS mode, count(*) AS votes,
+             ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY count(*) DESC, main_mode) AS rn
+      FROM (SELECT * FROM fx_hist_neighbours WHERE rank <= 3 UNION ALL SELECT * FROM fx_few_neighbours WHERE rank <= 4) n
+      JOIN fx_example e ON e.case_id = n.case_id GROUP BY query_id, main_mode)
+JOIN fx_nearest USING (case_id) WHERE rn = 1""")
 def _(spark, sf):
+    """The stand-in predictor: majority of the seven examples in the prompt."""
     return I.batch_inference(I.build_prompts(evidence(spark, sf)))
 
 

@@ -4,11 +4,10 @@ from surveyalign.functions.vectors import cosine
 from surveyalign.operators import retrieval as R
 from surveyalign.operators.features import TabularEncoder
 from surveyalign.operators.inference import retrieve_evidence
-from surveyalign.operators.prototypes import build_prototypes
 from surveyalign.operators.sampling import split_test_pool_fewshot
 from verification import survey_tables as st
 from verification.cases import case
-from verification.cases.features import scaled_columns
+from verification.cases.features import mode_mean_prototypes, scaled_columns
 
 _SCALED = ", ".join(f"round(z{i}, 6) AS z{i}" for i in range(1, 9))
 
@@ -136,18 +135,21 @@ def _(spark, sf):
 
 def evidence(spark, sf):
     encoder, historical, few, test = parts(spark, sf)
-    prototypes = st._store_object(spark, sf, "prototypes", lambda: build_prototypes(st.clean_2011(spark, sf)))
-    return retrieve_evidence(test, R.build_index(historical, 4), R.build_index(few, 8), prototypes)
+    return retrieve_evidence(
+        test, R.build_index(historical, 4), R.build_index(few, 8), mode_mean_prototypes(spark, sf))
 
 
 @case("retrieve_evidence", """
-SELECT query_id, 'historical' AS memory, rank, n.case_id, score, c.main_mode FROM fx_hist_neighbours n JOIN fx_clean c ON c.case_id = n.case_id
-UNION ALL
-SELECT query_id, 'update', rank, n.case_id, score, c.main_mode FROM fx_few_neighbours n JOIN fx_clean c ON c.case_id = n.case_id""")
+SELECT query_id, memory, rank, n.case_id, score, c.main_mode, p.prototype_id
+FROM (SELECT *, 'historical' AS memory FROM fx_hist_neighbours UNION ALL SELECT *, 'update' FROM fx_few_neighbours) n
+JOIN fx_clean c ON c.case_id = n.case_id JOIN fx_nearest p ON p.case_id = query_id""")
 def _(spark, sf):
     found = evidence(spark, sf)
-    flat = lambda name: found.select(F.col("case_id").alias("query_id"), F.lit(name).alias("memory"), F.inline(name).alias(
-        "rank", "neighbour", "similarity", "score", "record"))
-    return flat("historical").unionByName(flat("update")).select(
-        "query_id", "memory", "rank", F.col("neighbour").alias("case_id"), "score",
-        F.col("record.main_mode").alias("main_mode"))
+    columns = ["case_id", "historical", "update", "prototype_id"]
+    sides = F.array(F.struct(F.lit("historical").alias("memory"), F.col("historical").alias("found")),
+                    F.struct(F.lit("update").alias("memory"), F.col("update").alias("found")))
+    flat = (
+        found.select(*columns).select(F.col("case_id").alias("query_id"), "prototype_id", F.inline(sides))
+        .select("query_id", "prototype_id", "memory", F.inline("found")))
+    return flat.select("query_id", "memory", "rank", "case_id", "score",
+                       F.col("record.main_mode").alias("main_mode"), "prototype_id")
