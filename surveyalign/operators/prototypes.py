@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -15,6 +16,9 @@ from surveyalign.functions.text import prototype_label, prototype_summary
 from surveyalign.operators.features import TabularEncoder
 from surveyalign.session import materialize
 
+TASK_ROWS = 20_000       # distinct vectors per task
+
+
 @dataclass
 class Clustering:
     centers: list[list[float]]
@@ -39,11 +43,13 @@ def kmeans(
     count as weight, which leaves the objective unchanged. The runs are independent and
     overlap. ``tol`` bounds the move of each centre, in standard deviations.
     """
-    distinct = materialize(
-        encoded.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-        .select(array_to_vector("features").alias("features"), "weight"),
-        "kmeans-input",
-    ).cache()
+    counted = materialize(
+        encoded.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias("weight")), "kmeans-input")
+    # A fixed layout of the rows makes the seeded initialisation repeatable.
+    parts = max(1, math.ceil(counted.count() / TASK_ROWS))
+    distinct = (
+        counted.repartition(parts, "features").sortWithinPartitions("features")
+        .select(array_to_vector("features").alias("features"), "weight").cache())
 
     def run(i: int) -> Clustering:
         model = KMeans(k=k, seed=seed + i, weightCol="weight", maxIter=max_iter, tol=tol).fit(distinct)
