@@ -59,7 +59,7 @@ def _raw_text(value: Column) -> Column:
     return integer_or(value, -1, "bigint").cast("string")
 
 
-def _period(df: DataFrame, survey: dict, hhmm: bool) -> Column:
+def period_or_derived(df: DataFrame, survey: dict, hhmm: bool) -> Column:
     """The official period column where the survey has one, else derived from the departure."""
     roles, year = survey["trip"], survey["year"]
     if roles["time_period"] in df.columns:
@@ -98,7 +98,7 @@ def harmonize_2011(df: DataFrame, survey: dict = fv.SURVEY_2011) -> DataFrame:
     columns = _common_columns(df, survey)
     columns["income_group"] = map_codes(
         numeric(df, survey["household"]["hh_income"]), fv.CROSSWALKS["income_group", 2011], 0)
-    columns["departure_period"] = _period(df, survey, hhmm=True)
+    columns["departure_period"] = period_or_derived(df, survey, hhmm=True)
     columns["journey_time"] = journey_or_elapsed(
         df, trip["journey_time"], trip["depart_time"], trip["arrive_time"])
     columns["origin_zone"] = _zone(df, trip["origin_zone"], "0")
@@ -113,7 +113,7 @@ def harmonize_2022(df: DataFrame, survey: dict = fv.SURVEY_2022) -> DataFrame:
     trip = survey["trip"]
     columns = _common_columns(df, survey)
     columns["income_group"] = F.lit(0)
-    columns["departure_period"] = _period(df, survey, hhmm=False)
+    columns["departure_period"] = period_or_derived(df, survey, hhmm=False)
     columns["journey_time"] = numeric(df, trip["journey_time"]).cast("double")
     columns["origin_zone"] = _zone(df, trip["origin_zone"], "")
     columns["destination_zone"] = _zone(df, trip["dest_zone"], "")

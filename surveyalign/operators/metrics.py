@@ -222,7 +222,7 @@ def _metric_name(prefix: str, code: Column) -> Column:
     return F.concat(F.lit(prefix), label)
 
 
-def _unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
+def unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     rows = F.array(*[
         F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics])
     return df.select(*keys, F.inline(rows))
@@ -230,7 +230,7 @@ def _unpivot(df: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
 
 def evaluate_micro(cube: DataFrame, keys: list[str] = []) -> DataFrame:
     """(keys, metric, value): accuracy, F1 averages, precision, recall and F1 per true label."""
-    averages = _unpivot(micro_metrics(cube, keys), keys, ["accuracy", "macro_f1", "weighted_f1"])
+    averages = unpivot(micro_metrics(cube, keys), keys, ["accuracy", "macro_f1", "weighted_f1"])
     rows = F.array(*[
         F.struct(_metric_name(f"{m}_", F.col("label")).alias("metric"), F.col(m).alias("value"))
         for m in ("precision", "recall", "f1")])
@@ -245,7 +245,7 @@ def evaluate_macro(cube: DataFrame, keys: list[str] = []) -> DataFrame:
     rows = F.array(*[
         F.struct(_metric_name(f"{m}_", F.col("mode")).alias("metric"), F.col(m).alias("value"))
         for m in ("share_gap", "true_share", "pred_share")])
-    return _unpivot(macro, keys, ["mode_share_mae", "mode_share_js"]).unionByName(
+    return unpivot(macro, keys, ["mode_share_mae", "mode_share_js"]).unionByName(
         gaps.select(*keys, F.inline(rows)))
 
 
@@ -257,7 +257,7 @@ def evaluate_predictions(
     result = evaluate_micro(cube, keys)
     if proba:
         scored = probability_metrics(df, keys, classes, proba)
-        result = result.unionByName(_unpivot(scored, keys, ["nll", "brier_score"]))
+        result = result.unionByName(unpivot(scored, keys, ["nll", "brier_score"]))
     return result
 
 
@@ -280,7 +280,7 @@ def evaluate_all(
     metrics = (
         evaluate_micro(valid, keys)
         .unionByName(evaluate_macro(valid, keys))
-        .unionByName(_unpivot(totals, keys, ["n_total", "n_valid"]))
+        .unionByName(unpivot(totals, keys, ["n_total", "n_valid"]))
     )
     return metrics, subgroup_macro(valid, subgroups, keys)
 

@@ -161,5 +161,5 @@ def baseline_grid(
     cube = materialize(metrics.confusion_cube(predictions, keys), "cube")
     micro = metrics.evaluate_micro(cube, keys)
     macro = metrics.evaluate_macro(cube, keys)
-    proba = metrics._unpivot(metrics.probability_metrics(predictions, keys), keys, ["nll", "brier_score"])
+    proba = metrics.unpivot(metrics.probability_metrics(predictions, keys), keys, ["nll", "brier_score"])
     return predictions, micro.unionByName(macro).unionByName(proba)

@@ -6,6 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,6 +30,13 @@ def build_session(app_name: str = "surveyalign", master: str | None = None, **co
     return builder.getOrCreate()
 
 
+@cache
+def _local_root() -> str:
+    root = tempfile.mkdtemp(prefix="surveyalign-")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
+    return root
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A new path under the folder that ``spark.checkpoint.dir`` names.
 
@@ -39,9 +47,7 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     if not root:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
-        root = tempfile.mkdtemp(prefix="surveyalign-")
-        atexit.register(shutil.rmtree, root, ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
+        root = _local_root()
     return f"{root.rstrip('/')}/surveyalign/{name}-{uuid.uuid4().hex}"
 
 

@@ -47,7 +47,7 @@ def load_all_metrics(spark: SparkSession, path: str) -> DataFrame:
 
     The keys of different files may differ; a file that is no JSON object is left out.
     """
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     parsed = text.select(
         _run_stem(_file_path()).alias("source_file"),
         F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").alias("object"))
@@ -60,6 +60,6 @@ def load_all_metrics(spark: SparkSession, path: str) -> DataFrame:
 
 def unreadable_metrics(spark: SparkSession, path: str) -> DataFrame:
     """The files ``load_all_metrics`` leaves out."""
-    text = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(path)
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     bad = F.try_variant_get(F.try_parse_json("value"), "$", "map<string,variant>").isNull()
     return text.where(bad).select(_run_stem(_file_path()).alias("source_file"))

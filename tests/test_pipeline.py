@@ -198,3 +198,45 @@ def test_empty_share_table(spark):
 def test_fast_path_of_zone_lookup_is_broadcast_by_size(spark, sf_dir):
     plan = joins.load_joined_2011(st.tables_2011(spark, sf_dir))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+# ---- Scale ----------------------------------------------------------------------------
+
+def test_shared_folder_is_required_on_a_cluster():
+    from types import SimpleNamespace
+
+    def session(master):
+        return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master))
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(session("spark://host:7077"), "t")
+    assert shared_dir(session("local[2]"), "t") != shared_dir(session("local[2]"), "t")
+
+
+def test_hot_household_is_split_at_run_time(spark):
+    """A third of all trips belongs to one household and no side may be broadcast."""
+    small = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+             "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+             "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+             "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20KB"}
+    before = {key: spark.conf.get(key, None) for key in small}
+    trips = spark.range(120_000, numPartitions=8).select(
+        F.when(F.col("id") % 3 == 0, 1).otherwise(F.col("id")).alias("q_no"), F.sha1(F.col("id").cast("string")).alias("v"))
+    households = spark.range(120_000).select(F.col("id").alias("q_no"), (F.col("id") % 5).alias("a3"))
+    try:
+        for key, value in small.items():
+            spark.conf.set(key, value)
+        joined = joins.join_household(trips, households, "q_no")
+        assert joined.where("q_no = 1 and a3 = 1").count() == 40_001
+        rows = joined.collect()
+        assert len(rows) == 120_000
+        assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def test_sample_plan_ranks_no_whole_stratum(spark, sf_dir):
+    flagged = sampling.stratified_flag(st.clean_2022(spark, sf_dir), 0.2, "main_mode", 42)
+    plan = flagged._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Exchange hashpartitioning" not in plan

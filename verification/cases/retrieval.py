@@ -13,7 +13,7 @@ _SCALED = ", ".join(f"round(z{i}, 6) AS z{i}" for i in range(1, 9))
 
 
 def split(spark, sf):
-    return st._store(spark, sf, "split", lambda: split_test_pool_fewshot(st.clean_2022(spark, sf), fewshot_ratio=0.05))
+    return st.stored(spark, sf, "split", lambda: split_test_pool_fewshot(st.clean_2022(spark, sf), fewshot_ratio=0.05))
 
 
 def parts(spark, sf):

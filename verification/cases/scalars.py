@@ -117,7 +117,7 @@ def _(spark, sf):
     """Without the official period column the period follows from the departure time."""
     trips = st.tables_2011(spark, sf)["trip"].drop("TiPer")
     keys = H.key_columns(trips, fv.SURVEY_2011)
-    return trips.select(keys["case_id"].alias("case_id"), H._period(trips, fv.SURVEY_2011, hhmm=True).alias("departure_period"))
+    return trips.select(keys["case_id"].alias("case_id"), H.period_or_derived(trips, fv.SURVEY_2011, hhmm=True).alias("departure_period"))
 
 
 @case("fallback_by_data", f"""

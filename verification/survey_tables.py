@@ -5,8 +5,6 @@ customer -> household, orders -> member, lineitem -> trip, nation -> zone lookup
 
 from __future__ import annotations
 
-import datetime
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -26,19 +24,19 @@ RUN_KEYS = ["model", "fewshot_ratio", "seed"]
 _stored: dict[tuple[str, str, str], object] = {}
 
 
-def _store_object(spark, sf_dir, name, build):
+def stored_object(spark, sf_dir, name, build):
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _stored:
         _stored[key] = build()
     return _stored[key]
 
 
-def _store(spark, sf_dir, name, build) -> DataFrame:
-    return _store_object(spark, sf_dir, name, lambda: materialize(build(), name))
+def stored(spark, sf_dir, name, build) -> DataFrame:
+    return stored_object(spark, sf_dir, name, lambda: materialize(build(), name))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return _store_object(spark, sf_dir, f"table {name}", lambda: read_table(spark, f"{sf_dir}/{name}.parquet"))
+    return stored_object(spark, sf_dir, f"table {name}", lambda: read_table(spark, f"{sf_dir}/{name}.parquet"))
 
 
 def _null_if(condition: Column, value: Column) -> Column:
@@ -73,7 +71,7 @@ def trip(spark, sf_dir) -> DataFrame:
     numbering = Window.partitionBy("l_orderkey").orderBy(
         "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
     pk, sk = F.col("l_partkey"), F.col("l_suppkey")
-    boundary = F.lit(datetime.datetime(1998, 6, 1)).cast("timestamp_ntz").cast(orders.schema["o_orderdate"].dataType)
+    boundary = F.expr("TIMESTAMP_NTZ '1998-06-01 00:00:00'").cast(orders.schema["o_orderdate"].dataType)
     mode = F.when(sk % 13 == 0, 999).when(sk % 13 == 11, 99).when(sk % 13 != 12, (sk % 13).cast("int"))
     return rows.select(
         F.col("o_custkey").alias("q_no"), F.col("l_orderkey").alias("mem"),
@@ -143,7 +141,7 @@ def clean_lazy(spark, sf_dir) -> DataFrame:
 
 def clean(spark, sf_dir) -> DataFrame:
     """The cleaned canonical table, preprocessed once per session and then read as a table."""
-    return _store(spark, sf_dir, "clean", lambda: clean_lazy(spark, sf_dir))
+    return stored(spark, sf_dir, "clean", lambda: clean_lazy(spark, sf_dir))
 
 
 def clean_2011(spark, sf_dir) -> DataFrame:
