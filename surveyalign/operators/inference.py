@@ -15,7 +15,7 @@ from surveyalign.functions import fixed_values as fv
 from surveyalign.functions.responses import parse_responses
 from surveyalign.functions.text import context, demonstration, evidence_messages, profile_messages
 from surveyalign.operators.prototypes import PrototypeMemory, attach_prototype
-from surveyalign.operators.retrieval import RetrievalIndex, retrieve
+from surveyalign.operators.retrieval import RetrievalIndex, retrieve_all
 
 Predictor = Callable[[list[str]], list[str]]
 
@@ -32,17 +32,15 @@ def retrieve_evidence(
     Adds the arrays ``historical`` and ``update`` of neighbours and the prototype columns.
     A memory that is not given leaves its array empty.
     """
-    empty = "array<struct<rank:int,case_id:string,similarity:double,score:double,record:struct<>>>"
-    for index, k, name in ((historical, top_k // 2, "historical"), (fewshot, top_k, "update")):
-        if index is None:
-            other = fewshot or historical
-            if other is None:
-                raise ValueError("no memory to retrieve from")
-            record = other.candidates.schema["record"].dataType.simpleString()
-            queries = queries.withColumn(name, F.array().cast(empty.replace("struct<>", record)))
-        else:
-            queries = retrieve(queries, index, k, name)
-    return attach_prototype(queries, prototypes)
+    searches = {"historical": (historical, top_k // 2), "update": (fewshot, top_k)}
+    given = {name: (index, k) for name, (index, k) in searches.items() if index is not None}
+    if not given:
+        raise ValueError("no memory to retrieve from")
+    found = retrieve_all(queries, given)
+    for name in searches:
+        if name not in given:
+            found = found.withColumn(name, F.array().cast(found.schema[next(iter(given))].dataType))
+    return attach_prototype(found, prototypes)
 
 
 def build_prompts(evidence: DataFrame, max_historical: int = 3, max_update: int = 4) -> DataFrame:

@@ -272,15 +272,18 @@ def _match(k: int):
     return run
 
 
-def neighbours(queries: DataFrame, index: RetrievalIndex, k: int, key: str = "case_id") -> DataFrame:
-    """Per distinct query vector: (features, neighbours), best first, at most k.
+def distinct_queries(queries: DataFrame, key: str = "case_id") -> DataFrame:
+    """One row per query vector, named after its smallest key."""
+    return materialize(queries.groupBy("features").agg(F.min(key).alias("query_id")), "queries")
+
+
+def neighbours(asked: DataFrame, index: RetrievalIndex, k: int) -> DataFrame:
+    """(query_id, neighbours) of distinct query vectors: at most k each, best first.
 
     A neighbour is a struct (rank, case_id, similarity, score, record).
     """
     if k > index.k:
         raise ValueError(f"the index keeps {index.k} rows per vector, {k} were asked for")
-    asked = materialize(
-        queries.groupBy("features").agg(F.min(key).alias("query_id")), "queries")
     n = asked.count()
     blocks = max(1, math.ceil(n / QUERY_BLOCK))
     probes = (
@@ -296,18 +299,34 @@ def neighbours(queries: DataFrame, index: RetrievalIndex, k: int, key: str = "ca
     best = topk_per_query(local, k, key="rep_id").drop("rank")
     rows = best.join(index.candidates.select("rep_id", "key", "record"), "rep_id")
     ranked = topk_per_query(rows, k, key="key")
-    lists = ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
+    return ranked.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct(
         "rank", F.col("key").alias("case_id"), "similarity", "score", "record"))).alias("neighbours"))
-    return asked.join(lists, "query_id", "left").select("features", "neighbours")
+
+
+def retrieve_all(
+    queries: DataFrame, searches: dict[str, tuple[RetrievalIndex, int]], key: str = "case_id"
+) -> DataFrame:
+    """``queries`` (with ``features``) plus one array of neighbours per search {column: (index, k)}.
+
+    The results of all searches meet on the distinct vectors, so the query table itself is
+    joined once, however many memories are searched.
+    """
+    asked = distinct_queries(queries, key)
+    found = asked
+    for output, (index, k) in searches.items():
+        lists = neighbours(asked, index, k).withColumnRenamed("neighbours", output)
+        found = found.join(lists, "query_id", "left")
+    found = materialize(found.drop("query_id"), "neighbours")
+    arrays = {
+        output: F.coalesce(F.col(output), F.array().cast(found.schema[output].dataType)) for output in searches}
+    return queries.join(found, "features", "left").withColumns(arrays)
 
 
 def retrieve(
     queries: DataFrame, index: RetrievalIndex, k: int, output: str = "neighbours", key: str = "case_id"
 ) -> DataFrame:
-    """``queries`` (with ``features``) plus an array of their k best stored trips."""
-    found = materialize(neighbours(queries, index, k, key), "neighbours")
-    return queries.join(found.withColumnRenamed("neighbours", output), "features", "left").withColumn(
-        output, F.coalesce(F.col(output), F.array().cast(found.schema["neighbours"].dataType)))
+    """``queries`` plus an array of their k best stored trips."""
+    return retrieve_all(queries, {output: (index, k)}, key)
 
 
 def retrieve_topk(queries: DataFrame, index: RetrievalIndex, k: int, key: str = "case_id") -> DataFrame:

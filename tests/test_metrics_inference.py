@@ -153,6 +153,19 @@ def test_evidence_run(spark, sf_dir):
     assert values["accuracy"] == pytest.approx(hits / 40)
 
 
+def test_evidence_from_one_memory_only(spark, sf_dir):
+    from surveyalign.operators.retrieval import build_index, build_memory
+
+    memory, encoder = build_memory(st.clean_2011(spark, sf_dir))
+    queries = encoder.transform(st.clean_2022(spark, sf_dir).limit(5))
+    row = inference.retrieve_evidence(queries, fewshot=build_index(memory, 8)).first()
+    assert (row.historical, len(row.update), row.prototype_id, row.prototype_summary) == ([], 8, -1, "")
+    text = inference.build_prompts(inference.retrieve_evidence(queries, fewshot=build_index(memory, 8))).first().messages[1].content
+    assert "(not available)" in text and "  (none)" in text and "Example 4:" in text and "Example 5:" not in text
+    with pytest.raises(ValueError):
+        inference.retrieve_evidence(queries)
+
+
 # ---- Models ---------------------------------------------------------------------------
 
 @pytest.fixture(scope="module")
