@@ -49,3 +49,28 @@ def op2_quality_rules(spark, sf_dir):
 
     judged = apply_policy(ledger(documents(spark, sf_dir)))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "fail_bits")
+
+
+@query("op5_packing")
+def op5_packing(spark, sf_dir):
+    """All documents packed by concatenation and cutting."""
+    import public_tokenizers
+
+    from surveyalign.llm.packing import pack
+
+    pieces = pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("piece_ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("op10_byte_bpe")
+def op10_byte_bpe(spark, sf_dir):
+    """All documents encoded and decoded again."""
+    import public_tokenizers
+
+    from surveyalign.llm.bpe import decode, encode
+
+    file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
+    coded = decode(encode(documents(spark, sf_dir), file, pattern), file, pattern)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
