@@ -7,7 +7,6 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from surveyalign.session import materialize  # noqa: F401  (re-exported to the operators)
 
@@ -74,20 +73,35 @@ def slices(batch: pa.RecordBatch, text_column: str, limit: int = CHUNK_BYTES) ->
         first = last
 
 
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+_PART = 1 << 17
+_POWER, _INVERSE = _powers(_BASE, _PART), _powers(_BASE_INVERSE, _PART)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of every byte span, from one prefix sum over the buffer."""
-    if len(starts) == 0:
-        return np.zeros(0, np.uint64)
-    n = len(data)
-    power = np.full(n, _BASE, np.uint64)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_BYTE_CODE[data] * power, out=total[1:])
-    inverse = np.full(n, _BASE_INVERSE, np.uint64)
-    inverse[0] = 1
-    np.multiply.accumulate(inverse, out=inverse)
-    return mix((total[ends] - total[starts]) * inverse[np.minimum(starts, n - 1)] + (ends - starts).astype(np.uint64))
+    """64-bit hash of every byte span; spans are in order and do not overlap.
+
+    One prefix sum of byte codes times powers of an odd base per 128 KB of text, so the memory
+    does not grow with the text unless one span does.
+    """
+    out = np.empty(len(starts), np.uint64)
+    i = 0
+    while i < len(starts):
+        origin = starts[i]
+        j = max(int(np.searchsorted(ends, origin + _PART, side="right")), i + 1)
+        low, high = starts[i:j] - origin, ends[i:j] - origin
+        n = int(high[-1])
+        power, inverse = (_POWER[:n], _INVERSE) if n <= _PART else (_powers(_BASE, n), _powers(_BASE_INVERSE, n))
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(_BYTE_CODE[data[origin:origin + n]] * power, out=total[1:])
+        out[i:j] = (total[high] - total[low]) * inverse[np.minimum(low, n - 1)] + (high - low).astype(np.uint64)
+        i = j
+    return mix(out)
 
 
 def word_spans(data: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -140,8 +154,3 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
 
 def binary(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
-
-
-def with_all_ids(df: DataFrame, result: DataFrame, id_col: str) -> DataFrame:
-    """Left join of the ids of ``df`` with ``result``, null-safe."""
-    return df.select(id_col).join(result, F.col(id_col).eqNullSafe(result[id_col]), "left")
