@@ -8,6 +8,7 @@ boundary record on either side. Only the last sequence has padding.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,32 +28,56 @@ END_ID = 2
 #: Tokenised words that one worker remembers; the memory is emptied when full.
 REMEMBERED = 300_000
 
+#: Letters below this code point keep their category under NFC and lower case.
+PLAIN_BELOW = "\u0130"
+
+#: A letter before an ASCII mark: always the end of a pre-token.
+BEFORE_MARK = re.compile(r"([A-Za-zÀ-ÖØ-öø-į])(?=[!-/:-@\[-`{-~])")
+
 
 class WordTokenizer:
     """Ids of whole texts from a tokenizer file whose pre-tokens never cross a blank or line end.
 
-    Texts are cut at blanks and line ends, every distinct word is tokenised once, and the ids are
-    put together again; the result is that of tokenising the whole text at once.
+    Texts are cut at blanks, line ends and between a letter and a following mark, where that
+    tokenizer always cuts too; every distinct word is tokenised once, and the ids are put
+    together again. A word of plain letters is a single pre-token and goes straight to the
+    file's merge model in lower case; anything else passes the whole tokenizer.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
-        self.known: dict[str, np.ndarray] = {}
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        split = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
+        self.model = self.inner.model
+        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.known: dict[str, bytes] = {}
+
+    def word(self, word: str) -> bytes:
+        if not word:
+            return b""
+        if not (word.isalpha() and max(word) < PLAIN_BELOW):
+            return np.array(self.inner.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        low = word.lower()
+        if low != word and low in self.known:
+            return self.known[low]
+        piece = low if low.isascii() else self.byte_level.pre_tokenize_str(low)[0][0]
+        ids = np.array([t.id for t in self.model.tokenize(piece)], np.uint32).tobytes()
+        if low != word:
+            self.known[low] = ids
+        return ids
+
+    def __call__(self, texts: list[str]) -> list[bytes]:
+        split = [BEFORE_MARK.sub(r"\1 ", t).replace("\n", " ").split(" ") if t else [] for t in texts]
         new = {w for words in split for w in words}.difference(self.known)
         if len(self.known) + len(new) > REMEMBERED:
             self.known.clear()
             new = {w for words in split for w in words}
-        new = list(new)
-        for word, found in zip(new, self.inner.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = np.array(found.ids, np.uint32).tobytes()
+        for word in new:
+            self.known[word] = self.word(word)
         get = self.known.__getitem__
-        return [np.frombuffer(b"".join(map(get, words)), np.uint32) for words in split]
+        return [b"".join(map(get, words)) for words in split]
 
 
 @lru_cache(maxsize=2)
@@ -74,7 +99,7 @@ def tokenize(docs: DataFrame, tokenizer_file: str, end_id: int = END_ID, id_col:
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             for rows in slices(batch, "text", 1 << 20):
-                ids = [x.astype("<u4").tobytes() + end for x in tokens(rows.column("text").to_pylist())]
+                ids = [x + end for x in tokens(rows.column("text").to_pylist())]
                 n = np.array([len(x) // 4 for x in ids], np.int64)
                 starts = at + np.cumsum(n) - n
                 at += int(n.sum())
@@ -91,10 +116,11 @@ def global_offsets(tokens: DataFrame) -> DataFrame:
     """Adds ``at``, the start of every document in the stream, from the totals of the partitions.
 
     The totals are one row per partition of pass 1; their running sum is the only ordered step.
+    They are written, so that Spark knows their size and leaves the tokens where they are.
     """
     totals = tokens.groupBy("part").agg(F.max(F.col("part_start") + F.col("n_tokens")).alias("total"))
     before = totals.select("part", (F.sum("total").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("total")).alias("base"))
-    return tokens.join(before, "part").withColumn("at", F.col("base") + F.col("part_start")).drop("base", "part", "part_start")
+    return tokens.join(materialize(before, "bases"), "part").withColumn("at", F.col("base") + F.col("part_start")).drop("base", "part", "part_start")
 
 
 def cut(placed: DataFrame, size: int = SEQUENCE) -> DataFrame:
