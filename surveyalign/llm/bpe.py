@@ -7,10 +7,10 @@ merged by a heap over a doubly linked list of byte pieces, lowest rank first, le
 from __future__ import annotations
 
 import base64
-import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -70,89 +70,100 @@ class PerfectHash:
         return self.values[slot] if self.keys[slot] == key else None
 
 
-class Codec:
-    """Encoder and decoder of one rank file."""
+def read_ranks(path: str) -> tuple[list[bytes], list[int]]:
+    with open(path, "rb") as file:
+        pairs = [line.split() for line in file if line.strip()]
+    return [base64.b64decode(a) for a, _ in pairs], [int(b) for _, b in pairs]
+
+
+class Encoder:
+    """Encoder of one rank file."""
 
     def __init__(self, path: str, pattern: str):
         import regex
 
-        with open(path, "rb") as file:
-            pairs = [line.split() for line in file if line.strip()]
-        keys, values = [base64.b64decode(a) for a, _ in pairs], [int(b) for _, b in pairs]
+        keys, values = read_ranks(path)
         self.whole = PerfectHash(keys, values)
         self.ranks = dict(zip(keys, values))
-        self.pieces = dict(zip(values, keys))
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, tuple[int, ...]] = {}
-
-    def merge(self, piece: bytes) -> tuple[int, ...]:
-        """Ids of a pre-token outside the vocabulary."""
-        n = len(piece)
-        end = list(range(1, n + 1))
-        after = list(range(1, n + 1))
-        before = list(range(-1, n - 1))
-        live = [True] * n
-        ranks = self.ranks
-        heap = []
-        for i in range(n - 1):
-            rank = ranks.get(piece[i:i + 2])
-            if rank is not None:
-                heap.append((rank, i, i + 2))
-        heapq.heapify(heap)
+        self.known: dict[str, bytes] = {}
+
+    def merge(self, piece: bytes) -> list[int]:
+        """Ids of a pre-token outside the vocabulary.
+
+        ``after`` and ``before`` link the live parts by their first byte; ``due[i]`` is the rank
+        of the pair that part i begins, and a heap entry that differs from it is out of date.
+        Entries order by rank, then by place, in one integer.
+        """
+        n, get = len(piece), self.ranks.get
+        shift = n.bit_length()
+        low = (1 << shift) - 1
+        after, before = list(range(1, n + 2)), list(range(-1, n))
+        due = [get(piece[i:i + 2], -1) for i in range(n - 1)] + [-1]
+        heap = [due[i] << shift | i for i in range(n - 1) if due[i] >= 0]
+        heapify(heap)
         while heap:
-            _, i, stop = heapq.heappop(heap)
-            if not live[i]:
+            entry = heappop(heap)
+            i = entry & low
+            if due[i] != entry >> shift:
                 continue
             j = after[i]
-            if j >= n or end[j] != stop:
-                continue
-            end[i] = stop
-            live[j] = False
-            k = after[i] = after[j]
-            if k < n:
-                before[k] = i
-                rank = ranks.get(piece[i:end[k]])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, i, end[k]))
+            k = after[j]
+            due[j] = -1
+            after[i] = k
+            before[k] = i
+            due[i] = rank = get(piece[i:after[k]], -1) if k < n else -1
+            if rank >= 0:
+                heappush(heap, rank << shift | i)
             h = before[i]
             if h >= 0:
-                rank = ranks.get(piece[h:stop])
-                if rank is not None:
-                    heapq.heappush(heap, (rank, h, stop))
+                due[h] = rank = get(piece[h:k], -1)
+                if rank >= 0:
+                    heappush(heap, rank << shift | h)
         ids, i = [], 0
         while i < n:
-            ids.append(ranks[piece[i:end[i]]])
+            ids.append(self.ranks[piece[i:after[i]]])
             i = after[i]
-        return tuple(ids)
+        return ids
 
-    def encode_piece(self, piece: str) -> tuple[int, ...]:
+    def encode_piece(self, piece: str) -> bytes:
         raw = piece.encode()
         whole = self.whole.get(raw)
-        return (whole,) if whole is not None else self.merge(raw)
+        return array("i", [whole] if whole is not None else self.merge(raw)).tobytes()
 
-    def encode(self, text: str) -> list[int]:
+    def encode(self, text: str) -> np.ndarray:
         known = self.known
         pieces = self.split(text)
-        for piece in set(pieces).difference(known):
-            if len(known) >= REMEMBERED:
-                known.clear()
-                return self._encode_slowly(pieces)
+        new = set(pieces).difference(known)
+        if len(known) + len(new) > REMEMBERED:
+            known.clear()
+            new = set(pieces)
+        for piece in new:
             known[piece] = self.encode_piece(piece)
-        return list(chain.from_iterable(map(known.__getitem__, pieces)))
+        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+
 
-    def _encode_slowly(self, pieces: list[str]) -> list[int]:
-        """The memory was emptied half way through a text."""
-        here = {piece: self.encode_piece(piece) for piece in set(pieces)}
-        return list(chain.from_iterable(map(here.__getitem__, pieces)))
+class Decoder:
+    """Bytes of ids, by table."""
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.pieces.__getitem__, ids))
+    def __init__(self, path: str):
+        keys, values = read_ranks(path)
+        self.pieces = np.empty(max(values, default=-1) + 1, object)
+        self.pieces[values] = keys
+
+    def decode(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.pieces[ids])
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str, pattern: str) -> Encoder:
+    """One per worker process, built from the rank file there, so nothing is broadcast."""
+    return Encoder(path, pattern)
 
 
 @lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    """One codec per worker process; built from the rank file there, so nothing is broadcast."""
-    return Codec(path, pattern)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
 
 
 def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -164,10 +175,10 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(rank_file, pattern)
+        own = encoder(rank_file, pattern)
         for batch in batches:
-            for part in slices(batch, "text"):
-                coded = [np.array(own.encode(t), np.int32) if t else np.zeros(0, np.int32) for t in part.column("text").to_pylist()]
+            for part in slices(batch, "text", 1 << 20):
+                coded = [own.encode(t or "") for t in part.column("text").to_pylist()]
                 at = np.concatenate([[0], np.cumsum([len(c) for c in coded])]).astype(np.int32)
                 flat = np.concatenate(coded) if coded else np.zeros(0, np.int32)
                 yield pa.record_batch([part.column("id"), pa.ListArray.from_arrays(pa.array(at), pa.array(flat, pa.int32()))], ["id", "ids"])
@@ -176,7 +187,7 @@ def encode(docs: DataFrame, rank_file: str, pattern: str, id_col: str = "doc_id"
     return source.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-def decode(coded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
+def decode(coded: DataFrame, rank_file: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """Adds the bytes of every id list as ``out_col``, replacing a column of that name. Null ids give null bytes."""
     names = [c for c in coded.columns if c != out_col]
     where = names.index(ids_col)
@@ -184,9 +195,9 @@ def decode(coded: DataFrame, rank_file: str, pattern: str, ids_col: str = "ids",
     source = coded.select(*names).toDF(*inner)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = codec(rank_file, pattern)
+        own = decoder(rank_file)
         for batch in batches:
-            raw = [None if ids is None else own.decode(ids) for ids in batch.column(where).to_pylist()]
+            raw = [own.decode(ids.values.to_numpy()) if ids.is_valid else None for ids in batch.column(where)]
             yield pa.record_batch([*batch.columns, pa.array(raw, pa.binary())], [*inner, "out"])
 
     return source.mapInArrow(run, T.StructType([*source.schema.fields, T.StructField("out", T.BinaryType())])).toDF(*names, out_col)

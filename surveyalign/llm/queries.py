@@ -70,7 +70,7 @@ def op10_byte_bpe(spark, sf_dir):
     from surveyalign.llm.bpe import decode, encode
 
     file, pattern = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
-    coded = decode(encode(documents(spark, sf_dir), file, pattern), file, pattern)
+    coded = decode(encode(documents(spark, sf_dir), file, pattern), file)
     return coded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
