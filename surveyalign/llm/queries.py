@@ -111,3 +111,12 @@ def op1_minhash_near_dedup(spark, sf_dir):
     from surveyalign.llm.minhash import near_duplicates
 
     return near_duplicates(documents(spark, sf_dir), size=3, percent=85)
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark, sf_dir):
+    """Lines of all documents that are, or are within two edits of, an earlier line, removed."""
+    from surveyalign.llm.lines import remove_repeated_lines
+
+    kept = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
