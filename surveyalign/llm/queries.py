@@ -120,3 +120,53 @@ def op7_line_dedup(spark, sf_dir):
 
     kept = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+_VECTOR_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+  AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT x.vec_id AS a, y.vec_id AS b FROM v x JOIN v y ON x.label = y.label AND len(x.e) = len(y.e) AND x.vec_id <> y.vec_id
+  WHERE list_inner_product(x.e, y.e) / sqrt(list_inner_product(x.e, x.e)) / sqrt(list_inner_product(y.e, y.e)) >= 0.93),
+r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, l.b FROM r JOIN l ON l.a = r.b)
+SELECT vec_id, coalesce(n, 0) AS n_links, m AS component_id, m = vec_id AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM l GROUP BY a) c ON c.a = vec_id JOIN (SELECT a, min(b) AS m FROM r GROUP BY a) k ON k.a = vec_id"""
+
+
+@query("op3_embedding_near_dedup", _VECTOR_SQL)
+def op3_embedding_near_dedup(spark, sf_dir):
+    """Links and classes of all vectors, cosine 0.93 within a label."""
+    from surveyalign.llm.embeddings import near_duplicate_vectors
+
+    return near_duplicate_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), threshold=0.93)
+
+
+def _licence_sql() -> str:
+    """The scan in SQL: the same fixed values, written out as rows."""
+    from surveyalign.llm.licence_texts import EQUIVALENT_SPELLINGS, LICENCE_TEXTS
+
+    def quoted(text):
+        return "'" + text.replace("'", "''") + "'"
+
+    form = "lower(l)"
+    for spelling, common in EQUIVALENT_SPELLINGS.items():
+        form = f"replace({form}, {quoted(spelling)}, {quoted(common)})"
+    form = f"trim(regexp_replace({form}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+    canonical = f"""list_filter(list_transform(string_split(text, chr(10)), lambda l: CASE WHEN regexp_matches(lower(l),
+  '^[^\\p{{L}}\\p{{N}}(]*(copyright|\\(c\\)|©|all rights reserved)') THEN '' ELSE {form} END), lambda l: l <> '')"""
+    rows = ", ".join(f"({quoted(name)}, {quoted(text)})" for name, texts in LICENCE_TEXTS.items() for text in texts)
+    return f"""
+WITH known AS (SELECT array_to_string({canonical}, ' ') AS form, min(licence) AS licence FROM (VALUES {rows}) t(licence, text) GROUP BY 1),
+d AS (SELECT doc_id, coalesce({canonical}, []) AS lines FROM documents),
+n AS (SELECT doc_id, array_to_string(list_sort(list(DISTINCT licence)), ',') AS notices, count(*) AS n_notices
+  FROM (SELECT doc_id, unnest(lines) AS form FROM d) JOIN known USING (form) GROUP BY doc_id)
+SELECT doc_id, licence, coalesce(notices, '') AS notices, coalesce(n_notices, 0) AS n_notices
+FROM d LEFT JOIN known ON known.form = array_to_string(lines, ' ') AND len(lines) > 0 LEFT JOIN n USING (doc_id)"""
+
+
+@query("op6_license_scan", _licence_sql())
+def op6_license_scan(spark, sf_dir):
+    """Licences of all whole documents and of their lines."""
+    from surveyalign.llm.licences import scan_licences
+
+    found = scan_licences(documents(spark, sf_dir))
+    return found.withColumn("notices", F.array_join("notices", ","))
