@@ -170,3 +170,21 @@ def op6_license_scan(spark, sf_dir):
 
     found = scan_licences(documents(spark, sf_dir))
     return found.withColumn("notices", F.array_join("notices", ","))
+
+
+@query("op8_html_extraction")
+def op8_html_extraction(spark, sf_dir):
+    """Main text of all pages."""
+    from surveyalign.llm.html_text import extract_main_text, sample_words, train
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = extract_main_text(pages, train(sample_words(pages, "page_id", "html")))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op4_lm_scoring")
+def op4_lm_scoring(spark, sf_dir):
+    """Scores of all documents under the log-bilinear model and the smoothed unigrams."""
+    from surveyalign.llm.language_model import score_documents
+
+    return score_documents(documents(spark, sf_dir))
