@@ -9,6 +9,7 @@ boundary record on either side. Only the last sequence has padding.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -26,10 +27,13 @@ SEQUENCE = 4096
 END_ID = 2
 
 #: Tokenised words that one worker remembers; the memory is emptied when full.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
-#: Letters below this code point keep their category under NFC and lower case.
-PLAIN_BELOW = "\u0130"
+#: Words of letters that stay letters, one for one, under NFC and lower case.
+PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įªµº]+").fullmatch
+
+#: The letters that byte-level tokenizers write for bytes that are not printable in Latin-1.
+BYTE_LETTERS = {b: 256 + k for k, b in enumerate(b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174))}
 
 #: A letter before an ASCII mark: always the end of a pre-token.
 BEFORE_MARK = re.compile(r"([A-Za-zÀ-ÖØ-öø-į])(?=[!-/:-@\[-`{-~])")
@@ -46,24 +50,22 @@ class WordTokenizer:
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.model = self.inner.model
-        self.byte_level = ByteLevel(add_prefix_space=False, use_regex=False)
         self.known: dict[str, bytes] = {}
 
     def word(self, word: str) -> bytes:
         if not word:
             return b""
-        if not (word.isalpha() and max(word) < PLAIN_BELOW):
-            return np.array(self.inner.encode(word, add_special_tokens=False).ids, np.uint32).tobytes()
+        if not PLAIN(word):
+            return array("I", self.inner.encode(word, add_special_tokens=False).ids).tobytes()
         low = word.lower()
         if low != word and low in self.known:
             return self.known[low]
-        piece = low if low.isascii() else self.byte_level.pre_tokenize_str(low)[0][0]
-        ids = np.array([t.id for t in self.model.tokenize(piece)], np.uint32).tobytes()
+        piece = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS)
+        ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
         if low != word:
             self.known[low] = ids
         return ids
