@@ -17,7 +17,10 @@ REASONING_KEYS = ["reasoning_brief", "reasoning", "reason"]
 FLAT_OBJECT = r"\{[^{}]*\}"
 MODE_DIGIT = r"\b([1-9])\b"
 INTEGER_TEXT = r"^\s*[+-]?\d+\s*$"
-FLOAT_TEXT = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+FLOAT_TEXT = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|(?i:nan|inf|infinity))\s*$"
+# A key with a scalar value that comes again later in the text, and number names that JSON lacks.
+EARLIER_KEY = r'(?s)("(?:[^"\\]|\\.)*")\s*:\s*(?:"(?:[^"\\]|\\.)*"|[^,{}\[\]"]+)\s*,(?=.*\1\s*:)'
+NUMBER_NAMES = {"NaN": "nan", "-Infinity": "-inf", "Infinity": "inf"}
 MAX_REASONING = 500
 
 _OBJECT = "map<string,variant>"
@@ -30,6 +33,14 @@ def _json_value(text: Column) -> Column:
     return F.when(F.size(items) == 1, F.get(items, F.lit(0)))
 
 
+def _lenient(text: Column) -> Column:
+    """The text as JSON; where it is none, again with the last of repeated keys and with named numbers as text."""
+    repaired = F.regexp_replace(text, EARLIER_KEY, "")
+    for name, value in NUMBER_NAMES.items():
+        repaired = F.regexp_replace(repaired, rf"([:\[,]\s*){name}(?=\s*[,}}\]])", f'$1"{value}"')
+    return F.coalesce(_json_value(text), _json_value(repaired))
+
+
 def _first_present(data: Column, keys: list[str]) -> tuple[Column, Column]:
     """(is any key present, value of the first present one); a JSON null is present."""
     present = reduce(lambda a, b: a | b, [F.map_contains_key(data, k) for k in keys])
@@ -97,9 +108,9 @@ def parse_responses(df: DataFrame, raw: str = "raw_response") -> DataFrame:
     """
     text = F.col(raw)
     block = F.nullif(F.regexp_extract(text, FLAT_OBJECT, 0), F.lit(""))
-    steps = df.withColumn("_whole", _json_value(text))
+    steps = df.withColumn("_whole", _lenient(text))
     steps = steps.withColumn(
-        "_value", F.when(F.col("_whole").isNotNull(), F.col("_whole")).otherwise(_json_value(block)))
+        "_value", F.when(F.col("_whole").isNotNull(), F.col("_whole")).otherwise(_lenient(block)))
     steps = steps.withColumns({
         "_kind": F.schema_of_variant("_value"),
         "_data": F.try_variant_get("_value", "$", _OBJECT),
@@ -118,7 +129,7 @@ def parse_responses(df: DataFrame, raw: str = "raw_response") -> DataFrame:
         "_mode": F.when(F.col("_has_mode"), F.coalesce(_as_int(F.col("_mode_value")), searched)),
         "_confidence": F.coalesce(_as_float(F.col("_confidence_value")), F.lit(0.5)),
         "_reason": F.when(F.col("_has_reason"), F.substring(_as_text(F.col("_reason_value")), 1, MAX_REASONING)),
-        "_failure": F.when(F.coalesce(F.length(F.trim(text)), F.lit(0)) == 0, "empty_response")
+        "_failure": F.when(~F.coalesce(text.rlike(r"(?U)\S"), F.lit(False)), "empty_response")
         .when(F.col("_value").isNull(), "json_decode_error")
         .when(data.isNull(), F.concat(
             F.lit("error: '"), _python_type(F.col("_kind")), F.lit("' object has no attribute 'get'"))),

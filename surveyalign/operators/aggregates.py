@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
+from surveyalign.operators.medians import exact_medians
 from surveyalign.functions.codes import decode
 
 
@@ -56,6 +57,11 @@ def profile_column(df: DataFrame, column: str, key: str) -> DataFrame:
     ).withColumn("head_20", head)
 
 
+def column_values(df: DataFrame, column: str) -> DataFrame:
+    """(value, n): the distinct values of a column in order, null first, with their rows."""
+    return df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("value").asc_nulls_first())
+
+
 def share_columns(label: Column, weight: Column, codes: list[int]) -> list[Column]:
     """Weight per listed code, and in total, as aggregate expressions."""
     per_code = [F.sum(F.when(label == c, weight).otherwise(0.0)) for c in codes]
@@ -114,16 +120,18 @@ def year_mode_distribution(df: DataFrame) -> DataFrame:
 
 
 def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Exact median, mean and population deviation of each column, in one pass.
+    """Exact median, mean and population deviation of each column; NaN counts as missing.
 
-    The exact median keeps one counter per distinct value, which suits coded columns.
+    The medians come from a few histogram passes, the rest from one aggregate.
     """
+    value = {c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double")) for c in columns}
+    medians = exact_medians(df, value)
     stats = df.agg(F.array(*[
         F.struct(
             F.lit(c).alias("feature"),
-            F.median(F.col(c).cast("double")).alias("median"),
-            F.avg(F.col(c).cast("double")).alias("mean"),
-            F.stddev_pop(F.col(c).cast("double")).alias("std"),
+            F.lit(medians[c]).cast("double").alias("median"),
+            F.avg(value[c]).alias("mean"),
+            F.stddev_pop(value[c]).alias("std"),
         ) for c in columns
     ]).alias("stats"))
     return stats.select(F.inline("stats"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
 from surveyalign.functions.codes import zone_int
+from surveyalign.operators.medians import exact_medians
 
 # Integer features that come from the zone text where the table has no such column.
 ZONE_SOURCES = {"origin_zone_int": "origin_zone", "dest_zone_int": "destination_zone"}
@@ -46,7 +47,7 @@ class TabularEncoder:
     def fit(
         cls, df: DataFrame, features: list[str] = fv.RETRIEVAL_FEATURES, zero_unknown: bool = True
     ) -> "TabularEncoder":
-        """One aggregate pass; the result is one row whatever the size of the table.
+        """One aggregate for counts and means, and a few histogram passes for exact medians.
 
         Mean and deviation are those of the imputed column: the nulls enter as copies of
         the median, which shifts both in closed form.
@@ -55,21 +56,22 @@ class TabularEncoder:
         present = {name: col for name, col in present.items() if col is not None}
         stats = df.agg(F.count(F.lit(1)).alias("_rows"), *[
             F.struct(
-                F.count(col).alias("n"), F.median(col).alias("median"),
+                F.count(col).alias("n"),
                 F.avg(col).alias("mean"), F.var_pop(col).alias("variance"),
             ).alias(name) for name, col in present.items()
         ]).first()
         rows = stats["_rows"]
+        middle = exact_medians(df, present)
         medians, means, deviations = [], [], []
         for name in features:
             if name not in present or not rows or not stats[name]["n"]:
                 medians.append(0.0), means.append(0.0), deviations.append(0.0)
                 continue
-            s = stats[name]
+            s, median = stats[name], middle[name]
             known, missing = s["n"] / rows, 1 - s["n"] / rows
-            variance = known * s["variance"] + known * missing * (s["mean"] - s["median"]) ** 2
-            medians.append(s["median"])
-            means.append(known * s["mean"] + missing * s["median"])
+            variance = known * s["variance"] + known * missing * (s["mean"] - median) ** 2
+            medians.append(median)
+            means.append(known * s["mean"] + missing * median)
             deviations.append(variance ** 0.5)
         return cls(list(features), medians, means, deviations, zero_unknown)
 

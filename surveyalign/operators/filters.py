@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
+from surveyalign.functions.codes import numeric
 
 
 def valid_record() -> Column:
@@ -26,8 +27,11 @@ def filter_valid_records(df: DataFrame) -> DataFrame:
 def filter_main_modes(
     trips: DataFrame, mode_col: str = "Main_mode", max_mode: int = fv.MAX_RAW_MODE
 ) -> DataFrame:
-    """Keep raw modes up to ``max_mode``: drops other, walk and unknown codes and null."""
-    return trips.where(F.col(f"`{mode_col}`") <= max_mode)
+    """Keep raw modes up to ``max_mode``: drops other, walk and unknown codes and null.
+
+    Text columns are read as numbers; text that is no number is dropped.
+    """
+    return trips.where(numeric(trips, mode_col) <= max_mode)
 
 
 def filter_journey_time(df: DataFrame, max_minutes: float = fv.MAX_JOURNEY_MINUTES) -> DataFrame:

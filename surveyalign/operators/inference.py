@@ -74,29 +74,37 @@ def majority_predictor(prompts: list[str]) -> list[str]:
 def isolated(predictor: Predictor, max_retries: int = 3, retry_delay: float = 5.0):
     """Predictor over a batch whose failures stay with their own row.
 
-    A batch that fails is repeated row by row; a row is retried with doubling delays and
-    then answered by its error. Returns (responses, errors).
+    A batch that fails is halved, and halves that fail are halved again, so one bad row among n
+    costs about 2 log2(n) calls more. A row that fails alone is tried ``max_retries`` times with
+    doubling delays and then answered by its error. Returns (responses, errors).
     """
+    def call(prompts: list[str]) -> list[str]:
+        responses = predictor(prompts)
+        if len(responses) != len(prompts):
+            raise ValueError(f"{len(prompts)} prompts, {len(responses)} responses")
+        return [r or "" for r in responses]
+
     def one(prompt: str) -> tuple[str | None, str | None]:
         for attempt in range(max_retries):
             try:
-                return predictor([prompt])[0] or "", None
+                return call([prompt])[0], None
             except Exception as error:
                 if attempt == max_retries - 1:
                     return None, str(error)[:100]
                 time.sleep(retry_delay * 2 ** attempt)
 
     def run(prompts: list[str]):
+        if len(prompts) == 1:
+            response, error = one(prompts[0])
+            return [response], [error]
         try:
-            responses = predictor(prompts)
-            if len(responses) == len(prompts):
-                return [r or "" for r in responses], [None] * len(prompts)
+            return call(prompts), [None] * len(prompts)
         except Exception:
-            pass
-        answers = [one(p) for p in prompts]
-        return [a for a, _ in answers], [e for _, e in answers]
+            half = len(prompts) // 2
+            left, right = run(prompts[:half]), run(prompts[half:])
+            return left[0] + right[0], left[1] + right[1]
 
-    return run
+    return lambda prompts: run(prompts) if prompts else ([], [])
 
 
 def batch_inference(
@@ -105,11 +113,13 @@ def batch_inference(
     key: str = "case_id",
     max_retries: int = 3,
     retry_delay: float = 5.0,
+    batch_size: int = 256,
 ) -> DataFrame:
     """Predict every row with ``messages``: key, prototype id, example counts and the parsed answer.
 
     The predictor runs inside the tasks on Arrow batches; only the key, the prompt and the
-    small evidence columns are shipped to it. A failed row has mode -1 and its error text.
+    small evidence columns are shipped to it, at most ``batch_size`` prompts a call. A failed
+    row has mode -1 and its error text.
     """
     has = lambda c: c in prompts.columns
     slim = prompts.select(
@@ -123,8 +133,10 @@ def batch_inference(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            responses, errors = answer(batch["prompt"].tolist())
-            yield batch.drop(columns="prompt").assign(raw_response=responses, error=errors)
+            for start in range(0, len(batch), batch_size):
+                part = batch.iloc[start:start + batch_size]
+                responses, errors = answer(part["prompt"].tolist())
+                yield part.drop(columns="prompt").assign(raw_response=responses, error=errors)
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in slim.drop("prompt").schema)
     answered = slim.mapInPandas(run, f"{fields}, raw_response string, error string")

@@ -98,5 +98,13 @@ def load_joined_2022(
 
 
 def attach_predictions(test: DataFrame, predictions: DataFrame, key: str = "case_id") -> DataFrame:
-    """Predictions next to their test rows, matched by key and never by position."""
-    return test.join(predictions, key, "left")
+    """Predictions next to their test rows, matched by key and never by position.
+
+    A test row that repeats gets its key's prediction each time; two predictions for one key
+    are an error, as either could be meant.
+    """
+    others = [c for c in predictions.columns if c != key]
+    grouped = predictions.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), F.first(F.struct(*others)).alias("_p"))
+    message = F.concat(F.lit("several predictions for "), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    once = grouped.select(key, F.when(F.col("_n") == 1, F.col("_p")).otherwise(F.raise_error(message).cast(grouped.schema["_p"].dataType)).alias("_p"))
+    return test.join(once, key, "left").select("*", "_p.*").drop("_p")

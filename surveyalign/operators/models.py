@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ from surveyalign.session import materialize
 
 logger = logging.getLogger(__name__)
 
+TASK_ROWS = 50_000       # distinct training rows per task
+
 
 @dataclass
 class ModeChoiceModel:
@@ -64,7 +67,10 @@ def _training_rows(df, encoder, classes, target, clip_negatives) -> DataFrame:
     label = (F.array_position(F.lit(classes), F.col(target)) - 1).cast("double")
     counted = df.select(F.array(*columns).alias("vector"), label.alias("label")).groupBy(
         "vector", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    return materialize(counted, "training").select(
+    stored = materialize(counted, "training")
+    # Small training sets stay in few tasks: boosting runs many short jobs over them.
+    parts = max(1, math.ceil(stored.count() / TASK_ROWS))
+    return stored.repartition(parts).select(
         array_to_vector("vector").alias("_vector"), "label", "weight").cache()
 
 
@@ -131,7 +137,7 @@ def baseline_grid(
 ) -> tuple[DataFrame, DataFrame]:
     """Train on the few-shot rows and score the test rows for every model, ratio and seed.
 
-    Returns (predictions, long metrics). The runs are independent Spark jobs and overlap;
+    Returns (predictions, long metrics with n_train and n_test). The runs are independent Spark jobs and overlap;
     a run that fails is logged and left out. ``df`` should be a stored table.
     """
     models = models or {"mnl": fit_mnl, "boosted_trees": fit_boosted_trees}
@@ -140,11 +146,12 @@ def baseline_grid(
         split = split_test_pool_fewshot(df, fewshot_ratio=ratio, seed=seed)
         train = materialize(split.where("split = 'few_shot'").drop("split"), "train")
         test = split.where("split = 'test'").drop("split")
+        n_train = train.count()
         done = []
         for name, fit in models.items():
             try:
                 predicted = fit(train).predict(test).withColumns({
-                    "model": F.lit(name), "fewshot_ratio": F.lit(ratio), "seed": F.lit(seed)})
+                    "model": F.lit(name), "fewshot_ratio": F.lit(ratio), "seed": F.lit(seed), "n_train": F.lit(n_train)})
                 done.append(materialize(predicted, "predictions"))
             except Exception:
                 logger.exception("model %s failed at ratio %s, seed %s", name, ratio, seed)
@@ -162,4 +169,6 @@ def baseline_grid(
     micro = metrics.evaluate_micro(cube, keys)
     macro = metrics.evaluate_macro(cube, keys)
     proba = metrics.unpivot(metrics.probability_metrics(predictions, keys), keys, ["nll", "brier_score"])
-    return predictions, micro.unionByName(macro).unionByName(proba)
+    sizes = predictions.groupBy(*keys).agg(F.first("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"))
+    sizes = metrics.unpivot(sizes, keys, ["n_train", "n_test"])
+    return predictions.drop("n_train"), micro.unionByName(macro).unionByName(proba).unionByName(sizes)

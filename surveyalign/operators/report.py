@@ -31,11 +31,25 @@ def strip_model_prefix(metric: Column, model: Column) -> Column:
     return F.when(F.startswith(metric, prefix), F.substr(metric, F.length(prefix) + 1)).otherwise(metric)
 
 
+def only_value(value: Column, what: Column) -> Column:
+    """The value that all rows of a group share; rows that differ are an error, never a choice."""
+    return F.when(F.min(value).eqNullSafe(F.max(value)), F.max(value)).otherwise(
+        F.raise_error(F.concat(F.lit("different values of one metric: "), F.coalesce(F.first(what), F.lit("")))).cast("double"))
+
+
 def results_frame(loaded: DataFrame, metrics: list[str]) -> DataFrame:
-    """Metrics read from files (source_file, metric, value) as one wide row per run."""
-    named = loaded.select(*run_columns(F.col("source_file")), "metric", "value")
+    """Metrics read from files (source_file, metric, value) as one wide row per run.
+
+    Where a run has files whose names end in ``_metrics``, only they count. Files that still
+    give different values for one metric of a run raise an error.
+    """
+    official = F.col("source_file").endswith("_metrics")
+    named = loaded.select(*run_columns(F.col("source_file")), "source_file", official.alias("official"), "metric", "value")
     stripped = named.withColumn("metric", strip_model_prefix(F.col("metric"), F.col("model")))
-    return stripped.groupBy(*RUN_KEYS).agg(*[
+    has_official = stripped.groupBy(*RUN_KEYS).agg(F.max("official").alias("has_official"))
+    chosen = stripped.join(has_official, RUN_KEYS).where("official = has_official")
+    once = chosen.groupBy(*RUN_KEYS, "metric").agg(only_value(F.col("value"), F.col("source_file")).alias("value"))
+    return once.groupBy(*RUN_KEYS).agg(*[
         F.max(F.when(F.col("metric") == m, F.col("value"))).alias(m) for m in metrics])
 
 
@@ -43,7 +57,7 @@ def _averages(metrics: DataFrame, wanted: list[str]) -> DataFrame:
     """Seed averages per model, ratio and metric, every run counted once."""
     once = (
         metrics.where(F.col("metric").isin(wanted))
-        .groupBy(*RUN_KEYS, "metric").agg(F.max("value").alias("value"))
+        .groupBy(*RUN_KEYS, "metric").agg(only_value(F.col("value"), F.col("metric")).alias("value"))
     )
     return seed_mean_std(once)
 

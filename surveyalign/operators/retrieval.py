@@ -75,13 +75,21 @@ def shift_score(year: Column, target_year: int = fv.TARGET_YEAR) -> Column:
     return F.when(F.coalesce(year, F.lit(fv.HISTORICAL_YEAR)) >= target_year, 1.0).otherwise(0.5)
 
 
-def priority_score() -> Column:
-    """Uniform: calibration errors do not enter the ranking."""
-    return F.lit(1.0)
+def priority_score(error: Column | None = None) -> Column:
+    """The error of the trip's subgroup; 1.0 where none is known, and for all trips without errors."""
+    return F.lit(1.0) if error is None else F.coalesce(error.cast("double"), F.lit(1.0))
 
 
-def score_offset(year: Column) -> Column:
-    return fv.LAMBDA_SHIFT * shift_score(year) + fv.LAMBDA_PRIORITY * priority_score()
+def with_priority(memory: DataFrame, errors: DataFrame | None = None, keys: list[str] | None = None) -> DataFrame:
+    """The memory with a ``priority`` per trip from the subgroup errors (keys, error), if there are any."""
+    if errors is None:
+        return memory.withColumn("priority", priority_score())
+    named = errors.select(*keys, F.col("error").alias("_error"))
+    return memory.join(named, keys, "left").withColumn("priority", priority_score(F.col("_error"))).drop("_error")
+
+
+def score_offset(year: Column, priority: Column | None = None) -> Column:
+    return fv.LAMBDA_SHIFT * shift_score(year) + fv.LAMBDA_PRIORITY * (priority_score() if priority is None else priority)
 
 
 def retrieval_score(similarity: Column, offset: Column) -> Column:
@@ -142,7 +150,7 @@ def best_k(scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
 class RetrievalIndex:
     """A memory prepared for searches of up to ``k`` neighbours."""
 
-    candidates: DataFrame     # rep_id, key, record, at most k rows per representative
+    candidates: DataFrame     # rep_id, key, record, at most k rows per representative; ids are not the caller's
     cells: DataFrame          # cell, chunk, rep_id, features, offset
     sample: np.ndarray        # unit vectors, at most SAMPLE; the first n_pivots are the pivots
     sample_offsets: np.ndarray
@@ -153,16 +161,30 @@ class RetrievalIndex:
     k: int
 
 
+def vector_id(first_key: Column, *parts: Column) -> Column:
+    """Id of a vector: the first of its rows' keys, for the order of ties, then a digest of the vector.
+
+    Keys may repeat among vectors, the ids do not.
+    """
+    text = F.concat_ws("|", *[p.cast("array<string>") if i == 0 else p.cast("string") for i, p in enumerate(parts)])
+    return F.concat(F.coalesce(first_key.cast("string"), F.lit("")), F.lit("\x00"), F.sha2(text, 256))
+
+
 def build_index(memory: DataFrame, k: int, key: str = "case_id") -> RetrievalIndex:
-    """Index a memory that has ``features`` and ``survey_year``; its columns become the records."""
+    """Index a memory that has ``features`` and ``survey_year``; its columns become the records.
+
+    A memory with ``priority`` (see ``with_priority``) is ranked by it too.
+    """
+    priority = F.col("priority") if "priority" in memory.columns else None
     record = F.struct(*[c for c in memory.columns if c not in ("features",)])
     same = Window.partitionBy("features", "offset").orderBy("key")
     upto = same.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     candidates = materialize(
-        memory.select("features", score_offset(F.col("survey_year")).alias("offset"),
+        memory.select("features", score_offset(F.col("survey_year"), priority).alias("offset"),
                       F.col(key).alias("key"), record.alias("record"))
-        .select("*", F.row_number().over(same).alias("nth"), F.first("key").over(upto).alias("rep_id"))
-        .where(F.col("nth") <= k),
+        .select("*", F.row_number().over(same).alias("nth"), F.first("key").over(upto).alias("first_key"))
+        .where(F.col("nth") <= k)
+        .withColumn("rep_id", vector_id(F.col("first_key"), F.col("features"), F.col("offset"))).drop("first_key"),
         "index-candidates",
     )
     representatives = candidates.where("nth = 1").select("rep_id", "features", "offset")
@@ -273,8 +295,18 @@ def _match(k: int):
 
 
 def distinct_queries(queries: DataFrame, key: str = "case_id") -> DataFrame:
-    """One row per query vector, named after its smallest key."""
-    return materialize(queries.groupBy("features").agg(F.min(key).alias("query_id")), "queries")
+    """One row per query vector with an id of its own."""
+    first = queries.groupBy("features").agg(F.min(key).alias("first"))
+    return materialize(first.select("features", vector_id(F.col("first"), F.col("features")).alias("query_id")), "queries")
+
+
+def blocks_per_cell(probes: DataFrame, n_cells: int) -> list[int]:
+    """How many blocks the queries of each cell fill; a cell without queries has none and is not copied."""
+    counts = probes.where("chunk = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per cell
+    blocks = [0] * n_cells
+    for row in counts:
+        blocks[row["cell"]] = math.ceil(row["n"] / QUERY_BLOCK)
+    return blocks
 
 
 def neighbours(asked: DataFrame, index: RetrievalIndex, k: int) -> DataFrame:
@@ -285,13 +317,12 @@ def neighbours(asked: DataFrame, index: RetrievalIndex, k: int) -> DataFrame:
     if k > index.k:
         raise ValueError(f"the index keeps {index.k} rows per vector, {k} were asked for")
     n = asked.count()
-    blocks = max(1, math.ceil(n / QUERY_BLOCK))
-    probes = (
+    probes = materialize(
         asked.select("query_id", "features").repartition(math.ceil(n / TASK_ROWS) or 1)
-        .mapInArrow(_probe(index, k), "cell int, chunk int, query_id string, features array<double>")
-        .withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
-    )
-    stored = index.cells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+        .mapInArrow(_probe(index, k), "cell int, chunk int, query_id string, features array<double>"), "probes")
+    blocks = F.get(F.lit(blocks_per_cell(probes, len(index.cell_radius))), F.col("cell"))
+    probes = probes.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
+    stored = index.cells.where(blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     group = ["cell", "chunk", "block"]
     local = probes.groupBy(*group).cogroup(stored.groupBy(*group)).applyInArrow(
         _match(k), "query_id string, rep_id string, similarity double, score double")

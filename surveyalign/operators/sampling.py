@@ -6,6 +6,10 @@ finds the bucket where the quota of each stratum ends. The histogram is repeated
 that bucket until few rows are left, only those are ranked, and what remains is a
 comparison of every row with the last sampled key of its stratum. All passes read the id
 and the stratum alone, and shuffle at most a few thousand counts per stratum and task.
+
+Ids may repeat: rows with one id are told apart by their place in the table, which is part
+of the order, so quotas hold to the row. The table is read several times and its rows must
+keep their places: hand in a stored table, not a chain of joins.
 """
 
 from __future__ import annotations
@@ -20,15 +24,28 @@ HASH_STEP = 3            # hexadecimal digits per histogram, so at most 4096 cou
 RANK_ROWS = 1_000_000    # rows of a stratum that are ranked in one task
 
 
+ORDER_DIGITS = 32 + 16   # of the hash, then of the place
+
+
 def seeded_key(key: Column, seed: Column | int) -> Column:
     seed = seed if isinstance(seed, Column) else F.lit(seed)
     return F.md5(F.concat(key, F.lit(":"), seed.cast("string")))
 
 
-def _last_sampled(rows: DataFrame, strata: list[str], key: str) -> DataFrame:
-    """Per stratum the hash and id of the last row within the quota.
+def place() -> Column:
+    """Place of a row in a stored table, as text of fixed width."""
+    return F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")
+
 
-    ``rows`` has the strata, ``key``, its hash ``_hash`` and the sampling ``_ratio``.
+def _order_key(key: Column, seed: Column | int, row: Column) -> Column:
+    """Seeded order of the rows by hash and place; no two rows share it. A null id sorts by its place."""
+    return F.concat(F.coalesce(seeded_key(key, seed), seeded_key(F.lit(""), seed)), row)
+
+
+def _last_sampled(rows: DataFrame, strata: list[str]) -> DataFrame:
+    """Per stratum the order key of the last row within the quota.
+
+    ``rows`` has the strata, the order key ``_hash`` and the sampling ``_ratio``.
     """
     rows = rows.where(F.col(strata[-1]).isNotNull())
     per_stratum = Window.partitionBy(*strata)
@@ -48,24 +65,23 @@ def _last_sampled(rows: DataFrame, strata: list[str], key: str) -> DataFrame:
         scope = rows.withColumn("_prefix", F.substring("_hash", 1, digits)).join(
             cuts.drop("_n"), [*strata, "_prefix"]).drop("_prefix")
         largest = cuts.agg(F.max("_n")).first()[0]
-        if largest is None or largest <= RANK_ROWS or digits + HASH_STEP > 32:
+        if largest is None or largest <= RANK_ROWS or digits >= ORDER_DIGITS:
             break
-    rank = F.row_number().over(per_stratum.orderBy("_hash", key))
+    rank = F.row_number().over(per_stratum.orderBy("_hash"))
     last = (
-        scope.select(*strata, "_hash", key, "_take", rank.alias("_rank"))
+        scope.select(*strata, "_hash", "_take", rank.alias("_rank"))
         .where(F.col("_rank") == F.col("_take"))
-        .select(*strata, F.col("_hash").alias("_last_hash"), F.col(key).alias("_last_key"))
+        .select(*strata, F.col("_hash").alias("_last_hash"))
     )
     return materialize(last, "sample-last")
 
 
-def _flag(rows: DataFrame, last: DataFrame, strata: list[str], key: str, flag: str) -> DataFrame:
-    within = (F.col("_hash") < F.col("_last_hash")) | (
-        (F.col("_hash") == F.col("_last_hash")) & (F.col(key) <= F.col("_last_key")))
+def _flag(rows: DataFrame, last: DataFrame, strata: list[str], flag: str) -> DataFrame:
+    within = F.col("_hash") <= F.col("_last_hash")
     return (
         rows.join(last, strata, "left")
         .withColumn(flag, F.coalesce(within, F.lit(False)))
-        .drop("_last_hash", "_last_key")
+        .drop("_last_hash")
     )
 
 
@@ -76,9 +92,9 @@ def stratified_flag(
 
     Each stratum of n rows gives max(1, floor(n * ratio)) rows; a null stratum gives none.
     """
-    rows = df.withColumn("_hash", seeded_key(F.col(key), seed)).withColumn("_ratio", F.lit(float(ratio)))
-    last = _last_sampled(rows.select(stratum, key, "_hash", "_ratio"), [stratum], key)
-    return _flag(rows, last, [stratum], key, flag).select(*df.columns, flag)
+    rows = df.withColumn("_hash", _order_key(F.col(key), seed, place())).withColumn("_ratio", F.lit(float(ratio)))
+    last = _last_sampled(rows.select(stratum, "_hash", "_ratio"), [stratum])
+    return _flag(rows, last, [stratum], flag).select(*df.columns, flag)
 
 
 def stratified_sample(
@@ -99,13 +115,15 @@ def split_test_pool_fewshot(
 
     ``df`` is read several times; hand in a stored table, not a chain of joins.
     """
-    tested = stratified_flag(df, test_ratio, stratum, seed, key, "_test")
+    placed = df.withColumn("_row", place())
+    by_test = placed.withColumn("_hash", _order_key(F.col(key), seed, F.col("_row"))).withColumn("_ratio", F.lit(float(test_ratio)))
+    tested = _flag(by_test, _last_sampled(by_test.select(stratum, "_hash", "_ratio"), [stratum]), [stratum], "_test")
     rows = (
-        tested.withColumn("_hash", seeded_key(F.col(key), seed + 1))
+        tested.withColumn("_hash", _order_key(F.col(key), seed + 1, F.col("_row")))
         .withColumn("_ratio", F.lit(float(fewshot_ratio)))
     )
-    rest = rows.where(~F.col("_test")).select(stratum, key, "_hash", "_ratio")
-    flagged = _flag(rows, _last_sampled(rest, [stratum], key), [stratum], key, "_few")
+    rest = rows.where(~F.col("_test")).select(stratum, "_hash", "_ratio")
+    flagged = _flag(rows, _last_sampled(rest, [stratum]), [stratum], "_few")
     split = F.when(F.col("_test"), "test").when(F.col("_few"), "few_shot").otherwise("pool")
     return flagged.select(*df.columns, split.alias("split"))
 
@@ -120,26 +138,31 @@ def fewshot_variants(
 ) -> DataFrame:
     """The splits of the whole grid at once: (key, stratum, fewshot_ratio, seed, split).
 
-    Ratio and seed are part of the strata, so all variants share the same few jobs.
+    The few-shot samples of one seed are the first rows of one order, whatever the ratio: rows
+    are hashed and compared once per seed, every ratio's last row comes from the same order,
+    and rows meet the ratios in the final select alone.
     """
     by_seed = (
-        df.select(key, stratum, F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
-        .withColumn("_hash", seeded_key(F.col(key), F.col("seed")))
+        df.select(key, stratum, place().alias("_row"), F.explode(F.array(*[F.lit(s) for s in seeds])).alias("seed"))
+        .withColumn("_hash", _order_key(F.col(key), F.col("seed"), F.col("_row")))
         .withColumn("_ratio", F.lit(float(test_ratio)))
     )
     strata = ["seed", stratum]
-    tested = _flag(by_seed, _last_sampled(by_seed, strata, key), strata, key, "_test")
-    grid = (
-        tested.drop("_hash", "_ratio")
-        .withColumn("fewshot_ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
-        .withColumn("_hash", seeded_key(F.col(key), F.col("seed") + 1))
-        .withColumn("_ratio", F.col("fewshot_ratio"))
+    tested = (
+        _flag(by_seed, _last_sampled(by_seed.select(*strata, "_hash", "_ratio"), strata), strata, "_test")
+        .withColumn("_hash", _order_key(F.col(key), F.col("seed") + 1, F.col("_row")))
     )
-    strata = ["fewshot_ratio", "seed", stratum]
-    rest = grid.where(~F.col("_test")).drop("_test")
-    flagged = _flag(grid, _last_sampled(rest, strata, key), strata, key, "_few")
-    split = F.when(F.col("_test"), "test").when(F.col("_few"), "few_shot").otherwise("pool")
-    return flagged.select(key, stratum, "fewshot_ratio", "seed", split.alias("split"))
+    rest = tested.where(~F.col("_test")).select(*strata, "_hash")
+    cuts = None
+    for ratio in ratios:
+        last = _last_sampled(rest.withColumn("_ratio", F.lit(float(ratio))), strata)
+        one = last.select(*strata, F.lit(float(ratio)).alias("fewshot_ratio"), "_last_hash")
+        cuts = one if cuts is None else cuts.unionByName(one)
+    limits = cuts.groupBy(*strata).agg(F.map_from_entries(F.collect_list(F.struct("fewshot_ratio", "_last_hash"))).alias("_limits"))
+    few = F.coalesce(F.col("_hash") <= F.col("_limits")[F.col("fewshot_ratio")], F.lit(False))
+    split = F.when(F.col("_test"), "test").when(few, "few_shot").otherwise("pool")
+    grid = tested.join(limits, strata, "left").withColumn("fewshot_ratio", F.explode(F.array(*[F.lit(float(r)) for r in ratios])))
+    return grid.select(key, stratum, "fewshot_ratio", "seed", split.alias("split"))
 
 
 def dry_run_sample(df: DataFrame, n: int = 20, seed: int = 42, key: str = "case_id") -> DataFrame:

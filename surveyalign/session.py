@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
+import re
 import shutil
 import tempfile
 import uuid
+import zipfile
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,7 +30,9 @@ def build_session(app_name: str = "surveyalign", master: str | None = None, **co
     }
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
 
 
 @cache
@@ -45,10 +50,50 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = _local_root()
-    return f"{root.rstrip('/')}/surveyalign/{name}-{uuid.uuid4().hex}"
+    own = f"{root.rstrip('/')}/surveyalign/{spark.sparkContext.applicationId}"
+    _delete_at_the_end(spark, own)
+    return f"{own}/{name}-{uuid.uuid4().hex}"
+
+
+@cache
+def _delete_at_the_end(spark: SparkSession, path: str) -> None:
+    """What an application left in the shared folder goes when the application ends."""
+    jvm = spark._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(folder)
+
+
+def release(df: DataFrame) -> None:
+    """Delete the stored files of a table that ``materialize`` returned; nothing may read it any more."""
+    spark = df.sparkSession
+    for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if "/surveyalign/" in file:
+            folder = spark._jvm.org.apache.hadoop.fs.Path(file)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@cache
+def _package_zip() -> str:
+    """The package as a zip file, for executors that do not have it."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(tempfile.mkdtemp(prefix="surveyalign-package-"), "surveyalign.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for folder, _, names in os.walk(os.path.join(root, "surveyalign")):
+            for name in names:
+                if name.endswith(".py"):
+                    file = os.path.join(folder, name)
+                    archive.write(file, os.path.relpath(file, root))
+    return path
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make the package importable in every task, wherever the driver was started from."""
+    if not getattr(spark.sparkContext, "_surveyalign_shipped", False):
+        spark.sparkContext.addPyFile(_package_zip())
+        spark.sparkContext._surveyalign_shipped = True
 
 
 def materialize(df: DataFrame, name: str = "table") -> DataFrame:

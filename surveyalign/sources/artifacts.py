@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import json
+
+import numpy as np
+from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
+from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 
-from surveyalign.operators.features import TabularEncoder
+from surveyalign.operators.features import OrdinalEncoder, TabularEncoder
+from surveyalign.operators.models import ModeChoiceModel
 from surveyalign.operators.prototypes import Clustering, PrototypeMemory
+from surveyalign.operators.retrieval import RetrievalIndex
 
 
 def save_prototypes(memory: PrototypeMemory, path: str) -> None:
@@ -32,3 +39,59 @@ def save_memory(memory: DataFrame, encoder: TabularEncoder, path: str, mode: str
 def load_memory(spark: SparkSession, path: str) -> tuple[DataFrame, TabularEncoder]:
     return (spark.read.parquet(f"{path}/memory"),
             TabularEncoder.from_frame(spark.read.parquet(f"{path}/encoder")))
+
+
+def _write_facts(spark: SparkSession, facts: dict, path: str) -> None:
+    spark.createDataFrame([(json.dumps(facts),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def _read_facts(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def save_model(model: ModeChoiceModel, spark: SparkSession, path: str) -> None:
+    model.encoder.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/encoder")
+    model.model.write().overwrite().save(f"{path}/model")
+    _write_facts(spark, {"classes": model.classes, "clip_negatives": model.clip_negatives, "one_vs_rest": model.one_vs_rest}, f"{path}/facts")
+
+
+def load_model(spark: SparkSession, path: str) -> ModeChoiceModel:
+    facts = _read_facts(spark, f"{path}/facts")
+    kind = OneVsRestModel if facts["one_vs_rest"] else LogisticRegressionModel
+    return ModeChoiceModel(
+        TabularEncoder.from_frame(spark.read.parquet(f"{path}/encoder")), facts["classes"], kind.load(f"{path}/model"),
+        facts["clip_negatives"], facts["one_vs_rest"])
+
+
+def save_ordinal_encoder(encoder: OrdinalEncoder, spark: SparkSession, path: str) -> None:
+    encoder.model.write().overwrite().save(f"{path}/model")
+    _write_facts(spark, {"columns": encoder.columns}, f"{path}/facts")
+
+
+def load_ordinal_encoder(spark: SparkSession, path: str) -> OrdinalEncoder:
+    encoder = OrdinalEncoder(_read_facts(spark, f"{path}/facts")["columns"])
+    encoder.model = StringIndexerModel.load(f"{path}/model")
+    return encoder
+
+
+def save_index(index: RetrievalIndex, path: str) -> None:
+    """The stored rows as tables, and the bounded sample and cell facts as one small table."""
+    spark = index.candidates.sparkSession
+    index.candidates.write.mode("overwrite").parquet(f"{path}/candidates")
+    index.cells.write.mode("overwrite").parquet(f"{path}/cells")
+    arrays = [(i, [float(x) for x in row], float(offset)) for i, (row, offset) in enumerate(zip(index.sample, index.sample_offsets))]
+    spark.createDataFrame(arrays, "i int, vector array<double>, offset double").coalesce(1).write.mode("overwrite").parquet(f"{path}/sample")
+    cells = [(i, float(r), float(o), int(c)) for i, (r, o, c) in enumerate(zip(index.cell_radius, index.cell_offset, index.cell_chunks))]
+    spark.createDataFrame(cells, "i int, radius double, offset double, chunks int").coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
+    _write_facts(spark, {"n_pivots": index.n_pivots, "k": index.k}, f"{path}/facts")
+
+
+def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
+    facts = _read_facts(spark, f"{path}/facts")
+    sample = sorted(spark.read.parquet(f"{path}/sample").collect())   # bounded by the sample size
+    bounds = sorted(spark.read.parquet(f"{path}/bounds").collect())   # one row per cell
+    return RetrievalIndex(
+        spark.read.parquet(f"{path}/candidates"), spark.read.parquet(f"{path}/cells"),
+        np.array([r["vector"] for r in sample]) if sample else np.empty((0, 0)), np.array([r["offset"] for r in sample]),
+        facts["n_pivots"], np.array([r["radius"] for r in bounds]), np.array([r["offset"] for r in bounds]),
+        np.array([r["chunks"] for r in bounds]), facts["k"])

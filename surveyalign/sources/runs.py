@@ -42,6 +42,22 @@ def write_metrics(metrics: DataFrame, path: str, prefix_model: bool = True) -> N
     objects.select("value", run.alias("run")).write.mode("overwrite").partitionBy("run").text(path)
 
 
+def write_subgroup_metrics(subgroups: DataFrame, path: str) -> None:
+    """The second table of ``evaluate_all``: one JSON list per run, an object per subgroup value."""
+    others = [c for c in subgroups.columns if c not in RUN_KEYS]
+    rows = F.to_json(F.sort_array(F.collect_list(F.struct(*others))))
+    run = run_name(F.col("model"), F.col("fewshot_ratio"), F.col("seed"))
+    objects = subgroups.groupBy(*RUN_KEYS).agg(rows.alias("value"))
+    objects.select("value", run.alias("run")).write.mode("overwrite").partitionBy("run").text(path)
+
+
+def load_subgroup_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The rows of ``write_subgroup_metrics`` with the run's name."""
+    text = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
+    rows = F.from_json("value", "array<struct<subgroup string, subgroup_value int, n_trips long, mode_share_mae double, mode_share_js double>>")
+    return text.select(_run_stem(_file_path()).alias("source_file"), F.inline(rows))
+
+
 def load_all_metrics(spark: SparkSession, path: str) -> DataFrame:
     """All JSON objects below ``path`` as rows (source_file, metric, value).
 

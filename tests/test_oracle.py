@@ -18,7 +18,7 @@ def test_query_matches_oracle(spark, sf_dir, connection, name):
     assert equal, note
 
 
-@pytest.mark.parametrize("name", sorted(set(cases.QUERIES) - set(cases.ORACLES) - {"baseline_grid", "boosted_trees_fit_predict"}))
+@pytest.mark.parametrize("name", sorted(set(cases.QUERIES) - set(cases.ORACLES)))
 def test_query_without_oracle_runs(spark, sf_dir, name):
     assert cases.QUERIES[name](spark, sf_dir).count() > 0
 

@@ -80,7 +80,7 @@ SELECT model, fewshot_ratio, metric, round(avg(value), 6) AS mean, round(COALESC
 FROM (UNPIVOT run_metrics ON accuracy, macro_f1, mode_share_mae, mode_share_js INTO NAME metric VALUE value)
 GROUP BY model, fewshot_ratio, metric""")
 def _(spark, sf):
-    metrics, _sub = M.evaluate_all(st.run_predictions(spark, sf))
+    metrics, _subgroups = st.run_metrics(spark, sf)
     return rounded(A.seed_mean_std(metrics.where(F.col("metric").isin(fv.REPORT_METRICS))), "mean", "std")
 
 

@@ -59,12 +59,17 @@ def _(spark, sf):
     return encoder.transform(df).select("case_id", *fv.CATEGORICAL_COLUMNS)
 
 
-@case("kmeans")
+@case("kmeans", f"""
+SELECT count(*) AS n_rows, {fv.N_PROTOTYPES} AS n_clusters, true AS centers_are_means FROM fx_clean WHERE survey_year = 2011""")
 def _(spark, sf):
-    """Cluster sizes of the first survey."""
+    """Every centre is the mean of the rows that are nearest to it, up to the stopping distance."""
     encoded, _encoder = E.encode_for_retrieval(st.clean_2011(spark, sf))
     clustering = P.kmeans(encoded)
-    return P.assign_prototype(encoded, clustering).groupBy("prototype_id").agg(F.count(F.lit(1)).alias("n_samples"))
+    assigned = P.assign_prototype(encoded, clustering)
+    means = assigned.groupBy("prototype_id").agg(F.count(F.lit(1)).alias("n"), F.array(*[F.avg(F.col("features")[i]) for i in range(8)]).alias("mean"))
+    center = F.get(F.array(*[F.lit(c) for c in clustering.centers]), F.col("prototype_id"))
+    moved = F.sqrt(F.aggregate(F.zip_with("mean", center, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda x, y: x + y))
+    return means.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).cast("int").alias("n_clusters"), (F.max(moved) <= 0.003 + 1e-9).alias("centers_are_means"))
 
 
 _CLUSTER = "CAST((age_group * 2 + sex) % 10 AS INT)"

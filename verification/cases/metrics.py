@@ -160,9 +160,32 @@ def _(spark, sf):
     return _round(errors, "share_mae")
 
 
-@case("evaluate_all", f"""SELECT {_RUN}, metric, round(value, 6)::DOUBLE AS value FROM ({_MICRO_METRICS} UNION ALL {_MACRO_METRICS}
+ALL_METRICS = f"""{_MICRO_METRICS} UNION ALL {_MACRO_METRICS}
 UNION ALL SELECT {_RUN}, 'n_total', count(*) FROM fx_runs GROUP BY ALL
-UNION ALL SELECT {_RUN}, 'n_valid', count(*) FROM fx_runs_valid GROUP BY ALL)""")
-def _(spark, sf):
-    metrics, _subgroups = M.evaluate_all(st.run_predictions(spark, sf), RUN)
-    return _round(metrics, "value")
+UNION ALL SELECT {_RUN}, 'n_valid', count(*) FROM fx_runs_valid GROUP BY ALL"""
+
+_RUN_GROUPS = " UNION ALL ".join(
+    f"SELECT {_RUN}, '{c}' AS subgroup, {c}::INT AS subgroup_value, main_mode, predicted_mode, trip_weight FROM fx_runs_valid" for c in fv.SUBGROUP_COLUMNS)
+SUBGROUP_METRICS = f"""
+SELECT {_RUN}, subgroup, subgroup_value, any_value(n) AS n_trips, round(avg(abs(t - p)), 6) AS mode_share_mae,
+       round(sqrt((sum(a * ln(2 * a / (a + b))) + sum(b * ln(2 * b / (a + b)))) / 2), 6) AS mode_share_js
+FROM (SELECT *, (t + 1e-10) / sum(t + 1e-10) OVER w AS a, (p + 1e-10) / sum(p + 1e-10) OVER w AS b
+      FROM (SELECT {", ".join("g." + k for k in RUN)}, g.subgroup, g.subgroup_value, m.mode, any_value(g.n) AS n,
+                   COALESCE(sum(g.w) FILTER (WHERE g.main_mode = m.mode), 0) / sum(g.w) AS t,
+                   COALESCE(sum(g.c) FILTER (WHERE g.predicted_mode = m.mode), 0) / sum(g.c) AS p
+            FROM (SELECT *, sum(c) OVER (PARTITION BY {_RUN}, subgroup, subgroup_value) AS n FROM (
+                    SELECT {_RUN}, subgroup, subgroup_value, main_mode, predicted_mode, sum(trip_weight) AS w, count(*) AS c
+                    FROM ({_RUN_GROUPS}) GROUP BY ALL)) g CROSS JOIN fx_modes m GROUP BY ALL) WINDOW w AS (PARTITION BY {_RUN}, subgroup, subgroup_value))
+GROUP BY {_RUN}, subgroup, subgroup_value"""
+
+
+@case("evaluate_all", f"""SELECT {_RUN}, metric, NULL::VARCHAR AS subgroup, NULL::INT AS subgroup_value, NULL::BIGINT AS n_trips, round(value, 6)::DOUBLE AS value FROM ({ALL_METRICS})
+UNION ALL SELECT {_RUN}, 'mode_share_mae', subgroup, subgroup_value, n_trips::BIGINT, mode_share_mae FROM ({SUBGROUP_METRICS})
+UNION ALL SELECT {_RUN}, 'mode_share_js', subgroup, subgroup_value, n_trips::BIGINT, mode_share_js FROM ({SUBGROUP_METRICS})""")
+def _(spark, sf):
+    """Both results: metrics of all rows, and those of every subgroup value."""
+    metrics, subgroups = M.evaluate_all(st.run_predictions(spark, sf), RUN)
+    whole = metrics.select(*RUN, "metric", F.lit(None).cast("string").alias("subgroup"), F.lit(None).cast("int").alias("subgroup_value"),
+                           F.lit(None).cast("long").alias("n_trips"), "value")
+    parts = M.unpivot(subgroups, [*RUN, "subgroup", "subgroup_value", "n_trips"], ["mode_share_mae", "mode_share_js"])
+    return _round(whole.unionByName(parts), "value")

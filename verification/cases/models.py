@@ -19,16 +19,49 @@ def _train_test(spark, sf):
     return rows.where("split = 'few_shot'").drop("split"), rows.where("split = 'test'").drop("split")
 
 
-@case("mnl_fit_predict")
-def _(spark, sf):
-    train, test = _train_test(spark, sf)
-    return ML.fit_mnl(train).predict(test).select("case_id", "main_mode", "predicted_mode")
+_MNL = list(zip(fv.MODEL_FEATURES, ["x1", "x2", "x3", "x4", "x5", "x6", "jt", "x7", "x8"]))
+_FEW = """few AS (SELECT r.*, greatest(COALESCE(r.journey_time, (SELECT median(q.journey_time) FROM fx_split q WHERE q.split = 'few_shot')), 0) AS jt
+FROM fx_raw_features r JOIN fx_split s USING (case_id) WHERE s.split = 'few_shot')"""
 
 
-@case("boosted_trees_fit_predict")
+@case("mnl_fit_predict", f"""SELECT main_mode, feature, round(observed, 6)::DOUBLE AS observed, true AS expected_equals_observed FROM (
+WITH {_FEW} UNPIVOT (SELECT main_mode, {", ".join(f"sum({x})::DOUBLE AS {name}" for name, x in _MNL)}, count(*)::DOUBLE AS constant FROM few GROUP BY main_mode)
+ON {", ".join(name for name, _ in _MNL)}, constant INTO NAME feature VALUE observed)""")
+def _(spark, sf):
+    """First-order conditions of the likelihood: per class, the sums of every feature over the
+    training rows, weighted by the fitted probabilities, are those over the rows of the class."""
+    train, test = _train_test(spark, sf)
+    model = ML.fit_mnl(train)
+    assert model.predict(test).where("NOT coalesce(predicted_mode BETWEEN 1 AND 9, false)").isEmpty()
+    inputs = [F.greatest(c, F.lit(0.0)).alias(f) for f, c in zip(model.encoder.features, model.encoder.imputed(train))]
+    scored = model.predict_proba(train.select("*", *[c.alias(f"_x_{f}") for f, c in zip(model.encoder.features, inputs)], F.lit(1.0).alias("_x_constant")))
+    names = [*model.encoder.features, "constant"]
+    rows = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f).alias("feature"), (F.col(f"_x_{f}") * F.get("proba", F.lit(i))).alias("expected"),
+                              F.when(F.col("main_mode") == c, F.col(f"_x_{f}")).otherwise(0.0).alias("seen"), F.abs(f"_x_{f}").alias("size"))
+                     for i, c in enumerate(model.classes) for f in names])
+    sums = scored.select(F.inline(rows)).groupBy("c", "feature").agg(
+        F.sum("expected").alias("expected"), F.sum("seen").alias("observed"), F.sum("size").alias("size"))
+    close = F.abs(F.col("expected") - F.col("observed")) <= 1e-3 * (1 + F.col("size"))
+    return sums.select(F.col("c").alias("main_mode"), "feature", F.round("observed", 6).alias("observed"), close.alias("expected_equals_observed"))
+
+
+@case("boosted_trees_fit_predict", """
+SELECT count(*) AS n_test, (SELECT count(*) FROM fx_split WHERE split = 'few_shot') AS n_train,
+  round((SELECT max(n) / sum(n) FROM (SELECT count(*) AS n FROM fx_split WHERE split = 'few_shot' GROUP BY main_mode)), 6) AS majority_share,
+  true AS classes_known, true AS probabilities_sum_to_one, true AS better_than_majority FROM fx_split WHERE split = 'test'""")
 def _(spark, sf):
+    """200 rounds of depth 6; better than the majority class on the rows it was fitted on."""
     train, test = _train_test(spark, sf)
-    return ML.fit_boosted_trees(train, n_estimators=20).predict(test).select("case_id", "main_mode", "predicted_mode")
+    model = ML.fit_boosted_trees(train)
+    total = F.aggregate("proba", F.lit(0.0), lambda acc, x: acc + x)
+    facts = model.predict(test).agg(
+        F.count(F.lit(1)).alias("n_test"), F.min(F.array_contains("classes", F.col("predicted_mode"))).alias("classes_known"),
+        F.min(F.abs(total - 1) < 1e-9).alias("probabilities_sum_to_one"))
+    hits = model.predict(train).groupBy("main_mode").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("predicted_mode") == F.col("main_mode")).alias("hits"))
+    share = F.max("n") / F.sum("n")
+    fit = hits.agg(F.sum("n").alias("n_train"), F.round(share, 6).alias("majority_share"), (F.sum("hits") / F.sum("n") > share).alias("better_than_majority"))
+    return facts.crossJoin(fit)
 
 
 @case("argmax_class", """
@@ -43,12 +76,26 @@ def _(spark, sf):
     return ML.model_score(st.predictions(spark, sf)).select(F.round("score", 6).alias("score"))
 
 
-@case("baseline_grid")
+@case("baseline_grid", """
+SELECT m.model, r.fewshot_ratio, 42 AS seed, CAST(sum(greatest(1, floor(n_rest * r.fewshot_ratio))) AS BIGINT) AS n_train, CAST(sum(n_test) AS BIGINT) AS n_test,
+  true AS metrics_complete, true AS metrics_in_range
+FROM (SELECT main_mode, count(*) FILTER (WHERE split = 'test') AS n_test, count(*) FILTER (WHERE split <> 'test') AS n_rest FROM fx_split GROUP BY main_mode),
+  (VALUES ('mnl'), ('boosted_trees')) m(model), (SELECT CAST(x AS DOUBLE) AS fewshot_ratio FROM (VALUES (0.01), (0.05), (0.10)) v(x)) r
+GROUP BY m.model, r.fewshot_ratio""")
 def _(spark, sf):
-    """Accuracy of every model and ratio of the grid at one seed."""
-    models = {"mnl": ML.fit_mnl, "boosted_trees": lambda df: ML.fit_boosted_trees(df, n_estimators=5)}
-    _predictions, metrics = ML.baseline_grid(st.clean_2022(spark, sf), models=models)
-    return metrics.where(F.col("metric").isin("accuracy", "macro_f1", "nll", "mode_share_mae"))
+    """Every model and ratio of the grid at one seed, with the sizes of its run and all its metrics."""
+    _predictions, metrics = ML.baseline_grid(st.clean_2022(spark, sf))
+    value = lambda name: F.max(F.when(F.col("metric") == name, F.col("value")))
+    single = ["accuracy", "macro_f1", "weighted_f1", "mode_share_mae", "mode_share_js", "nll", "brier_score"]
+    per_mode = F.col("metric").rlike("^(share_gap|true_share|pred_share)_")
+    shares = F.count_if(per_mode) == 3 * len(fv.MODES)
+    complete = shares & (F.count_if(F.col("metric").isin(single)) == len(single)) & (F.count_if(F.col("metric").startswith("f1_")) > 0)
+    upper = F.when(F.col("metric") == "brier_score", 2.0).when(F.col("metric").isin("nll", "n_train", "n_test"), float("inf")).otherwise(1.0)
+    lower = F.when(F.col("metric").startswith("share_gap_"), -1.0).otherwise(0.0)
+    in_range = F.min(F.coalesce(F.col("value").between(lower - 1e-9, upper + 1e-9), F.lit(False)))
+    return metrics.groupBy("model", "fewshot_ratio", "seed").agg(
+        value("n_train").cast("long").alias("n_train"), value("n_test").cast("long").alias("n_test"), complete.alias("metrics_complete"),
+        in_range.alias("metrics_in_range"))
 
 
 VIEWS["fx_example"] = f"SELECT case_id, main_mode, {_EXAMPLE} AS txt FROM fx_clean"

@@ -1,7 +1,6 @@
 from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
-from surveyalign.operators import metrics as M
 from surveyalign.operators import report as RP
 from verification import survey_tables as st
 from verification.cases import case
@@ -10,7 +9,7 @@ _M = fv.REPORT_METRICS
 
 
 def metrics(spark, sf):
-    return M.evaluate_all(st.run_predictions(spark, sf), RP.RUN_KEYS)[0]
+    return st.run_metrics(spark, sf)[0]
 
 
 _GRID = """(SELECT * FROM (VALUES ('mnl'), ('boosted_trees'), ('retrieval'), ('prompt_only')) m(model)

@@ -1,3 +1,4 @@
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from surveyalign.functions.vectors import cosine
@@ -79,9 +80,40 @@ def _(spark, sf):
     return st.clean(spark, sf).select("case_id", R.shift_score(F.col("survey_year")).alias("shift"))
 
 
-@case("priority_score", "SELECT case_id, CAST(1.0 AS DOUBLE) AS priority FROM fx_clean")
+_PRIORITY = f"LEFT JOIN ({_ERRORS.format('0.5', 'WHERE age_group <= 3')}) e USING (age_group)"
+
+
+def _subgroup_errors(spark, sf):
+    hit = F.avg((F.col("main_mode") == F.col("predicted_mode")).cast("double"))
+    return st.predictions(spark, sf).where("predicted_mode >= 1 AND age_group <= 3").groupBy("age_group").agg(F.abs(hit - 0.5).alias("error"))
+
+
+@case("priority_score", f"""
+SELECT case_id, round(COALESCE(error, 1.0), 6)::DOUBLE AS priority, CAST(ROW_NUMBER() OVER (PARTITION BY person_id, survey_year
+  ORDER BY round(CASE WHEN survey_year >= 2022 THEN 0.3 ELSE 0.15 END::DOUBLE + 0.2::DOUBLE * COALESCE(error, 1.0), 9) DESC, case_id) AS INT) AS rank
+FROM (SELECT c.*, e.error FROM fx_clean c {_PRIORITY})""")
 def _(spark, sf):
-    return st.clean(spark, sf).select("case_id", R.priority_score().alias("priority"))
+    """Priorities from the errors of the age groups, and the order they give a person's trips."""
+    memory = R.with_priority(st.clean(spark, sf), _subgroup_errors(spark, sf), ["age_group"])
+    score = F.round(R.score_offset(F.col("survey_year"), F.col("priority")), 9)
+    # A person has few trips.
+    order = Window.partitionBy("person_id", "survey_year").orderBy(score.desc(), "case_id")
+    return memory.select("case_id", F.round("priority", 6).alias("priority"), F.row_number().over(order).alias("rank"))
+
+
+@case("retrieve_by_priority", f"""
+SELECT query_id, CAST(pos AS INT) AS rank, best[pos]['c'] AS case_id, -best[pos]['s'] AS score
+FROM (SELECT q.case_id AS query_id, min({{'s': -round(CAST(0.5 AS DOUBLE) * round({" + ".join(f"q.u{i} * c.u{i}" for i in range(1, 9))}, 10)
+        + 0.3::DOUBLE + 0.2::DOUBLE * c.priority, 12), 'c': c.case_id}}, 8) AS best
+      FROM (SELECT u.* FROM fx_unit u JOIN fx_split s USING (case_id) WHERE s.split = 'test') q
+      CROSS JOIN (SELECT u.*, round(COALESCE(error, 1.0), 6)::DOUBLE AS priority FROM fx_unit u JOIN fx_split s USING (case_id) {_PRIORITY.replace('USING (age_group)', 'ON e.age_group = u.age_group')}
+        WHERE s.split = 'few_shot') c GROUP BY q.case_id), LATERAL unnest(range(1, len(best) + 1)) AS r(pos)""")
+def _(spark, sf):
+    """Few-shot trips ranked by similarity, year and the errors of their age group."""
+    _encoder, _historical, few, test = parts(spark, sf)
+    ranked = R.with_priority(few, _subgroup_errors(spark, sf), ["age_group"]).withColumn("priority", F.round("priority", 6))
+    found = R.retrieve_topk(test, R.build_index(ranked, 8), 8)
+    return found.select("query_id", "rank", "case_id", "score")
 
 
 _PAIR_DOT = " + ".join(f"a.u{i} * b.u{i}" for i in range(1, 9))

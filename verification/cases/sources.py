@@ -1,13 +1,17 @@
 from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
-from surveyalign.operators import metrics as M
+from surveyalign.operators import retrieval as R
 from surveyalign.operators.features import TabularEncoder
 from surveyalign.operators.report import results_frame
 from surveyalign.session import shared_dir
 from surveyalign.sources import artifacts, runs, tables
 from verification import survey_tables as st
 from verification.cases import case
+from verification.cases.features import _SUMMARY as SUMMARY
+from verification.cases.features import mode_mean_prototypes
+from verification.cases.metrics import ALL_METRICS, SUBGROUP_METRICS
+from verification.cases.retrieval import parts
 
 RUN = ["model", "fewshot_ratio", "seed"]
 
@@ -41,34 +45,41 @@ def read_survey_tables(spark, sf):
         tables.read_survey_tables(spark, {role: f"{sf}/{name}.parquet" for role, name in paths.items()}))
 
 
-_FILE_METRICS = """
-SELECT model || '_ratio' || printf('%.2f', fewshot_ratio) || '_seed' || CAST(seed AS STRING) AS source_file,
-       model || '_' || metric AS metric, round(value, 6) AS value
-FROM (UNPIVOT run_metrics ON accuracy, macro_f1, weighted_f1, mode_share_mae, mode_share_js INTO NAME metric VALUE value)"""
+_RUN_FILE = "model || '_ratio' || printf('%.2f', fewshot_ratio) || '_seed' || CAST(seed AS STRING)"
+_FILE_METRICS = f"""
+SELECT {_RUN_FILE} AS source_file, model || '_' || metric AS metric, round(value, 6)::DOUBLE AS value FROM ({ALL_METRICS})"""
+
+
+def _metrics(spark, sf):
+    """Long metrics and subgroup metrics of all runs, tallied once per session."""
+    return st.run_metrics(spark, sf)
 
 
 def _write_metrics(spark, sf):
-    metrics, _ = M.evaluate_all(st.run_predictions(spark, sf), RUN)
     path = shared_dir(spark, "metrics")
-    runs.write_metrics(metrics, path)
+    runs.write_metrics(_metrics(spark, sf)[0], path)
     return path
 
 
-@case("write_metrics", """
-SELECT model || '_ratio' || printf('%.2f', fewshot_ratio) || '_seed' || CAST(seed AS STRING) AS run,
-       round(accuracy, 6) AS accuracy FROM run_micro""")
+@case("write_metrics", _FILE_METRICS.replace("source_file", "run"))
 def write_metrics(spark, sf):
+    """The written objects, read as plain text files."""
     objects = spark.read.text(_write_metrics(spark, sf))
-    model = F.regexp_extract("run", r"^(.+?)_ratio", 1)
-    accuracy = F.from_json("value", "map<string,double>")[F.concat(model, F.lit("_accuracy"))]
-    return objects.select("run", F.round(accuracy, 6).alias("accuracy"))
+    return objects.select("run", F.explode(F.from_json("value", "map<string,double>")).alias("metric", "value")).withColumn(
+        "value", F.round("value", 6))
+
+
+@case("write_subgroup_metrics", SUBGROUP_METRICS.replace("model, fewshot_ratio, seed, subgroup,", f"{_RUN_FILE} AS source_file, subgroup,", 1))
+def write_subgroup_metrics(spark, sf):
+    path = shared_dir(spark, "subgroups")
+    runs.write_subgroup_metrics(_metrics(spark, sf)[1], path)
+    loaded = runs.load_subgroup_metrics(spark, path)
+    return loaded.withColumns({c: F.round(c, 6) for c in ("mode_share_mae", "mode_share_js")})
 
 
 @case("load_all_metrics", _FILE_METRICS)
 def load_all_metrics(spark, sf):
-    loaded = runs.load_all_metrics(spark, _write_metrics(spark, sf))
-    return loaded.where(F.col("metric").rlike("_(accuracy|macro_f1|weighted_f1|mode_share_mae|mode_share_js)$")).select(
-        "source_file", "metric", F.round("value", 6).alias("value"))
+    return runs.load_all_metrics(spark, _write_metrics(spark, sf)).withColumn("value", F.round("value", 6))
 
 
 @case("results_frame", """
@@ -101,18 +112,36 @@ def save_load_artifacts(spark, sf):
     return again.select("case_id", *[F.round(F.col("features")[i - 1], 6).alias(f"z{i}") for i in range(1, 9)])
 
 
-@case("crosswalk_table", """
-SELECT field, survey_year, raw_code, code, count(*) AS n_trips FROM (
-  SELECT 'trip_purpose' AS field, survey_year, pur AS raw_code,
-         CASE pur WHEN 1 THEN 1 WHEN 2 THEN 2 WHEN 3 THEN 7 WHEN 4 THEN 1 WHEN 5 THEN 7 END AS code FROM fx_tp
-  UNION ALL
-  SELECT 'main_mode', survey_year, mode_raw, mode_raw FROM fx_tp WHERE mode_raw <= 9)
-WHERE code IS NOT NULL GROUP BY ALL""")
+_CROSSWALK_ROWS = ", ".join(
+    f"('{field}', {year}, {raw}, {code})" for (field, year), mapping in fv.CROSSWALKS.items() for raw, code in mapping.items())
+
+
+@case("crosswalk_table", f"""
+SELECT x.field, x.survey_year, x.raw_code, x.code, COALESCE(n, 0) AS n_trips FROM (VALUES {_CROSSWALK_ROWS}) x(field, survey_year, raw_code, code)
+LEFT JOIN (SELECT 'trip_purpose' AS field, survey_year, pur AS raw_code, count(*) AS n FROM fx_tp GROUP BY ALL
+  UNION ALL SELECT 'main_mode', survey_year, mode_raw, count(*) FROM fx_tp GROUP BY ALL) u
+ON x.field = u.field AND x.survey_year = u.survey_year AND x.raw_code = u.raw_code""")
 def crosswalk_table(spark, sf):
-    """The mappings that occur in the trips, with their use."""
+    """Every mapping, with the trips that use it where trips have the field."""
     coded = st.trip(spark, sf).select("survey_year", F.inline(F.array(
         F.struct(F.lit("trip_purpose").alias("field"), F.col("pur").alias("raw_code")),
         F.struct(F.lit("main_mode").alias("field"), F.col("mode_raw").alias("raw_code")))))
     keys = ["field", "survey_year", "raw_code"]
     used = coded.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_trips"))
-    return tables.crosswalk_table(spark).join(used, keys).select(*keys, "code", "n_trips")
+    return tables.crosswalk_table(spark).join(used, keys, "left").select(*keys, "code", F.coalesce("n_trips", F.lit(0)).alias("n_trips"))
+
+
+@case("save_prototypes", f"SELECT prototype_id, {SUMMARY} AS summary FROM fx_proto")
+def save_prototypes(spark, sf):
+    path = shared_dir(spark, "prototypes")
+    artifacts.save_prototypes(mode_mean_prototypes(spark, sf), path)
+    return artifacts.load_prototypes(spark, path).prototypes.select("prototype_id", "summary")
+
+
+@case("save_index", "SELECT query_id, rank, case_id, score FROM fx_few_neighbours")
+def save_index(spark, sf):
+    """Neighbours from a stored and reloaded index."""
+    _encoder, _historical, few, test = parts(spark, sf)
+    path = shared_dir(spark, "index")
+    artifacts.save_index(R.build_index(few, 8), path)
+    return R.retrieve_topk(test, artifacts.load_index(spark, path), 8).select("query_id", "rank", "case_id", "score")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from surveyalign.functions import fixed_values as fv
 from surveyalign.operators.filters import apply_all_filters
 from surveyalign.operators.harmonize import harmonize_2011, harmonize_2022
+from surveyalign.operators.metrics import evaluate_all
 from surveyalign.operators.joins import join_zone_lookup, load_joined_2011, load_joined_2022
 from surveyalign.operators.setops import union_years
 from surveyalign.plans.survey import harmonized_dataset
@@ -185,6 +186,14 @@ def run_predictions(spark, sf_dir) -> DataFrame:
         .withColumn("predicted_mode", predicted).drop("shift", "skill"))
 
 
+def run_metrics(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Long metrics and subgroup metrics of all runs, evaluated once per session and stored."""
+    def build():
+        metrics, subgroups = evaluate_all(run_predictions(spark, sf_dir), RUN_KEYS)
+        return materialize(metrics, "metrics"), materialize(subgroups, "subgroups")
+    return stored_object(spark, sf_dir, "run metrics", build)
+
+
 def responses(spark, sf_dir) -> DataFrame:
     """Model responses that take every branch of the parser."""
     case = F.col("trip_no") % 10
