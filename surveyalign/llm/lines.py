@@ -12,7 +12,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -241,40 +240,96 @@ def _shared_lines(plan: Plan):
     return run
 
 
+class TileRows:
+    """Rows of whole tiles, tile after tile, each line once per tile and in the order of first occurrence."""
+
+    def __init__(self, table: pa.Table):
+        get = lambda name: table.column(name).to_numpy()
+        key, i, j = get("key"), get("i"), get("j")
+        tile = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])]))
+        index = table.column("is_index").to_numpy().astype(bool)
+        block, place, doc = get("block"), get("place"), get("doc")
+        order = np.lexsort((~index, place, block, tile))
+        same = (tile[order][1:] == tile[order][:-1]) & (block[order][1:] == block[order][:-1]) & (place[order][1:] == place[order][:-1])
+        order = order[np.concatenate([[True], ~same])]
+        order = order[np.lexsort((place[order], block[order], doc[order], tile[order]))]
+        self.tile, self.index, self.block, self.place = tile[order], index[order], block[order], place[order]
+        self.chunk, self.mixed = get("c")[order], (i != j)[order]
+        texts = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in table.column("line").take(pa.array(order)).to_pylist()]
+        self.length = np.array([len(t) for t in texts], np.int64)
+        self.base = np.cumsum(self.length) - self.length
+        self.codes = np.concatenate(texts)
+        counts = np.bincount(self.tile)
+        self.count, self.first = counts[self.tile], (np.cumsum(counts) - counts)[self.tile]
+
+    def pairs(self, edits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """(row that holds the key as its own segment, row that probes it) of lines that may be close, some at a time."""
+        own = np.flatnonzero(self.index)
+        ends = np.cumsum(self.count[own])
+        at = 0
+        while at < len(own):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000)))
+            rows = own[at:stop]
+            at = stop
+            a = np.repeat(rows, self.count[rows])
+            b = np.arange(len(a)) - np.repeat(np.cumsum(self.count[rows]) - self.count[rows], self.count[rows]) + self.first[a]
+            more = self.length[b] - self.length[a]
+            keep = (a != b) & (more >= 0) & (more <= edits) & (~self.mixed[a] | (self.chunk[a] != self.chunk[b]))
+            # Two lines of one length may probe each other; once is enough.
+            keep &= (more > 0) | ~self.index[b] | (a < b)
+            yield a[keep], b[keep]
+
+    def padded(self, rows: np.ndarray, width: int, filler: int) -> np.ndarray:
+        column = np.arange(width)
+        inside = column[None, :] < self.length[rows, None]
+        return np.where(inside, self.codes[np.minimum(self.base[rows, None] + column[None, :], len(self.codes) - 1)], np.uint32(filler))
+
+    def later(self, edits: int) -> np.ndarray:
+        """Rows within ``edits`` edits of an earlier row of their tile."""
+        out = np.zeros(len(self.tile), bool)
+        for a, b in self.pairs(edits):
+            order = np.argsort(self.length[b], kind="stable")
+            a, b = a[order], b[order]
+            k = 0
+            while k < len(a):
+                # As many pairs as fit; long lines take fewer at a time.
+                step = max(1, min(PAIRS, 4_000_000 // (int(self.length[b[min(k + PAIRS, len(a)) - 1]]) + 1)))
+                x, y = a[k:k + step], b[k:k + step]
+                k += step
+                todo = ~out[np.maximum(x, y)]
+                x, y = x[todo], y[todo]
+                if len(x):
+                    width = int(self.length[y].max())
+                    close = within(self.padded(x, width, 0xFFFFFFFE), self.length[x], self.padded(y, width, 0xFFFFFFFD), self.length[y], edits)
+                    out[np.maximum(x, y)[close]] = True
+        return out
+
+
 def _later_lines(edits: int):
-    """(block, place) of lines of a tile that are within ``edits`` edits of an earlier one."""
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("is_index", ascending=False).drop_duplicates(["block", "place"])
-        pdf = pdf.sort_values(["doc", "block", "place"]).reset_index(drop=True)
-        texts = [np.frombuffer(t.encode("utf-32-le"), "<u4") for t in pdf["line"]]
-        n = np.array([len(t) for t in texts])
-        index, chunk = pdf["is_index"].to_numpy(), pdf["c"].to_numpy()
-        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-        # The shorter line of a pair holds the key as its own segment.
-        apart = chunk[:, None] != chunk[None, :] if i != j else np.ones((len(n), len(n)), bool)
-        a, b = np.nonzero(apart & index[:, None] & (n[:, None] <= n[None, :]) & (n[None, :] - n[:, None] <= edits))
-        keep = (a != b) & ((n[a] < n[b]) | ~index[b] | (a < b))
-        a, b = a[keep], b[keep]
-        order = np.argsort(n[b], kind="stable")
-        a, b = a[order], b[order]
-        later = np.zeros(len(n), bool)
-        k = 0
-        while k < len(a):
-            # As many pairs as fit; long lines take fewer at a time.
-            step = max(1, min(PAIRS, 4_000_000 // (int(n[b[min(k + PAIRS, len(a)) - 1]]) + 1)))
-            x, y = a[k:k + step], b[k:k + step]
-            k += step
-            loser = np.maximum(x, y)
-            todo = ~later[loser]
-            x, y, loser = x[todo], y[todo], loser[todo]
-            if not len(x):
+    """(block, place) of lines that are within ``edits`` edits of an earlier line of their tile.
+
+    Tiles arrive sorted; those that a batch completes are verified together, as most are pairs.
+    """
+    def verified(table: pa.Table) -> pa.RecordBatch:
+        rows = TileRows(table)
+        later = rows.later(edits)
+        return pa.record_batch([pa.array(rows.block[later]), pa.array(rows.place[later])], ["block", "place"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            width = int(n[y].max())
-            left, right = np.full((len(x), width), 0xFFFFFFFE, np.uint32), np.full((len(x), width), 0xFFFFFFFD, np.uint32)
-            for r, (p, q) in enumerate(zip(x, y)):
-                left[r, :n[p]], right[r, :n[q]] = texts[p], texts[q]
-            later[loser[within(left, n[x], right, n[y], edits)]] = True
-        return pdf.loc[later, ["block", "place"]]
+            table = pa.Table.from_batches([batch])
+            table = table if rest is None else pa.concat_tables([rest, table])
+            last = [table.column(c)[-1] for c in ("key", "i", "j")]
+            open_ = np.logical_and.reduce([table.column(c).to_numpy() == v.as_py() for c, v in zip(("key", "i", "j"), last)])
+            cut = int(np.argmax(open_))
+            if cut:
+                yield verified(table.slice(0, cut).combine_chunks())
+            rest = table.slice(cut)
+        if rest is not None:
+            yield verified(rest.combine_chunks())
     return run
 
 
@@ -290,7 +345,8 @@ def _near_copies(shared: DataFrame, edits: int) -> DataFrame:
     spread = shared.join(counts.select("key", chunks.alias("chunks")), "key").withColumn("c", chunk)
     tiles = spread.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select(
         "key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "c", "is_index", "block", "place", "doc", "line")
-    found = tiles.groupBy("key", "i", "j").applyInPandas(_later_lines(edits), "block long, place long")
+    sorted_tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    found = sorted_tiles.mapInArrow(_later_lines(edits), "block long, place long")
     return found.groupBy("block").agg(F.collect_set("place").alias("places"))
 
 
