@@ -50,6 +50,12 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
+def distinct(values: np.ndarray) -> np.ndarray:
+    """Sorted distinct values; a plain sort is several times faster here than ``np.unique``."""
+    values = np.sort(values)
+    return values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values
+
+
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the row offsets into them; null counts as empty."""
     if isinstance(column, pa.ChunkedArray):

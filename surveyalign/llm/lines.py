@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyalign.llm.common import fresh_name, materialize, mix, text_buffer
+from surveyalign.llm.common import distinct, fresh_name, materialize, mix, text_buffer
 from surveyalign.llm.exchange import answered, in_order, pack_sorted, question_schema, slab_count, slab_cuts, to_blocks, unpack_batch
 from surveyalign.llm.passages import LAST_ID, _bits, _earlier_elsewhere, _member, _question_rows, _seen_twice, _window_question
 
@@ -181,8 +181,8 @@ class Plan:
         return keys >> np.uint64(64 - self.bits)
 
     def cell_question(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        distinct = np.unique(cells)
-        return distinct, slab_cuts(distinct, self.key_slabs, 1 << self.bits)
+        values = distinct(cells)
+        return values, slab_cuts(values, self.key_slabs, 1 << self.bits)
 
 
 def _slab_rows(block: int, values, cuts, packed) -> pa.RecordBatch:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyalign.llm.common import lowered, materialize, slices, span_hashes, text_buffer, window_hashes, window_rows, word_spans
+from surveyalign.llm.common import distinct, lowered, materialize, slices, span_hashes, text_buffer, window_hashes, window_rows, word_spans
 from surveyalign.llm.components import connected_components
 
 KEPT_VALUES = 48
@@ -54,7 +54,7 @@ def shingle_sets(column: pa.Array, size: int) -> list[np.ndarray]:
     out = []
     for r in range(len(rows) - 1):
         if cuts[r + 1] > cuts[r]:
-            out.append(np.unique(found[cuts[r]:cuts[r + 1]]))
+            out.append(distinct(found[cuts[r]:cuts[r + 1]]))
         else:
             own = words[first[r]:first[r + 1]]
             out.append(window_hashes(own, len(own)) if len(own) else np.zeros(0, np.uint64))

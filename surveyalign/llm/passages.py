@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyalign.llm.common import covered, fresh_name, materialize, mix, span_hashes, text_buffer, window_hashes, window_rows, word_spans
+from surveyalign.llm.common import covered, distinct, fresh_name, materialize, mix, span_hashes, text_buffer, window_hashes, window_rows, word_spans
 from surveyalign.llm.exchange import (answered, in_order, pack_sorted, question_schema, slab_count, slab_cuts, to_blocks, unpack_batch,
                                       unpack_sorted)
 
@@ -50,7 +50,7 @@ class Block:
 
     def repeated_here(self) -> np.ndarray:
         """Windows that two documents of this block hold, judged by their hash."""
-        order = np.lexsort((self.row, self.hashes))
+        order = np.argsort(self.hashes, kind="stable")  # windows come row after row
         h, r = self.hashes[order], self.row[order]
         out = np.zeros(len(h), bool)
         if len(h) > 1:
@@ -83,8 +83,8 @@ class Block:
 def _seen_twice(asked: list[bytes]) -> list[bytes]:
     """One bit per asked cell: another block asks for it too."""
     cells = [unpack_sorted(a) for a in asked]
-    values, counts = np.unique(np.concatenate(cells), return_counts=True)
-    hot = values[counts > 1]
+    values = np.sort(np.concatenate(cells))
+    hot = distinct(values[1:][values[1:] == values[:-1]])
     return [np.packbits(_member(hot, c)).tobytes() for c in cells]
 
 
@@ -137,7 +137,7 @@ class Plan:
         return Block(table.column(self.text_at), table.column(self.id_at), self.size)
 
     def cell_questions(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        cells = np.unique(np.concatenate(block.cells(self.bits, self.depth)))
+        cells = distinct(np.concatenate(block.cells(self.bits, self.depth)))
         return cells, slab_cuts(cells, self.slabs, self.depth << self.bits)
 
     def maybe_repeated(self, block: Block, answers: dict[int, bytes]) -> np.ndarray:
