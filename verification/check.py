@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -61,7 +62,8 @@ def main() -> None:
 
     sf_dir, names = sys.argv[1], sys.argv[2:]
     spark = build_session(master="local[8]", **{
-        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g"})
+        "spark.sql.shuffle.partitions": "8", "spark.ui.enabled": "false", "spark.driver.memory": "12g",
+        "spark.checkpoint.dir": tempfile.mkdtemp(prefix="check-")})
     spark.sparkContext.setLogLevel("ERROR")
     cases.load_all()
     con = oracle_connection(sf_dir)

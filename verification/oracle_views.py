@@ -222,5 +222,8 @@ def with_views(sql: str) -> str:
     visit(sql)
     if not used:
         return sql.strip()
-    ctes = ",\n".join(f"{name} AS ({VIEWS[name].strip()})" for name in VIEWS if name in used)
+    texts = [sql, *(VIEWS[name] for name in used)]
+    # What several parts read is computed once.
+    shared = {name for name in used if sum(len(re.findall(rf"\b{name}\b", t)) for t in texts) > 1}
+    ctes = ",\n".join(f"{name} AS {'MATERIALIZED ' if name in shared else ''}({VIEWS[name].strip()})" for name in VIEWS if name in used)
     return f"WITH {ctes}\n{sql.strip()}"
