@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from surveyalign.llm.common import (covered, fresh_name, slices, span_hashes, text_buffer, window_hashes, window_rows,
                                     word_spans, mix)
 
-MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_upper", "n_letters"]
+MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_letter_words", "n_upper", "n_letters", "n_stutters"]
 
 WINDOW = 8
 
@@ -28,9 +28,10 @@ RULES = {
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "10 * n_symbols > n_words",
     "word_length": "word_chars < 3 * n_words OR word_chars > 10 * n_words",
-    "duplicate_lines": "100 * n_dup_lines > 30 * n_lines",
-    "few_letter_words": "100 * n_letter_words < 80 * n_words",
+    "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
+    "few_letter_words": "100 * n_letter_words < 60 * n_words",
     "upper_case": "2 * n_upper > n_letters",
+    "stutter": "100 * n_stutters > 30 * n_words",
 }
 
 #: The two rules that every policy holds.
@@ -90,8 +91,12 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
     repeated = np.ones(len(key), bool)
     repeated[np.unique(key, return_index=True)[1]] = False
 
+    words = span_hashes(data, starts, ends)
+    again = np.zeros(len(words), bool)
+    again[1:] = words[1:] == words[:-1]
+    again[first[:-1][n_words > 0]] = False
     at, window_row = window_rows(first, WINDOW)
-    key = window_hashes(span_hashes(data, starts, ends), WINDOW)[at] ^ mix(window_row.astype(np.uint64) + np.uint64(1))
+    key = window_hashes(words, WINDOW)[at] ^ mix(window_row.astype(np.uint64) + np.uint64(1))
     _, inverse, counts = np.unique(key, return_inverse=True, return_counts=True)
     hit = covered(at[counts[inverse] > 1] if len(at) else at, WINDOW, len(starts))
     return {
@@ -104,6 +109,7 @@ def measure(column: pa.Array) -> dict[str, np.ndarray]:
         "n_letter_words": _per_row(letter_word, first),
         "n_upper": _per_row(_UPPER[data], rows),
         "n_letters": _per_row(_LETTER[data], rows),
+        "n_stutters": _per_row(again, first),
     }
 
 

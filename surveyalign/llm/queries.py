@@ -32,7 +32,8 @@ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list
   CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
   len(list_filter(words, lambda x: regexp_matches(x, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]'))) AS n_letter_words,
-  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters
+  length(regexp_replace(text, '[^A-Z]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS n_letters,
+  len(list_filter(range(2, len(words) + 1), lambda i: words[i] = words[i - 1])) AS n_stutters
   FROM w LEFT JOIN dl USING (doc_id) LEFT JOIN rep USING (doc_id))"""
 
 
@@ -40,8 +41,8 @@ m AS (SELECT w.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(list
 WITH {_RULE_SQL},
 b AS (SELECT *, CASE WHEN n_words < 20 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 30 * n_words THEN 2 ELSE 0 END
   + CASE WHEN 10 * n_symbols > n_words THEN 4 ELSE 0 END + CASE WHEN word_chars < 3 * n_words OR word_chars > 10 * n_words THEN 8 ELSE 0 END
-  + CASE WHEN 100 * n_dup_lines > 30 * n_lines THEN 16 ELSE 0 END + CASE WHEN 100 * n_letter_words < 80 * n_words THEN 32 ELSE 0 END
-  + CASE WHEN 2 * n_upper > n_letters THEN 64 ELSE 0 END AS bits FROM m)
+  + CASE WHEN 100 * n_dup_lines > 50 * n_lines THEN 16 ELSE 0 END + CASE WHEN 100 * n_letter_words < 60 * n_words THEN 32 ELSE 0 END
+  + CASE WHEN 2 * n_upper > n_letters THEN 64 ELSE 0 END + CASE WHEN 100 * n_stutters > 30 * n_words THEN 128 ELSE 0 END AS bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (bits & 3) <> 0 AS base_failed, bits = 0 AS kept, CAST(bits AS INT) AS fail_bits FROM b""")
 def op2_quality_rules(spark, sf_dir):
     """The ledger of all documents under the newest policy."""

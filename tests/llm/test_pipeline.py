@@ -16,8 +16,8 @@ from surveyalign.llm import quality as Q
 def good(text):
     m = measures(text)
     return not (m["n_words"] < 20 or 100 * m["n_repeat_words"] > 30 * m["n_words"] or 10 * m["n_symbols"] > m["n_words"]
-                or not 3 * m["n_words"] <= m["word_chars"] <= 10 * m["n_words"] or 100 * m["n_dup_lines"] > 30 * m["n_lines"]
-                or 100 * m["n_letter_words"] < 80 * m["n_words"] or 2 * m["n_upper"] > m["n_letters"])
+                or not 3 * m["n_words"] <= m["word_chars"] <= 10 * m["n_words"] or 100 * m["n_dup_lines"] > 50 * m["n_lines"]
+                or 100 * m["n_letter_words"] < 60 * m["n_words"] or 2 * m["n_upper"] > m["n_letters"] or 100 * m["n_stutters"] > 30 * m["n_words"])
 
 
 def strip_words(text, gone):

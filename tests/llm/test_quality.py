@@ -17,7 +17,8 @@ def brute(text):
         "n_words": len(words), "word_chars": sum(map(len, words)), "n_symbols": sum(text.count(c) for c in "#*$%&|<>"),
         "n_dup_lines": len(lines) - len(set(lines)), "n_repeat_words": len(hit), "n_lines": len(lines),
         "n_letter_words": sum(bool(re.search(r"[A-Za-z\x80-\U0010FFFF]", w)) for w in words),
-        "n_upper": sum("A" <= c <= "Z" for c in text), "n_letters": sum(c.isascii() and c.isalpha() for c in text)}
+        "n_upper": sum("A" <= c <= "Z" for c in text), "n_letters": sum(c.isascii() and c.isalpha() for c in text),
+        "n_stutters": sum(a == b for a, b in zip(words, words[1:]))}
 
 
 def test_measures_equal_brute_force(edge_docs, sample_docs):
