@@ -19,9 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyalign.llm.common import slices
+from surveyalign.llm.common import Remembered, slices
 
-#: Encoded pre-tokens that one worker remembers; the memory is emptied when full.
+#: Encoded pre-tokens in each of the two generations that a worker remembers.
 REMEMBERED = 200_000
 
 
@@ -86,7 +86,7 @@ class Encoder:
         self.whole = PerfectHash(keys, values)
         self.ranks = dict(zip(keys, values))
         self.split = regex.compile(pattern).findall
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self.encode_piece, REMEMBERED)
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of a pre-token outside the vocabulary.
@@ -132,15 +132,8 @@ class Encoder:
         return array("i", [whole] if whole is not None else self.merge(raw)).tobytes()
 
     def encode(self, text: str) -> np.ndarray:
-        known = self.known
-        pieces = self.split(text)
-        new = set(pieces).difference(known)
-        if len(known) + len(new) > REMEMBERED:
-            known.clear()
-            new = set(pieces)
-        for piece in new:
-            known[piece] = self.encode_piece(piece)
-        return np.frombuffer(b"".join(map(known.__getitem__, pieces)), np.int32)
+        self.known.rest()
+        return np.frombuffer(b"".join(map(self.known.__getitem__, self.split(text))), np.int32)
 
 
 class Decoder:

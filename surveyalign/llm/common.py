@@ -50,6 +50,30 @@ def mix(h: np.ndarray) -> np.ndarray:
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64) * _STEP)
 
 
+class Remembered(dict):
+    """Values by key, computed when first asked for.
+
+    ``rest`` ends a unit of work: a generation that has grown over ``limit`` becomes the older
+    one, whose values are taken over as they are asked for and forgotten with the next.
+    """
+
+    def __init__(self, compute, limit: int):
+        super().__init__()
+        self.compute, self.limit, self.older = compute, limit, {}
+
+    def __missing__(self, key):
+        value = self.older.get(key)
+        if value is None:
+            value = self.compute(key)
+        self[key] = value
+        return value
+
+    def rest(self) -> None:
+        if len(self) > self.limit:
+            self.older = dict(self)
+            self.clear()
+
+
 def distinct(values: np.ndarray) -> np.ndarray:
     """Sorted distinct values; a plain sort is several times faster here than ``np.unique``."""
     values = np.sort(values)

@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from surveyalign.llm.common import materialize, slices
+from surveyalign.llm.common import Remembered, materialize, slices
 
 SEQUENCE = 4096
 END_ID = 2
 
-#: Tokenised words that one worker remembers; the memory is emptied when full.
-REMEMBERED = 500_000
+#: Tokenised words in each of the two generations that a worker remembers.
+REMEMBERED = 250_000
 
 #: Words of letters that stay letters, one for one, under NFC and lower case.
 PLAIN = re.compile(r"[A-Za-zÀ-ÖØ-öø-įªµº]+").fullmatch
@@ -54,7 +54,7 @@ class WordTokenizer:
         self.inner = Tokenizer.from_file(path)
         self.inner.encode_special_tokens = True
         self.model = self.inner.model
-        self.known: dict[str, bytes] = {}
+        self.known = Remembered(self.word, REMEMBERED)
 
     def word(self, word: str) -> bytes:
         if not word:
@@ -62,24 +62,15 @@ class WordTokenizer:
         if not PLAIN(word):
             return array("I", self.inner.encode(word, add_special_tokens=False).ids).tobytes()
         low = word.lower()
-        if low != word and low in self.known:
+        if low != word:
             return self.known[low]
         piece = low if low.isascii() else low.encode().decode("latin-1").translate(BYTE_LETTERS)
-        ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
-        if low != word:
-            self.known[low] = ids
-        return ids
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        split = [BEFORE_MARK.sub(r"\1 ", t).replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = {w for words in split for w in words}.difference(self.known)
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known.clear()
-            new = {w for words in split for w in words}
-        for word in new:
-            self.known[word] = self.word(word)
+        self.known.rest()
         get = self.known.__getitem__
-        return [b"".join(map(get, words)) for words in split]
+        return [b"".join(map(get, BEFORE_MARK.sub(r"\1 ", t).replace("\n", " ").split(" "))) if t else b"" for t in texts]
 
 
 @lru_cache(maxsize=2)
