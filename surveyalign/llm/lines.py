@@ -32,8 +32,9 @@ CELLS_PER_KEY = 64
 
 TILE = 256
 
-#: Pairs that one call of the edit distance takes.
-PAIRS = 20_000
+#: Pairs that one call of the edit distance takes, and bytes of lines hashed at a time.
+PAIRS = 10_000
+KEY_BYTES = 1 << 19
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -129,7 +130,17 @@ class Lines:
         return self.high, self.low, self.ids[self.row[self.first]], slab_cuts(self.high, slabs, 1 << 64)
 
     def keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(key, index into ``lines``, is an index key) of every probe and segment of the lines."""
+        """(key, index into ``lines``, is an index key) of every probe and segment of the lines; some lines at a time."""
+        ends = np.cumsum([len(self.raw[i]) for i in lines])
+        parts, at = [], 0
+        while at < len(lines):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + KEY_BYTES)))
+            keys, owner, index = self._keys(lines[at:stop])
+            parts.append((keys, owner + at, index))
+            at = stop
+        return tuple(np.concatenate(p) for p in zip(*parts)) if parts else self._keys(lines)
+
+    def _keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         texts = [np.frombuffer(self.raw[i].decode().encode("utf-32-le"), "<u4") for i in lines]
         length = np.array([len(t) for t in texts], np.int64)
         flat = np.concatenate(texts) if texts else np.zeros(0, np.uint32)
@@ -226,9 +237,9 @@ def _shared_lines(plan: Plan):
                     if cuts[s + 1] > cuts[s]:
                         hot[cuts[s]:cuts[s + 1]] = _bits(answers[s], cuts[s + 1] - cuts[s])
                 # Two lines of this block may share a key that no other block has.
-                pairs = np.unique(np.stack([own, owner.astype(np.uint64)], axis=1), axis=0)
-                several, counts = np.unique(pairs[:, 0], return_counts=True)
-                several = several[counts > 1]
+                order = np.lexsort((owner, own))
+                cell, line = own[order], owner[order]
+                several = distinct(cell[1:][(cell[1:] == cell[:-1]) & (line[1:] != line[:-1])])
                 chosen = np.flatnonzero(_member(cells[hot], own) | _member(several, own))
                 line = lines[owner[chosen]]
                 for k in range(0, len(chosen), 5000):
@@ -293,7 +304,7 @@ class TileRows:
             k = 0
             while k < len(a):
                 # As many pairs as fit; long lines take fewer at a time.
-                step = max(1, min(PAIRS, 4_000_000 // (int(self.length[b[min(k + PAIRS, len(a)) - 1]]) + 1)))
+                step = max(1, min(PAIRS, 2_000_000 // (int(self.length[b[min(k + PAIRS, len(a)) - 1]]) + 1)))
                 x, y = a[k:k + step], b[k:k + step]
                 k += step
                 todo = ~out[np.maximum(x, y)]

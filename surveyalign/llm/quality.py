@@ -126,7 +126,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 20):
                 found = measure(part.column("text"))
                 yield pa.record_batch([part.column("id"), *(pa.array(found[m], pa.int64()) for m in MEASURES)], ["id", *MEASURES])
 
@@ -172,7 +172,7 @@ def keep_good(docs: DataFrame, policy: str = "v2", text_col: str = "text") -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, inner[where]):
+            for part in slices(batch, inner[where], 1 << 20):
                 found = measure(part.column(where))
                 yield pa.record_batch([*part.columns, *(pa.array(found[m], pa.int64()) for m in MEASURES)], [*inner, *MEASURES])
 
