@@ -42,8 +42,8 @@ def _local_root() -> str:
     return root
 
 
-def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path under the folder that ``spark.checkpoint.dir`` names.
+def shared_root(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names.
 
     Where the setting is missing a temporary folder is used, but only when the driver
     and the executors are one process; a cluster without a shared folder is an error.
@@ -53,7 +53,12 @@ def shared_dir(spark: SparkSession, name: str) -> str:
         if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         root = _local_root()
-    own = f"{root.rstrip('/')}/surveyalign/{spark.sparkContext.applicationId}"
+    return root.rstrip("/")
+
+
+def shared_dir(spark: SparkSession, name: str) -> str:
+    """A new path in the application's own part of the shared folder, which goes when the application ends."""
+    own = f"{shared_root(spark)}/surveyalign/{spark.sparkContext.applicationId}"
     _delete_at_the_end(spark, own)
     return f"{own}/{name}-{uuid.uuid4().hex}"
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
 from surveyalign.operators import aggregates, audit, filters, harmonize, joins, report, sampling
-from surveyalign.session import shared_dir
+from surveyalign.session import shared_dir, shared_root
 from surveyalign.sources import runs, tables
 from verification import survey_tables as st
 
@@ -209,8 +209,8 @@ def test_shared_folder_is_required_on_a_cluster():
         return SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master=master))
 
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        shared_dir(session("spark://host:7077"), "t")
-    assert shared_dir(session("local[2]"), "t") != shared_dir(session("local[2]"), "t")
+        shared_root(session("spark://host:7077"))
+    assert shared_root(session("local[2]"))
 
 
 def test_hot_household_is_split_at_run_time(spark):
