@@ -11,7 +11,6 @@ estimates its similarity, and the full shingle sets verify what the estimate let
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np

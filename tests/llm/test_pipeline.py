@@ -7,10 +7,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from test_lines import brute as brute_lines
 from test_minhash import brute_components
-from test_passages import brute_kept, covered_words
+from test_passages import covered_words
 from test_quality import brute as measures
 
-from surveyalign.llm import quality as Q
 
 
 def good(text):
