@@ -213,3 +213,13 @@ Trip details:
 - Journey time: {journey_time}
 
 Predict the main transport mode for this trip."""
+
+# Texts of examples and of prototypes inside prompts.
+EXAMPLE_TEXT = """  Profile: {age_group} {sex}, {employment_status}, car:{car_availability}
+  Trip: {trip_purpose} trip, {departure_period}, ~{journey_time}"""
+EXAMPLE_LABEL_TEXT = """
+  → Mode: {mode}"""
+NO_EXAMPLES_TEXT = "  (none)"
+PROTOTYPE_SUMMARY_TEXT = """Behavioral Group {prototype_id}: {label}
+  Size: {n} historical travelers
+  Mode share (2011): {shares}"""

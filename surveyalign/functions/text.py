@@ -71,19 +71,17 @@ def demonstration(source: Column | None = None) -> Column:
 
 def example_text(example: Column, with_label: bool = True) -> Column:
     person, household, trip = example["person"], example["household"], example["trip"]
-    parts = [
-        F.lit("  Profile: "), person["age_group"], F.lit(" "), person["sex"], F.lit(", "),
-        person["employment_status"], F.lit(", car:"), household["car_availability"],
-        F.lit("\n  Trip: "), trip["trip_purpose"], F.lit(" trip, "), trip["departure_period"],
-        F.lit(", ~"), trip["journey_time"],
-    ]
-    if with_label:
-        parts += [F.lit("\n  → Mode: "), example["label"]["main_mode_label"]]
-    return F.concat(*parts)
+    values = {
+        "age_group": person["age_group"], "sex": person["sex"], "employment_status": person["employment_status"],
+        "car_availability": household["car_availability"], "trip_purpose": trip["trip_purpose"],
+        "departure_period": trip["departure_period"], "journey_time": trip["journey_time"],
+        "mode": example["label"]["main_mode_label"],
+    }
+    return fill(fv.EXAMPLE_TEXT + (fv.EXAMPLE_LABEL_TEXT if with_label else ""), values)
 
 
 def examples_text(examples: Column, max_examples: int = 4, with_label: bool = True) -> Column:
-    """The first ``max_examples`` demonstrations as numbered text, "  (none)" for no example."""
+    """The first ``max_examples`` demonstrations as numbered text, a fixed text for no example."""
     numbered = F.transform(
         F.slice(examples, 1, max_examples),
         lambda ex, i: F.concat(
@@ -91,7 +89,7 @@ def examples_text(examples: Column, max_examples: int = 4, with_label: bool = Tr
         ),
     )
     text = F.array_join(numbered, "\n")
-    return F.when(F.coalesce(F.size(examples), F.lit(0)) > 0, text).otherwise(F.lit("  (none)"))
+    return F.when(F.coalesce(F.size(examples), F.lit(0)) > 0, text).otherwise(F.lit(fv.NO_EXAMPLES_TEXT))
 
 
 def fill(template: str, values: dict[str, Column]) -> Column:
@@ -173,8 +171,5 @@ def prototype_summary(prototype_id: Column, label: Column, n: Column, mode_share
         F.when(mode_share[code] > 0, F.concat(F.lit(f"{name}="), percent_text(mode_share[code])))
         for code, name in fv.MODE_LABELS.items()
     ]))
-    return F.concat(
-        F.lit("Behavioral Group "), prototype_id.cast("string"), F.lit(": "), label,
-        F.lit("\n  Size: "), thousands(n), F.lit(" historical travelers"),
-        F.lit("\n  Mode share (2011): "), F.array_join(shares, ", "),
-    )
+    return fill(fv.PROTOTYPE_SUMMARY_TEXT, {
+        "prototype_id": prototype_id.cast("string"), "label": label, "n": thousands(n), "shares": F.array_join(shares, ", ")})

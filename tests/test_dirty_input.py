@@ -15,7 +15,7 @@ from surveyalign.operators import retrieval as R
 from surveyalign.operators import sampling as S
 from surveyalign.operators.aggregates import column_values, feature_stats
 from surveyalign.operators.filters import filter_main_modes
-from surveyalign.operators.features import OrdinalEncoder, TabularEncoder
+from surveyalign.operators.features import OrdinalEncoder
 from surveyalign.operators.inference import isolated
 from surveyalign.operators.joins import attach_predictions
 from surveyalign.operators.medians import exact_medians

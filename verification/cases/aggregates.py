@@ -2,7 +2,6 @@ from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
 from surveyalign.operators import aggregates as A
-from surveyalign.operators import metrics as M
 from surveyalign.operators import setops
 from verification import survey_tables as st
 from verification.cases import case
