@@ -239,8 +239,14 @@ def train(words: list[str], seed: int = 11, pages: int = PAGES, epochs: int = EP
 
 
 def sample_words(pages: DataFrame, id_col: str, html_col: str, limit: int = SAMPLE_PAGES) -> list[str]:
-    """Words of a bounded sample: the pages with the least hashes of their ids."""
-    rows = pages.where(F.col(html_col).isNotNull()).select(html_col, F.xxhash64(id_col).alias("h")).orderBy("h", F.length(html_col)).limit(limit).collect()
+    """Words of a bounded sample: the pages with the least hashes.
+
+    Tasks send the driver hashes first and then the chosen pages alone, so what it gets does not
+    grow with the number of tasks. Rows with one hash are copies, of which any will do.
+    """
+    hashed = pages.where(F.col(html_col).isNotNull()).select(html_col, F.xxhash64(id_col, html_col).alias("h"))
+    least = [r["h"] for r in hashed.select("h").orderBy("h").limit(limit).collect()]
+    rows = hashed.where(F.col("h") <= max(least)).limit(limit).collect() if least else []
     return sorted({w for r in rows for b in leaves(r[0]) for w in b.text.split()[:200]})
 
 
