@@ -41,7 +41,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the lines that an earlier line equals or almost equals; blank lines stay."""
     exact, near, kept = (fresh_name(docs, c) for c in ("n_exact", "n_near", "kept_text"))
-    cleaned = remove_repeated_lines(docs)
+    cleaned = remove_repeated_lines(docs, exact_chars=1)
     return _with_kept_text(docs, cleaned, kept, F.col(exact) + F.col(near))
 
 

@@ -24,7 +24,7 @@ from surveyalign.llm.passages import LAST_ID, _bits, _earlier_elsewhere, _member
 
 EDITS = 2
 
-#: Lines with fewer code points, outer blanks not counted, are never removed.
+#: Lines with fewer code points, outer blanks not counted, have no near copies.
 MIN_CHARS = 30
 
 #: Slots of the key space per key; more only means fewer false alarms.
@@ -105,7 +105,7 @@ def within(left: np.ndarray, left_len: np.ndarray, right: np.ndarray, right_len:
 class Lines:
     """Lines of one block, in code points."""
 
-    def __init__(self, text: pa.ChunkedArray, ids: pa.ChunkedArray, edits: int):
+    def __init__(self, text: pa.ChunkedArray, ids: pa.ChunkedArray, edits: int, exact_chars: int):
         self.edits = edits
         data, rows = text_buffer(text)
         whole = data.tobytes()
@@ -114,8 +114,9 @@ class Lines:
         self.row = np.repeat(np.arange(len(self.pieces)), [len(p) for p in self.pieces])
         self.number = np.concatenate([np.arange(len(p)) for p in self.pieces]) if self.pieces else np.zeros(0, np.int64)
         self.raw = [line for p in self.pieces for line in p]
-        # Bytes settle most: a line of MIN_CHARS code points has as many bytes at least.
-        self.eligible = np.flatnonzero(np.array([len(x) >= MIN_CHARS and len(x.decode().strip()) >= MIN_CHARS for x in self.raw], bool))
+        # Bytes settle most: a line of so many code points has as many bytes at least.
+        chars = np.array([len(x.decode().strip()) if len(x) >= exact_chars else 0 for x in self.raw], np.int64)
+        self.eligible, self.long = np.flatnonzero(chars >= exact_chars), chars >= MIN_CHARS
         digests = b"".join([xxhash.xxh3_128_digest(self.raw[i]) for i in self.eligible])
         both = np.frombuffer(digests, ">u8").reshape(-1, 2)
         high, low = both[:, 0].astype(np.uint64), (both[:, 1] >> np.uint64(32)).astype(np.uint32)
@@ -168,8 +169,8 @@ class Lines:
 
 
 class Plan:
-    def __init__(self, text_at: int, id_at: int, edits: int, n_lines: int):
-        self.text_at, self.id_at, self.edits = text_at, id_at, edits
+    def __init__(self, text_at: int, id_at: int, edits: int, exact_chars: int, n_lines: int):
+        self.text_at, self.id_at, self.edits, self.exact_chars = text_at, id_at, edits, exact_chars
         self.line_slabs = slab_count(n_lines)
         n_keys = n_lines * len(probe_shifts(edits))
         self.key_slabs = slab_count(n_keys)
@@ -177,7 +178,7 @@ class Plan:
 
     def lines(self, payload) -> Lines:
         table = unpack_batch(payload)
-        return Lines(table.column(self.text_at), table.column(self.id_at), self.edits)
+        return Lines(table.column(self.text_at), table.column(self.id_at), self.edits, self.exact_chars)
 
     def firsts(self, block: Lines, answers: dict[int, bytes]) -> np.ndarray:
         """Lines of the block without an exact copy before them."""
@@ -188,6 +189,11 @@ class Plan:
                 later[cuts[s]:cuts[s + 1]] = _bits(answers[s], cuts[s + 1] - cuts[s])
         return np.sort(block.first[~later])
 
+    def compared(self, block: Lines, answers: dict[int, bytes]) -> np.ndarray:
+        """The first occurrences that are long enough for near copies."""
+        lines = self.firsts(block, answers)
+        return lines[block.long[lines]]
+
     def cells(self, keys: np.ndarray) -> np.ndarray:
         return keys >> np.uint64(64 - self.bits)
 
@@ -214,7 +220,7 @@ def _ask_keys(plan: Plan):
         for batch in batches:
             for number, payload, copies in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("copies")):
                 block = plan.lines(payload.as_buffer())
-                keys, _, _ = block.keys(plan.firsts(block, in_order(copies.as_py())))
+                keys, _, _ = block.keys(plan.compared(block, in_order(copies.as_py())))
                 cells, cuts = plan.cell_question(plan.cells(keys))
                 yield _slab_rows(number, cells, cuts, lambda a, b: pack_sorted(cells[a:b]))
     return run
@@ -227,7 +233,7 @@ def _shared_lines(plan: Plan):
             for number, payload, copies, asked in zip(*(batch.column(c).to_pylist() if c == "block" else batch.column(c)
                                                         for c in ("block", "payload", "copies", "keys"))):
                 block = plan.lines(payload.as_buffer())
-                lines = plan.firsts(block, in_order(copies.as_py()))
+                lines = plan.compared(block, in_order(copies.as_py()))
                 keys, owner, index = block.keys(lines)
                 own = plan.cells(keys)
                 cells, cuts = plan.cell_question(own)
@@ -384,14 +390,16 @@ def _rebuild(plan: Plan, inner: list[str]):
     return run
 
 
-def remove_repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int = MIN_CHARS) -> DataFrame:
     """``docs`` with ``n_lines``, ``n_exact``, ``n_near`` and ``kept_text`` added (names extended by _ where taken).
 
-    Lines are the pieces between \\n. A line of ``MIN_CHARS`` code points or more goes if an equal
-    line comes before it, by id and then by place in the text (``n_exact``), or else if a line
-    within ``edits`` edits does (``n_near``); all lines are judged on the input. Kept lines stay
-    in order. A null text is empty: one line, nothing removed. Documents with equal ids are not
-    before each other as far as exact copies go; a null id comes last. Ids must be integers.
+    Lines are the pieces between \\n; their code points are counted without outer blanks. A line
+    of ``exact_chars`` code points or more goes if an equal line comes before it, by id and then
+    by place in the text (``n_exact``); ``exact_chars=1`` takes in all lines but blank ones. Or
+    else it goes if it has ``MIN_CHARS`` or more and a line of as many within ``edits`` edits comes
+    before it (``n_near``). All lines are judged on the input. Kept lines stay in order. A null
+    text is empty: one line, nothing removed. Documents with equal ids are not before each other
+    as far as exact copies go; a null id comes last. Ids must be integers.
     An empty table gives an empty result.
     """
     names = docs.columns
@@ -402,7 +410,7 @@ def remove_repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "do
         return int((data == 10).sum()) + len(rows) - 1
 
     blocks = to_blocks(docs, text_at, n_lines)
-    plan = Plan(text_at, id_at, edits, blocks.agg(F.sum("items")).first()[0] or 0)
+    plan = Plan(text_at, id_at, edits, exact_chars, blocks.agg(F.sum("items")).first()[0] or 0)
     packed = blocks.select("block", "payload")
     copies = materialize(answered(packed.mapInArrow(_ask_lines(plan), question_schema()), _earlier_elsewhere).withColumnRenamed("answers", "copies"), "copies")
     told = packed.join(copies, "block", "left")

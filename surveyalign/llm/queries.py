@@ -116,10 +116,10 @@ def op1_minhash_near_dedup(spark, sf_dir):
 
 @query("op7_line_dedup")
 def op7_line_dedup(spark, sf_dir):
-    """Lines of all documents that are, or are within two edits of, an earlier line, removed."""
+    """Lines of all documents that equal an earlier line, or if long enough are within two edits of one, removed."""
     from surveyalign.llm.lines import remove_repeated_lines
 
-    kept = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    kept = remove_repeated_lines(documents(spark, sf_dir).select("doc_id", "text"), exact_chars=1)
     return kept.select("doc_id", "n_lines", "n_exact", "n_near", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 

@@ -97,3 +97,22 @@ def test_edge_documents(edge_docs, no_docs, sample_docs):
         assert len(r.text.split("\n")) == r.n_lines
         if r.n_exact + r.n_near == 0:
             assert r.kept_text == r.text
+
+
+def test_short_lines_lose_exact_copies_only(spark):
+    rows = [(i, f"All rights reserved.\n\n{i} own words\nshort a\n  \nAll rights reserved.") for i in range(3000)] + [(3000, "short b\nshort a\nshort a ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found = {r.doc_id: (r.n_exact, r.n_near, r.kept_text) for r in L.remove_repeated_lines(docs, exact_chars=1).collect()}
+    assert found[0] == (1, 0, "All rights reserved.\n\n0 own words\nshort a\n  ")
+    assert all(found[i] == (3, 0, f"\n{i} own words\n  ") for i in range(1, 3000))
+    assert found[3000] == (1, 0, "short b\nshort a ")
+
+
+def test_registered_query_and_stage_take_short_lines(spark, tmp_path):
+    import corpus_pipeline
+    from surveyalign.llm.queries import QUERIES
+
+    spark.createDataFrame([(1, "Share this\none"), (2, "Share this\ntwo")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: (r.n_exact, r.n_near) for r in QUERIES["op7_line_dedup"](spark, str(tmp_path)).collect()} == {1: (0, 0), 2: (1, 0)}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, docs, "").collect()} == {1: "Share this\none", 2: "two"}
