@@ -1,4 +1,10 @@
-"""Public licence texts and notices, and spellings that count as one."""
+"""Public licence texts and notices, and spellings that count as one.
+
+Long texts are rows (licence, text) of ``licence_texts.jsonl``, with and without the appendix.
+"""
+
+import json
+from importlib.resources import files
 
 #: Spelling -> the common one. Both are lower case; the order is that of replacement.
 EQUIVALENT_SPELLINGS = {
@@ -106,3 +112,5 @@ LICENCE_TEXTS = {
         "Released under the MIT License.", "Licensed under the MIT License.", "SPDX-License-Identifier: MIT",
     ],
 }
+for _row in map(json.loads, files("surveyalign.llm").joinpath("licence_texts.jsonl").read_text("utf-8").splitlines()):
+    LICENCE_TEXTS.setdefault(_row["licence"], []).append(_row["text"])

@@ -88,7 +88,7 @@ def _package_zip() -> str:
     with zipfile.ZipFile(path, "w") as archive:
         for folder, _, names in os.walk(os.path.join(root, "surveyalign")):
             for name in names:
-                if name.endswith(".py"):
+                if name.endswith((".py", ".jsonl")):
                     file = os.path.join(folder, name)
                     archive.write(file, os.path.relpath(file, root))
     return path

@@ -41,3 +41,11 @@ def test_edge_documents(edge_docs, no_docs):
 def test_plan_has_no_python(edge_docs):
     plan = scan_licences(edge_docs)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "CartesianProduct" not in plan
+
+
+def test_every_whole_text_is_known(spark):
+    texts = [(name, text) for name, variants in LICENCE_TEXTS.items() for text in variants]
+    assert {"Apache-2.0", "Artistic-1.0-Perl", "CC0-1.0", "GFDL-1.2", "GFDL-1.3", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.0", "LGPL-2.1", "LGPL-3.0",
+            "MPL-1.1", "MPL-2.0"} <= {name for name, text in texts if len(text) > 4000}
+    found = scanned(spark, [text for _, text in texts])
+    assert [found[i][0] for i in range(len(texts))] == [name for name, _ in texts]
