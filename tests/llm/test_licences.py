@@ -1,3 +1,8 @@
+import re
+import textwrap
+
+import pytest
+
 from surveyalign.llm.licence_texts import LICENCE_TEXTS
 from surveyalign.llm.licences import scan_licences
 
@@ -49,3 +54,22 @@ def test_every_whole_text_is_known(spark):
             "MPL-1.1", "MPL-2.0"} <= {name for name, text in texts if len(text) > 4000}
     found = scanned(spark, [text for _, text in texts])
     assert [found[i][0] for i in range(len(texts))] == [name for name, _ in texts]
+
+
+@pytest.mark.parametrize("width", [30, 50, 61, 72, 100, 100_000])
+def test_wrapping_does_not_matter(spark, width):
+    known = [(name, text) for name, variants in LICENCE_TEXTS.items() for text in variants]
+    wrapped = ["\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in re.split(r"\n\s*\n", text)) for _, text in known]
+    short = [i for i, (name, text) in enumerate(known) if name in ("MIT", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause") and "\n" in text]
+    headed = ["Copyright (c) 2020 Some One\n\n" + wrapped[i] for i in short if not known[i][1].startswith("Copyright")]
+    names = [known[i][0] for i in short if not known[i][1].startswith("Copyright")]
+    found = scanned(spark, wrapped + headed)
+    assert [found[i][0] for i in range(len(found))] == [name for name, _ in known] + names
+
+
+def test_lines_that_begin_with_the_word_only(spark):
+    isc = LICENCE_TEXTS["ISC"][1]
+    found = scanned(spark, [
+        isc.replace("provided that the above\ncopyright", "provided that the above copyright"), isc.replace("copyright notice and", "copyright banner and"),
+        "Copyright Some One and others\n\n" + MIT, MIT.replace("OR COPYRIGHT HOLDERS", "OR\nCOPYRIGHT HOLDERS"), "(c) Other\n" + isc])
+    assert [found[i][0] for i in range(5)] == ["ISC", "ISC", "MIT", "MIT", "ISC"]
