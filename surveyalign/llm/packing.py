@@ -45,22 +45,34 @@ class WordTokenizer:
     Texts are cut at blanks, line ends and between a letter and a following mark, where that
     tokenizer always cuts too; every distinct word is tokenised once, and the ids are put
     together again. A word of plain letters is a single pre-token and goes straight to the
-    file's merge model in lower case; anything else passes the whole tokenizer.
+    file's merge model in lower case; anything else passes the whole tokenizer. Texts that hold an
+    added token such as <|endoftext|> are cut at blanks and line ends only, as its marks belong
+    together. A file whose added tokens hold blanks, are plain words or are looked up after
+    normalisation gets every text as a whole.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.inner = Tokenizer.from_file(path)
-        self.inner.encode_special_tokens = True
         self.model = self.inner.model
+        added = self.inner.get_added_tokens_decoder().values()
+        self.added = [t.content for t in added]
+        self.only_whole = any(t.normalized or PLAIN(t.content) or t.content.split() != [t.content] for t in added)
         self.known = Remembered(self.word, REMEMBERED)
 
+    def whole(self, text: str) -> bytes:
+        return array("I", self.inner.encode(text, add_special_tokens=False).ids).tobytes()
+
+    def words(self, text: str) -> list[str]:
+        cut = text if any(t in text for t in self.added) else BEFORE_MARK.sub(r"\1 ", text)
+        return cut.replace("\n", " ").split(" ")
+
     def word(self, word: str) -> bytes:
         if not word:
             return b""
         if not PLAIN(word):
-            return array("I", self.inner.encode(word, add_special_tokens=False).ids).tobytes()
+            return self.whole(word)
         low = word.lower()
         if low != word:
             return self.known[low]
@@ -68,9 +80,11 @@ class WordTokenizer:
         return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
 
     def __call__(self, texts: list[str]) -> list[bytes]:
+        if self.only_whole:
+            return [self.whole(t) if t else b"" for t in texts]
         self.known.rest()
         get = self.known.__getitem__
-        return [b"".join(map(get, BEFORE_MARK.sub(r"\1 ", t).replace("\n", " ").split(" "))) if t else b"" for t in texts]
+        return [b"".join(map(get, self.words(t))) if t else b"" for t in texts]
 
 
 @lru_cache(maxsize=2)

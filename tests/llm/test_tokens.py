@@ -102,3 +102,28 @@ def test_piece_checksum_is_that_of_its_ids(spark, sample_docs):
 
     row = packing.pack(sample_docs.limit(3), WORDS).withColumn("crc", F.crc32("piece_ids")).first()
     assert row.crc == zlib.crc32(row.piece_ids)
+
+
+def test_added_tokens_keep_their_ids(spark):
+    untouched = Tokenizer.from_file(WORDS)
+    rng = random.Random(4)
+    parts = ["<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "<|endoftext", "|>", "<|", " ", "\n", "\t", "word", "It's", "é", "e\u0301", "ß", "12", "!", "日本", "İ"]
+    texts = ["first text<|endoftext|>second text", *("".join(rng.choices(parts, k=rng.randint(1, 15))) for _ in range(1500))]
+    assert untouched.encode(texts[0], add_special_tokens=False).ids == [874, 4160, 49407, 2241, 4160]
+    rows = packing.tokenize(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), WORDS).collect()
+    assert len(rows) == len(texts)
+    for row in rows:
+        want = untouched.encode(texts[row.id], add_special_tokens=False).ids + [2]
+        assert np.frombuffer(row.ids, "<u4").tolist() == want and row.n_tokens == len(want)
+
+
+@pytest.mark.parametrize("content, normalized", [("two words", False), ("plain", False), ("<x>", True)])
+def test_other_added_tokens(tmp_path, content, normalized):
+    from tokenizers import AddedToken
+
+    other = Tokenizer.from_file(WORDS)
+    other.add_tokens([AddedToken(content, normalized=normalized)])
+    other.save(f"{tmp_path}/other.json")
+    texts = ["some two words here", "plain PLAIN explain", "a<X>b <x>"]
+    own = packing.WordTokenizer(f"{tmp_path}/other.json")(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own] == [other.encode(t, add_special_tokens=False).ids for t in texts]
