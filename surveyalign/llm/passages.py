@@ -1,9 +1,11 @@
 """Removal of passages that an earlier document already holds.
 
-A count-min sketch says which word windows can occur twice. Its width grows with the corpus, so
-it is never held in one place: every block of documents is one partition of it, sent as the
-sorted cells it touches, and every slab of cells merges its share. Counts are only ever too
-high, so no repeated window is missed. The second pass groups the windows that may repeat by
+A distributed membership filter says which word windows can occur twice. It is a count-min sketch
+of one hash row whose counts are replaced by one presence bit: a slab answers whether another
+block touches a cell, and a block sorts its own cells. Its width grows with the corpus, so it is
+never held in one place: every block of documents is one partition of it, sent as the sorted
+cells it touches, and every slab of cells merges its share. The bit is only ever set too often,
+so no repeated window is missed. The second pass groups the windows that may repeat by
 96 bits of a 128-bit hash of their words and finds the smallest document id of each.
 """
 
@@ -25,7 +27,7 @@ from surveyalign.llm.exchange import (answered, in_order, pack_sorted, question_
 
 WINDOW = 13
 
-#: Cells of one sketch row per window of the corpus, and rows of the sketch. The sketches are
+#: Cells of one filter row per window of the corpus, and rows of the filter. The filters are
 #: sparse, so a wider row costs less than another row for the same share of false alarms.
 CELLS_PER_WINDOW = 64
 DEPTH = 1
@@ -141,7 +143,7 @@ class Plan:
         return cells, slab_cuts(cells, self.slabs, self.depth << self.bits)
 
     def maybe_repeated(self, block: Block, answers: dict[int, bytes]) -> np.ndarray:
-        """Windows whose estimated count is two or more: the least of the cells' counts."""
+        """Windows that may occur twice: another block touches their cell in every row, or they repeat here."""
         cells, cuts = self.cell_questions(block)
         hot = np.zeros(len(cells), bool)
         for s in range(self.slabs):
