@@ -189,3 +189,11 @@ def op4_lm_scoring(spark, sf_dir):
     from surveyalign.llm.language_model import score_documents
 
     return score_documents(documents(spark, sf_dir))
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(spark, sf_dir):
+    """All vectors whitened on the first 32 components, every row counted in the fit."""
+    from surveyalign.llm.whitening import whiten
+
+    return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
