@@ -197,3 +197,12 @@ def op12_embedding_whitening(spark, sf_dir):
     from surveyalign.llm.whitening import whiten
 
     return whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), components=32)
+
+
+@query("op13_nearest_neighbours")
+def op13_nearest_neighbours(spark, sf_dir):
+    """The 20 largest inner products of every vector whose id is divisible by 20, against all vectors."""
+    from surveyalign.llm.nearest import build_index, search
+
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return search(build_index(vectors, k=20), vectors.where("vec_id % 20 = 0"))
