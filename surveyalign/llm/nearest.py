@@ -26,10 +26,13 @@ from surveyalign.llm.common import materialize
 SHARD, BLOCK, STRIP = 8192, 2048, 32
 
 #: Lines, half a window's width in units of the radius, first radius in units of the longest vector, growth per step.
-LINES, WIDTH, FIRST, GROWTH = 96, 1.0, 0.02, 1.15
+LINES, WIDTH, FIRST, GROWTH = 96, 1.0, 0.02, 1.25
 
-#: A vector at the radius itself stays below the threshold with at most this chance.
-MISS = 0.005
+#: A vector at the radius itself stays below the threshold with at most this chance; nearer ones with less.
+MISS = 0.02
+
+#: Above one collision in FEW possible ones, ranks are compared line by line instead of walking the windows.
+FEW = 16
 
 #: A query vector with more than 1 / HOT_QUERIES of all query rows meets its answer by broadcast; there are at most as many.
 HOT_QUERIES = 1000
@@ -57,68 +60,83 @@ def _directions(dim: int) -> np.ndarray:
 
 
 class Shard:
-    """Distinct vectors and their sorted places on every line."""
+    """Distinct vectors and their sorted places on every line.
+
+    ``order`` lists the vectors along a line, ``rank`` says where on a line each vector stands.
+    """
 
     def __init__(self, vectors: np.ndarray, longest: float):
         self.vectors, self.longest = vectors, longest
         rest = np.sqrt(np.maximum(longest ** 2 - np.einsum("ij,ij->i", vectors, vectors), 0.0))
         self.lines = _directions(vectors.shape[1])
-        places = np.hstack([vectors, rest[:, None]]) @ self.lines
-        order = np.argsort(places, axis=0, kind="stable")
-        self.places = np.ascontiguousarray(np.take_along_axis(places, order, axis=0).T)
-        self.order = np.ascontiguousarray(order.T.astype(np.int32))
+        places = (np.hstack([vectors, rest[:, None]]) @ self.lines).T
+        self.order = np.argsort(places, axis=1, kind="stable")
+        self.places = np.take_along_axis(places, self.order, axis=1)
+        self.rank = np.empty(self.order.shape, np.uint16 if len(vectors) < 1 << 16 else np.uint32)
+        np.put_along_axis(self.rank, self.order, np.arange(len(vectors), dtype=self.rank.dtype)[None, :], axis=1)
         self.needed = collisions_needed()
 
     def _windows(self, own: np.ndarray, radius: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First place and last place + 1 inside the windows, [line, query, step]; ``radius`` is [query, step]."""
-        low, high = (np.empty((len(self.places), *radius.shape), np.int32) for _ in range(2))
+        """First place and last place + 1 inside the windows, [query, step, line]; ``radius`` is [query, step]."""
+        low, high = (np.empty((*radius.shape, len(self.places)), np.int64) for _ in range(2))
         for line, places in enumerate(self.places):
-            low[line] = np.searchsorted(places, own[:, line, None] - WIDTH * radius, side="left")
-            high[line] = np.searchsorted(places, own[:, line, None] + WIDTH * radius, side="right")
+            low[..., line] = np.searchsorted(places, own[:, line, None] - WIDTH * radius, side="left")
+            high[..., line] = np.searchsorted(places, own[:, line, None] + WIDTH * radius, side="right")
         return low, high
 
     def search(self, queries: np.ndarray, k: int, floor: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query, places in the shard, scores): the ``k`` best found, with all that tie with the last.
 
-        Only scores of ``floor`` or more matter. A query ends when its k-th best lies within the
-        radius, or when the radius reaches the distance of ``floor``; without a floor the last
-        window holds the whole shard.
+        Only scores of ``floor`` or more matter, and a query with a floor starts with the window
+        that its distance asks for. Without one, windows widen until k vectors are
+        found, then to the distance of the k-th; the last window holds the whole shard.
         """
         length = np.sqrt(np.einsum("ij,ij->i", queries, queries))
         own = np.hstack([queries / length[:, None] * self.longest, np.zeros((len(queries), 1))]) @ self.lines
         steps = self.longest * FIRST * GROWTH ** np.arange(math.ceil(math.log(2 / FIRST, GROWTH)) + 1)
         steps[-1] = np.inf
         known = np.isfinite(floor)
-        last = np.full(len(queries), np.inf)
-        last[known] = self._distance(floor[known], length[known]) * (1 + 1e-9) + 1e-9 * self.longest
-        for first in range(0, len(queries), STRIP):
-            part = np.arange(first, min(first + STRIP, len(queries)))
-            radius = np.minimum(steps[None, :], last[part, None])
-            low, high = self._windows(own[part], radius)
-            for at, q in enumerate(part):
-                yield q, *self._widen(queries[q], length[q], k, radius[at], low[:, at], high[:, at])
+        reach = np.zeros(len(queries))
+        reach[known] = self._distance(floor[known], length[known]) * (1 + 1e-9) + 1e-9 * self.longest
+        for group in (np.flatnonzero(known), np.flatnonzero(~known)):
+            for first in range(0, len(group), STRIP):
+                part = group[first:first + STRIP]
+                radius = reach[part, None] if known[part[0]] else np.broadcast_to(steps, (len(part), len(steps)))
+                low, high = self._windows(own[part], radius)
+                for at, q in enumerate(part):
+                    yield q, *self._widen(queries[q], length[q], k, radius[at], low[at], high[at])
 
     def _distance(self, score, length):
         """Distance that a score means: both ends are as long as the longest vector."""
         return np.sqrt(np.maximum(2 * self.longest * (self.longest - score / length), 0.0))
 
+    def _inside(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """Collisions of every vector with one query's windows: ranks wrap below ``low``, so one comparison tells."""
+        kind = self.rank.dtype
+        inside = self.rank - low.astype(kind)[:, None] < (high - low).astype(kind)[:, None]
+        return inside.sum(axis=0, dtype=np.int32)
+
     def _widen(self, query: np.ndarray, length: float, k: int, radius: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        counts = np.zeros(len(self.vectors), np.int64)
+        counts = np.zeros(len(self.vectors), np.int32)
         seen = np.zeros(len(self.vectors), bool)
         found, scores = np.zeros(0, np.int64), np.zeros(0)
-        # k vectors over the threshold need this many collisions, so narrower windows cannot end a search.
-        enough = (high - low).sum(axis=0) >= k * self.needed
-        a = b = None
+        wide = (high - low).sum(axis=1)
+        a = b = np.zeros(len(self.places), np.int64)
+        before, goal = 0, 0.0
         for step, r in enumerate(radius):
-            final = r == radius[-1]
-            if not final and not enough[step]:
+            final = step == len(radius) - 1
+            # k vectors over the threshold need this many collisions, so narrower windows cannot end a search.
+            if not final and (wide[step] < k * self.needed or r < goal):
                 continue
-            lo, hi = low[:, step], high[:, step]
-            new = [self.order[t, lo[t]:hi[t]] for t in range(len(lo))] if a is None else [
-                self.order[t, x:y] for t in range(len(lo)) for x, y in ((lo[t], a[t]), (b[t], hi[t])) if x < y]
-            if new:
-                counts += np.bincount(np.concatenate(new), minlength=len(counts))
-            a, b = lo, hi
+            lo, hi = low[step], high[step]
+            if (wide[step] - before) * FEW > self.rank.size:
+                counts = self._inside(lo, hi)
+            else:
+                edges = ((lo, a), (b, hi)) if before else ((lo, hi),)
+                new = [self.order[t, x[t]:y[t]] for x, y in edges for t in np.flatnonzero(x < y)]
+                if new:
+                    counts += np.bincount(np.concatenate(new), minlength=len(counts)).astype(np.int32)
+            a, b, before = lo, hi, wide[step]
             often = np.flatnonzero((counts >= self.needed) & ~seen)
             seen[often] = True
             found = np.concatenate([found, often])
@@ -126,8 +144,10 @@ class Shard:
             if len(found) > k:
                 edge = np.partition(scores, len(scores) - k)[len(scores) - k]
                 found, scores = found[scores >= edge], scores[scores >= edge]
-            if final or (len(found) >= k and self._distance(scores.min(), length) <= r):
-                break
+            if len(found) >= k:
+                goal = self._distance(scores.min(), length)
+                if goal <= r:
+                    break
         return found, scores
 
 

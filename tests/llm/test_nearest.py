@@ -99,10 +99,12 @@ def test_threshold_and_windows():
     rng = np.random.default_rng(0)
     for dim in (2, 64):
         vectors = rng.normal(size=(300, dim))
-        shard = N.Shard(vectors, np.linalg.norm(vectors, axis=1).max())
+        shard = N.Shard(vectors, np.linalg.norm(vectors, axis=1).max() * (1 + 1e-9))
         low, high = shard._windows(np.zeros((1, N.LINES)), np.array([[0.5, np.inf]]))
-        assert ((high - low)[:, 0, 1] == 300).all()
+        assert ((high - low)[0, 1] == 300).all()
+        near = np.abs(np.hstack([vectors, np.sqrt(shard.longest ** 2 - (vectors ** 2).sum(axis=1))[:, None]]) @ shard.lines) <= 0.5
+        assert (shard._inside(low[0, 0], high[0, 0]) == near.sum(axis=1)).all()
         for t in range(N.LINES):
-            assert (np.abs(shard.places[t, low[t, 0, 0]:high[t, 0, 0]]) <= 0.5).all()
+            assert set(shard.order[t, low[0, 0, t]:high[0, 0, t]]) == set(np.flatnonzero(near[:, t]))
     lines = rng.normal(size=(20_000, N.LINES))
     assert ((np.abs(lines) <= N.WIDTH).sum(axis=1) >= needed).mean() >= 1 - 1.5 * N.MISS
