@@ -26,7 +26,7 @@ from surveyalign.llm.common import materialize
 SHARD, BLOCK, STRIP = 8192, 2048, 32
 
 #: Lines, half a window's width in units of the radius, first radius in units of the longest vector, growth per step.
-LINES, WIDTH, FIRST, GROWTH = 96, 1.0, 0.02, 1.25
+LINES, WIDTH, FIRST, GROWTH = 96, 1.0, 0.05, 1.5
 
 #: A vector at the radius itself stays below the threshold with at most this chance; nearer ones with less.
 MISS = 0.02
