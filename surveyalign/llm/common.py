@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from surveyalign.session import materialize  # noqa: F401  (re-exported to the operators)
 
@@ -184,3 +185,18 @@ def covered(starts: np.ndarray, size: int, n: int) -> np.ndarray:
 
 def binary(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values).tobytes()
+
+
+#: A key with more than 1 / HOT_KEYS of all rows meets its facts by broadcast; there are at most as many.
+HOT_KEYS = 1000
+
+
+def join_facts(rows: DataFrame, facts: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row of ``facts`` per key, however the keys are spread.
+
+    ``size`` is the column of ``facts`` with the number of rows of its key, ``total`` the number
+    of all rows. It is not part of the result.
+    """
+    hot = F.col(size) * HOT_KEYS > total
+    often, rest = facts.where(hot).drop(size), facts.where(~hot).drop(size)
+    return rows.join(F.broadcast(often), keys).unionByName(rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(rest, keys))

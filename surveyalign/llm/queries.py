@@ -206,3 +206,29 @@ def op13_nearest_neighbours(spark, sf_dir):
 
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return search(build_index(vectors, k=20), vectors.where("vec_id % 20 = 0"))
+
+
+_SPELLING_SQL = """
+WITH RECURSIVE t AS (SELECT list(c ORDER BY k) AS crc FROM (SELECT k, list_reduce([k, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x:
+  CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END) AS c FROM (SELECT unnest(range(0, 256)) AS k))),
+r AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-zÀ-ÿ]+')) AS run FROM documents),
+d AS (SELECT doc_id, run, count(*) AS n, flatten(list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run, ''),
+  lambda ch: CASE WHEN unicode(ch) < 128 THEN [CAST(unicode(ch) AS BIGINT)] ELSE [195, CAST(unicode(ch) - 64 AS BIGINT)] END)) AS b FROM r GROUP BY doc_id, run),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, b), lambda c, x: xor(crc[CAST(xor(c, x) & 255 AS INT) + 1], c >> 8))) AS h FROM d, t),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM (SELECT n, CASE WHEN h % 97 = 0 THEN substr(run, 1, CAST(h % length(run) AS INT)) || substr(run, CAST(h % length(run) AS INT) + 2)
+  ELSE run END AS word FROM h) WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+s AS (SELECT word, n, substr(word, 1, i - 1) AS a, substr(word, i + 1) AS b FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+del AS (SELECT DISTINCT s.word AS x, v.word AS y FROM s JOIN v ON v.word = s.a || s.b),
+near AS (SELECT x.word AS x, y.word AS y FROM s x JOIN s y USING (a, b) WHERE x.word <> y.word UNION SELECT x, y FROM del UNION SELECT y, x FROM del),
+best AS (SELECT x, count(*) AS n_near, max(n) AS top_n, arg_min(y, (-n, y)) AS top FROM near JOIN v ON v.word = y GROUP BY x),
+f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 2 * n THEN top END AS form, CASE WHEN top_n >= 2 * n THEN top_n END AS form_n FROM v LEFT JOIN best ON x = word),
+c AS (SELECT word, word AS at, 0 AS d FROM f UNION ALL SELECT c.word, f.form, d + 1 FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(at, d) AS root FROM c GROUP BY word) USING (word)"""
+
+
+@query("op11_spelling_variants", _SPELLING_SQL)
+def op11_spelling_variants(spark, sf_dir):
+    """Near words, forms and roots of all words of all documents, with planted slips."""
+    from surveyalign.llm.spelling import spelling_forms, vocabulary, with_slips
+
+    return spelling_forms(vocabulary(with_slips(documents(spark, sf_dir)), 5, 3))
