@@ -222,8 +222,8 @@ del AS (SELECT DISTINCT s.word AS x, v.word AS y FROM s JOIN v ON v.word = s.a |
 near AS (SELECT x.word AS x, y.word AS y FROM s x JOIN s y USING (a, b) WHERE x.word <> y.word UNION SELECT x, y FROM del UNION SELECT y, x FROM del),
 best AS (SELECT x, count(*) AS n_near, max(n) AS top_n, arg_min(y, (-n, y)) AS top FROM near JOIN v ON v.word = y GROUP BY x),
 f AS (SELECT word, n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 2 * n THEN top END AS form, CASE WHEN top_n >= 2 * n THEN top_n END AS form_n FROM v LEFT JOIN best ON x = word),
-c AS (SELECT word, word AS at, 0 AS d FROM f UNION ALL SELECT c.word, f.form, d + 1 FROM c JOIN f ON f.word = c.at WHERE f.form IS NOT NULL)
-SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(at, d) AS root FROM c GROUP BY word) USING (word)"""
+c AS (SELECT word, word AS last, 0 AS d FROM f UNION ALL SELECT c.word, f.form, d + 1 FROM c JOIN f ON f.word = c.last WHERE f.form IS NOT NULL)
+SELECT f.word, form, root, n, n_near, form_n FROM f JOIN (SELECT word, arg_max(last, d) AS root FROM c GROUP BY word) USING (word)"""
 
 
 @query("op11_spelling_variants", _SPELLING_SQL)
