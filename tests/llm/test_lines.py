@@ -47,7 +47,7 @@ def test_banded_distance_equals_the_full_table(edits):
     assert got.tolist() == [edit_distance(a, b) <= edits for a, b in pairs]
 
 
-def brute(rows, edits):
+def brute(rows, edits, exact_chars=L.MIN_CHARS):
     """rows: (id, text) -> {id: (n_exact, n_near, kept text)}; ids are unique."""
     order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0))
     seen, result = [], {}
@@ -55,14 +55,16 @@ def brute(rows, edits):
     for doc_id, text in order:
         kept, n_exact, n_near = [], 0, 0
         for line in (text or "").split("\n"):
-            if len(line.strip()) < L.MIN_CHARS:
+            if len(line.strip()) < exact_chars:
                 kept.append(line)
             elif line in known:
                 n_exact += 1
             else:
-                near = any(abs(len(line) - len(x)) <= edits and edit_distance(line, x) <= edits for x in seen)
+                long = len(line.strip()) >= L.MIN_CHARS
+                near = long and any(abs(len(line) - len(x)) <= edits and edit_distance(line, x) <= edits for x in seen)
                 known.add(line)
-                seen.append(line)
+                if long:
+                    seen.append(line)
                 n_near += near
                 if not near:
                     kept.append(line)
