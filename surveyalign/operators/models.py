@@ -7,7 +7,7 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from surveyalign.functions import fixed_values as fv
 from surveyalign.functions.vectors import argmax_class
 from surveyalign.operators import metrics
+from surveyalign.operators.boosting import SoftmaxTrees, fit_softmax_trees
 from surveyalign.operators.features import TabularEncoder
 from surveyalign.operators.sampling import split_test_pool_fewshot
 from surveyalign.session import materialize
@@ -32,46 +33,30 @@ class ModeChoiceModel:
     classes: list[int]
     model: object
     clip_negatives: bool
-    one_vs_rest: bool
 
     def predict_proba(self, df: DataFrame) -> DataFrame:
         """Add ``classes`` and ``proba``, aligned with each other."""
-        scored = self.model.transform(_with_vector(df, self.encoder, self.clip_negatives))
-        if self.one_vs_rest:
-            # Margin of each class against the rest, on the scale of half log-odds.
-            margins = vector_to_array("rawPrediction")
-            odds = F.transform(margins, lambda m: 1 / (1 + F.exp(-2 * m)))
-            total = F.aggregate(odds, F.lit(0.0), lambda acc, x: acc + x)
-            proba = F.transform(odds, lambda x: x / total)
-        else:
-            proba = vector_to_array("probability")
-        return scored.select(*df.columns, F.lit(self.classes).alias("classes"), proba.alias("proba"))
+        features = F.array(*_inputs(df, self.encoder, self.clip_negatives))
+        if isinstance(self.model, SoftmaxTrees):
+            return df.select("*", F.lit(self.classes).alias("classes"), self.model.probabilities(features).alias("proba"))
+        scored = self.model.transform(df.withColumn("_vector", array_to_vector(features)))
+        return scored.select(*df.columns, F.lit(self.classes).alias("classes"), vector_to_array("probability").alias("proba"))
 
     def predict(self, df: DataFrame) -> DataFrame:
         return self.predict_proba(df).withColumn(
             "predicted_mode", argmax_class(F.col("classes"), F.col("proba")))
 
 
-def _with_vector(df: DataFrame, encoder: TabularEncoder, clip_negatives: bool) -> DataFrame:
+def _inputs(df: DataFrame, encoder: TabularEncoder, clip_negatives: bool) -> list:
     columns = encoder.imputed(df)
-    if clip_negatives:
-        columns = [F.greatest(c, F.lit(0.0)) for c in columns]
-    return df.withColumn("_vector", array_to_vector(F.array(*columns)))
+    return [F.greatest(c, F.lit(0.0)) for c in columns] if clip_negatives else columns
 
 
 def _training_rows(df, encoder, classes, target, clip_negatives) -> DataFrame:
-    """Distinct (vector, label) with their count as weight: the same likelihood on fewer rows."""
-    columns = encoder.imputed(df)
-    if clip_negatives:
-        columns = [F.greatest(c, F.lit(0.0)) for c in columns]
+    """Stored distinct (vector, label) with their count as weight: the same likelihood on fewer rows."""
     label = (F.array_position(F.lit(classes), F.col(target)) - 1).cast("double")
-    counted = df.select(F.array(*columns).alias("vector"), label.alias("label")).groupBy(
-        "vector", "label").agg(F.count(F.lit(1)).cast("double").alias("weight"))
-    stored = materialize(counted, "training")
-    # Small training sets stay in few tasks: boosting runs many short jobs over them.
-    parts = max(1, math.ceil(stored.count() / TASK_ROWS))
-    return stored.repartition(parts).select(
-        array_to_vector("vector").alias("_vector"), "label", "weight").cache()
+    rows = df.where(F.col(target).isNotNull()).select(F.array(*_inputs(df, encoder, clip_negatives)).alias("vector"), label.alias("label"))
+    return materialize(rows.groupBy("vector", "label").agg(F.count(F.lit(1)).cast("double").alias("weight")), "training")
 
 
 def _fit_parts(df: DataFrame, features: list[str], target: str):
@@ -87,14 +72,16 @@ def fit_mnl(
 ) -> ModeChoiceModel:
     """Unpenalised multinomial logit with intercept; negative features are set to 0."""
     encoder, classes = _fit_parts(df, features, target)
-    rows = _training_rows(df, encoder, classes, target, clip_negatives=True)
+    stored = _training_rows(df, encoder, classes, target, clip_negatives=True)
+    parts = max(1, math.ceil(stored.count() / TASK_ROWS))
+    rows = stored.repartition(parts).select(array_to_vector("vector").alias("_vector"), "label", "weight").cache()
     try:
         model = LogisticRegression(
             family="multinomial", regParam=0.0, maxIter=max_iter, fitIntercept=True,
             featuresCol="_vector", labelCol="label", weightCol="weight").fit(rows)
     finally:
         rows.unpersist()
-    return ModeChoiceModel(encoder, classes, model, clip_negatives=True, one_vs_rest=False)
+    return ModeChoiceModel(encoder, classes, model, clip_negatives=True)
 
 
 def fit_boosted_trees(
@@ -104,23 +91,12 @@ def fit_boosted_trees(
     n_estimators: int = 200,
     max_depth: int = 6,
     learning_rate: float = 0.1,
-    seed: int = 42,
-    parallelism: int = 9,
 ) -> ModeChoiceModel:
-    """Boosted trees, one binary ensemble per class, classes fitted side by side."""
+    """Boosted trees on the joint softmax loss: one tree per class and round, no random part."""
     encoder, classes = _fit_parts(df, features, target)
     rows = _training_rows(df, encoder, classes, target, clip_negatives=False)
-    trees = GBTClassifier(
-        maxIter=n_estimators, maxDepth=max_depth, stepSize=learning_rate, seed=seed,
-        featuresCol="_vector", labelCol="label", weightCol="weight",
-        cacheNodeIds=False, maxMemoryInMB=512)
-    try:
-        model = OneVsRest(
-            classifier=trees, featuresCol="_vector", labelCol="label", weightCol="weight",
-            parallelism=parallelism).fit(rows)
-    finally:
-        rows.unpersist()
-    return ModeChoiceModel(encoder, classes, model, clip_negatives=False, one_vs_rest=True)
+    trees = fit_softmax_trees(rows, len(features), len(classes), n_estimators, max_depth, learning_rate)
+    return ModeChoiceModel(encoder, classes, trees, clip_negatives=False)
 
 
 def model_score(df: DataFrame, target: str = fv.TARGET_COLUMN) -> DataFrame:
@@ -137,10 +113,12 @@ def baseline_grid(
 ) -> tuple[DataFrame, DataFrame]:
     """Train on the few-shot rows and score the test rows for every model, ratio and seed.
 
-    Returns (predictions, long metrics with n_train and n_test). The runs are independent Spark jobs and overlap;
-    a run that fails is logged and left out. ``df`` should be a stored table.
+    Returns (predictions, long metrics with n_train and n_test). The runs are independent Spark jobs and overlap.
+    A run that fails is logged and has one metrics row, ``failed``, with the message in ``error``; ``error`` is
+    null in all others. ``df`` should be a stored table.
     """
     models = models or {"mnl": fit_mnl, "boosted_trees": fit_boosted_trees}
+    failures = []
 
     def run(ratio: float, seed: int) -> list[DataFrame]:
         split = split_test_pool_fewshot(df, fewshot_ratio=ratio, seed=seed)
@@ -153,7 +131,8 @@ def baseline_grid(
                 predicted = fit(train).predict(test).withColumns({
                     "model": F.lit(name), "fewshot_ratio": F.lit(ratio), "seed": F.lit(seed), "n_train": F.lit(n_train)})
                 done.append(materialize(predicted, "predictions"))
-            except Exception:
+            except Exception as error:
+                failures.append((name, ratio, seed, "failed", 1.0, f"{type(error).__name__}: {error}"))
                 logger.exception("model %s failed at ratio %s, seed %s", name, ratio, seed)
         return done
 
@@ -171,4 +150,6 @@ def baseline_grid(
     proba = metrics.unpivot(metrics.probability_metrics(predictions, keys), keys, ["nll", "brier_score"])
     sizes = predictions.groupBy(*keys).agg(F.first("n_train").alias("n_train"), F.count(F.lit(1)).alias("n_test"))
     sizes = metrics.unpivot(sizes, keys, ["n_train", "n_test"])
-    return predictions.drop("n_train"), micro.unionByName(macro).unionByName(proba).unionByName(sizes)
+    found = micro.unionByName(macro).unionByName(proba).unionByName(sizes).withColumn("error", F.lit(None).cast("string"))
+    failed = df.sparkSession.createDataFrame(failures, "model string, fewshot_ratio double, seed int, metric string, value double, error string")
+    return predictions.drop("n_train"), found.unionByName(failed)

@@ -5,10 +5,11 @@ from __future__ import annotations
 import json
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegressionModel, OneVsRestModel
+from pyspark.ml.classification import LogisticRegressionModel
 from pyspark.ml.feature import StringIndexerModel
 from pyspark.sql import DataFrame, SparkSession
 
+from surveyalign.operators.boosting import SoftmaxTrees
 from surveyalign.operators.features import OrdinalEncoder, TabularEncoder
 from surveyalign.operators.models import ModeChoiceModel
 from surveyalign.operators.prototypes import Clustering, PrototypeMemory
@@ -51,16 +52,19 @@ def _read_facts(spark: SparkSession, path: str) -> dict:
 
 def save_model(model: ModeChoiceModel, spark: SparkSession, path: str) -> None:
     model.encoder.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/encoder")
-    model.model.write().overwrite().save(f"{path}/model")
-    _write_facts(spark, {"classes": model.classes, "clip_negatives": model.clip_negatives, "one_vs_rest": model.one_vs_rest}, f"{path}/facts")
+    trees = isinstance(model.model, SoftmaxTrees)
+    if trees:
+        model.model.to_frame(spark).coalesce(1).write.mode("overwrite").parquet(f"{path}/model")
+    else:
+        model.model.write().overwrite().save(f"{path}/model")
+    _write_facts(spark, {"classes": model.classes, "clip_negatives": model.clip_negatives, "trees": trees}, f"{path}/facts")
 
 
 def load_model(spark: SparkSession, path: str) -> ModeChoiceModel:
     facts = _read_facts(spark, f"{path}/facts")
-    kind = OneVsRestModel if facts["one_vs_rest"] else LogisticRegressionModel
+    model = SoftmaxTrees.from_frame(spark.read.parquet(f"{path}/model")) if facts["trees"] else LogisticRegressionModel.load(f"{path}/model")
     return ModeChoiceModel(
-        TabularEncoder.from_frame(spark.read.parquet(f"{path}/encoder")), facts["classes"], kind.load(f"{path}/model"),
-        facts["clip_negatives"], facts["one_vs_rest"])
+        TabularEncoder.from_frame(spark.read.parquet(f"{path}/encoder")), facts["classes"], model, facts["clip_negatives"])
 
 
 def save_ordinal_encoder(encoder: OrdinalEncoder, spark: SparkSession, path: str) -> None:
