@@ -4,6 +4,8 @@ A round grows one tree per class on the gradients and curvatures of the joint so
 level is one Spark job for all classes: the tasks tally their rows by class, node, feature and bin,
 the tallies are added per class, and each class's best splits, a few numbers, come back. Tallies are
 whole numbers (gradients in units of 2 ** -24), so a model does not depend on how rows lie in tasks.
+Rows that fill a single block have no other tallies to wait for: their task goes through a run of
+rounds by the same steps.
 
 The loop runs on an RDD of packed blocks: what a round changes, the margins of the rows, stays
 beside them in the executors, and the many short jobs need no query planning.
@@ -27,7 +29,7 @@ from surveyalign.session import materialize, shared_dir
 BINS = 256               # distinct cut points of a feature, at most
 TASK_ROWS = 50_000       # distinct training rows per block
 UNIT = float(1 << 24)
-CUT_LINEAGE = 25         # rounds between checkpoints of the margins
+CUT_LINEAGE = 25         # rounds between checkpoints of the margins, and rounds of a single block per job
 
 #: Fixed values, the customary defaults of softmax boosting: weight penalty, least curvature of a child, least gain of a split.
 PENALTY, MIN_CURVATURE, MIN_GAIN = 1.0, 1.0, 1e-6
@@ -147,7 +149,7 @@ def _tally(sizes: list[int], feature: np.ndarray, cut: np.ndarray, depth: int):
 
 
 def _best(sizes: list[int]):
-    """Of one class's tallies the best split per node: (feature, cut, left sums, right sums)."""
+    """Of tallies [node, bin, sum] the best split per node: (feature, cut, left sums, right sums)."""
     def run(sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         whole = sums[:, :sizes[0]].sum(axis=1)
         n = len(sums)
@@ -170,11 +172,50 @@ def _best(sizes: list[int]):
     return run
 
 
+@dataclass
+class _Plan:
+    sizes: list[int]
+    classes: int
+    depth: int
+    rate: float
+
+    def grow(self, splits) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(feature, cut, leaves) of one round; ``splits(feature, cut, level)`` lists the best splits of each class."""
+        nodes = (1 << self.depth) - 1
+        feature, cut = np.zeros((self.classes, nodes), np.int64), np.full((self.classes, nodes), _KEEP)
+        leaves = np.zeros((self.classes, 1 << self.depth))
+        for level in range(self.depth):
+            span = slice((1 << level) - 1, (1 << (level + 1)) - 1)
+            for c, (f, k, left, right) in splits(feature, cut, level):
+                feature[c, span], cut[c, span] = f, k
+                if level == self.depth - 1:
+                    both = np.stack([left, right], axis=1).reshape(-1, 2) / UNIT
+                    leaves[c] = -self.rate * both[:, 0] / (both[:, 1] + PENALTY)
+        return feature, cut, leaves
+
+    def alone(self, rounds: int):
+        """So many rounds of a single block: its trees, then the block with its new margins."""
+        def run(blocks):
+            for block in blocks:
+                def splits(feature, cut, level):
+                    sums = np.stack([v for _, v in _tally(self.sizes, feature, cut, level)([block])])
+                    found = _best(self.sizes)(sums.reshape(-1, *sums.shape[2:]))
+                    return enumerate(zip(*(v.reshape(self.classes, -1, *v.shape[1:]) for v in found)))
+                trees = []
+                for _ in range(rounds):
+                    trees.append(self.grow(splits))
+                    block = _moved(*trees[-1], self.depth)(block)
+                yield trees
+                yield block
+        return run
+
+
 def fit_softmax_trees(rows: DataFrame, n_features: int, n_classes: int, rounds: int = 200, depth: int = 6, learning_rate: float = 0.1) -> SoftmaxTrees:
     """Fit on ``rows`` (vector array<double>, label from 0, weight), best with one row per distinct (vector, label).
 
     Features have up to ``BINS`` cut points: every distinct value, or quantiles. The driver holds
-    the trees and, per level, one split per class and node. Without rows all leaves are 0.
+    the trees and, per level, one split per class and node. Without rows all leaves are 0. A lost
+    executor costs the rounds since the last checkpoint, ``CUT_LINEAGE`` at most.
     """
     spark = rows.sparkSession
     cuts = cut_points(rows, n_features)
@@ -188,34 +229,39 @@ def fit_softmax_trees(rows: DataFrame, n_features: int, n_classes: int, rounds:
         label = np.frombuffer(row["label"], np.uint8).astype(np.int64)
         return np.frombuffer(row["bins"], np.uint8).reshape(len(label), n_features), label, np.frombuffer(row["weight"]), np.zeros((len(label), n_classes))
 
+    plan = _Plan(sizes, n_classes, depth, learning_rate)
     state: RDD = stored.rdd.map(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
-    parts = state.getNumPartitions()
-    nodes = (1 << depth) - 1
-    out = SoftmaxTrees(np.zeros((rounds, n_classes, nodes), np.int64), np.zeros((rounds, n_classes, nodes)), np.zeros((rounds, n_classes, 1 << depth)))
-    older = None
-    for r in range(rounds):
-        feature, cut = np.zeros((n_classes, nodes), np.int64), np.full((n_classes, nodes), _KEEP)
-        leaves = np.zeros((n_classes, 1 << depth))
-        for level in range(depth):
-            sums = state.mapPartitions(_tally(sizes, feature, cut, level))
-            if parts > 1:
-                sums = sums.reduceByKey(np.add, min(parts, n_classes))
-            span = slice((1 << level) - 1, (1 << (level + 1)) - 1)
-            for c, (f, k, left, right) in sums.mapValues(_best(sizes)).collect():   # a class each
-                feature[c, span], cut[c, span] = f, k
-                if level == depth - 1:
-                    both = np.stack([left, right], axis=1).reshape(-1, 2) / UNIT
-                    leaves[c] = -learning_rate * both[:, 0] / (both[:, 1] + PENALTY)
-            if level == 0 and older is not None:
+    trees = []
+    if stored.count() == 1:
+        held = state
+        while len(trees) < rounds:
+            run = state.mapPartitions(plan.alone(min(CUT_LINEAGE, rounds - len(trees)))).persist(StorageLevel.MEMORY_AND_DISK)
+            run.checkpoint()
+            trees += run.filter(lambda x: isinstance(x, list)).collect()[0]   # one run of trees
+            held.unpersist()
+            held, state = run, run.filter(lambda x: not isinstance(x, list))
+        held.unpersist()
+    else:
+        parts, older = state.getNumPartitions(), None
+        for r in range(rounds):
+            def splits(feature, cut, level):
+                sums = state.mapPartitions(_tally(sizes, feature, cut, level))
+                if parts > 1:
+                    sums = sums.reduceByKey(np.add, min(parts, n_classes))
+                return sums.mapValues(_best(sizes)).collect()   # one entry per class
+            trees.append(plan.grow(splits))
+            if older is not None:
                 older.unpersist()
-        out.feature[r], out.value[r] = feature, leaves
-        out.threshold[r] = [[cuts[f][k] if k < len(cuts[f]) - 1 else np.inf for f, k in zip(*tree)] for tree in zip(feature, cut)]
-        if r + 1 < rounds:
-            older, state = state, state.map(_moved(feature, cut, leaves, depth)).persist(StorageLevel.MEMORY_AND_DISK)
-            if (r + 1) % CUT_LINEAGE == 0:
-                state.checkpoint()
-    state.unpersist()
-    return out
+            if r + 1 < rounds:
+                older, state = state, state.map(_moved(*trees[-1], depth)).persist(StorageLevel.MEMORY_AND_DISK)
+                if (r + 1) % CUT_LINEAGE == 0:
+                    state.checkpoint()
+        state.unpersist()
+    feature, cut, value = (np.array([t[i] for t in trees]) for i in range(3))
+    edges = np.full((n_features, BINS), np.inf)
+    for f, points in enumerate(cuts):
+        edges[f, :len(points) - 1] = points[:-1]
+    return SoftmaxTrees(feature, edges[feature, cut], value)
 
 
 def _moved(feature: np.ndarray, cut: np.ndarray, leaves: np.ndarray, depth: int):
