@@ -12,14 +12,20 @@ never materialised and no side is broadcast:
    them divide the memory into cells: the angle between query and pivot together with the
    radius of the cell bounds every score in it from above. A query is sent only to the
    cells that can hold one of its k best, a few percent of them.
-3. Each (cell, chunk, query block) is one small matrix product that keeps k rows per query.
+3. A cell of more than CELL_ROWS vectors is divided again, by as many pivots of its own as the
+   root of its size, and a query that reaches the cell is sent on to the subcells it can need.
+   The work per query so grows with the root of the memory.
+4. Each (cell, chunk, query block) is one small matrix product that keeps k rows per query.
+
+An index can be appended to: new vectors go to the cells of their pivots as a generation of
+their own, the bounds of these cells widen, and only cells that grew too large are divided.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,6 +40,7 @@ from surveyalign.session import materialize
 MAX_PIVOTS = 2048
 SAMPLE = 8192            # vectors, whatever the size of the memory
 PER_PIVOT = 16           # stored vectors per cell while the memory is small
+CELL_ROWS = 4_000        # stored vectors of a cell that is not divided
 CELL_CHUNK = 20_000      # stored vectors per matrix product
 QUERY_BLOCK = 200_000    # distinct query vectors per matrix product
 TASK_ROWS = 2_000        # vectors per task of the steps that compare them with the sample
@@ -54,7 +61,10 @@ def build_memory(
 def update_memory(
     memory: DataFrame | None, new: DataFrame, encoder: TabularEncoder | None = None
 ) -> tuple[DataFrame, TabularEncoder]:
-    """The memory with ``new`` appended, encoded as the memory is; an empty memory is built."""
+    """The memory with ``new`` appended, encoded as the memory is; an empty memory is built.
+
+    Only ``new`` is encoded; ``append_index`` does the same for an index of the memory.
+    """
     if memory is None:
         return build_memory(new, encoder)
     if encoder is None:
@@ -157,8 +167,15 @@ class RetrievalIndex:
     n_pivots: int
     cell_radius: np.ndarray   # largest angle to the pivot, per cell; the last cell is that of zero vectors
     cell_offset: np.ndarray   # largest offset per cell, -inf for an empty cell
-    cell_chunks: np.ndarray
+    cell_chunks: np.ndarray   # chunks by hash, or DIVIDED
     k: int
+    cell_rows: np.ndarray | None = None   # vectors per cell
+    subcells: DataFrame | None = None     # cell, sub, features, radius, offset, pieces, n_subs of the divided cells
+    generation: int = 0
+
+
+DIVIDED = -1
+REGROWN = 4              # a divided cell is divided anew when it has this many times the rows it was divided for
 
 
 def vector_id(first_key: Column, *parts: Column) -> Column:
@@ -175,25 +192,53 @@ def build_index(memory: DataFrame, k: int, key: str = "case_id") -> RetrievalInd
 
     A memory with ``priority`` (see ``with_priority``) is ranked by it too.
     """
+    candidates = _candidates(memory, k, key, 0)
+    representatives = candidates.where("nth = 1").select("rep_id", "features", "offset")
+    n = representatives.count()
+    n_pivots = max(1, min(MAX_PIVOTS, n // PER_PIVOT))
+    chosen = representatives.orderBy(F.md5("rep_id"), "rep_id").limit(SAMPLE).toArrow()
+    sample = _unit_rows(_matrix(chosen.column("features")))
+    n_cells = len(sample[:n_pivots]) + 1
+    empty = RetrievalIndex(
+        candidates, None, sample, chosen.column("offset").to_numpy(), n_cells - 1, np.zeros(n_cells), np.full(n_cells, -np.inf),
+        np.ones(n_cells, dtype=int), k, np.zeros(n_cells, dtype=int))
+    return _with_rows(empty, representatives, n)
+
+
+def append_index(index: RetrievalIndex, new: DataFrame, key: str = "case_id") -> RetrievalIndex:
+    """The index with the encoded rows of ``new`` (columns as in the memory) as a further generation.
+
+    Searches equal those of an index of the whole memory. Only new rows are grouped and placed;
+    stored rows move only where their cell has grown beyond CELL_ROWS and is divided.
+    """
+    generation = index.generation + 1
+    candidates = _candidates(new, index.k, key, generation)
+    representatives = candidates.where("nth = 1").select("rep_id", "features", "offset")
+    if not index.n_pivots:   # nothing stored so far, so nothing to place by
+        return build_index(new, index.k, key)
+    grown = replace(index, candidates=index.candidates.unionByName(candidates), generation=generation)
+    return _with_rows(grown, representatives, representatives.count())
+
+
+def _candidates(memory: DataFrame, k: int, key: str, generation: int) -> DataFrame:
     priority = F.col("priority") if "priority" in memory.columns else None
     record = F.struct(*[c for c in memory.columns if c not in ("features",)])
     same = Window.partitionBy("features", "offset").orderBy("key")
     upto = same.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    candidates = materialize(
+    own = vector_id(F.col("first_key"), F.col("features"), F.col("offset"))
+    return materialize(
         memory.select("features", score_offset(F.col("survey_year"), priority).alias("offset"),
                       F.col(key).alias("key"), record.alias("record"))
         .select("*", F.row_number().over(same).alias("nth"), F.first("key").over(upto).alias("first_key"))
         .where(F.col("nth") <= k)
-        .withColumn("rep_id", vector_id(F.col("first_key"), F.col("features"), F.col("offset"))).drop("first_key"),
+        .withColumn("rep_id", F.concat(own, F.lit(f"\x00{generation}")) if generation else own).drop("first_key"),
         "index-candidates",
     )
-    representatives = candidates.where("nth = 1").select("rep_id", "features", "offset")
-    n = representatives.count()
-    n_pivots = max(1, min(MAX_PIVOTS, n // PER_PIVOT))
-    chosen = representatives.orderBy(F.md5("rep_id"), "rep_id").limit(SAMPLE).toArrow()
-    sample = _unit_rows(_matrix(chosen.column("features")))
-    sample_offsets = chosen.column("offset").to_numpy()
-    pivots = sample[:n_pivots]
+
+
+def _with_rows(index: RetrievalIndex, representatives: DataFrame, n: int) -> RetrievalIndex:
+    """The index with further representatives in its cells."""
+    pivots = index.sample[:index.n_pivots]
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -214,30 +259,121 @@ def build_index(memory: DataFrame, k: int, key: str = "case_id") -> RetrievalInd
             assign, "cell int, angle double, rep_id string, features array<double>, offset double"),
         "index-cells",
     )
-    n_cells = len(pivots) + 1
-    radius, offset, chunks = np.zeros(n_cells), np.full(n_cells, -np.inf), np.ones(n_cells, dtype=int)
+    radius, offset, rows = index.cell_radius.copy(), index.cell_offset.copy(), index.cell_rows.copy()
     stats = assigned.groupBy("cell").agg(
         F.max("angle").alias("radius"), F.max("offset").alias("offset"), F.count(F.lit(1)).alias("n"))
     for row in stats.collect():  # one row per cell
-        radius[row["cell"]], offset[row["cell"]] = row["radius"], row["offset"]
-        chunks[row["cell"]] = math.ceil(row["n"] / CELL_CHUNK)
-    chunk_count = F.get(F.lit([int(c) for c in chunks]), F.col("cell"))
-    cells = assigned.select(
-        "cell", F.pmod(F.xxhash64("rep_id"), chunk_count).cast("int").alias("chunk"),
-        "rep_id", "features", "offset")
-    return RetrievalIndex(candidates, cells, sample, sample_offsets, len(pivots), radius, offset, chunks, k)
-
-
-def _probe(index: RetrievalIndex, k: int):
-    """Query batches to one row per (query, cell that can hold one of its k best, chunk)."""
+        c = row["cell"]
+        radius[c], offset[c], rows[c] = max(radius[c], row["radius"]), max(offset[c], row["offset"]), rows[c] + row["n"]
+    before = index.cell_chunks
+    chunks = before.copy()
+    chunks[-1] = max(chunks[-1], math.ceil(rows[-1] / CELL_CHUNK))   # zero vectors have no angles to divide by
+    subcells = index.subcells
+    fixed = np.zeros(len(rows))   # rows that a divided cell was made for
+    if subcells is not None:
+        for c, n_subs in subcells.select("cell", "n_subs").distinct().collect():   # one row per divided cell
+            fixed[c] = n_subs ** 2
+    settled = (before == DIVIDED) & (rows <= REGROWN * fixed)
+    divide = (rows > CELL_ROWS) & ~settled
+    divide[-1] = False
+    chunks[divide] = DIVIDED
+    placed = ["cell", "chunk", "rep_id", "features", "offset"]
+    count = F.get(F.lit([int(c) for c in chunks]), F.col("cell"))
+    by_hash = F.pmod(F.xxhash64("rep_id"), count).cast("int")
+
+    def in_cells(which: np.ndarray):
+        return F.get(F.lit([bool(w) for w in which]), F.col("cell"))
+
+    whole = index.cells
+    if whole is not None and chunks[-1] != before[-1]:
+        rest, zeros = whole.where(F.col("cell") != len(pivots)), whole.where(F.col("cell") == len(pivots))
+        whole = rest.unionByName(zeros.withColumn("chunk", by_hash).select(*placed))
+    parts = [assigned.where(in_cells(chunks != DIVIDED)).withColumn("chunk", by_hash).select(*placed)]
+    if subcells is not None:
+        subcells = subcells.where(in_cells(settled))
+        parts.append(_into_subcells(assigned.where(in_cells(settled)), subcells.select("cell", "sub", "features"), rows).select(
+            *placed[:1], "sub", "angle", *placed[2:]))
+        wider = parts[-1].groupBy("cell", "sub").agg(F.max("angle").alias("r"), F.max("offset").alias("o"), F.count(F.lit(1)).alias("n"))
+        pieces = F.greatest("pieces", F.ceil(F.col("n") / CELL_CHUNK).cast("int"))
+        subcells = materialize(subcells.join(wider, ["cell", "sub"], "left").select(
+            "cell", "sub", "features", F.greatest("radius", "r").alias("radius"), F.greatest("offset", "o").alias("offset"),
+            F.coalesce(pieces, "pieces").alias("pieces"), "n_subs"), "index-subcells")
+        parts[-1] = _pieced(parts[-1], subcells).select(*placed)
+    if divide.any():
+        crowded = assigned.where(in_cells(divide))
+        if whole is not None:
+            crowded = crowded.select("cell", "rep_id", "features", "offset").unionByName(whole.where(in_cells(divide)).drop("chunk"))
+            whole = whole.where(~in_cells(divide))
+        moved, fresh = _divided(crowded, rows)
+        parts.append(moved.select(*placed))
+        subcells = fresh if subcells is None else materialize(subcells.unionByName(fresh), "index-subcells")
+    cells = parts[0]
+    for part in parts[1:] + ([whole] if whole is not None else []):
+        cells = cells.unionByName(part)
+    return replace(index, cells=materialize(cells, "index-leaves") if len(parts) > 1 or whole is not None else cells,
+                   cell_radius=radius, cell_offset=offset, cell_chunks=chunks, cell_rows=rows, subcells=subcells)
+
+
+def _into_subcells(rows: DataFrame, pivots: DataFrame, sizes: np.ndarray) -> DataFrame:
+    """Rows (cell, rep_id, features, offset) with their nearest subcell and the angle to its pivot."""
+    per_task = TASK_ROWS * 10
+    blocks = F.get(F.lit([math.ceil(n / per_task) or 1 for n in sizes.tolist()]), F.col("cell"))
+
+    def place(stored: pa.Table, around: pa.Table) -> pa.Table:
+        around = around.sort_by("sub")
+        unit, subs = _unit_rows(_matrix(stored.column("features"))), around.column("sub").to_numpy()
+        centres = _unit_rows(_matrix(around.column("features")))
+        best, angle = np.empty(len(unit), np.int64), np.empty(len(unit))
+        step = max(1, SLAB // max(1, len(subs)))
+        for start in range(0, len(unit) if len(subs) else 0, step):
+            similarity = np.clip(unit[start:start + step] @ centres.T, -1.0, 1.0)
+            best[start:start + step] = similarity.argmax(axis=1)
+            angle[start:start + step] = np.arccos(similarity.max(axis=1))
+        fields = [stored.column(c) for c in ("cell", "rep_id", "features", "offset")]
+        return pa.table([*fields, pa.array(subs[best], pa.int32()) if len(unit) else pa.array([], pa.int32()), pa.array(angle)],
+                        names=["cell", "rep_id", "features", "offset", "sub", "angle"])
+
+    slim = rows.select("cell", "rep_id", "features", "offset", F.pmod(F.xxhash64("rep_id"), blocks).cast("int").alias("block"))
+    copied = pivots.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    return materialize(slim.groupBy("cell", "block").cogroup(copied.groupBy("cell", "block")).applyInArrow(
+        place, "cell int, rep_id string, features array<double>, offset double, sub int, angle double"), "index-subs")
+
+
+def _divided(crowded: DataFrame, sizes: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """Cells divided around as many of their own vectors as the root of their size: (rows, subcells)."""
+    wanted = F.get(F.lit([math.ceil(n ** 0.5) for n in sizes.tolist()]), F.col("cell"))
+    nth = F.row_number().over(Window.partitionBy("cell").orderBy(F.md5("rep_id"), "rep_id"))
+    pivots = materialize(crowded.select("cell", nth.alias("nth"), "features").where(F.col("nth") <= wanted).select(
+        "cell", (F.col("nth") - 1).cast("int").alias("sub"), "features"), "index-pivots")
+    rows = _into_subcells(crowded, pivots, sizes)
+    stats = rows.groupBy("cell", "sub").agg(
+        F.max("angle").alias("radius"), F.max("offset").alias("offset"), F.ceil(F.count(F.lit(1)) / CELL_CHUNK).cast("int").alias("pieces"))
+    subcells = materialize(pivots.join(stats, ["cell", "sub"], "left").select(
+        "cell", "sub", "features", F.coalesce("radius", F.lit(0.0)).alias("radius"), F.coalesce("offset", F.lit(float("-inf"))).alias("offset"),
+        F.coalesce("pieces", F.lit(1)).alias("pieces"), wanted.cast("int").alias("n_subs")), "index-subcells")
+    return _pieced(rows, subcells), subcells
+
+
+def _pieced(rows: DataFrame, subcells: DataFrame) -> DataFrame:
+    """Rows of subcells with their chunk: the subcell, and a piece of it if it is large."""
+    facts = subcells.select("cell", "sub", "pieces", "n_subs")
+    piece = F.pmod(F.xxhash64("rep_id"), F.col("pieces")).cast("int")
+    return rows.join(facts, ["cell", "sub"]).withColumn("chunk", F.col("sub") + F.col("n_subs") * piece)
+
+
+def _probe(index: RetrievalIndex, k: int, with_floor: bool = False):
+    """Query batches to one row per (query, cell that can hold one of its k best, chunk).
+
+    A divided cell has one row with chunk -1. ``with_floor`` adds the lower bound of the k-th best score.
+    """
     sample, sample_offsets, n_pivots = index.sample, index.sample_offsets, index.n_pivots
     radius, cell_offset, chunks = index.cell_radius, index.cell_offset, index.cell_chunks
     weight = fv.LAMBDA_SIMILARITY
     step = max(1, SLAB // max(1, len(sample)))
 
-    def reachable(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def reachable(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         if not len(sample):  # an empty memory
-            return np.empty(0, dtype=int), np.empty(0, dtype=int)
+            return np.empty(0, dtype=int), np.empty(0, dtype=int), np.empty(len(vectors))
         similarity = np.clip(vectors @ sample.T, -1.0, 1.0)
         known = weight * similarity + sample_offsets
         n = known.shape[1]
@@ -246,7 +382,7 @@ def _probe(index: RetrievalIndex, k: int):
         best = weight * np.cos(np.maximum(0.0, angle - radius[:-1])) + cell_offset[:-1]
         # The vectors of the last cell are zero and score their offset.
         best = np.hstack([best, np.full((len(best), 1), cell_offset[-1])])
-        return np.nonzero((best >= floor[:, None] - SLACK) & np.isfinite(best))
+        return *np.nonzero((best >= floor[:, None] - SLACK) & np.isfinite(best)), floor
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -254,18 +390,59 @@ def _probe(index: RetrievalIndex, k: int):
                 continue
             vectors = _unit_rows(_matrix(batch.column("features")))
             for start in range(0, len(vectors), step):
-                rows, cells = reachable(vectors[start:start + step])
-                repeat = chunks[cells]
+                rows, cells, floor = reachable(vectors[start:start + step])
+                repeat = np.abs(chunks[cells])
                 chunk = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
-                rows, cells = np.repeat(rows, repeat) + start, np.repeat(cells, repeat)
-                sent = batch.take(pa.array(rows))
+                rows, cells = np.repeat(rows, repeat), np.repeat(cells, repeat)
+                chunk[chunks[cells] == DIVIDED] = -1
+                sent = batch.take(pa.array(rows + start))
+                bound = [pa.array(floor[rows])] if with_floor else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(cells, pa.int32()), pa.array(chunk, pa.int32()), *sent.columns],
-                    names=["cell", "chunk", *sent.schema.names])
+                    [pa.array(cells, pa.int32()), pa.array(chunk, pa.int32()), *sent.columns, *bound],
+                    names=["cell", "chunk", *sent.schema.names, *(["floor"] if with_floor else [])])
 
     return run
 
 
+def _refine(queries: pa.Table, around: pa.Table) -> pa.Table:
+    """Queries of one divided cell to the chunks of the subcells that can hold one of their k best."""
+    schema = pa.schema([("cell", pa.int32()), ("chunk", pa.int32()), ("query_id", pa.string()), ("features", pa.list_(pa.float64()))])
+    if not queries.num_rows or not around.num_rows:
+        return schema.empty_table()
+    vectors, centres = _unit_rows(_matrix(queries.column("features"))), _unit_rows(_matrix(around.column("features")))
+    sub, radius, offset, pieces, n_subs = (around.column(c).to_numpy() for c in ("sub", "radius", "offset", "pieces", "n_subs"))
+    floor = queries.column("floor").to_numpy()
+    parts = []
+    step = max(1, SLAB // len(centres))
+    for start in range(0, len(vectors), step):
+        angle = np.arccos(np.clip(vectors[start:start + step] @ centres.T, -1.0, 1.0))
+        best = fv.LAMBDA_SIMILARITY * np.cos(np.maximum(0.0, angle - radius)) + offset
+        rows, at = np.nonzero((best >= floor[start:start + step, None] - SLACK) & np.isfinite(best))
+        repeat = pieces[at]
+        piece = np.arange(repeat.sum()) - np.repeat(np.cumsum(repeat) - repeat, repeat)
+        rows, at = np.repeat(rows, repeat) + start, np.repeat(at, repeat)
+        taken = queries.select(["cell", "query_id", "features"]).take(pa.array(rows))
+        parts.append(pa.Table.from_arrays([taken.column("cell"), pa.array(sub[at] + n_subs[at] * piece, pa.int32()),
+                                           taken.column("query_id").cast(pa.string()), taken.column("features").cast(schema.field("features").type)], schema=schema))
+    return pa.concat_tables(parts)
+
+
+def visits(asked: DataFrame, index: RetrievalIndex, k: int) -> DataFrame:
+    """Stored (cell, chunk, query_id, features): where each query has to look."""
+    n = asked.count()
+    spread = asked.select("query_id", "features").repartition(math.ceil(n / TASK_ROWS) or 1)
+    columns = "cell int, chunk int, query_id string, features array<double>"
+    if index.subcells is None:
+        return materialize(spread.mapInArrow(_probe(index, k), columns), "probes")
+    probes = materialize(spread.mapInArrow(_probe(index, k, with_floor=True), f"{columns}, floor double"), "probes")
+    inner = probes.where("chunk = -1")
+    blocks = math.ceil(inner.count() / QUERY_BLOCK) or 1
+    asked_here = inner.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).cast("int"))
+    copied = index.subcells.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    refined = asked_here.groupBy("cell", "block").cogroup(copied.groupBy("cell", "block")).applyInArrow(_refine, columns)
+    return materialize(probes.where("chunk >= 0").drop("floor").unionByName(refined), "visits")
+
+
 def _match(k: int):
     """One cell chunk against one query block: the k best representatives per query."""
     weight = fv.LAMBDA_SIMILARITY
@@ -302,7 +479,7 @@ def distinct_queries(queries: DataFrame, key: str = "case_id") -> DataFrame:
 
 def blocks_per_cell(probes: DataFrame, n_cells: int) -> list[int]:
     """How many blocks the queries of each cell fill; a cell without queries has none and is not copied."""
-    counts = probes.where("chunk = 0").groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()  # one row per cell
+    counts = probes.groupBy("cell", "chunk").agg(F.count(F.lit(1)).alias("n")).groupBy("cell").agg(F.max("n").alias("n")).collect()  # one row per cell
     blocks = [0] * n_cells
     for row in counts:
         blocks[row["cell"]] = math.ceil(row["n"] / QUERY_BLOCK)
@@ -316,13 +493,13 @@ def neighbours(asked: DataFrame, index: RetrievalIndex, k: int) -> DataFrame:
     """
     if k > index.k:
         raise ValueError(f"the index keeps {index.k} rows per vector, {k} were asked for")
-    n = asked.count()
-    probes = materialize(
-        asked.select("query_id", "features").repartition(math.ceil(n / TASK_ROWS) or 1)
-        .mapInArrow(_probe(index, k), "cell int, chunk int, query_id string, features array<double>"), "probes")
+    probes = visits(asked, index, k)
     blocks = F.get(F.lit(blocks_per_cell(probes, len(index.cell_radius))), F.col("cell"))
     probes = probes.withColumn("block", F.pmod(F.xxhash64("query_id"), blocks).cast("int"))
-    stored = index.cells.where(blocks > 0).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    stored = index.cells.where(blocks > 0)
+    if index.subcells is not None:   # only the subcells that a query looks into are copied
+        stored = stored.join(probes.select("cell", "chunk").distinct(), ["cell", "chunk"], "left_semi")
+    stored = stored.withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
     group = ["cell", "chunk", "block"]
     local = probes.groupBy(*group).cogroup(stored.groupBy(*group)).applyInArrow(
         _match(k), "query_id string, rep_id string, similarity double, score double")

@@ -85,9 +85,11 @@ def save_index(index: RetrievalIndex, path: str) -> None:
     index.cells.write.mode("overwrite").parquet(f"{path}/cells")
     arrays = [(i, [float(x) for x in row], float(offset)) for i, (row, offset) in enumerate(zip(index.sample, index.sample_offsets))]
     spark.createDataFrame(arrays, "i int, vector array<double>, offset double").coalesce(1).write.mode("overwrite").parquet(f"{path}/sample")
-    cells = [(i, float(r), float(o), int(c)) for i, (r, o, c) in enumerate(zip(index.cell_radius, index.cell_offset, index.cell_chunks))]
-    spark.createDataFrame(cells, "i int, radius double, offset double, chunks int").coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
-    _write_facts(spark, {"n_pivots": index.n_pivots, "k": index.k}, f"{path}/facts")
+    if index.subcells is not None:
+        index.subcells.write.mode("overwrite").parquet(f"{path}/subcells")
+    cells = [(i, float(r), float(o), int(c), int(n)) for i, (r, o, c, n) in enumerate(zip(index.cell_radius, index.cell_offset, index.cell_chunks, index.cell_rows))]
+    spark.createDataFrame(cells, "i int, radius double, offset double, chunks int, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/bounds")
+    _write_facts(spark, {"n_pivots": index.n_pivots, "k": index.k, "divided": index.subcells is not None, "generation": index.generation}, f"{path}/facts")
 
 
 def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
@@ -98,4 +100,5 @@ def load_index(spark: SparkSession, path: str) -> RetrievalIndex:
         spark.read.parquet(f"{path}/candidates"), spark.read.parquet(f"{path}/cells"),
         np.array([r["vector"] for r in sample]) if sample else np.empty((0, 0)), np.array([r["offset"] for r in sample]),
         facts["n_pivots"], np.array([r["radius"] for r in bounds]), np.array([r["offset"] for r in bounds]),
-        np.array([r["chunks"] for r in bounds]), facts["k"])
+        np.array([r["chunks"] for r in bounds]), facts["k"], np.array([r["n"] for r in bounds]),
+        spark.read.parquet(f"{path}/subcells") if facts["divided"] else None, facts["generation"])

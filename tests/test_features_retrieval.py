@@ -60,7 +60,10 @@ def _brute_force(queries, stored, ids, years, k):
     return [[ids[j] for j in sorted(range(len(ids)), key=lambda j: (-row[j], ids[j]))[:k]] for row in score]
 
 
-@pytest.mark.parametrize("limits", [{}, {"CELL_CHUNK": 7, "QUERY_BLOCK": 11, "SAMPLE": 16, "SLAB": 50, "PER_PIVOT": 4}])
+TINY = {"CELL_CHUNK": 7, "QUERY_BLOCK": 11, "SAMPLE": 16, "SLAB": 50, "PER_PIVOT": 4}
+
+
+@pytest.mark.parametrize("limits", [{}, TINY, {**TINY, "MAX_PIVOTS": 3, "CELL_ROWS": 12}])
 def test_retrieval_equals_brute_force(spark, monkeypatch, limits):
     """With ties, repeated vectors, zero vectors and both years; then with tiny blocks."""
     for name, value in limits.items():
@@ -80,6 +83,50 @@ def test_retrieval_equals_brute_force(spark, monkeypatch, limits):
     assert [got[f"q{i:05d}"] for i in range(len(queries))] == expected
 
 
+@pytest.mark.parametrize("limits", [{}, {**TINY, "MAX_PIVOTS": 4, "CELL_ROWS": 20, "REGROWN": 1.5}])
+def test_appended_index_equals_a_rebuilt_one(spark, monkeypatch, limits):
+    """Three generations with repeated vectors, a row that comes twice, zero vectors, and cells that outgrow their division."""
+    for name, value in limits.items():
+        monkeypatch.setattr(R, name, value)
+    rng = np.random.default_rng(11)
+    stored = np.vstack([rng.integers(-1, 2, size=(120, 3)).astype(float), rng.normal(size=(400, 3)), np.zeros((20, 3))])[rng.permutation(540)]
+    years = rng.choice([2011, 2022], size=len(stored))
+    memory, queries = _frame(spark, stored, "c", years), _frame(spark, rng.normal(size=(40, 3)), "q")
+    cuts = ["c00000", "c00150", "c00200", "c00539"]
+    index = R.build_index(memory.where(f"case_id <= '{cuts[1]}'"), 5)
+    placed = index.cells.count()
+    for low, high in zip(cuts[1:], cuts[2:]):
+        index = R.append_index(index, memory.where(f"case_id > '{low}' AND case_id <= '{high}'"))
+        assert index.cells.count() > placed
+        placed = index.cells.count()
+    path = shared_dir(spark, "appended")
+    artifacts.save_index(index, path)
+    index = artifacts.load_index(spark, path)
+    assert index.generation == 2 and (index.subcells is not None) == bool(limits)
+    answer = lambda i: sorted((r.query_id, r["rank"], r.case_id, r.score) for r in R.retrieve_topk(queries, i, 5).collect())
+    assert answer(index) == answer(R.build_index(memory, 5))
+    twice = R.append_index(index, memory.where("case_id = 'c00001'"))
+    again = R.retrieve_topk(memory.where("case_id = 'c00001'").withColumn("case_id", F.lit("q")), twice, 2).collect()
+    assert [r.score for r in again][0] == max(r.score for r in again) and len(again) == 2
+    started = R.append_index(R.build_index(memory.where("false"), 5), memory)
+    assert answer(started) == answer(index)
+
+
+def test_vectors_compared_per_query_grow_slower_than_the_memory(spark, monkeypatch):
+    for name, value in {"MAX_PIVOTS": 8, "CELL_ROWS": 50, "SAMPLE": 256}.items():
+        monkeypatch.setattr(R, name, value)
+    rng = np.random.default_rng(5)
+    stored = rng.normal(size=(8000, 3))
+    queries = _frame(spark, rng.normal(size=(30, 3)), "q").withColumnRenamed("case_id", "query_id")
+    compared = []
+    for n in (1000, 8000):
+        index = R.build_index(_frame(spark, stored[:n], "c"), 3)
+        sizes = index.cells.groupBy("cell", "chunk").agg(F.count("*").alias("n"))
+        looks = R.visits(queries, index, 3).join(sizes, ["cell", "chunk"])
+        compared.append(looks.agg(F.sum("n")).first()[0] + index.subcells.count())
+    assert compared[1] < 0.6 * 8 * compared[0]
+
+
 def test_retrieval_from_a_memory_smaller_than_k(spark):
     memory = _frame(spark, [[1, 0], [0, 1]], "c")
     found = R.retrieve_topk(_frame(spark, [[1, 1]], "q"), R.build_index(memory, 8), 8)
