@@ -113,11 +113,13 @@ _CENTERS = "(SELECT main_mode, " + ", ".join(f"avg(z{i}) AS c{i}" for i in _N) +
 _DIST = " + ".join(f"(z{i} - c{i}) * (z{i} - c{i})" for i in _N)
 
 # Nearest of nine centres, the mean vectors of the modes in the first survey, and what they summarise.
+_NEAR = [f"d{j}" for j in range(9)]
 VIEWS["fx_nearest"] = f"""
-SELECT case_id, CAST(prototype_id AS INT) AS prototype_id, round(sqrt(d), 6) AS distance FROM (
- SELECT s.case_id, ROW_NUMBER() OVER (PARTITION BY s.case_id ORDER BY round({_DIST}, 9), c.main_mode) AS rn,
-        c.rank AS prototype_id, {_DIST} AS d
- FROM fx_scaled s CROSS JOIN (SELECT *, ROW_NUMBER() OVER (ORDER BY main_mode) - 1 AS rank FROM {_CENTERS}) c) WHERE rn = 1"""
+SELECT case_id, CAST(CASE {" ".join(f"WHEN round({d}, 9) = near THEN {j}" for j, d in enumerate(_NEAR))} END AS INT) AS prototype_id,
+  round(sqrt(CASE {" ".join(f"WHEN round({d}, 9) = near THEN {d}" for d in _NEAR)} END), 6) AS distance FROM (
+ SELECT *, least({", ".join(f"round({d}, 9)" for d in _NEAR)}) AS near FROM (
+  SELECT s.case_id, {", ".join(f"({_DIST.replace('c', 'cs[%d].c' % (j + 1))}) AS d{j}" for j in range(9))}
+  FROM fx_scaled s CROSS JOIN (SELECT list({{{", ".join(f"'c{i}': c{i}" for i in _N)}}} ORDER BY main_mode) AS cs FROM {_CENTERS}) c))"""
 VIEWS["fx_proto"] = (
     _PROTO.replace(f"GROUP BY {_CLUSTER}", "GROUP BY prototype_id").replace(f"{_CLUSTER} AS prototype_id", "prototype_id")
     .replace("FROM fx_clean", "FROM fx_clean JOIN fx_nearest USING (case_id)"))

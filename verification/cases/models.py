@@ -7,6 +7,7 @@ from surveyalign.functions.responses import parse_responses
 from surveyalign.functions.vectors import argmax_class
 from surveyalign.operators import inference as I
 from surveyalign.operators import models as ML
+from surveyalign.session import shared_dir
 from verification import survey_tables as st
 from verification.cases import case
 from verification.cases.retrieval import evidence, split
@@ -148,6 +149,10 @@ def _failing(prompts):
     return ['{"predicted_mode": 6, "confidence": 0.9, "reasoning_brief": "bus"}'] * len(prompts)
 
 
+def _bus(prompts):
+    return ['{"predicted_mode": 6, "confidence": 0.9, "reasoning_brief": "bus"}'] * len(prompts)
+
+
 @case("error_isolation", """
 SELECT case_id, CAST(CASE WHEN trip_purpose = 2 THEN -1 ELSE 6 END AS INT) AS predicted_mode,
        CAST(CASE WHEN trip_purpose = 2 THEN 0.0 ELSE 0.9 END AS DOUBLE) AS confidence,
@@ -159,6 +164,19 @@ def _(spark, sf):
     return I.batch_inference(prompts, _failing, retry_delay=0.0)
 
 
+@case("resume_inference", """
+SELECT case_id, CAST(CASE WHEN trip_purpose = 2 AND age_group > 3 THEN -1 ELSE 6 END AS INT) AS predicted_mode,
+       CASE WHEN trip_purpose = 2 AND age_group > 3 THEN 'error: rejected' ELSE 'bus' END AS reasoning_brief
+FROM fx_clean WHERE survey_year = 2022""")
+def _(spark, sf):
+    """A run over the younger travellers fills a ledger; the run over all goes on from it, with a predictor that now fails for trips to education."""
+    prompts = I.build_zero_shot_prompts(st.clean_2022(spark, sf))
+    ledger = shared_dir(spark, "ledger")
+    I.batch_inference(prompts.where("age_group <= 3"), _bus, retry_delay=0.0, ledger=ledger, predictor_name="bus").count()
+    found = I.batch_inference(prompts, _failing, retry_delay=0.0, ledger=ledger, predictor_name="bus")
+    return found.select("case_id", "predicted_mode", "reasoning_brief")
+
+
 @case("parse_responses", """
 SELECT case_id,
   CAST(CASE substr(raw_response, 1, 20) WHEN '{"predicted_mode": 4' THEN CASE WHEN raw_response LIKE '%mode_code%' THEN 8 WHEN raw_response LIKE '%42%' THEN 1 ELSE main_mode END

@@ -27,6 +27,14 @@ def parts(spark, sf):
     return encoder, historical, few, test
 
 
+def indexes(spark, sf):
+    """Indexes of the first survey (4 neighbours) and of the few-shot trips (8), built once per session."""
+    def build():
+        _encoder, historical, few, _test = parts(spark, sf)
+        return R.build_index(historical, 4), R.build_index(few, 8)
+    return st.stored_object(spark, sf, "indexes", build)
+
+
 @case("build_memory", f"SELECT case_id, main_mode, {_SCALED} FROM fx_scaled WHERE survey_year = 2011")
 def _(spark, sf):
     memory, _encoder = R.build_memory(st.clean_2011(spark, sf))
@@ -165,10 +173,23 @@ def _(spark, sf):
     return found.select("query_id", "rank", "case_id", F.round("similarity", 10).alias("similarity"))
 
 
+@case("append_index", """
+SELECT query_id, CAST(rn AS INT) AS rank, case_id, score FROM (
+ SELECT query_id, case_id, score, ROW_NUMBER() OVER (PARTITION BY query_id ORDER BY score DESC, case_id) AS rn
+ FROM (SELECT * FROM fx_hist_neighbours UNION ALL SELECT * FROM fx_few_neighbours)) WHERE rn <= 4""")
+def _(spark, sf):
+    """The first survey's index with the few-shot trips appended as a new generation."""
+    _encoder, _historical, few, test = parts(spark, sf)
+    index = R.append_index(indexes(spark, sf)[0], few)
+    return R.retrieve_topk(test, index, 4).select("query_id", "rank", "case_id", "score")
+
+
 def evidence(spark, sf):
-    encoder, historical, few, test = parts(spark, sf)
-    return retrieve_evidence(
-        test, R.build_index(historical, 4), R.build_index(few, 8), mode_mean_prototypes(spark, sf))
+    """What both memories and the prototypes say of every test trip; stored once per session."""
+    def build():
+        _encoder, _historical, _few, test = parts(spark, sf)
+        return retrieve_evidence(test, *indexes(spark, sf), mode_mean_prototypes(spark, sf))
+    return st.stored(spark, sf, "evidence", build)
 
 
 @case("retrieve_evidence", """
