@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BRACKET = 2e-4           # share of the rows on either side of the middle that the first scan leaves open
+ACCURACY = 10_000        # of the quantile sketch: its rank error is at most a row in so many
 BINS = 4096              # counts per value range and pass
 LIST_ROWS = 10_000       # values of a range that are listed instead of divided further
 MAX_PASSES = 200
@@ -15,14 +17,17 @@ MAX_PASSES = 200
 def exact_medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float | None]:
     """Median of every column over its values that are neither null nor NaN; None without any.
 
-    A histogram over the value range tells which bin holds the middle row; the next pass divides
-    that bin alone, until it holds one value or few rows. Every pass is one aggregate over all
-    columns that combines before the shuffle and returns at most ``BINS`` rows per column.
+    The first scan brackets the middle rows of all columns by mergeable quantile sketches; the
+    second counts what lies below each bracket and lists or bins what lies inside, and that is all
+    where a bracket holds few different values. Else the bin of the middle row is divided again,
+    a scan at a time. Every scan is one aggregate over all columns that combines before the shuffle
+    and returns at most ``BINS`` rows per column. A bracket that misses its row is the whole range.
     """
     values = {name: F.when(~F.isnan(c.cast("double")), c.cast("double") + 0.0) for name, c in columns.items()}
     if not values:
         return {}
-    stats = df.agg(*[F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).alias(f"c{i}")
+    stats = df.agg(*[F.struct(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high"),
+                              F.percentile_approx(v, [0.5 - BRACKET, 0.5 + BRACKET], ACCURACY).alias("bracket")).alias(f"c{i}")
                      for i, v in enumerate(values.values())]).first()
     # One search per column and middle row: [column, low, high, rank inside the range].
     searches, found = {}, {}
@@ -30,11 +35,13 @@ def exact_medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float
         s = stats[f"c{i}"]
         if s["n"]:
             for rank in {(s["n"] - 1) // 2, s["n"] // 2}:
-                searches[name, rank] = (s["low"], s["high"], s["n"], rank)
+                searches[name, rank] = (*s["bracket"], max(1, int(4 * BRACKET * s["n"])), rank)
+    bounds = {name: (stats[f"c{i}"]["low"], stats[f"c{i}"]["high"], stats[f"c{i}"]["n"]) for i, name in enumerate(values)}
+    first = True
     wanted = {name: sorted(r for n, r in searches if n == name) for name in values}
     for _ in range(MAX_PASSES):
         for key, (low, high, _n, _rank) in list(searches.items()):
-            if low == high:
+            if low == high and not first:
                 found[key] = low
                 del searches[key]
         if not searches:
@@ -50,18 +57,24 @@ def exact_medians(df: DataFrame, columns: dict[str, Column]) -> dict[str, float
             if math.isinf(step):
                 bin_ = F.when(v < 0, F.lit(0.0)).otherwise(F.lit(1.0))
             inside = v.between(F.lit(low), F.lit(high))
-            parts.append(F.when(inside, F.struct(F.lit(i).alias("i"), bin_.alias("bin"), v.alias("v"))))
-        rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).groupBy("r.i", "r.bin").agg(
+            part = F.when(inside, F.struct(F.lit(i).alias("i"), F.lit(False).alias("below"), bin_.alias("bin"), v.alias("v")))
+            if first:
+                part = part.when(v < low, F.struct(F.lit(i).alias("i"), F.lit(True).alias("below"), F.lit(0.0).alias("bin"), v.alias("v")))
+            parts.append(part)
+        rows = df.select(F.explode(F.array_compact(F.array(*parts))).alias("r")).groupBy("r.i", "r.below", "r.bin").agg(
             F.count(F.lit(1)).alias("n"), F.min("r.v").alias("low"), F.max("r.v").alias("high")).collect()
         bins: dict[int, list] = {}
         for row in rows:
             bins.setdefault(row["i"], []).append(row)
         for key, (low, high, n, rank) in list(searches.items()):
-            for row in sorted(bins[ranges.index((key[0], low, high, n))], key=lambda r: r["bin"]):
+            for row in sorted(bins[ranges.index((key[0], low, high, n))], key=lambda r: (not r["below"], r["bin"])):
                 if rank < row["n"]:
-                    searches[key] = (row["low"], row["high"], row["n"], rank)
+                    searches[key] = (row["low"], row["high"], row["n"], rank) if not row["below"] else (*bounds[key[0]], key[1])
                     break
                 rank -= row["n"]
+            else:
+                searches[key] = (*bounds[key[0]], key[1])
+        first = False
     if searches:
         raise RuntimeError("medians did not settle")
     return {name: sum(found[name, r] for r in ranks) / len(ranks) if ranks else None for name, ranks in wanted.items()}

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import math
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
+import numpy as np
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +18,8 @@ from surveyalign.operators.features import TabularEncoder
 from surveyalign.session import materialize
 
 TASK_ROWS = 20_000       # distinct vectors per task
+START_ROWS = 20_000      # distinct vectors, in order of a digest, among which the starting centres are drawn
+UNIT = float(1 << 30)    # sums are added as whole numbers of this share, so their order does not matter
 
 
 @dataclass
@@ -35,32 +38,88 @@ class Clustering:
 
 def kmeans(
     encoded: DataFrame, k: int = fv.N_PROTOTYPES, seed: int = 42, restarts: int = 10,
-    max_iter: int = 300, tol: float = 0.003, concurrency: int = 10,
+    max_iter: int = 300, tol: float = 0.003,
 ) -> Clustering:
-    """Best of ``restarts`` k-means runs by inertia.
+    """Best of ``restarts`` k-means runs by inertia, all advanced together: one job per iteration.
 
-    Coded trips repeat few vectors, so the runs see each distinct vector once with its
-    count as weight, which leaves the objective unchanged. The runs are independent and
-    overlap. ``tol`` bounds the move of each centre, in standard deviations.
+    Coded trips repeat few vectors, so the runs see each distinct vector once with its count as
+    weight, which leaves the objective unchanged. Every run starts from weighted k-means++ draws
+    among at most ``START_ROWS`` distinct vectors and ends when no centre is further than ``tol``,
+    in standard deviations, from the mean of its rows. A centre without rows stays where it is. A
+    task returns one sum per run and centre, whatever its rows.
     """
-    counted = materialize(
-        encoded.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias("weight")), "kmeans-input")
-    # A fixed layout of the rows makes the seeded initialisation repeatable.
-    parts = max(1, math.ceil(counted.count() / TASK_ROWS))
-    distinct = (
-        counted.repartition(parts, "features").sortWithinPartitions("features")
-        .select(array_to_vector("features").alias("features"), "weight").cache())
-
-    def run(i: int) -> Clustering:
-        model = KMeans(k=k, seed=seed + i, weightCol="weight", maxIter=max_iter, tol=tol).fit(distinct)
-        centers = [[float(x) for x in c] for c in model.clusterCenters()]
-        return Clustering(centers, float(model.summary.trainingCost))
-
+    counted = materialize(encoded.groupBy("features").agg(F.count(F.lit(1)).cast("double").alias("weight")), "kmeans-input")
+    drawn = counted.orderBy(F.xxhash64("features"), "features").limit(START_ROWS).toPandas()   # bounded by the limit
+    if drawn.empty:
+        raise ValueError("no rows to cluster")
+    points, weights = np.array(drawn["features"].tolist(), float), drawn["weight"].to_numpy()
+    centers = np.stack([_starting_centers(points, weights, k, np.random.default_rng([seed, i])) for i in range(restarts)])
+    stored = _blocks(counted)
+    blocks = stored.rdd.map(lambda r: (np.frombuffer(r["vectors"]).reshape(-1, r["dim"]), np.frombuffer(r["weights"]))).persist(StorageLevel.MEMORY_AND_DISK)
+    inertia, live = np.full(restarts, np.inf), np.arange(restarts)
     try:
-        with ThreadPoolExecutor(concurrency) as pool:
-            return min(pool.map(run, range(restarts)), key=lambda c: c.inertia)
+        for _ in range(max_iter):
+            parts = blocks.mapPartitions(_center_sums(centers[live]))
+            totals = parts.treeReduce(np.add) if blocks.getNumPartitions() > 16 else sum(parts.collect())   # a fixed size per task
+            sums = (totals / UNIT).astype(float)
+            weight = sums[:, :, -2:-1]
+            means = np.where(weight > 0, sums[:, :, :-2] / np.where(weight > 0, weight, 1), centers[live])
+            inertia[live] = sums[:, :, -1].sum(axis=1)
+            moved = np.linalg.norm(means - centers[live], axis=2).max(axis=1) > tol
+            centers[live[moved]] = means[moved]
+            live = live[moved]
+            if not len(live):
+                break
     finally:
-        distinct.unpersist()
+        blocks.unpersist()
+    best = int(inertia.argmin())
+    return Clustering([[float(x) for x in c] for c in centers[best]], float(inertia[best]))
+
+
+def _starting_centers(points: np.ndarray, weights: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
+    """Greedy k-means++: of a few draws by squared distance, the one that lowers the inertia most."""
+    tries = 2 + int(math.log(k))
+    chosen = [points[rng.choice(len(points), p=weights / weights.sum())]]
+    near = ((points - chosen[0]) ** 2).sum(axis=1)
+    while len(chosen) < k:
+        mass = near * weights
+        draws = rng.choice(len(points), tries, p=mass / mass.sum()) if mass.sum() > 0 else rng.choice(len(points), tries)
+        options = np.minimum(near[None, :], ((points[None, :, :] - points[draws][:, None, :]) ** 2).sum(axis=2))
+        best = int((options @ weights).argmin())
+        chosen.append(points[draws[best]])
+        near = options[best]
+    return np.array(chosen)
+
+
+def _blocks(counted: DataFrame) -> DataFrame:
+    """Stored blocks (dim, vectors, weights) of distinct vectors; a fixed layout makes runs repeatable."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                vectors, weights = batch.column("features").flatten().to_numpy(zero_copy_only=False), batch.column("weight").to_numpy()
+                yield pa.record_batch([pa.array([len(vectors) // batch.num_rows], pa.int32()), pa.array([vectors.tobytes()], pa.binary()),
+                                       pa.array([weights.tobytes()], pa.binary())], ["dim", "vectors", "weights"])
+    parts = max(1, math.ceil(counted.count() / TASK_ROWS))
+    laid = counted.repartition(parts, "features").sortWithinPartitions("features")
+    return materialize(laid.mapInArrow(run, "dim int, vectors binary, weights binary"), "kmeans-blocks")
+
+
+def _center_sums(centers: np.ndarray):
+    """Whole-number sums [run, centre, (vector, weight, squared distances)] of a task."""
+    runs, k, dim = centers.shape
+
+    def run(blocks) -> Iterator[np.ndarray]:
+        total = np.zeros((runs, k, dim + 2), object)
+        for vectors, weights in blocks:
+            fields = np.hstack([vectors * weights[:, None], weights[:, None]])
+            for r, middle in enumerate(centers):
+                away = ((vectors[:, None, :] - middle[None, :, :]) ** 2).sum(axis=2)
+                own = away.argmin(axis=1)
+                near = away[np.arange(len(own)), own] * weights
+                sums = np.stack([np.bincount(own, f, k) for f in (*fields.T, near)], axis=1)
+                total[r] += np.vectorize(lambda x: round(x * UNIT), otypes=[object])(sums)
+        yield total
+    return run
 
 
 def nearest_center(features: Column, centers: list[list[float]]) -> Column:
