@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from surveyalign.functions import fixed_values as fv
 from surveyalign.functions.codes import decode
+from surveyalign.session import materialize
 
 
 def illegal_code_check(df: DataFrame, column: str) -> DataFrame:
@@ -55,6 +56,52 @@ def snapshot_compare(cached: DataFrame, fresh: DataFrame, column: str = fv.TARGE
     )
 
 
+LEAVES, BRANCHES = 1 << 16, 1 << 8
+
+
+def _fingerprinted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys, leaf, and two independent fingerprints of each whole row."""
+    columns = [F.col(f"`{c}`") for c in sorted(df.columns)]
+    # A null is told from the values around it by its place.
+    marked = [x for c in columns for x in (c.isNull(), c)]
+    return df.select(*keys, F.pmod(F.xxhash64(*keys), F.lit(LEAVES)).cast("int").alias("leaf"),
+                     F.xxhash64(*marked).cast("decimal(38,0)").alias("a"), F.xxhash64(F.lit(1), *marked).cast("decimal(38,0)").alias("b"))
+
+
+def snapshot_tree(df: DataFrame, keys: list[str]) -> DataFrame:
+    """(branch, leaf, n, a, b): order-free sums of row fingerprints per key range, at most ``LEAVES`` rows.
+
+    Worth storing with a table: a later comparison reads the tree, and the table only where it differs.
+    """
+    tallies = _fingerprinted(df, keys).groupBy("leaf").agg(F.count("*").alias("n"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return tallies.select((F.col("leaf") % BRANCHES).alias("branch"), "leaf", "n", "a", "b")
+
+
+def snapshot_diff(cached: DataFrame, fresh: DataFrame, keys: list[str], cached_tree: DataFrame | None = None) -> DataFrame:
+    """(keys, status, n_cached, n_fresh) of the keys whose rows differ between two tables of the same columns.
+
+    ``status`` is removed, added, changed (as many rows, other contents) or count (another number
+    of rows). Rows may repeat and have any order; null keys are keys. Equal branches of the two
+    trees are skipped, then equal leaves; rows are read again only in leaves that differ.
+    """
+    old = materialize(snapshot_tree(cached, keys) if cached_tree is None else cached_tree, "tree")
+    new = materialize(snapshot_tree(fresh, keys), "tree")
+
+    def unequal(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+        sums = lambda df, side: df.groupBy(on).agg(F.struct(F.sum("n"), F.sum("a"), F.sum("b")).alias(side))
+        return sums(left, "l").join(sums(right, "r"), on, "full").where(~F.col("l").eqNullSafe(F.col("r"))).select(on)
+
+    branches = unequal(old, new, "branch")
+    leaves = materialize(unequal(old.join(branches, "branch", "left_semi"), new.join(branches, "branch", "left_semi"), "leaf"), "leaves")
+    side = lambda df, flag: _fingerprinted(df, keys).join(leaves, "leaf", "left_semi").select(*keys, F.lit(flag).alias("fresh"), "a", "b")
+    rows = side(cached, 0).unionByName(side(fresh, 1))
+    part = lambda flag: [F.sum(F.when(F.col("fresh") == flag, F.col(c))).alias(f"{c}{flag}") for c in ("a", "b")]
+    facts = rows.groupBy(*keys).agg(F.count_if(F.col("fresh") == 0).alias("n_cached"), F.count_if(F.col("fresh") == 1).alias("n_fresh"), *part(0), *part(1))
+    same = F.col("a0").eqNullSafe(F.col("a1")) & F.col("b0").eqNullSafe(F.col("b1")) & (F.col("n_cached") == F.col("n_fresh"))
+    status = F.when(F.col("n_fresh") == 0, "removed").when(F.col("n_cached") == 0, "added").when(F.col("n_cached") == F.col("n_fresh"), "changed").otherwise("count")
+    return facts.where(~same).select(*keys, status.alias("status"), "n_cached", "n_fresh")
+
+
 def prediction_audit(
     predictions: DataFrame, keys: list[str] = ["model", "fewshot_ratio", "seed"], allowed: list[int] = fv.MODES
 ) -> DataFrame:

@@ -271,7 +271,11 @@ def evaluate_all(
 
     Invalid predictions are left out of the scores and counted as n_total - n_valid.
     """
-    cube = materialize(confusion_cube(predictions, keys, subgroups, weight=weight), "cube")
+    return evaluate_cube(materialize(confusion_cube(predictions, keys, subgroups, weight=weight), "cube"), keys, subgroups)
+
+
+def evaluate_cube(cube: DataFrame, keys: list[str], subgroups: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The two results of ``evaluate_all`` from a stored tally."""
     totals = cube.groupBy(*keys).agg(
         F.sum("n").alias("n_total"),
         F.coalesce(F.sum(F.when(F.coalesce("y_pred", F.lit(-1)) >= 1, F.col("n"))), F.lit(0)).alias("n_valid"),

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from surveyalign.functions import fixed_values as fv
+from surveyalign.operators.metrics import confusion_cube, evaluate_cube
 from surveyalign.operators.report import RUN_KEYS, run_columns, run_name
+from surveyalign.session import materialize
 
 
 def _file_path():
@@ -28,9 +34,60 @@ def write_prediction_sets(predictions: DataFrame, path: str) -> None:
 
 def read_prediction_sets(spark: SparkSession, path: str) -> DataFrame:
     """Every prediction file below ``path`` with model, ratio and seed taken from its name."""
-    df = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
-    return df.select("*", _run_stem(_file_path()).alias("source_file")).select(
-        "*", *run_columns(F.col("source_file")))
+    return _with_run(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path))
+
+
+def _with_run(files: DataFrame, *more) -> DataFrame:
+    return files.select("*", _run_stem(_file_path()).alias("source_file"), *more).select("*", *run_columns(F.col("source_file")))
+
+
+_VERSION = ["file", "modified", "length"]
+
+
+def _prediction_files(spark: SparkSession, path: str) -> DataFrame:
+    """Path and version of every prediction file; the files are listed, not read."""
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path)
+    return listed.select("path", F.col("_metadata.file_path").alias("file"), F.col("modificationTime").alias("modified"), "length")
+
+
+def _state(spark: SparkSession, path: str) -> DataFrame | None:
+    try:
+        return spark.read.parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def tally_new_files(
+    spark: SparkSession, path: str, state: str, subgroups: list[str] = fv.SUBGROUP_COLUMNS, weight: str | None = "trip_weight",
+) -> DataFrame:
+    """Tally the prediction files below ``path`` that ``state`` does not know; returns those it read (file, modified, length).
+
+    The state keeps one tally per version of a file: its size is bounded by the code lists times the
+    files. A replaced file is read again, and its old tally no longer counts. The list of a batch is
+    written after its tally, so a run that stops in between leaves nothing that counts.
+    """
+    current, known = materialize(_prediction_files(spark, path), "files"), _state(spark, f"{state}/files")
+    new = current if known is None else current.join(known.select(*_VERSION), _VERSION, "left_anti")
+    paths = [r["path"] for r in new.select("path").collect()]   # the reader takes a list of files
+    batch = uuid.uuid4().hex
+    if paths:
+        rows = _with_run(spark.read.parquet(*paths), F.col("_metadata.file_path").alias("file"))
+        confusion_cube(rows, [*RUN_KEYS, "file"], subgroups, weight=weight).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{state}/cube")
+        current.where(F.col("path").isin(paths)).select(*_VERSION, F.lit(batch).alias("batch")).write.mode("append").parquet(f"{state}/files")
+    done = _state(spark, f"{state}/files")
+    if done is None:
+        raise FileNotFoundError(f"no prediction files below {path}")
+    return done.where(F.col("batch") == batch).select(*_VERSION)
+
+
+def evaluate_tallied(spark: SparkSession, path: str, state: str, subgroups: list[str] = fv.SUBGROUP_COLUMNS) -> tuple[DataFrame, DataFrame]:
+    """The two results of ``evaluate_all`` for the present files below ``path``, from their tallies alone."""
+    present = _prediction_files(spark, path).join(_state(spark, f"{state}/files"), _VERSION).select("file", "batch")
+    tallies = _state(spark, f"{state}/cube").join(present, ["file", "batch"])
+    cube = tallies.groupBy(*RUN_KEYS, *subgroups, "y_true", "y_pred").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
+    return evaluate_cube(materialize(cube, "cube"), RUN_KEYS, subgroups)
 
 
 def write_metrics(metrics: DataFrame, path: str, prefix_model: bool = True) -> None:

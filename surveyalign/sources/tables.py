@@ -23,6 +23,27 @@ def read_table(spark: SparkSession, path: str, schema: T.StructType | str | None
     raise ValueError(f"unsupported format: {path}")
 
 
+def read_csv_quarantined(spark: SparkSession, path: str, schema: str, quarantine: str) -> DataFrame:
+    """The good rows of csv files with a header under ``schema``; the bad lines are stored at ``quarantine``.
+
+    A bad line is kept whole as (file, reason, line). Reasons: ``quotes`` (an odd number of them),
+    ``short`` or ``long`` (too few or too many fields), ``value`` (a field that its type does not
+    take). Empty lines and lines equal to the header of the schema are no rows. Fields hold no
+    line breaks.
+    """
+    names = [f.name for f in T._parse_datatype_string(schema).fields]
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"))
+    lines = lines.where((F.trim("line") != "") & (F.regexp_replace("line", '"', "") != ",".join(names)))
+    parsed = lines.withColumn("row", F.from_csv("line", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    quoted = F.regexp_replace("line", '"[^"]*"', "")
+    fields = F.length(quoted) - F.length(F.replace(quoted, F.lit(","))) + 1
+    odd = (F.length("line") - F.length(F.replace("line", F.lit('"')))) % 2 == 1
+    reason = F.when(odd, "quotes").when(fields < len(names), "short").when(fields > len(names), "long").when(F.col("row._bad").isNotNull(), "value")
+    judged = parsed.withColumn("reason", reason)
+    judged.where("reason IS NOT NULL").select("file", "reason", "line").write.mode("append").parquet(quarantine)
+    return judged.where("reason IS NULL").select(*[F.col("row")[name].alias(name) for name in names])
+
+
 def write_table(df: DataFrame, path: str, fmt: str = "parquet") -> None:
     if fmt == "parquet":
         df.write.mode("overwrite").parquet(path)

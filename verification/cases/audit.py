@@ -50,6 +50,19 @@ def _(spark, sf):
     return D.snapshot_compare(st.clean(spark, sf), st.unified(spark, sf).where("main_mode >= 1"))
 
 
+@case("snapshot_diff", """
+SELECT case_id, CASE CAST(household_id AS BIGINT) % 11 WHEN 0 THEN 'removed' WHEN 1 THEN 'changed' ELSE 'count' END AS status, 1 AS n_cached,
+  CAST(CASE CAST(household_id AS BIGINT) % 11 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE 2 END AS INT) AS n_fresh
+FROM fx_clean WHERE CAST(household_id AS BIGINT) % 11 <= 2""")
+def _(spark, sf):
+    """The stored trips against a copy without some households, with others changed and others twice."""
+    trips = st.clean(spark, sf)
+    rest = F.col("household_id").cast("long") % 11
+    copy = trips.where(rest != 0).withColumn("trip_weight", F.when(rest == 1, F.col("trip_weight") + 1).otherwise(F.col("trip_weight")))
+    found = D.snapshot_diff(trips, copy.unionByName(trips.where(rest == 2)), ["case_id"])
+    return found.select("case_id", "status", F.col("n_cached").cast("int").alias("n_cached"), F.col("n_fresh").cast("int").alias("n_fresh"))
+
+
 @case("prediction_audit", """
 SELECT model, fewshot_ratio, seed, 'true' AS side, main_mode AS label, count(*) AS n, main_mode BETWEEN 1 AND 9 AS in_domain FROM fx_runs GROUP BY ALL
 UNION ALL SELECT model, fewshot_ratio, seed, 'predicted', predicted_mode, count(*), predicted_mode BETWEEN 1 AND 9 FROM fx_runs GROUP BY ALL""")

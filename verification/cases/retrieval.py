@@ -6,6 +6,8 @@ from surveyalign.operators import retrieval as R
 from surveyalign.operators.features import TabularEncoder
 from surveyalign.operators.inference import retrieve_evidence
 from surveyalign.operators.sampling import split_test_pool_fewshot
+from surveyalign.session import shared_dir
+from surveyalign.streaming.memory_feed import feed_subgroup_errors, read_subgroup_errors
 from verification import survey_tables as st
 from verification.cases import case
 from verification.cases.features import mode_mean_prototypes, scaled_columns
@@ -67,6 +69,21 @@ def _(spark, sf):
     return merged.select("age_group", F.round("error", 6).alias("error"))
 
 
+@case("feed_subgroup_errors", f"""
+SELECT COALESCE(n.age_group, o.age_group) AS age_group, round(COALESCE(n.error, o.error), 6) AS error
+FROM ({_ERRORS.format('1.0', '')}) o FULL JOIN ({_ERRORS.format('0.5', 'WHERE age_group <= 3')}) n ON o.age_group = n.age_group""")
+def _(spark, sf):
+    """The same errors as two arrivals of a stream; the second replaces the subgroups it names."""
+    valid = st.predictions(spark, sf).where("predicted_mode >= 1")
+    source, path, marks = (shared_dir(spark, n) for n in ("arriving", "errors", "marks"))
+    for rows, level in ((valid, 1.0), (valid.where("age_group <= 3"), 0.5)):
+        hit = F.avg((F.col("main_mode") == F.col("predicted_mode")).cast("double"))
+        errors = rows.groupBy("age_group").agg(F.abs(hit - level).alias("error"))
+        errors.write.mode("append").parquet(source)
+        feed_subgroup_errors(spark.readStream.schema(errors.schema).parquet(source), path, marks, ["age_group"]).awaitTermination()
+    return read_subgroup_errors(spark, path).select("age_group", F.round("error", 6).alias("error"))
+
+
 @case("cosine_similarity", """
 SELECT e.vec_id, e.label, round(list_cosine_similarity(CAST(e.embedding AS DOUBLE[]), c.center), 6) AS similarity
 FROM embeddings e JOIN (

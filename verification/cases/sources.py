@@ -34,6 +34,24 @@ def write_table(spark, sf):
     return parts[0].unionByName(parts[1])
 
 
+_LINE = """CASE o_orderkey % 97 WHEN 0 THEN concat(o_orderkey, ',', o_custkey) WHEN 1 THEN concat(o_orderkey, ',', o_custkey, ',x,y')
+ WHEN 2 THEN concat(o_orderkey, ',', o_custkey, ',"', o_orderpriority) WHEN 3 THEN concat('n', o_orderkey, ',', o_custkey, ',x') ELSE concat(o_orderkey, ',', o_custkey, ',"', o_orderpriority, ',"') END"""
+
+
+@case("quarantine_csv", f"""
+SELECT 'good' AS reason, CAST(o_orderkey AS BIGINT) AS k, CAST(o_custkey AS BIGINT) AS c, o_orderpriority || ',' AS text FROM orders WHERE o_orderkey % 97 > 3
+UNION ALL SELECT CASE o_orderkey % 97 WHEN 0 THEN 'short' WHEN 1 THEN 'long' WHEN 2 THEN 'quotes' ELSE 'value' END, NULL, NULL, {_LINE} FROM orders WHERE o_orderkey % 97 <= 3""")
+def quarantine_csv(spark, sf):
+    """Orders as csv lines, some of them short, long, badly quoted or with text for a number."""
+    path, bad = shared_dir(spark, "lines"), shared_dir(spark, "quarantine")
+    orders = st.table(spark, sf, "orders").select(F.expr(_LINE).alias("value"))
+    orders.unionByName(spark.createDataFrame([("k,c,text",), ("",)], "value string")).write.text(path)
+    good = tables.read_csv_quarantined(spark, path, "k long, c long, text string", bad)
+    none = F.lit(None).cast("long")
+    return good.select(F.lit("good").alias("reason"), "k", "c", "text").unionByName(
+        spark.read.parquet(bad).select("reason", none.alias("k"), none.alias("c"), F.col("line").alias("text")))
+
+
 @case("read_survey_tables", """
 SELECT 'household' AS role, count(*) AS n_rows FROM customer
 UNION ALL SELECT 'member', count(*) FROM orders
@@ -55,6 +73,19 @@ def _metrics(spark, sf):
     return st.run_metrics(spark, sf)
 
 
+@case("evaluate_increment", f"""
+SELECT model, fewshot_ratio, seed, metric, round(value, 6)::DOUBLE AS value FROM ({ALL_METRICS})""")
+def evaluate_increment(spark, sf):
+    """Prediction sets that arrive in two parts; the second tally reads the files of the second part only."""
+    path, state = shared_dir(spark, "predictions"), shared_dir(spark, "tallies")
+    rows = st.run_predictions(spark, sf)
+    for part, name in ((rows.where("seed = 42"), "first"), (rows.where("seed <> 42"), "second")):
+        runs.write_prediction_sets(part, f"{path}/{name}")
+        runs.tally_new_files(spark, path, state)
+    metrics, _subgroups = runs.evaluate_tallied(spark, path, state)
+    return metrics.select(*RUN, "metric", F.round("value", 6).alias("value"))
+
+
 def _write_metrics(spark, sf):
     path = shared_dir(spark, "metrics")
     runs.write_metrics(_metrics(spark, sf)[0], path)
