@@ -9,7 +9,8 @@ from zlib import crc32
 
 #: Fixed values of HTML: elements by the role they have here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("script style title textarea noscript template iframe svg math object select button datalist audio video canvas".split())
+RAW_TEXT = frozenset("script style title textarea iframe noembed noframes xmp".split())
+HIDDEN = frozenset("noscript template svg object select button datalist audio video canvas annotation annotation-xml".split())
 BLOCK = frozenset((
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hgroup hr html label legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul").split())
@@ -22,9 +23,11 @@ ENDS_SAME = {
 KEEPS_P = frozenset("td th table button article section div main aside li blockquote".split())
 
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<""",
+    r"""<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)|[^<]++|<""",
     re.S)
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+#: A slash that ends an unquoted value belongs to the value.
+_SELF_CLOSED = re.compile(r"""(?:^|[\s"'])/\s*$""")
 _NAME_PART = re.compile(r"[a-z]+")
 
 PATH_SLOTS = 2048
@@ -66,12 +69,14 @@ def leaves(page: str | None) -> list[Leaf]:
 
     Character references are decoded, white space inside a block becomes one space and outer
     white space goes. Unclosed and misnested elements end where HTML says they do, or at the
-    end of the page.
+    end of the page. Raw text (scripts, styles and their like) runs to its own end tag, whatever
+    its start tag ends in; other hidden elements also end with an element around them. Formulas
+    are text.
     """
     if not page:
         return []
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[int, ...], bool]] = [("", (), False)]
+    stack: list[tuple[str, tuple[int, ...], bool, bool]] = [("", (), False, False)]
     buffer: list[str] = []
     start_path: tuple[int, ...] = ()
     link_chars = 0
@@ -102,7 +107,7 @@ def leaves(page: str | None) -> list[Leaf]:
         tag = token[2] or token[5]
         if not tag:
             text = token[0]
-            if text[:2] in ("<!", "<?"):
+            if text[:2] in ("<!", "<?") or stack[-1][3]:
                 continue
             if not buffer:
                 if text.isspace():
@@ -125,10 +130,9 @@ def leaves(page: str | None) -> list[Leaf]:
                 while stack.pop()[0] != tag:
                     pass
             continue
-        if tag in HIDDEN:
-            if not attributes.endswith("/"):
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*(?:>|\Z)", re.I).search(page, at)
-                at = end.end() if end else n
+        if tag in RAW_TEXT:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I).search(page, at)
+            at = end.end() if end else n
             continue
         if tag in VOID:
             continue
@@ -136,9 +140,9 @@ def leaves(page: str | None) -> list[Leaf]:
             close(("p",), KEEPS_P)
         if tag in ENDS_SAME:
             close(*ENDS_SAME[tag])
-        if attributes.endswith("/") and tag not in BLOCK:
+        if tag not in BLOCK and attributes.endswith("/") and _SELF_CLOSED.search(attributes):
             continue
         parent = stack[-1]
-        stack.append((tag, parent[1] + _own_tokens(tag, attributes) if tag in BLOCK else parent[1], parent[2] or tag == "a"))
+        stack.append((tag, parent[1] + _own_tokens(tag, attributes) if tag in BLOCK else parent[1], parent[2] or tag == "a", parent[3] or tag in HIDDEN))
     flush()
     return out

@@ -242,12 +242,22 @@ def sample_words(pages: DataFrame, id_col: str, html_col: str, limit: int = SAMP
     """Words of a bounded sample: the pages with the least hashes.
 
     Tasks send the driver hashes first and then the chosen pages alone, so what it gets does not
-    grow with the number of tasks. Rows with one hash are copies, of which any will do.
+    grow with the number of tasks. Rows with one hash are copies, of which any will do. The words
+    are taken from the whole pages in the tasks, each once.
     """
     hashed = pages.where(F.col(html_col).isNotNull()).select(html_col, F.xxhash64(id_col, html_col).alias("h"))
     least = [r["h"] for r in hashed.select("h").orderBy("h").limit(limit).collect()]
-    rows = hashed.where(F.col("h") <= max(least)).limit(limit).collect() if least else []
-    return sorted({w for r in rows for b in leaves(r[0]) for w in b.text.split()[:200]})
+    if not least:
+        return []
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for page in batch.column(0).to_pylist():
+                found = {w for b in leaves(page) for w in b.text.split()}
+                yield pa.record_batch([pa.array(sorted(found), pa.string())], ["word"])
+
+    sample = hashed.where(F.col("h") <= max(least)).limit(limit).select(html_col)
+    return sorted(r["word"] for r in sample.mapInArrow(words, "word string").distinct().collect())
 
 
 def main_text(blocks: list[Leaf], scores: np.ndarray) -> str:

@@ -102,3 +102,43 @@ def test_given_pages_equal_their_articles(spark, sf_dir):
         parts = (" ".join(references.unescape(re.sub("<[^>]*>", " ", p)).split()) for p in re.split(r"</?(?:p|h1)\b[^>]*>", article))
         right += found[row.page_id] == "\n\n".join(p for p in parts if p)
     assert right >= 0.98 * len(found)
+
+
+def blocks(page):
+    from surveyalign.llm.html_blocks import leaves
+
+    return [b.text for b in leaves(page)]
+
+
+def test_raw_text_ends_at_its_own_tag_only():
+    assert blocks("<p>a</p><script src=/x/>var a=1;</script><p>b</p>") == ["a", "b"]
+    assert blocks("<p>a</p><script src='x' />if (a < b) '</p>';</script ><p>b</p>") == ["a", "b"]
+    assert blocks("<title>t</title><style>p > q</style><textarea><p>no</textarea>b<iframe>x</iframe>") == ["b"]
+    assert blocks("<p>a<script>never closed <p>b") == ["a"]
+
+
+def test_hidden_elements_end_with_their_parent():
+    assert blocks("<div><button>menu</div><p>article</p>") == ["article"]
+    assert blocks("<p>a <button>x</button> b</p>") == ["a b"]
+    assert blocks("<div><svg><text>1</text><svg><text>2</text></svg><text>3</text></svg>tail</div>") == ["tail"]
+    assert blocks("<p>a <svg/> b</p><noscript><p>no</p></noscript><p>c</p>") == ["a b", "c"]
+    assert blocks("<div><select><option>one<option>two</select> kept</div>") == ["kept"]
+
+
+def test_comments_formulas_and_unquoted_links():
+    from surveyalign.llm.html_blocks import leaves
+
+    assert blocks("<!--><p>a</p><!---><p>b</p><!-- x --!><p>c</p><!-- open <p>d") == ["a", "b", "c"]
+    assert blocks("<p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds</p>") == ["so x=2 holds"]
+    assert [(b.text, b.link_chars) for b in leaves("<p><a href=/foo/>text</a> more</p>")] == [("text more", 4)]
+    assert [(b.text, b.link_chars) for b in leaves('<p><a name="x"/>text</p>')] == [("text", 0)]
+    assert blocks("") == blocks(None) == []
+
+
+def test_sampled_words_come_from_whole_blocks(spark):
+    from surveyalign.llm.html_text import sample_words
+
+    text = " ".join(f"w{i}" for i in range(500))
+    pages = spark.createDataFrame([(1, f"<p>{text}</p>"), (2, "<p>w1 z</p>"), (3, None)], "page_id long, html string")
+    assert sample_words(pages, "page_id", "html") == sorted({*text.split(), "z"})
+    assert sample_words(pages.limit(0), "page_id", "html") == []
