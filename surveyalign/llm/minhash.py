@@ -208,7 +208,18 @@ def _full_sets(docs: DataFrame, classes: DataFrame, wanted: DataFrame, size: int
                 yield pa.record_batch([part.column("node").take(pa.array(right, pa.int64())), pa.array([sets[i].tobytes() for i in right], pa.binary())],
                                       ["node", "shingles"])
 
-    return rows.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node"])
+    found = rows.mapInArrow(run, "node long, shingles binary")
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text", 1 << 20):
+                sets = [s for s in shingle_sets(part.column("text"), size) if len(s)]
+                yield pa.record_batch([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "shingles"])
+
+    # Classes whose rows all have null ids are found by the digest of their sets.
+    nameless = docs.where(F.col(id_col).isNull()).select(F.col(text_col).alias("text")).mapInArrow(keyed, "key binary, shingles binary")
+    unnamed = classes.where(F.col("first_id").isNull()).join(wanted, "node", "left_semi").select("node", "key")
+    return found.unionByName(nameless.join(unnamed, "key").select("node", "shingles")).dropDuplicates(["node"])
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -92,3 +92,13 @@ def test_components_of_chains_and_stars(spark):
     nodes = {x for link in links for x in link}
     want = {n: r for n, r in components(nodes, links).items() if n != r}
     assert found == want
+
+
+def test_null_ids_keep_their_links(spark):
+    from surveyalign.llm.minhash import near_duplicates
+
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, text), (5, text + " more"), (None, "alone here is a text of some words"), (9, "another text that is not like the rest"), (None, text + " other end")]
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect()
+    got = sorted((str(r.doc_id), r.n_shingles, str(r.component_id), r.kept) for r in found)
+    assert got == [("5", 197, "5", True), ("9", 4, "9", True), ("None", 4, "None", True), ("None", 196, "5", False), ("None", 198, "5", False)]
