@@ -54,6 +54,8 @@ def _linked(threshold: float):
     """Per vector of a tile: how many others it links to here, and the vector that holds its component together."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors = np.array(pdf["embedding"].tolist(), np.float64)
+        # By a power of two, which changes no cosine: squares neither overflow nor vanish.
+        vectors = np.ldexp(vectors, -np.frexp(np.abs(vectors).max(axis=1))[1][:, None])
         length = np.sqrt((vectors * vectors).sum(axis=1))
         unit = vectors / length[:, None]
         size, chunk = pdf["size"].to_numpy(), pdf["c"].to_numpy()

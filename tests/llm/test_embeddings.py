@@ -66,3 +66,9 @@ def test_repeated_rows_count_each(spark):
     vectors = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (None, [1.0, 0.01], 1), (4, [0.0, 1.0], 1)], "vec_id long, embedding array<double>, label int")
     rows = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in E.near_duplicate_vectors(vectors).collect())
     assert rows == [("1", 2, "1", True), ("1", 2, "1", True), ("4", 0, "4", True), ("None", 2, "1", False)]
+
+
+def test_extreme_magnitudes_link_like_others(spark):
+    rows = [(1, [1e200, 1e200], 1), (2, [1e200, 1.1e200], 1), (3, [1e-200, 1e-200], 1), (4, [5e-324, 0.0], 1), (5, [1.0, 1.0], 1), (6, [-1e308, 1e308], 1)]
+    found = E.near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in found} == {1: (3, 1), 2: (3, 1), 3: (3, 1), 4: (0, 4), 5: (3, 1), 6: (0, 6)}
