@@ -38,6 +38,47 @@ def test_base_equals_brute_force_and_model_beats_it(sample_docs):
     assert per_token("score") > per_token("base_score") + 0.01
 
 
+def test_defaults_beat_base_on_held_out_documents_whatever_the_layout(sample_docs):
+    found = {}
+    for parts in (1, 4, 16):
+        rows = L.score_documents(sample_docs.repartition(parts)).collect()
+        found[parts] = {r.doc_id: r.score for r in rows}
+        held = [r for r in rows if r.held_out]
+        assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    assert found[1] == found[4] == found[16] and len(found[1]) == sample_docs.count()
+
+
+def test_words_of_every_step_share_one_probability():
+    """Units, classes, cells and the words of a cell: over all words and one unseen word a lowest cell, shares add up to one."""
+    rng = np.random.default_rng(3)
+    hashes = np.unique(rng.integers(1, 1 << 63, 40_000).astype(np.uint64) * np.uint64(2))
+    counts = np.maximum(1, (len(hashes) / (1 + rng.permutation(len(hashes)))).astype(np.int64))
+    at = L.bands(counts)
+    v = L.Vocabulary(np.bincount(at), np.bincount(at, counts).astype(np.int64), 0)
+    own = at >= v.n_bands
+    v.own(hashes[own], counts[own])
+    assert 0 < own.sum() <= len(hashes) ** 0.5 / 2 and v.n_classes < 4 * len(hashes) ** 0.5
+    classes, cells = v.places(hashes, counts)
+    share = 10 ** v.cell_logs(counts, v.cell_totals(hashes, counts))
+    key = classes * (1 << 20) + cells
+    groups, place = np.unique(key, return_inverse=True)
+    total = np.bincount(place, share)
+    lowest = np.bincount(place, counts == 1) > 0
+    assert total[~lowest] == pytest.approx(1)
+    singles = np.bincount(place, counts)[lowest]
+    assert total[lowest] == pytest.approx(1 - 0.1 / (singles + 0.1 * (singles + 1)))
+    w, flat = L.Model.fresh(v.noise(), v.n_units)
+    for rows in [v.unit_rows, *v.class_rows, *v.cell_rows]:
+        logs = L.log_probabilities(L.children(w.parts(flat), rows), np.zeros(rows.stop - rows.start, int), np.ones(rows.stop - rows.start, int), np.arange(rows.stop - rows.start))
+        assert np.exp(logs).sum() == pytest.approx(1, abs=1e-5)
+
+
+def test_cells_wider_than_a_slab_have_their_totals(sample_docs, monkeypatch):
+    whole = {r.doc_id: r.score for r in L.score_documents(sample_docs, rounds=0).collect()}
+    monkeypatch.setattr(L, "slab_count", lambda items: 64)
+    assert {r.doc_id: r.score for r in L.score_documents(sample_docs, rounds=0).collect()} == pytest.approx(whole)
+
+
 def test_edge_documents(edge_docs, no_docs, spark):
     rows = L.score_documents(edge_docs).collect()
     check_base(edge_docs, rows)
