@@ -11,7 +11,7 @@ training word has a place of its own in the model, which a walk of three steps f
   from all but the few of its cell, among which its count decides.
 
 Each step is a softmax: a child scores the product of its vector with the context vector, plus a
-bias. The context vector is the sum of the vectors of the two preceding words' units, each scaled
+bias. Units shape the context vectors; classes and cells learn theirs against them. The context vector is the sum of the vectors of the two preceding words' units, each scaled
 component-wise. Documents are dealt to shards by a hash of their id and text; every shard trains a
 copy, the copies are averaged in proportion to their tokens by whole-number sums, and that repeats
 for a few rounds, so scores do not depend on how the table is laid out in files. They are
@@ -50,10 +50,11 @@ SHARD_BYTES = 32 << 20
 NOISE = 96
 INNER_NOISE = 32
 STEP = 2048
-RATE, BIAS_RATE = 0.2, 0.005
+RATE, INNER_RATE, BIAS_RATE = 0.2, 0.03, 0.005
 
-#: Weights are averaged as whole multiples of this.
+#: Weights are averaged as whole multiples of ``GRAIN``, in runs of ``WEIGHTS``.
 GRAIN = 2.0 ** -45
+WEIGHTS = 4096
 
 #: Hash of the end mark; no word has an empty text.
 END = np.uint64(0)
@@ -301,7 +302,12 @@ class Model:
 
 
 def _scatter(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    return np.stack([np.bincount(rows, values[:, k], n) for k in range(values.shape[1])], axis=1)
+    out = np.zeros((n, values.shape[1]), values.dtype)
+    order = np.argsort(rows, kind="stable")
+    held = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], held[1:] != held[:-1]]))
+    out[held[first]] = np.add.reduceat(values[order], first)
+    return out
 
 
 def children(w: dict, rows: slice) -> dict:
@@ -309,8 +315,11 @@ def children(w: dict, rows: slice) -> dict:
     return {**w, "target": w["target"][rows], "bias": w["bias"][rows]}
 
 
-def nce_step(w: dict, one, two, target, weight, drawn, noise) -> dict[str, np.ndarray]:
-    """Gradient of the NCE loss of weighted trigrams against drawn noise children, per unit of weight."""
+def nce_step(w: dict, one, two, target, weight, drawn, noise, whole: bool = True) -> dict[str, np.ndarray]:
+    """Gradient of the NCE loss of weighted trigrams against drawn noise children, per unit of weight.
+
+    Without ``whole`` only that of the children themselves.
+    """
     a, b = w["context"][one], w["context"][two]
     r = a * w["near"] + b * w["far"]
     log_noise = np.log(len(drawn) * noise).astype(w["bias"].dtype)
@@ -319,12 +328,14 @@ def nce_step(w: dict, one, two, target, weight, drawn, noise) -> dict[str, np.nd
     share = (weight / weight.sum()).astype(r.dtype)
     up = -share / (1 + np.exp(np.clip(true, -30, 30)))
     down = share[:, None] / (1 + np.exp(-np.clip(fake, -30, 30)))
-    dr = up[:, None] * w["target"][target] + down @ w["target"][drawn]
     n = len(w["bias"])
     d_target = _scatter(target, up[:, None] * r, n)
     np.add.at(d_target, drawn, down.T @ r)
     d_bias = np.bincount(target, up, n)
     np.add.at(d_bias, drawn, down.sum(axis=0))
+    if not whole:
+        return {"target": d_target, "bias": d_bias}
+    dr = up[:, None] * w["target"][target] + down @ w["target"][drawn]
     rows = len(w["context"])
     d_context = _scatter(one, dr * w["near"], rows) + _scatter(two, dr * w["far"], rows)
     return {"context": d_context, "near": (dr * a).sum(axis=0), "far": (dr * b).sum(axis=0), "target": d_target, "bias": d_bias}
@@ -342,7 +353,7 @@ def _steps(vocabulary: Vocabulary, one: np.ndarray, two: np.ndarray, classes: np
 
 
 def _train_round(vocabulary: Vocabulary, model: Model, start: np.ndarray, noise: np.ndarray, round_number: int, step: int):
-    """(i, part): a shard's weights after its blocks, times its share of all training tokens, in grains."""
+    """(i, part): runs of a shard's weights after its blocks, times its share of all training tokens, in grains."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         flat, seen = start.astype(np.float32), 0
         squares = np.full(len(flat), 1e-6, np.float32)
@@ -361,20 +372,26 @@ def _train_round(vocabulary: Vocabulary, model: Model, start: np.ndarray, noise:
                 keys, counts = np.unique((two[at] * n + one[at]) * size + child, return_counts=True)
                 order = rng.permutation(len(keys))
                 own, own_sq, prior = children(w, rows), children(sq, rows), noise[rows]
-                draws = NOISE if rows is vocabulary.unit_rows else INNER_NOISE
+                outer, edges = rows is vocabulary.unit_rows, np.cumsum(prior)[:-1]
                 for k in range(0, len(order), step):
                     key, weight = keys[order[k:k + step]], counts[order[k:k + step]].astype(np.float64)
                     context, target = key // size, key % size
-                    drawn = np.searchsorted(np.cumsum(prior)[:-1], rng.random(draws), side="right")
-                    for name, g in nce_step(own, context % n, context // n, target, weight, drawn, prior).items():
+                    drawn = np.searchsorted(edges, rng.random(NOISE if outer else INNER_NOISE), side="right")
+                    for name, g in nce_step(own, context % n, context // n, target, weight, drawn, prior, outer).items():
                         g *= len(key)
                         own_sq[name] += g * g
-                        own[name] -= (BIAS_RATE if name == "bias" else RATE) * g / np.sqrt(own_sq[name])
+                        own[name] -= (BIAS_RATE if name == "bias" else RATE if outer else INNER_RATE) * g / np.sqrt(own_sq[name])
         part = np.rint(flat.astype(np.float64) * (seen / max(vocabulary.tokens, 1)) / GRAIN).astype(np.int64)
-        return pd.DataFrame({"i": np.arange(len(flat), dtype=np.int32), "part": part})
+        cuts = range(0, len(part), WEIGHTS)
+        return pd.DataFrame({"i": [*cuts], "part": [part[i:i + WEIGHTS].astype("<i8").tobytes() for i in cuts]})
     return run
 
 
+def _add_weights(pdf: pd.DataFrame) -> pd.DataFrame:
+    total = sum(np.frombuffer(part, "<i8") for part in pdf["part"])
+    return pd.DataFrame({"i": pdf["i"].iloc[:1], "part": [total.tobytes()]})
+
+
 def log_probabilities(w: dict, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
     """Natural log of the normalised probability of every token's child."""
     n = len(w["context"])
@@ -459,10 +476,10 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model, flat = Model.fresh(noise, vocabulary.n_units)
     for k in range(rounds):
         trained = encoded.groupBy(F.shiftright("block", 32).alias("shard")).applyInPandas(
-            _train_round(vocabulary, model, flat, noise, k, STEP), "i int, part long")
-        sums = trained.groupBy("i").agg(F.sum("part").alias("total")).collect()
+            _train_round(vocabulary, model, flat, noise, k, STEP), "i int, part binary")
+        sums = trained.groupBy("i").applyInPandas(_add_weights, trained.schema).collect()
         if sums and vocabulary.tokens:
-            flat = np.array([r["total"] for r in sorted(sums)]) * GRAIN
+            flat = np.concatenate([np.frombuffer(r["part"], "<i8") for r in sorted(sums)]) * GRAIN
     schema = T.StructType([
         T.StructField("id", source.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()),
