@@ -353,7 +353,7 @@ def _steps(vocabulary: Vocabulary, one: np.ndarray, two: np.ndarray, classes: np
 
 
 def _train_round(vocabulary: Vocabulary, model: Model, start: np.ndarray, noise: np.ndarray, round_number: int, step: int):
-    """(i, part): runs of a shard's weights after its blocks, times its share of all training tokens, in grains."""
+    """(i, shard, part): runs of a shard's weights after its blocks, times its share of all training tokens, in grains."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         flat, seen = start.astype(np.float32), 0
         squares = np.full(len(flat), 1e-6, np.float32)
@@ -383,13 +383,14 @@ def _train_round(vocabulary: Vocabulary, model: Model, start: np.ndarray, noise:
                         own[name] -= (BIAS_RATE if name == "bias" else RATE if outer else INNER_RATE) * g / np.sqrt(own_sq[name])
         part = np.rint(flat.astype(np.float64) * (seen / max(vocabulary.tokens, 1)) / GRAIN).astype(np.int64)
         cuts = range(0, len(part), WEIGHTS)
-        return pd.DataFrame({"i": [*cuts], "part": [part[i:i + WEIGHTS].astype("<i8").tobytes() for i in cuts]})
+        return pd.DataFrame({"i": [*cuts], "shard": int(pdf["block"].iloc[0]) >> 32, "part": [part[i:i + WEIGHTS].astype("<i8").tobytes() for i in cuts]})
     return run
 
 
 def _add_weights(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sum of one run of weights over shards; whole numbers, so in any order."""
     total = sum(np.frombuffer(part, "<i8") for part in pdf["part"])
-    return pd.DataFrame({"i": pdf["i"].iloc[:1], "part": [total.tobytes()]})
+    return pd.DataFrame({"i": pdf["i"].iloc[:1], "shard": pdf["shard"].iloc[:1], "part": [total.tobytes()]})
 
 
 def log_probabilities(w: dict, one: np.ndarray, two: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -459,7 +460,9 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     n_bytes = source.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     dealt = F.xxhash64(F.col("id").cast("string"), "text")
-    source = source.repartition(1 + n_bytes // SHARD_BYTES, dealt).sortWithinPartitions(dealt, "id")
+    shards = 1 + n_bytes // SHARD_BYTES
+    few = 1 + int(shards ** 0.5)  # sums of so many groups of shards, then of these, so that no task adds up all
+    source = source.repartition(shards, dealt).sortWithinPartitions(dealt, "id")
     blocks = to_blocks(source, 1, lambda part: sum(len((t or "").split()) + 1 for t in part.column(1).to_pylist()))
     slabs = 1 << (slab_count(blocks.agg(F.sum("items")).first()[0] or 0) - 1).bit_length()
     asked = materialize(blocks.select("block", "payload").mapInArrow(_ask_counts(slabs), question_schema()), "asked")
@@ -476,10 +479,11 @@ def score_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     model, flat = Model.fresh(noise, vocabulary.n_units)
     for k in range(rounds):
         trained = encoded.groupBy(F.shiftright("block", 32).alias("shard")).applyInPandas(
-            _train_round(vocabulary, model, flat, noise, k, STEP), "i int, part binary")
-        sums = trained.groupBy("i").applyInPandas(_add_weights, trained.schema).collect()
+            _train_round(vocabulary, model, flat, noise, k, STEP), "i int, shard long, part binary")
+        some = trained.groupBy("i", F.col("shard") % few).applyInPandas(_add_weights, trained.schema)
+        sums = some.groupBy("i").applyInPandas(_add_weights, trained.schema).collect()
         if sums and vocabulary.tokens:
-            flat = np.concatenate([np.frombuffer(r["part"], "<i8") for r in sorted(sums)]) * GRAIN
+            flat = np.concatenate([np.frombuffer(r["part"], "<i8") for r in sorted(sums, key=lambda r: r["i"])]) * GRAIN
     schema = T.StructType([
         T.StructField("id", source.schema["id"].dataType), T.StructField("held_out", T.BooleanType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("n_known", T.LongType()), T.StructField("train_tokens", T.LongType()), T.StructField("base_score", T.DoubleType()),
