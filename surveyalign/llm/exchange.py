@@ -94,6 +94,16 @@ def slab_cuts(values: np.ndarray, slabs: int, top: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
 
 
+def slab_runs(values: np.ndarray, slabs: int, bits: int) -> list[tuple[int, int, int]]:
+    """(slab, begin, end) of the runs of sorted ``values`` below 2 ** ``bits`` in equal shares of that space.
+
+    Only slabs that hold a value are visited, however many there are.
+    """
+    slab = ((values >> np.uint64(max(bits - 32, 0))) * np.uint64(slabs)) >> np.uint64(min(bits, 32))
+    begin = np.flatnonzero(np.concatenate([[True], slab[1:] != slab[:-1]])) if len(values) else np.zeros(0, np.int64)
+    return list(zip(slab[begin].tolist(), begin.tolist(), np.append(begin[1:], len(values)).tolist()))
+
+
 def slab_count(items: int, per_slab: int = SLAB_ITEMS) -> int:
     return max(1, -(-items // per_slab))
 

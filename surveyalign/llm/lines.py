@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyalign.llm.common import distinct, fresh_name, materialize, mix, text_buffer
-from surveyalign.llm.exchange import answered, in_order, pack_sorted, question_schema, slab_count, slab_cuts, to_blocks, unpack_batch
-from surveyalign.llm.passages import LAST_ID, _bits, _earlier_elsewhere, _member, _question_rows, _seen_twice, _window_question
+from surveyalign.llm.exchange import answered, in_order, pack_sorted, question_schema, slab_count, slab_runs, to_blocks, unpack_batch, unpack_sorted
+from surveyalign.llm.passages import LAST_ID, _bits, _earlier_elsewhere, _question_rows, _window_question
 
 EDITS = 2
 
@@ -128,7 +128,7 @@ class Lines:
         self.repeats = self.eligible[order[~new]]
 
     def question(self, slabs: int):
-        return self.high, self.low, self.ids[self.row[self.first]], slab_cuts(self.high, slabs, 1 << 64)
+        return self.high, self.low, self.ids[self.row[self.first]], slab_runs(self.high, slabs, 64)
 
     def keys(self, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(key, index into ``lines``, is an index key) of every probe and segment of the lines; some lines at a time."""
@@ -182,11 +182,10 @@ class Plan:
 
     def firsts(self, block: Lines, answers: dict[int, bytes]) -> np.ndarray:
         """Lines of the block without an exact copy before them."""
-        high, _, _, cuts = block.question(self.line_slabs)
+        high, _, _, runs = block.question(self.line_slabs)
         later = np.zeros(len(high), bool)
-        for s in range(self.line_slabs):
-            if cuts[s + 1] > cuts[s]:
-                later[cuts[s]:cuts[s + 1]] = _bits(answers[s], cuts[s + 1] - cuts[s])
+        for s, a, b in runs:
+            later[a:b] = _bits(answers[s], b - a)
         return np.sort(block.first[~later])
 
     def compared(self, block: Lines, answers: dict[int, bytes]) -> np.ndarray:
@@ -197,21 +196,32 @@ class Plan:
     def cells(self, keys: np.ndarray) -> np.ndarray:
         return keys >> np.uint64(64 - self.bits)
 
-    def cell_question(self, cells: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def cell_question(self, cells: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
         values = distinct(cells)
-        return values, slab_cuts(values, self.key_slabs, 1 << self.bits)
+        return values, slab_runs(values, self.key_slabs, self.bits)
 
 
-def _slab_rows(block: int, values, cuts, packed) -> pa.RecordBatch:
-    return _question_rows(block, [(s, packed(a, b)) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+def _seen_twice(asked: list[bytes]) -> list[bytes]:
+    """One bit per asked cell: another block asks for it too."""
+    cells = [unpack_sorted(a) for a in asked]
+    values = np.sort(np.concatenate(cells))
+    hot = distinct(values[1:][values[1:] == values[:-1]])
+    return [np.packbits(_member(hot, c)).tobytes() for c in cells]
+
+
+def _member(sorted_values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if len(sorted_values) == 0:
+        return np.zeros(len(asked), bool)
+    spot = np.minimum(np.searchsorted(sorted_values, asked), len(sorted_values) - 1)
+    return sorted_values[spot] == asked
 
 
 def _ask_lines(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                high, low, ids, cuts = plan.lines(payload.as_buffer()).question(plan.line_slabs)
-                yield _slab_rows(number, high, cuts, lambda a, b: _window_question(high[a:b], low[a:b], ids[a:b]))
+                high, low, ids, runs = plan.lines(payload.as_buffer()).question(plan.line_slabs)
+                yield _question_rows(number, [(s, _window_question(high[a:b], low[a:b], ids[a:b])) for s, a, b in runs])
     return run
 
 
@@ -221,8 +231,8 @@ def _ask_keys(plan: Plan):
             for number, payload, copies in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("copies")):
                 block = plan.lines(payload.as_buffer())
                 keys, _, _ = block.keys(plan.compared(block, in_order(copies.as_py())))
-                cells, cuts = plan.cell_question(plan.cells(keys))
-                yield _slab_rows(number, cells, cuts, lambda a, b: pack_sorted(cells[a:b]))
+                cells, runs = plan.cell_question(plan.cells(keys))
+                yield _question_rows(number, [(s, pack_sorted(cells[a:b])) for s, a, b in runs])
     return run
 
 
@@ -236,12 +246,11 @@ def _shared_lines(plan: Plan):
                 lines = plan.compared(block, in_order(copies.as_py()))
                 keys, owner, index = block.keys(lines)
                 own = plan.cells(keys)
-                cells, cuts = plan.cell_question(own)
+                cells, runs = plan.cell_question(own)
                 hot = np.zeros(len(cells), bool)
                 answers = in_order(asked.as_py())
-                for s in range(plan.key_slabs):
-                    if cuts[s + 1] > cuts[s]:
-                        hot[cuts[s]:cuts[s + 1]] = _bits(answers[s], cuts[s + 1] - cuts[s])
+                for s, a, b in runs:
+                    hot[a:b] = _bits(answers[s], b - a)
                 # Two lines of this block may share a key that no other block has.
                 order = np.lexsort((owner, own))
                 cell, line = own[order], owner[order]

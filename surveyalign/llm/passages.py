@@ -1,11 +1,12 @@
 """Removal of passages that an earlier document already holds.
 
-A distributed membership filter says which word windows can occur twice. It is a count-min sketch
-of one hash row whose counts are replaced by one presence bit: a slab answers whether another
-block touches a cell, and a block sorts its own cells. Its width grows with the corpus, so it is
-never held in one place: every block of documents is one partition of it, sent as the sorted
-cells it touches, and every slab of cells merges its share. The bit is only ever set too often,
-so no repeated window is missed. The second pass groups the windows that may repeat by
+A count-min sketch says which word windows can occur in two documents. Every block of documents
+is one partition with a sketch of its own: for every row of the sketch the sorted cells it
+touches and the number of its documents behind each. Slabs of the cell space add the counts of
+all blocks up and tell every block the totals of its cells; the least total over the rows is a
+window's estimate, never too low, so no repeated window is missed. The width grows with the
+corpus, and no task holds more than one slab of it. The second pass groups only the windows
+estimated at two documents or more, by
 96 bits of a 128-bit hash of their words and finds the smallest document id of each.
 """
 
@@ -13,6 +14,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import compress
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -21,20 +23,39 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyalign.llm.common import covered, distinct, fresh_name, materialize, mix, span_hashes, text_buffer, window_hashes, window_rows, word_spans
-from surveyalign.llm.exchange import (answered, in_order, pack_sorted, question_schema, slab_count, slab_cuts, to_blocks, unpack_batch,
-                                      unpack_sorted)
+from surveyalign.llm.common import covered, fresh_name, materialize, mix, span_hashes, text_buffer, window_hashes, window_rows, word_spans
+from surveyalign.llm.exchange import answered, in_order, pack_sorted, question_schema, slab_count, slab_runs, to_blocks, unpack_batch, unpack_sorted
 
 WINDOW = 13
 
-#: Cells of one filter row per window of the corpus, and rows of the filter. The filters are
-#: sparse, so a wider row costs less than another row for the same share of false alarms.
-CELLS_PER_WINDOW = 64
-DEPTH = 1
+#: Cells of one sketch row per window of the corpus, and rows of the sketch.
+CELLS_PER_WINDOW = 8
+DEPTH = 2
+
+#: Counts travel as bytes; this one means as many or more.
+MOST = 255
 
 LAST_ID = np.iinfo(np.int64).max
 
 
+def first_of_run(values: np.ndarray) -> np.ndarray:
+    """Which values differ from the one before them."""
+    return np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.zeros(0, bool)
+
+
+class Sketch(NamedTuple):
+    """Sorted cells of all rows with their counts; per row the place of every distinct window's cell; the distinct window of every window."""
+
+    cells: np.ndarray
+    counts: np.ndarray
+    places: list[np.ndarray]
+    window: np.ndarray
+
+    def estimates(self, totals: np.ndarray) -> np.ndarray:
+        """At most how many documents hold each window, by the totals of the cells."""
+        return np.minimum.reduce([totals[p] for p in self.places])[self.window]
+
+
 class Block:
     """Words and windows of one block."""
 
@@ -46,20 +67,27 @@ class Block:
         self.at, self.row = window_rows(self.first, size)
         self.hashes = window_hashes(span_hashes(self.data, self.starts, self.ends), size)[self.at]
 
-    def cells(self, bits: int, depth: int) -> list[np.ndarray]:
-        """For each sketch row, the cell of every window, offset so that rows do not meet."""
-        return [(mix(self.hashes + np.uint64(d)) >> np.uint64(64 - bits)) + np.uint64(d << bits) for d in range(depth)]
-
-    def repeated_here(self) -> np.ndarray:
-        """Windows that two documents of this block hold, judged by their hash."""
+    def sketch(self, bits: int, depth: int) -> Sketch:
+        """Count-min sketch of the windows; a document counts once for each of its distinct windows."""
         order = np.argsort(self.hashes, kind="stable")  # windows come row after row
         h, r = self.hashes[order], self.row[order]
-        out = np.zeros(len(h), bool)
-        if len(h) > 1:
-            first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-            several = r[first] != r[np.append(first[1:], len(h)) - 1]
-            out[order] = np.repeat(several, np.diff(np.append(first, len(h))))
-        return out
+        new = first_of_run(h)
+        first = np.flatnonzero(new)
+        documents = np.add.reduceat((new | first_of_run(r)).astype(np.int64), first) if len(h) else np.zeros(0, np.int64)
+        window = np.empty(len(h), np.int64)
+        window[order] = np.cumsum(new) - 1
+        cells, counts, places, size = [], [], [], 0
+        for d in range(depth):
+            own = (mix(h[first] + np.uint64(d)) if d else h[first]) >> np.uint64(64 - bits)
+            by_cell = np.argsort(own, kind="stable")
+            new = first_of_run(own[by_cell])
+            place = np.empty(len(own), np.int64)
+            place[by_cell] = np.cumsum(new) - 1 + size
+            cells.append(own[by_cell][new] + np.uint64(d << bits))
+            counts.append(np.add.reduceat(documents[by_cell], np.flatnonzero(new)) if len(own) else documents)
+            places.append(place)
+            size += len(cells[-1])
+        return Sketch(np.concatenate(cells), np.concatenate(counts), places, window)
 
     def keys(self, chosen: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """64 + 32 bits of the hash of the words of each chosen window, joined by one space."""
@@ -82,19 +110,21 @@ class Block:
         return high, low
 
 
-def _seen_twice(asked: list[bytes]) -> list[bytes]:
-    """One bit per asked cell: another block asks for it too."""
-    cells = [unpack_sorted(a) for a in asked]
-    values = np.sort(np.concatenate(cells))
-    hot = distinct(values[1:][values[1:] == values[:-1]])
-    return [np.packbits(_member(hot, c)).tobytes() for c in cells]
+def _count_question(cells: np.ndarray, counts: np.ndarray) -> bytes:
+    return b"".join([np.array([len(cells)], "<i8").tobytes(), np.minimum(counts, MOST).astype(np.uint8).tobytes(), pack_sorted(cells)])
 
 
-def _member(sorted_values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    if len(sorted_values) == 0:
-        return np.zeros(len(asked), bool)
-    spot = np.minimum(np.searchsorted(sorted_values, asked), len(sorted_values) - 1)
-    return sorted_values[spot] == asked
+def _total_counts(asked: list[bytes]) -> list[bytes]:
+    """The count of every asked cell over all blocks, one byte each."""
+    sizes = [int(np.frombuffer(a, "<i8", 1)[0]) for a in asked]
+    cells = np.concatenate([unpack_sorted(a[8 + n:]) for a, n in zip(asked, sizes)])
+    counts = np.concatenate([np.frombuffer(a, np.uint8, n, 8) for a, n in zip(asked, sizes)])
+    order = np.argsort(cells, kind="stable")
+    new = first_of_run(cells[order])
+    total = np.minimum(np.add.reduceat(counts[order].astype(np.int64), np.flatnonzero(new)), MOST).astype(np.uint8)
+    replies = np.empty(len(cells), np.uint8)
+    replies[order] = total[np.cumsum(new) - 1]
+    return [replies[e - n:e].tobytes() for n, e in zip(sizes, np.cumsum(sizes))]
 
 
 def _earlier_elsewhere(asked: list[bytes]) -> list[bytes]:
@@ -138,23 +168,16 @@ class Plan:
         table = unpack_batch(payload)
         return Block(table.column(self.text_at), table.column(self.id_at), self.size)
 
-    def cell_questions(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
-        cells = distinct(np.concatenate(block.cells(self.bits, self.depth)))
-        return cells, slab_cuts(cells, self.slabs, self.depth << self.bits)
+    def cell_runs(self, cells: np.ndarray) -> list[tuple[int, int, int]]:
+        return slab_runs(cells, self.slabs, self.bits + (self.depth - 1).bit_length())
 
     def maybe_repeated(self, block: Block, answers: dict[int, bytes]) -> np.ndarray:
-        """Windows that may occur twice: another block touches their cell in every row, or they repeat here."""
-        cells, cuts = self.cell_questions(block)
-        hot = np.zeros(len(cells), bool)
-        for s in range(self.slabs):
-            if cuts[s + 1] > cuts[s]:
-                hot[cuts[s]:cuts[s + 1]] = _bits(answers[s], cuts[s + 1] - cuts[s])
-        hot = cells[hot]
-        seen = block.repeated_here()
-        twice = np.ones(len(block.hashes), bool)
-        for row in block.cells(self.bits, self.depth):
-            twice &= _member(hot, row)
-        return np.flatnonzero(twice | seen)
+        """Windows that two documents or more may hold."""
+        sketch = block.sketch(self.bits, self.depth)
+        totals = np.zeros(len(sketch.cells), np.uint8)
+        for s, a, b in self.cell_runs(sketch.cells):
+            totals[a:b] = np.frombuffer(answers[s], np.uint8)
+        return np.flatnonzero(sketch.estimates(totals) > 1)
 
     def window_questions(self, block: Block, chosen: np.ndarray):
         """Distinct chosen windows in key order with their first document here; which window has which key."""
@@ -165,7 +188,7 @@ class Plan:
         new = np.concatenate([[True], (h[1:] != h[:-1]) | (l[1:] != l[:-1])]) if len(h) else np.zeros(0, bool)
         key_of = np.empty(len(order), np.int64)
         key_of[order] = np.cumsum(new) - 1
-        return h[new], l[new], ids[order][new], key_of, slab_cuts(h[new], self.slabs, 1 << 64)
+        return h[new], l[new], ids[order][new], key_of, slab_runs(h[new], self.slabs, 64)
 
 
 def remove_repeated_passages(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id", text_col: str = "text",
@@ -188,7 +211,7 @@ def remove_repeated_passages(docs: DataFrame, size: int = WINDOW, id_col: str =
 
     blocks = to_blocks(docs, text_at, windows)
     plan = Plan(text_at, id_at, size, blocks.agg(F.sum("items")).first()[0] or 0)
-    first_answers = materialize(answered(blocks.select("block", "payload").mapInArrow(_ask_cells(plan), question_schema()), _seen_twice), "cells")
+    first_answers = materialize(answered(blocks.select("block", "payload").mapInArrow(_ask_cells(plan), question_schema()), _total_counts), "cells")
     told = blocks.select("block", "payload").join(first_answers.withColumnRenamed("answers", "cells"), "block", "left")
     second_answers = answered(told.mapInArrow(_ask_windows(plan), question_schema()), _earlier_elsewhere)
     told = told.join(second_answers.withColumnRenamed("answers", "windows"), "block", "left")
@@ -208,8 +231,8 @@ def _ask_cells(plan: Plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                cells, cuts = plan.cell_questions(plan.block(payload.as_buffer()))
-                yield _question_rows(number, [(s, pack_sorted(cells[a:b])) for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+                cells, counts, _, _ = plan.block(payload.as_buffer()).sketch(plan.bits, plan.depth)
+                yield _question_rows(number, [(s, _count_question(cells[a:b], counts[a:b])) for s, a, b in plan.cell_runs(cells)])
     return run
 
 
@@ -219,9 +242,8 @@ def _ask_windows(plan: Plan):
             for number, payload, answers in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("cells")):
                 block = plan.block(payload.as_buffer())
                 chosen = plan.maybe_repeated(block, in_order(answers.as_py()))
-                high, low, first, _, cuts = plan.window_questions(block, chosen)
-                yield _question_rows(number, [(s, _window_question(high[a:b], low[a:b], first[a:b]))
-                                              for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])) if b > a])
+                high, low, first, _, runs = plan.window_questions(block, chosen)
+                yield _question_rows(number, [(s, _window_question(high[a:b], low[a:b], first[a:b])) for s, a, b in runs])
     return run
 
 
@@ -232,12 +254,11 @@ def _remove(plan: Plan, inner: list[str], keep_layout: bool):
                 table = unpack_batch(payload.as_buffer())
                 block = plan.block(payload.as_buffer())
                 chosen = plan.maybe_repeated(block, in_order(cells.as_py()))
-                high, _, first, key_of, cuts = plan.window_questions(block, chosen)
+                high, _, first, key_of, runs = plan.window_questions(block, chosen)
                 answers = in_order(windows.as_py())
                 elsewhere = np.zeros(len(high), bool)
-                for s in range(plan.slabs):
-                    if cuts[s + 1] > cuts[s]:
-                        elsewhere[cuts[s]:cuts[s + 1]] = _bits(answers[s], cuts[s + 1] - cuts[s])
+                for s, a, b in runs:
+                    elsewhere[a:b] = _bits(answers[s], b - a)
                 goes = elsewhere[key_of] | (first[key_of] < block.ids[block.row[chosen]]) if len(chosen) else np.zeros(0, bool)
                 gone = covered(block.at[chosen[goes]], plan.size, len(block.starts))
                 total = np.concatenate([[0], np.cumsum(gone)])

@@ -79,3 +79,53 @@ def test_sorted_values_survive_packing():
         values = np.sort(rng.integers(0, top, 500, dtype=np.uint64))
         assert (exchange.unpack_sorted(exchange.pack_sorted(values)) == values).all()
     assert len(exchange.unpack_sorted(exchange.pack_sorted(values[:0]))) == 0
+
+
+@pytest.mark.parametrize("bits", [4, 40])
+def test_merged_sketch_never_falls_below_the_number_of_documents(bits):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(bits)
+    texts = [" ".join(f"w{rng.randrange(4)}" for _ in range(rng.randint(0, 40))) for _ in range(60)] + [None, "", "w1 w1 w1 w1 w1 w1"]
+    true = {}
+    for t in texts:
+        words = (t or "").split()
+        for w in {tuple(words[i:i + 3]) for i in range(len(words) - 2)}:
+            true[w] = true.get(w, 0) + 1
+    blocks = [P.Block(pa.chunked_array([pa.array(texts[i:i + 9], pa.string())]), pa.chunked_array([pa.array(range(len(texts[i:i + 9])))]), 3)
+              for i in range(0, len(texts), 9)]
+    sketches = [b.sketch(bits, 2) for b in blocks]
+    replies = P._total_counts([P._count_question(s.cells, s.counts) for s in sketches])
+    for i, (sketch, reply) in enumerate(zip(sketches, replies)):
+        estimates = iter(sketch.estimates(np.frombuffer(reply, np.uint8)).tolist())
+        for t in texts[9 * i:9 * i + 9]:
+            words = (t or "").split()
+            for k in range(len(words) - 2):
+                n, estimate = true[tuple(words[k:k + 3])], next(estimates)
+                assert estimate >= n and (bits == 4 or estimate == n)
+        assert next(estimates, None) is None
+
+
+def test_counts_stay_at_their_most():
+    import numpy as np
+
+    cells = np.array([3, 9], np.uint64)
+    asked = [P._count_question(cells, np.array([1000, 1])), P._count_question(cells[1:], np.array([200])), P._count_question(cells, np.array([1, 54]))]
+    assert [list(r) for r in P._total_counts(asked)] == [[255, 255], [255], [255, 255]]
+
+
+def test_runs_of_slabs_share_the_space_and_skip_empty_ones():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    for bits, slabs in ((10, 7), (33, 1), (33, 5000), (64, 12345)):
+        values = np.sort(rng.integers(0, 1 << bits, 300, dtype=np.uint64)) if bits < 64 else np.sort(rng.integers(0, 1 << 63, 300, dtype=np.uint64) * np.uint64(2))
+        runs = exchange.slab_runs(values, slabs, bits)
+        assert [a for _, a, _ in runs] == [0, *(b for _, _, b in runs[:-1])] and runs[-1][2] == 300
+        for s, a, b in runs:
+            assert a < b and 0 <= s < slabs
+            for v in values[a:b].tolist():
+                assert abs(v * slabs / (1 << bits) - s) < 1.001
+        assert len({s for s, _, _ in runs}) == len(runs)
+    assert exchange.slab_runs(values[:0], 5, 64) == []
