@@ -88,12 +88,6 @@ def unpack_sorted(packed: bytes) -> np.ndarray:
     return np.cumsum(gaps)
 
 
-def slab_cuts(values: np.ndarray, slabs: int, top: int) -> np.ndarray:
-    """Where each of ``slabs`` equal shares of [0, top) begins in sorted ``values`` (slabs + 1 entries)."""
-    edges = np.array([top * s // slabs for s in range(1, slabs)], np.uint64)
-    return np.concatenate([[0], np.searchsorted(values, edges), [len(values)]])
-
-
 def slab_runs(values: np.ndarray, slabs: int, bits: int) -> list[tuple[int, int, int]]:
     """(slab, begin, end) of the runs of sorted ``values`` below 2 ** ``bits`` in equal shares of that space.
 

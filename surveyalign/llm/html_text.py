@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyalign.llm.common import slices
+from surveyalign.llm.common import fresh_name, slices
 from surveyalign.llm.html_blocks import PATH_SLOTS, Leaf, leaves
 from surveyalign.llm.page_layouts import ARTICLE, OTHER, Layout
 
@@ -269,7 +269,7 @@ def extract_main_text(pages: DataFrame, model: Labeller, id_col: str = "page_id"
 
     A null or empty page gives an empty text, as does one without main text. Blocks are joined
     in page order by an empty line. Rows and ids that repeat, and null ids, stay; other columns
-    are not carried.
+    are not carried. ``text`` is extended by _ where the id or a carried column has that name.
     """
     inner = ["id", "html", *(f"c{i}" for i in range(len(carry)))]
     source = pages.select(F.col(id_col), F.col(html_col), *carry).toDF(*inner)
@@ -285,4 +285,4 @@ def extract_main_text(pages: DataFrame, model: Labeller, id_col: str = "page_id"
 
     fields = {f.name: f for f in source.schema.fields}
     schema = T.StructType([fields["id"], *(fields[c] for c in inner[2:]), T.StructField("text", T.StringType())])
-    return source.mapInArrow(run, schema).toDF(id_col, *carry, "text")
+    return source.mapInArrow(run, schema).toDF(id_col, *carry, fresh_name(pages.select(id_col, *carry), "text"))

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyalign.llm.common import lowered, materialize, span_hashes, text_buffer, word_spans
-from surveyalign.llm.exchange import in_order, pack_batch, pack_sorted, question_schema, slab_count, slab_cuts, to_blocks, unpack_batch, unpack_sorted
+from surveyalign.llm.exchange import in_order, pack_batch, pack_sorted, question_schema, slab_count, slab_runs, to_blocks, unpack_batch, unpack_sorted
 from surveyalign.llm.passages import _question_rows
 
 SIZE = 24
@@ -104,12 +104,10 @@ def _ask_counts(slabs: int):
         for batch in batches:
             for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
                 values, counts, _ = Tokens(unpack_batch(payload.as_buffer())).counted()
-                cuts = slab_cuts(values, slabs, 1 << 64)
                 parts = []
-                for s, (a, b) in enumerate(zip(cuts[:-1], cuts[1:])):
-                    if b > a:
-                        packed = pack_sorted(values[a:b])
-                        parts.append((s, np.array([b - a, len(packed)], "<i8").tobytes() + packed + pack_counts(counts[a:b])))
+                for s, a, b in slab_runs(values, slabs, 64):
+                    packed = pack_sorted(values[a:b])
+                    parts.append((s, np.array([b - a, len(packed)], "<i8").tobytes() + packed + pack_counts(counts[a:b])))
                 yield _question_rows(number, parts)
     return run
 
@@ -244,12 +242,13 @@ def _encode(vocabulary: Vocabulary, slabs: int):
                 table = unpack_batch(payload.as_buffer())
                 tokens = Tokens(table)
                 values, _, place = tokens.counted()
-                cuts = slab_cuts(values, slabs, 1 << 64)
                 totals, cell_totals = np.zeros(len(values), np.int64), np.zeros(len(values), np.int64)
-                for s, reply in in_order(answers.as_py()).items():
-                    n, used = cuts[s + 1] - cuts[s], int(np.frombuffer(reply, "<i8", 1)[0])
-                    totals[cuts[s]:cuts[s + 1]] = unpack_counts(reply[8:8 + used], n)
-                    cell_totals[cuts[s]:cuts[s + 1]] = unpack_counts(reply[8 + used:], n)
+                replies = in_order(answers.as_py())
+                for s, a, b in slab_runs(values, slabs, 64):
+                    reply = replies[s]
+                    used = int(np.frombuffer(reply, "<i8", 1)[0])
+                    totals[a:b] = unpack_counts(reply[8:8 + used], b - a)
+                    cell_totals[a:b] = unpack_counts(reply[8 + used:], b - a)
                 classes, cells = vocabulary.places(values, totals)
                 per_token = [vocabulary.base_logs(totals), vocabulary.cell_logs(totals, cell_totals), totals > 0]
                 base, cell_part, known = (np.add.reduceat(x[place], tokens.first[:-1], dtype=np.float64) for x in per_token)

@@ -32,9 +32,12 @@ CELLS_PER_KEY = 64
 
 TILE = 256
 
-#: Pairs that one call of the edit distance takes, and bytes of lines hashed at a time.
+#: Pairs that one call of the edit distance takes, bytes of lines hashed at a time, and rows and
+#: bytes of lines sent at a time.
 PAIRS = 10_000
 KEY_BYTES = 1 << 19
+SENT_ROWS = 5000
+SENT_BYTES = 32 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -257,8 +260,11 @@ def _shared_lines(plan: Plan):
                 several = distinct(cell[1:][(cell[1:] == cell[:-1]) & (line[1:] != line[:-1])])
                 chosen = np.flatnonzero(_member(cells[hot], own) | _member(several, own))
                 line = lines[owner[chosen]]
-                for k in range(0, len(chosen), 5000):
-                    c, part = chosen[k:k + 5000], line[k:k + 5000]
+                ends, k = np.cumsum([len(block.raw[i]) for i in line]), 0
+                while k < len(chosen):
+                    stop = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SENT_BYTES, side="right"))
+                    stop = max(k + 1, min(stop, k + SENT_ROWS))
+                    c, part, k = chosen[k:stop], line[k:stop], stop
                     yield pa.record_batch([
                         pa.array(keys[c].view(np.int64)), pa.array(index[c]), pa.array(np.full(len(c), number)), pa.array(part),
                         pa.array(block.ids[block.row[part]]), pa.array([block.raw[i].decode() for i in part], pa.string())],

@@ -104,6 +104,13 @@ def test_given_pages_equal_their_articles(spark, sf_dir):
     assert right >= 0.98 * len(found)
 
 
+def test_carried_column_named_text_keeps_its_name(spark):
+    pages = spark.createDataFrame([(1, "<p>a</p>", "own")], "page_id long, html string, text string")
+    found = H.extract_main_text(pages, H.train(["a", "b"]), carry=("text",))
+    assert found.columns == ["page_id", "text", "text_"]
+    assert [r["text"] for r in found.select("text").collect()] == ["own"]
+
+
 def blocks(page):
     from surveyalign.llm.html_blocks import leaves
 

@@ -88,6 +88,13 @@ def test_whole_join_equals_brute_force(spark, monkeypatch, tile):
     assert found == brute(rows, L.EDITS)
 
 
+def test_lines_sent_one_at_a_time_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(L, "SENT_BYTES", 1)
+    rows = corpus(7)
+    found = L.remove_repeated_lines(spark.createDataFrame(rows, "doc_id long, text string").repartition(2)).collect()
+    assert {r.doc_id: (r.n_exact, r.n_near, r.kept_text) for r in found} == brute(rows, L.EDITS)
+
+
 def test_edge_documents(edge_docs, no_docs, sample_docs):
     found = L.remove_repeated_lines(edge_docs)
     assert found.columns == [*edge_docs.columns, "n_lines", "n_exact", "n_near", "kept_text"]
