@@ -108,6 +108,7 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     costs one re-read, and the optimizer sees the true size of the table: it broadcasts
     it only below ``spark.sql.autoBroadcastJoinThreshold`` and shuffles it otherwise.
     """
+    ship_package(df.sparkSession)
     path = shared_dir(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
