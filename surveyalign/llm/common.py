@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +28,17 @@ _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
 _STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 
 
+@cache
+def _malloc_trim():
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda pad: 0)
+
+
+def give_back() -> None:
+    """Freed memory goes back to the system: Spark keeps Python workers for later tasks, and what they hold adds up."""
+    pa.default_memory_pool().release_unused()
+    _malloc_trim()(0)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

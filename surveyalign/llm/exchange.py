@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surveyalign.llm.common import materialize, slices
+from surveyalign.llm.common import give_back, materialize, slices
 
 BLOCK_BYTES = 4 << 20
 
@@ -56,10 +56,22 @@ def to_blocks(df: DataFrame, text_at: int, size: Callable[[pa.RecordBatch], int]
                 yield pa.record_batch([pa.array([number], pa.int64()), pa.array([pack_batch(part)], pa.binary()), pa.array([size(part)], pa.int64())],
                                       ["block", "payload", "items"])
                 number += 1
+                del part
+                give_back()
 
     return materialize(source.mapInArrow(run, "block long, payload binary, items long"), "blocks")
 
 
+def per_block(work: Callable[..., Iterator[pa.RecordBatch]]):
+    """For ``mapInArrow``: what ``work`` yields for the values of each row; a worker keeps nothing of a block that is done."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in zip(*batch.columns):
+                yield from work(*row)
+                give_back()
+    return run
+
+
 def pack_sorted(values: np.ndarray) -> bytes:
     """Sorted distinct unsigned 64-bit values as byte-wise variable-length gaps, byte planes apart."""
     if len(values) == 0:
@@ -109,6 +121,7 @@ def answered(questions: DataFrame, answer: Callable[[list[bytes]], list[bytes]])
     slab to its replies, in order.
     """
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        give_back()
         return pd.DataFrame({"block": pdf["block"], "slab": pdf["slab"], "reply": answer(pdf["asked"].tolist())})
 
     replies = questions.groupBy("slab").applyInPandas(run, "block long, slab int, reply binary")

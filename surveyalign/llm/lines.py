@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyalign.llm.common import distinct, fresh_name, materialize, mix, text_buffer
-from surveyalign.llm.exchange import answered, in_order, pack_sorted, question_schema, slab_count, slab_runs, to_blocks, unpack_batch, unpack_sorted
+from surveyalign.llm.exchange import answered, in_order, pack_sorted, per_block, question_schema, slab_count, slab_runs, to_blocks, unpack_batch, unpack_sorted
 from surveyalign.llm.passages import LAST_ID, _bits, _earlier_elsewhere, _question_rows, _window_question
 
 EDITS = 2
@@ -220,56 +220,49 @@ def _member(sorted_values: np.ndarray, asked: np.ndarray) -> np.ndarray:
 
 
 def _ask_lines(plan: Plan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                high, low, ids, runs = plan.lines(payload.as_buffer()).question(plan.line_slabs)
-                yield _question_rows(number, [(s, _window_question(high[a:b], low[a:b], ids[a:b])) for s, a, b in runs])
-    return run
+    def work(number, payload) -> Iterator[pa.RecordBatch]:
+        high, low, ids, runs = plan.lines(payload.as_buffer()).question(plan.line_slabs)
+        yield _question_rows(number.as_py(), [(s, _window_question(high[a:b], low[a:b], ids[a:b])) for s, a, b in runs])
+    return per_block(work)
 
 
 def _ask_keys(plan: Plan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload, copies in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("copies")):
-                block = plan.lines(payload.as_buffer())
-                keys, _, _ = block.keys(plan.compared(block, in_order(copies.as_py())))
-                cells, runs = plan.cell_question(plan.cells(keys))
-                yield _question_rows(number, [(s, pack_sorted(cells[a:b])) for s, a, b in runs])
-    return run
+    def work(number, payload, copies) -> Iterator[pa.RecordBatch]:
+        block = plan.lines(payload.as_buffer())
+        keys, _, _ = block.keys(plan.compared(block, in_order(copies.as_py())))
+        cells, runs = plan.cell_question(plan.cells(keys))
+        yield _question_rows(number.as_py(), [(s, pack_sorted(cells[a:b])) for s, a, b in runs])
+    return per_block(work)
 
 
 def _shared_lines(plan: Plan):
     """(key, is_index, block, place, doc, line): the lines behind keys that more than one line has."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload, copies, asked in zip(*(batch.column(c).to_pylist() if c == "block" else batch.column(c)
-                                                        for c in ("block", "payload", "copies", "keys"))):
-                block = plan.lines(payload.as_buffer())
-                lines = plan.compared(block, in_order(copies.as_py()))
-                keys, owner, index = block.keys(lines)
-                own = plan.cells(keys)
-                cells, runs = plan.cell_question(own)
-                hot = np.zeros(len(cells), bool)
-                answers = in_order(asked.as_py())
-                for s, a, b in runs:
-                    hot[a:b] = _bits(answers[s], b - a)
-                # Two lines of this block may share a key that no other block has.
-                order = np.lexsort((owner, own))
-                cell, line = own[order], owner[order]
-                several = distinct(cell[1:][(cell[1:] == cell[:-1]) & (line[1:] != line[:-1])])
-                chosen = np.flatnonzero(_member(cells[hot], own) | _member(several, own))
-                line = lines[owner[chosen]]
-                ends, k = np.cumsum([len(block.raw[i]) for i in line]), 0
-                while k < len(chosen):
-                    stop = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SENT_BYTES, side="right"))
-                    stop = max(k + 1, min(stop, k + SENT_ROWS))
-                    c, part, k = chosen[k:stop], line[k:stop], stop
-                    yield pa.record_batch([
-                        pa.array(keys[c].view(np.int64)), pa.array(index[c]), pa.array(np.full(len(c), number)), pa.array(part),
-                        pa.array(block.ids[block.row[part]]), pa.array([block.raw[i].decode() for i in part], pa.string())],
-                        ["key", "is_index", "block", "place", "doc", "line"])
-    return run
+    def work(number, payload, copies, asked) -> Iterator[pa.RecordBatch]:
+        block = plan.lines(payload.as_buffer())
+        lines = plan.compared(block, in_order(copies.as_py()))
+        keys, owner, index = block.keys(lines)
+        own = plan.cells(keys)
+        cells, runs = plan.cell_question(own)
+        hot = np.zeros(len(cells), bool)
+        answers = in_order(asked.as_py())
+        for s, a, b in runs:
+            hot[a:b] = _bits(answers[s], b - a)
+        # Two lines of this block may share a key that no other block has.
+        order = np.lexsort((owner, own))
+        cell, line = own[order], owner[order]
+        several = distinct(cell[1:][(cell[1:] == cell[:-1]) & (line[1:] != line[:-1])])
+        chosen = np.flatnonzero(_member(cells[hot], own) | _member(several, own))
+        line = lines[owner[chosen]]
+        ends, k = np.cumsum([len(block.raw[i]) for i in line]), 0
+        while k < len(chosen):
+            stop = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + SENT_BYTES, side="right"))
+            stop = max(k + 1, min(stop, k + SENT_ROWS))
+            c, part, k = chosen[k:stop], line[k:stop], stop
+            yield pa.record_batch([
+                pa.array(keys[c].view(np.int64)), pa.array(index[c]), pa.array(np.full(len(c), number.as_py())), pa.array(part),
+                pa.array(block.ids[block.row[part]]), pa.array([block.raw[i].decode() for i in part], pa.string())],
+                ["key", "is_index", "block", "place", "doc", "line"])
+    return per_block(work)
 
 
 class TileRows:
@@ -383,26 +376,24 @@ def _near_copies(shared: DataFrame, edits: int) -> DataFrame:
 
 
 def _rebuild(plan: Plan, inner: list[str]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload, copies, places in zip(batch.column("payload"), batch.column("copies"), batch.column("places")):
-                table = unpack_batch(payload.as_buffer())
-                block = plan.lines(payload.as_buffer())
-                gone = np.zeros(len(block.raw), bool)
-                gone[block.eligible] = True
-                gone[plan.firsts(block, in_order(copies.as_py()))] = False
-                exact = gone.copy()
-                gone[np.array(places.as_py() or [], np.int64)] = True
-                out, at = [], 0
-                for lines in block.pieces:
-                    kept = ~gone[at:at + len(lines)]
-                    out.append(b"\n".join([x for x, k in zip(lines, kept) if k]).decode())
-                    at += len(lines)
-                n = len(block.pieces)
-                count = lambda flags: pa.array(np.bincount(block.row[flags], minlength=n).astype(np.int64))
-                yield pa.record_batch([*table.combine_chunks().to_batches()[0].columns, count(np.ones(len(gone), bool)), count(exact), count(gone & ~exact),
-                                       pa.array(out, pa.string())], [*inner, "n_lines", "n_exact", "n_near", "kept_text"])
-    return run
+    def work(_, payload, copies, places) -> Iterator[pa.RecordBatch]:
+        table = unpack_batch(payload.as_buffer())
+        block = plan.lines(payload.as_buffer())
+        gone = np.zeros(len(block.raw), bool)
+        gone[block.eligible] = True
+        gone[plan.firsts(block, in_order(copies.as_py()))] = False
+        exact = gone.copy()
+        gone[np.array(places.as_py() or [], np.int64)] = True
+        out, at = [], 0
+        for lines in block.pieces:
+            kept = ~gone[at:at + len(lines)]
+            out.append(b"\n".join([x for x, k in zip(lines, kept) if k]).decode())
+            at += len(lines)
+        n = len(block.pieces)
+        count = lambda flags: pa.array(np.bincount(block.row[flags], minlength=n).astype(np.int64))
+        yield pa.record_batch([*table.combine_chunks().to_batches()[0].columns, count(np.ones(len(gone), bool)), count(exact), count(gone & ~exact),
+                               pa.array(out, pa.string())], [*inner, "n_lines", "n_exact", "n_near", "kept_text"])
+    return per_block(work)
 
 
 def remove_repeated_lines(docs: DataFrame, edits: int = EDITS, id_col: str = "doc_id", text_col: str = "text", exact_chars: int = MIN_CHARS) -> DataFrame:

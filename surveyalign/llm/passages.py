@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from surveyalign.llm.common import covered, fresh_name, materialize, mix, span_hashes, text_buffer, window_hashes, window_rows, word_spans
-from surveyalign.llm.exchange import answered, in_order, pack_sorted, question_schema, slab_count, slab_runs, to_blocks, unpack_batch, unpack_sorted
+from surveyalign.llm.exchange import answered, in_order, pack_sorted, per_block, question_schema, slab_count, slab_runs, to_blocks, unpack_batch, unpack_sorted
 
 WINDOW = 13
 
@@ -228,46 +228,40 @@ def _question_rows(block: int, parts: list[tuple[int, bytes]]) -> pa.RecordBatch
 
 
 def _ask_cells(plan: Plan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload in zip(batch.column("block").to_pylist(), batch.column("payload")):
-                cells, counts, _, _ = plan.block(payload.as_buffer()).sketch(plan.bits, plan.depth)
-                yield _question_rows(number, [(s, _count_question(cells[a:b], counts[a:b])) for s, a, b in plan.cell_runs(cells)])
-    return run
+    def work(number, payload) -> Iterator[pa.RecordBatch]:
+        cells, counts, _, _ = plan.block(payload.as_buffer()).sketch(plan.bits, plan.depth)
+        yield _question_rows(number.as_py(), [(s, _count_question(cells[a:b], counts[a:b])) for s, a, b in plan.cell_runs(cells)])
+    return per_block(work)
 
 
 def _ask_windows(plan: Plan):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for number, payload, answers in zip(batch.column("block").to_pylist(), batch.column("payload"), batch.column("cells")):
-                block = plan.block(payload.as_buffer())
-                chosen = plan.maybe_repeated(block, in_order(answers.as_py()))
-                high, low, first, _, runs = plan.window_questions(block, chosen)
-                yield _question_rows(number, [(s, _window_question(high[a:b], low[a:b], first[a:b])) for s, a, b in runs])
-    return run
+    def work(number, payload, answers) -> Iterator[pa.RecordBatch]:
+        block = plan.block(payload.as_buffer())
+        chosen = plan.maybe_repeated(block, in_order(answers.as_py()))
+        high, low, first, _, runs = plan.window_questions(block, chosen)
+        yield _question_rows(number.as_py(), [(s, _window_question(high[a:b], low[a:b], first[a:b])) for s, a, b in runs])
+    return per_block(work)
 
 
 def _remove(plan: Plan, inner: list[str], keep_layout: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for payload, cells, windows in zip(batch.column("payload"), batch.column("cells"), batch.column("windows")):
-                table = unpack_batch(payload.as_buffer())
-                block = plan.block(payload.as_buffer())
-                chosen = plan.maybe_repeated(block, in_order(cells.as_py()))
-                high, _, first, key_of, runs = plan.window_questions(block, chosen)
-                answers = in_order(windows.as_py())
-                elsewhere = np.zeros(len(high), bool)
-                for s, a, b in runs:
-                    elsewhere[a:b] = _bits(answers[s], b - a)
-                goes = elsewhere[key_of] | (first[key_of] < block.ids[block.row[chosen]]) if len(chosen) else np.zeros(0, bool)
-                gone = covered(block.at[chosen[goes]], plan.size, len(block.starts))
-                total = np.concatenate([[0], np.cumsum(gone)])
-                n_removed = total[block.first[1:]] - total[block.first[:-1]]
-                kept = [_layout(block, r, gone) if keep_layout else _joined(block, r, gone, n) for r, n in enumerate(n_removed.tolist())]
-                out = table.combine_chunks().to_batches()[0]
-                yield pa.record_batch([*out.columns, pa.array(np.diff(block.first)), pa.array(n_removed.astype(np.int64)), pa.array(kept, pa.string())],
-                                      [*inner, "n_words", "n_removed", "kept_text"])
-    return run
+    def work(_, payload, cells, windows) -> Iterator[pa.RecordBatch]:
+        table = unpack_batch(payload.as_buffer())
+        block = plan.block(payload.as_buffer())
+        chosen = plan.maybe_repeated(block, in_order(cells.as_py()))
+        high, _, first, key_of, runs = plan.window_questions(block, chosen)
+        answers = in_order(windows.as_py())
+        elsewhere = np.zeros(len(high), bool)
+        for s, a, b in runs:
+            elsewhere[a:b] = _bits(answers[s], b - a)
+        goes = elsewhere[key_of] | (first[key_of] < block.ids[block.row[chosen]]) if len(chosen) else np.zeros(0, bool)
+        gone = covered(block.at[chosen[goes]], plan.size, len(block.starts))
+        total = np.concatenate([[0], np.cumsum(gone)])
+        n_removed = total[block.first[1:]] - total[block.first[:-1]]
+        kept = [_layout(block, r, gone) if keep_layout else _joined(block, r, gone, n) for r, n in enumerate(n_removed.tolist())]
+        out = table.combine_chunks().to_batches()[0]
+        yield pa.record_batch([*out.columns, pa.array(np.diff(block.first)), pa.array(n_removed.astype(np.int64)), pa.array(kept, pa.string())],
+                              [*inner, "n_words", "n_removed", "kept_text"])
+    return per_block(work)
 
 
 def _joined(block: Block, r: int, gone: np.ndarray, n_removed: int) -> str:
