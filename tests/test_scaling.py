@@ -19,3 +19,17 @@ def test_trip_sorts_its_lines_once(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("SortMergeJoin") == 1 and plan.count("+- Window") + plan.count(":- Window") == 1
     assert plan.count("Sort [") == 2
+
+
+def test_clean_runs_compiled(spark):
+    """The JVM never compiles a method of more than 8000 bytes; rows then go through it interpreted."""
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        codes = st.clean_lazy(spark, SF)._jdf.queryExecution().debug().codegenToSeq()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) < 8000
