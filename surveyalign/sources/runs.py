@@ -25,16 +25,38 @@ def _run_stem(path):
     return F.when(directory != "", directory).otherwise(stem)
 
 
+#: A task holds this many runs open at a time, each with a row group of ROW_GROUP bytes at most.
+OPEN_RUNS = 64
+ROW_GROUP = 4 << 20
+
+
 def write_prediction_sets(predictions: DataFrame, path: str) -> None:
-    """All runs in one job, one directory each, named ``{model}_ratio{r}_seed{s}``."""
+    """All runs in one job, one directory each, named ``{model}_ratio{r}_seed{s}``.
+
+    A task keeps a file open for every run, so rows are written as they come; only those of runs
+    beyond OPEN_RUNS are sorted by run first, which would spill whole rows of a large table.
+    """
     name = run_name(F.col("model"), F.col("fewshot_ratio"), F.col("seed"))
-    (predictions.withColumn("run", name).drop(*RUN_KEYS)
-     .write.mode("overwrite").partitionBy("run").parquet(path))
+    conf, setting = predictions.sparkSession.conf, "spark.sql.maxConcurrentOutputFileWriters"
+    before = conf.get(setting)
+    conf.set(setting, str(OPEN_RUNS))
+    try:
+        (predictions.withColumn("run", name).drop(*RUN_KEYS)
+         .write.mode("overwrite").option("parquet.block.size", ROW_GROUP).partitionBy("run").parquet(path))
+    finally:
+        conf.set(setting, before)
 
 
 def read_prediction_sets(spark: SparkSession, path: str) -> DataFrame:
-    """Every prediction file below ``path`` with model, ratio and seed taken from its name."""
-    return _with_run(spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path))
+    """Every prediction file below ``path`` with model, ratio and seed taken from its name.
+
+    The name is taken apart once per file, not once per row; rows meet it by the file they are in.
+    """
+    rows = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").parquet(path)
+    named = _prediction_files(spark, path).select("file", _run_stem(F.regexp_replace("file", "%3D", "=")).alias("source_file"))
+    named = materialize(named.select("*", *run_columns(F.col("source_file"))), "run-files")
+    found = rows.select("*", F.col("_metadata.file_path").alias("_file")).join(named.withColumnRenamed("file", "_file"), "_file", "left")
+    return found.drop("_file")
 
 
 def _with_run(files: DataFrame, *more) -> DataFrame:

@@ -1,5 +1,8 @@
 """Plans and state that decide how the derived tables and the stored runs grow."""
 
+from pyspark.sql import DataFrameWriter
+
+from surveyalign.sources import runs
 from verification import survey_tables as st
 
 SF = "/root/testdata/sf0.001"
@@ -33,3 +36,16 @@ def test_clean_runs_compiled(spark):
         for k, v in before.items():
             spark.conf.set(k, v)
     assert max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) < 8000
+
+
+def test_runs_are_written_without_a_sort(spark, tmp_path, monkeypatch):
+    """Open files for every run while writing, and not afterwards; runs beyond that number are all written too."""
+    setting, seen, write = "spark.sql.maxConcurrentOutputFileWriters", [], DataFrameWriter.parquet
+    monkeypatch.setattr(DataFrameWriter, "parquet", lambda self, *a, **b: (seen.append(int(spark.conf.get(setting))), write(self, *a, **b))[1])
+    before = spark.conf.get(setting)
+    rows = spark.range(0, 400, 1, 1).selectExpr(
+        "concat('m', id % 100) AS model", "0.05D AS fewshot_ratio", "42 AS seed", "id", "CAST(id % 9 AS INT) AS predicted_mode")
+    runs.write_prediction_sets(rows, str(tmp_path / "sets"))
+    assert seen == [runs.OPEN_RUNS] and spark.conf.get(setting) == before
+    back = runs.read_prediction_sets(spark, str(tmp_path / "sets")).select(rows.columns)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
