@@ -3,8 +3,11 @@
 from pyspark.sql import DataFrameWriter
 
 from surveyalign.sources import runs
+from verification import cases
 from verification import survey_tables as st
 
+cases.load_all()
+
 SF = "/root/testdata/sf0.001"
 
 
@@ -49,3 +52,10 @@ def test_runs_are_written_without_a_sort(spark, tmp_path, monkeypatch):
     assert seen == [runs.OPEN_RUNS] and spark.conf.get(setting) == before
     back = runs.read_prediction_sets(spark, str(tmp_path / "sets")).select(rows.columns)
     assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_examples_are_grouped_as_codes(spark):
+    """Labels and JSON are made of what was grouped, not shuffled and sorted themselves."""
+    plan = _plan(cases.QUERIES["render_examples"](spark, SF))
+    grouped = plan[plan.rindex("ObjectHashAggregate"):]
+    assert "json" not in plan.lower() and "Unknown" not in grouped
