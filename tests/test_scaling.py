@@ -1,7 +1,14 @@
 """Plans and state that decide how the derived tables and the stored runs grow."""
 
+import re
+
+import pytest
 from pyspark.sql import DataFrameWriter
+from pyspark.sql import functions as F
 
+from surveyalign.operators import inference as I
+from surveyalign.operators import medians as M
+from surveyalign.operators import retrieval as R
 from surveyalign.sources import runs
 from verification import cases
 from verification import survey_tables as st
@@ -59,3 +66,69 @@ def test_examples_are_grouped_as_codes(spark):
     plan = _plan(cases.QUERIES["render_examples"](spark, SF))
     grouped = plan[plan.rindex("ObjectHashAggregate"):]
     assert "json" not in plan.lower() and "Unknown" not in grouped
+
+
+@pytest.fixture
+def sorted_joins(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def _trips(spark):
+    """40 trips of 10 vectors."""
+    return spark.range(0, 40, 1, 4).selectExpr(
+        "concat('c', lpad(id, 3, '0')) AS case_id", "2022 AS survey_year",
+        "array(CAST(id % 5 AS DOUBLE), CAST(id % 2 AS DOUBLE) - 0.5, 1D) AS features")
+
+
+def test_rows_meet_by_a_number_before_their_vectors(spark, sorted_joins, monkeypatch):
+    """Wide rows are ordered by the hash of their vector, and by the vector where hashes are equal."""
+    trips = _trips(spark)
+    found = R.retrieve(trips, R.build_index(trips, 3), 3)
+    plan = _plan(found)
+    assert re.search(r"SortMergeJoin \[_hash#\d+L, ", plan) and "_hash" not in found.columns
+    for r in found.collect():
+        assert [n.case_id for n in r.neighbours] == [f"c{int(r.case_id[1:]) % 10 + 10 * i:03d}" for i in range(3)]
+    monkeypatch.setattr(R, "materialize", lambda df, name: df)
+    assert re.search(r"Sort \[_hash#\d+L ASC", _plan(R._candidates(trips, 3, "case_id", 0)))
+
+
+def test_equal_hashes_do_not_mix_vectors(spark, monkeypatch):
+    monkeypatch.setattr(R, "vector_hash", lambda *parts: F.lit(7).cast("long"))
+    trips = _trips(spark)
+    found = R.retrieve(trips, R.build_index(trips, 3), 3).collect()
+    assert len(found) == 40
+    for r in found:
+        assert [n.case_id for n in r.neighbours] == [f"c{int(r.case_id[1:]) % 10 + 10 * i:03d}" for i in range(3)]
+
+
+def test_distinct_queries_are_hashed(spark, monkeypatch):
+    monkeypatch.setattr(R, "materialize", lambda df, name: df)
+    found = R.distinct_queries(_trips(spark))
+    assert "SortAggregate" not in _plan(found)
+    assert found.count() == found.select("query_id").distinct().count() == 10
+
+
+def test_median_of_codes_is_counted(spark, monkeypatch):
+    """Where the middle lies within one value, no row is listed; a bracket of two values still is."""
+    explode, listed = F.explode, []
+    monkeypatch.setattr(M.F, "explode", lambda c: (listed.append(1), explode(c))[1])
+    codes = spark.range(0, 1001).selectExpr("CAST(id % 5 AS DOUBLE) AS a", "IF(id % 3 = 0, NULL, 7) AS b")
+    assert M.exact_medians(codes, {c: F.col(c) for c in "ab"}) == {"a": 2.0, "b": 7.0} and not listed
+    pairs = spark.range(0, 1000).selectExpr("CAST(id % 2 AS DOUBLE) AS a", "id % 5 AS b")
+    assert M.exact_medians(pairs, {c: F.col(c) for c in "ab"}) == {"a": 0.5, "b": 2.0} and listed
+
+
+def test_only_shown_examples_become_demonstrations(spark):
+    record = "named_struct('case_id', 'x', 'survey_year', 2022, 'hh_size', 1, 'car_availability', 1, 'age_group', 1, 'sex', 1," \
+             "'employment_status', 1, 'income_group', 1, 'trip_purpose', 1, 'departure_period', 1, 'journey_time', 5D," \
+             "'origin_zone', '1', 'destination_zone', '2', 'main_mode', 1)"
+    evidence = spark.range(1).selectExpr(f"inline(array({record}))").selectExpr(
+        "*", *[f"transform(sequence(1, 9), i -> named_struct('rank', i, 'record', {record})) AS {c}" for c in ("historical", "update")],
+        "'s' AS prototype_summary")
+    prompts = I.build_prompts(evidence.localCheckpoint())
+    assert re.search(r"transform\(slice\(historical#\d+, 1, 3\)", _plan(prompts)) and re.search(r"transform\(slice\(update#\d+, 1, 4\)", _plan(prompts))
+    text = prompts.first().messages[1].content
+    assert text.count("Example 3:") == 2 and text.count("Example 4:") == 1 and "Example 5:" not in text
