@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import DataFrameWriter
 from pyspark.sql import functions as F
 
+from surveyalign.functions.responses import parse_responses
 from surveyalign.operators import inference as I
 from surveyalign.operators import medians as M
 from surveyalign.operators import retrieval as R
@@ -132,3 +133,16 @@ def test_only_shown_examples_become_demonstrations(spark):
     assert re.search(r"transform\(slice\(historical#\d+, 1, 3\)", _plan(prompts)) and re.search(r"transform\(slice\(update#\d+, 1, 4\)", _plan(prompts))
     text = prompts.first().messages[1].content
     assert text.count("Example 3:") == 2 and text.count("Example 4:") == 1 and "Example 5:" not in text
+
+
+@pytest.mark.parametrize("query", ["error_isolation", "parse_responses"])
+def test_responses_are_parsed_compiled(spark, query):
+    codes = cases.QUERIES[query](spark, SF)._jdf.queryExecution().debug().codegenToSeq()
+    assert max(codes.apply(i)._3().maxMethodCodeSize() for i in range(codes.size())) < 8000
+
+
+def test_fallback_takes_the_first_key_with_a_code(spark):
+    rows = [('{"mode": 77, "mode_code": "x", "transport_mode": "4", "predicted": 5}', 4), ('{"predicted": true}', 1), ('{"mode": null, "predicted": 3.9}', 3),
+            ('{"mode": 2, "mode_code": 8}', 2), ('{"predicted_mode": 0, "transport_mode": null}', 1), ('{"a": 1} {"mode": 7}', 1), ('x {"mode": 7} {"mode": 8}', 7)]
+    found = parse_responses(spark.createDataFrame(rows, "raw_response string, want int"))
+    assert found.where("predicted_mode <> want").count() == 0
