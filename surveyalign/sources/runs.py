@@ -59,8 +59,11 @@ def read_prediction_sets(spark: SparkSession, path: str) -> DataFrame:
     return found.drop("_file")
 
 
-def _with_run(files: DataFrame, *more) -> DataFrame:
-    return files.select("*", _run_stem(_file_path()).alias("source_file"), *more).select("*", *run_columns(F.col("source_file")))
+def _tally(rows: DataFrame, subgroups: list[str], weight: str | None) -> DataFrame:
+    """The tally of every file; its name is taken apart once per line of the tally, not once per row."""
+    cube = confusion_cube(rows.select("*", F.col("_metadata.file_path").alias("file")), ["file"], subgroups, weight=weight)
+    named = cube.select("*", *run_columns(_run_stem(F.regexp_replace("file", "%3D", "="))))
+    return named.select(*RUN_KEYS, *cube.columns)
 
 
 _VERSION = ["file", "modified", "length"]
@@ -95,8 +98,8 @@ def tally_new_files(
     paths = [r["path"] for r in new.select("path").collect()]   # the reader takes a list of files
     batch = uuid.uuid4().hex
     if paths:
-        rows = _with_run(spark.read.parquet(*paths), F.col("_metadata.file_path").alias("file"))
-        confusion_cube(rows, [*RUN_KEYS, "file"], subgroups, weight=weight).withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{state}/cube")
+        tally = _tally(spark.read.parquet(*paths), subgroups, weight)
+        tally.withColumn("batch", F.lit(batch)).write.mode("append").parquet(f"{state}/cube")
         current.where(F.col("path").isin(paths)).select(*_VERSION, F.lit(batch).alias("batch")).write.mode("append").parquet(f"{state}/files")
     done = _state(spark, f"{state}/files")
     if done is None:

@@ -68,3 +68,12 @@ def test_bad_lines_are_set_aside(spark):
     empty = shared_dir(spark, "none")
     spark.createDataFrame([], "value string").write.text(empty)
     assert tables.read_csv_quarantined(spark, empty, "id int", shared_dir(spark, "bad")).count() == 0
+
+
+def test_a_tally_names_runs_after_it_counts(spark):
+    path = shared_dir(spark, "predictions")
+    runs.write_prediction_sets(_predictions(spark, [1, 2]), path)
+    found = runs._tally(spark.read.option("recursiveFileLookup", True).parquet(path), ["sex"], "trip_weight")
+    below = found._jdf.queryExecution().optimizedPlan().toString().split("Aggregate ", 1)[1].split("\n", 1)[1]
+    assert "Relation" in below and "regexp" not in below
+    assert {tuple(r) for r in found.select(*RUN).distinct().collect()} == {("mnl", 0.05, 1), ("mnl", 0.05, 2)}
