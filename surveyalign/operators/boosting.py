@@ -4,6 +4,8 @@ A round grows one tree per class on the gradients and curvatures of the joint so
 level is one Spark job for all classes: the tasks tally their rows by class, node, feature and bin,
 the tallies are added per class, and each class's best splits, a few numbers, come back. Tallies are
 whole numbers (gradients in units of 2 ** -24), so a model does not depend on how rows lie in tasks.
+Rows of equal bins share their margins: they enter a tally once, with the sum of their gradients,
+which is taken once a round. Features of few bins are tallied together and told apart afterwards.
 Rows that fill a single block have no other tallies to wait for: their task goes through a run of
 rounds by the same steps.
 
@@ -48,15 +50,16 @@ class SoftmaxTrees:
     def margins(self, x: np.ndarray) -> np.ndarray:
         """[row, class] sums of the leaves that the rows of raw features reach."""
         depth = int(math.log2(self.value.shape[2]))
-        out = np.zeros((len(x), self.value.shape[1]))
-        rows = np.arange(len(x))[None, :]
+        out = np.zeros((self.value.shape[1], len(x)))
+        by_feature, rows = x.T.ravel(), np.arange(len(x))
         for feature, threshold, value in zip(self.feature, self.threshold, self.value):
-            at = np.zeros((len(feature), len(x)), np.int64)
-            for _ in range(depth):
-                right = x[rows, np.take_along_axis(feature, at, 1)] > np.take_along_axis(threshold, at, 1)
-                at = 2 * at + 1 + right
-            out += np.take_along_axis(value, at - value.shape[1] + 1, 1).T
-        return out
+            for c, start in enumerate(feature * len(x)):
+                at = np.zeros(len(x), np.int64)
+                for _ in range(depth):
+                    right = by_feature.take(start.take(at) + rows) > threshold[c].take(at)
+                    at = 2 * at + 1 + right
+                out[c] += value[c].take(at - value.shape[1] + 1)
+        return np.ascontiguousarray(out.T)
 
     def probabilities(self, features: Column) -> Column:
         """Column of class probabilities from a column of feature arrays; equal rows of a batch are scored once."""
@@ -103,48 +106,97 @@ def cut_points(rows: DataFrame, n_features: int) -> list[np.ndarray]:
     return [np.unique(np.array(cuts[f] or [0.0])) for f in range(n_features)]
 
 
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    held = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= TASK_ROWS:
+            yield pa.Table.from_batches(held).combine_chunks()
+            held = []
+    if sum(b.num_rows for b in held):
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
 def _blocks(rows: DataFrame, cuts: list[np.ndarray]) -> DataFrame:
-    """Stored blocks (bins, label, weight) of distinct rows (vector, label, weight), as arrays of bytes."""
+    """Stored blocks of arrays as bytes: distinct bins [feature, place], then place, label and weight of the rows in order of their place."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column("vector").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(cuts))
+        for chunk in _chunks(batches):
+            x = chunk.column("vector").combine_chunks().flatten().to_numpy().reshape(chunk.num_rows, len(cuts))
             bins = np.stack([np.minimum(np.searchsorted(c, x[:, f], side="left"), len(c) - 1) for f, c in enumerate(cuts)], axis=1).astype(np.uint8)
-            fields = bins, batch.column("label").to_numpy().astype(np.uint8), batch.column("weight").to_numpy().astype(np.float64)
-            for first in range(0, batch.num_rows, TASK_ROWS):
-                yield pa.record_batch([pa.array([a[first:first + TASK_ROWS].tobytes()], pa.binary()) for a in fields], ["bins", "label", "weight"])
+            distinct, place = np.unique(bins, axis=0, return_inverse=True)
+            place = place.ravel()
+            order = np.argsort(place, kind="stable")
+            fields = (np.ascontiguousarray(distinct.T), place[order].astype(np.int32), chunk.column("label").to_numpy()[order].astype(np.uint8),
+                      chunk.column("weight").to_numpy()[order].astype(np.float64))
+            yield pa.record_batch([pa.array([a.tobytes()], pa.binary()) for a in fields], ["bins", "place", "label", "weight"])
     parts = max(1, math.ceil(rows.count() / TASK_ROWS))
-    return materialize(rows.repartition(parts, "vector", "label").mapInArrow(run, "bins binary, label binary, weight binary"), "blocks")
+    return materialize(rows.repartition(parts, "vector").mapInArrow(run, "bins binary, place binary, label binary, weight binary"), "blocks")
+
+
+def _joint(sizes: list[int]) -> list[list[int]]:
+    """Features in groups whose bins have at most ``BINS`` combinations."""
+    groups = []
+    for f in sorted(range(len(sizes)), key=lambda f: -sizes[f]):
+        for group in groups:
+            if math.prod(sizes[g] for g in group) * sizes[f] <= BINS:
+                group.append(f)
+                break
+        else:
+            groups.append([f])
+    return groups
 
 
 def _positions(bins: np.ndarray, feature: np.ndarray, cut: np.ndarray, depth: int) -> np.ndarray:
-    """[class, row] place among the nodes of level ``depth``; ``feature`` and ``cut`` are [class, node]."""
-    at = np.zeros((len(feature), len(bins)), np.int64)
-    rows = np.arange(len(bins))[None, :]
-    for level in range(depth):
-        node = at + (1 << level) - 1
-        at = 2 * at + (bins[rows, np.take_along_axis(feature, node, 1)] > np.take_along_axis(cut, node, 1))
-    return at
+    """[class, row] place among the nodes of level ``depth``; ``bins`` is [feature, row], ``feature`` and ``cut`` are [class, node]."""
+    n = bins.shape[1]
+    by_feature, rows, out = bins.ravel(), np.arange(n), np.zeros((len(feature), n), np.int64)
+    for c, (start, last) in enumerate(zip(feature * n, cut.astype(np.uint8))):
+        at = out[c]
+        for level in range(depth):
+            node = at + (1 << level) - 1
+            at = 2 * at + (by_feature.take(start.take(node) + rows) > last.take(node))
+        out[c] = at
+    return out
+
+
+def _gradients(sizes: list[int]):
+    """Of a block what its tallies need: bins, combined bins of each group, gradients and curvatures [class, row] in units."""
+    def run(block):
+        bins, place, label, weight, margins = block
+        first = np.flatnonzero(np.diff(place, prepend=-1))
+        gradient, curvature = (np.zeros(margins.T.shape) for _ in range(2))
+        for c, share in enumerate(softmax(margins).T):
+            share = share[place]
+            gradient[c] = np.add.reduceat(np.rint((share - (label == c)) * weight * UNIT), first)
+            curvature[c] = np.add.reduceat(np.rint(np.maximum(2 * share * (1 - share), 1e-16) * weight * UNIT), first)
+        codes = [np.ravel_multi_index(tuple(bins[g].astype(np.int64)), [sizes[f] for f in g]).astype(np.uint8) for g in _joint(sizes)]
+        return bins, codes, *(v.astype(np.int32 if np.abs(v).max(initial=0) < 1 << 31 else np.int64) for v in (gradient, curvature))
+    return run
 
 
 def _tally(sizes: list[int], feature: np.ndarray, cut: np.ndarray, depth: int):
     """Per class the whole-number sums [node, bin of any feature, (gradient, curvature)] of a task."""
+    groups, nodes = _joint(sizes), 1 << depth
+    starts = np.cumsum([0, *sizes])
+
     def run(blocks) -> Iterator[tuple[int, np.ndarray]]:
-        total = None
-        for bins, label, weight, margins in blocks:
-            share = softmax(margins).T
-            gradient, curvature = share.copy(), np.maximum(2 * share * (1 - share), 1e-16)
-            gradient[label, np.arange(len(label))] -= 1
-            g, h = (np.rint(v * weight * UNIT).ravel() for v in (gradient, curvature))
-            classes, nodes = len(share), 1 << depth
-            place = _positions(bins, feature, cut, depth) + nodes * np.arange(classes)[:, None]
-            parts = []
-            for f, size in enumerate(sizes):
-                at = (place * size + bins[:, f]).ravel()
-                parts.append(np.stack([np.bincount(at, v, classes * nodes * size).reshape(classes, nodes, size) for v in (g, h)], axis=-1))
-            sums = np.concatenate(parts, axis=2).astype(np.int64)
-            total = sums if total is None else total + sums
-        if total is not None:
-            yield from enumerate(total)
+        totals = {}
+        for bins, codes, *sums in blocks:
+            for c, at in enumerate(_positions(bins, feature, cut, depth)):
+                weights = [v[c].astype(np.float64) for v in sums]
+                for i, (group, code) in enumerate(zip(groups, codes)):
+                    size = math.prod(sizes[f] for f in group)
+                    cell = at * size + code
+                    found = np.stack([np.bincount(cell, w, nodes * size) for w in weights]).astype(np.int64)
+                    totals[c, i] = totals[c, i] + found if (c, i) in totals else found
+        for c in sorted({c for c, _ in totals}):
+            whole = np.zeros((nodes, starts[-1], 2), np.int64)
+            for i, group in enumerate(groups):
+                cube = totals[c, i].reshape(2, nodes, *[sizes[f] for f in group])
+                for axis, f in enumerate(group, 2):
+                    other = tuple(a for a in range(2, cube.ndim) if a != axis)
+                    whole[:, starts[f]:starts[f + 1]] = np.moveaxis(cube.sum(axis=other), 0, -1)
+            yield c, whole
     return run
 
 
@@ -198,11 +250,12 @@ class _Plan:
         def run(blocks):
             for block in blocks:
                 def splits(feature, cut, level):
-                    sums = np.stack([v for _, v in _tally(self.sizes, feature, cut, level)([block])])
+                    sums = np.stack([v for _, v in _tally(self.sizes, feature, cut, level)([ready])])
                     found = _best(self.sizes)(sums.reshape(-1, *sums.shape[2:]))
                     return enumerate(zip(*(v.reshape(self.classes, -1, *v.shape[1:]) for v in found)))
                 trees = []
                 for _ in range(rounds):
+                    ready = _gradients(self.sizes)(block)
                     trees.append(self.grow(splits))
                     block = _moved(*trees[-1], self.depth)(block)
                 yield trees
@@ -226,8 +279,9 @@ def fit_softmax_trees(rows: DataFrame, n_features: int, n_classes: int, rounds:
         context.setCheckpointDir(shared_dir(spark, "margins"))
 
     def unpacked(row):
-        label = np.frombuffer(row["label"], np.uint8).astype(np.int64)
-        return np.frombuffer(row["bins"], np.uint8).reshape(len(label), n_features), label, np.frombuffer(row["weight"]), np.zeros((len(label), n_classes))
+        bins = np.frombuffer(row["bins"], np.uint8).reshape(n_features, -1)
+        rows = np.frombuffer(row["place"], np.int32), np.frombuffer(row["label"], np.uint8), np.frombuffer(row["weight"])
+        return bins, *rows, np.zeros((bins.shape[1], n_classes))
 
     plan = _Plan(sizes, n_classes, depth, learning_rate)
     state: RDD = stored.rdd.map(unpacked).persist(StorageLevel.MEMORY_AND_DISK)
@@ -244,12 +298,15 @@ def fit_softmax_trees(rows: DataFrame, n_features: int, n_classes: int, rounds:
     else:
         parts, older = state.getNumPartitions(), None
         for r in range(rounds):
+            ready = state.map(_gradients(sizes)).persist(StorageLevel.MEMORY_AND_DISK)
+
             def splits(feature, cut, level):
-                sums = state.mapPartitions(_tally(sizes, feature, cut, level))
+                sums = ready.mapPartitions(_tally(sizes, feature, cut, level))
                 if parts > 1:
                     sums = sums.reduceByKey(np.add, min(parts, n_classes))
                 return sums.mapValues(_best(sizes)).collect()   # one entry per class
             trees.append(plan.grow(splits))
+            ready.unpersist()
             if older is not None:
                 older.unpersist()
             if r + 1 < rounds:
@@ -266,6 +323,6 @@ def fit_softmax_trees(rows: DataFrame, n_features: int, n_classes: int, rounds:
 
 def _moved(feature: np.ndarray, cut: np.ndarray, leaves: np.ndarray, depth: int):
     def run(block):
-        bins, label, weight, margins = block
-        return bins, label, weight, margins + np.take_along_axis(leaves, _positions(bins, feature, cut, depth), 1).T
+        bins, *rows, margins = block
+        return bins, *rows, margins + np.take_along_axis(leaves, _positions(bins, feature, cut, depth), 1).T
     return run

@@ -82,3 +82,29 @@ def test_many_values_become_quantiles(spark):
     trees = B.fit_softmax_trees(rows, 1, 2, rounds=20, depth=2, learning_rate=0.5)
     right = trees.margins(x).argmax(axis=1) == (x[:, 0] > 2500)
     assert right.mean() > 0.99
+
+
+def test_rows_of_equal_bins_enter_a_tally_once(spark):
+    x, y, weight = sample(3)
+    x, y, weight = np.concatenate([x, x]), np.concatenate([y, (y + 1) % 3]), np.concatenate([weight, weight + 1])
+    rows = table(spark, x, y, weight, 3)
+    cuts = B.cut_points(rows, 3)
+    sizes = [len(c) for c in cuts]
+    stored = B._blocks(rows, cuts).collect()
+    assert sum(len(r.bins) for r in stored) == 3 * len(np.unique(x, axis=0)) and sum(len(r.label) for r in stored) == len(x)
+    bins = np.stack([np.searchsorted(c, x[:, f]) for f, c in enumerate(cuts)])
+    margins = np.sin(bins.T.astype(float))
+    distinct, first, place = np.unique(bins.T, axis=0, return_index=True, return_inverse=True)
+    order = np.argsort(place.ravel(), kind="stable")
+    block = np.ascontiguousarray(distinct.T.astype(np.uint8)), place.ravel()[order], y[order], weight[order], margins[first]
+    feature, cut = np.zeros((3, 1), np.int64), np.full((3, 1), 5)
+    found = dict(B._tally(sizes, feature, cut, 1)([B._gradients(sizes)(block)]))
+    p, node = B.softmax(margins), (bins[0] > 5).astype(int)
+    for c in range(3):
+        units = [np.rint(v * weight * B.UNIT) for v in (p[:, c] - (y == c), np.maximum(2 * p[:, c] * (1 - p[:, c]), 1e-16))]
+        wanted = np.zeros((2, sum(sizes), 2), np.int64)
+        for f in range(3):
+            for i, v in enumerate(units):
+                np.add.at(wanted[:, :, i], (node, sum(sizes[:f]) + bins[f]), v.astype(np.int64))
+        assert np.array_equal(found[c], wanted)
+    assert B._joint([3, 5, 6, 3, 5, 6, 40, 3, 5]) == [[6, 2], [5, 1, 4], [8, 0, 3, 7]]
