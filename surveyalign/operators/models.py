@@ -17,7 +17,7 @@ from surveyalign.functions.vectors import argmax_class
 from surveyalign.operators import metrics
 from surveyalign.operators.boosting import SoftmaxTrees, fit_softmax_trees
 from surveyalign.operators.features import TabularEncoder
-from surveyalign.operators.sampling import split_test_pool_fewshot
+from surveyalign.operators.sampling import sample_fewshot, split_test
 from surveyalign.session import materialize
 
 logger = logging.getLogger(__name__)
@@ -114,16 +114,15 @@ def baseline_grid(
     """Train on the few-shot rows and score the test rows for every model, ratio and seed.
 
     Returns (predictions, long metrics with n_train and n_test). The runs are independent Spark jobs and overlap.
-    A run that fails is logged and has one metrics row, ``failed``, with the message in ``error``; ``error`` is
+    The test rows of a seed serve all its ratios and are drawn once. A run that fails is logged and has one metrics row, ``failed``, with the message in ``error``; ``error`` is
     null in all others. ``df`` should be a stored table.
     """
     models = models or {"mnl": fit_mnl, "boosted_trees": fit_boosted_trees}
     failures = []
 
     def run(ratio: float, seed: int) -> list[DataFrame]:
-        split = split_test_pool_fewshot(df, fewshot_ratio=ratio, seed=seed)
-        train = materialize(split.where("split = 'few_shot'").drop("split"), "train")
-        test = split.where("split = 'test'").drop("split")
+        test, rest = drawn[seed]
+        train = materialize(sample_fewshot(rest, ratio, seed), "train")
         n_train = train.count()
         done = []
         for name, fit in models.items():
@@ -137,6 +136,7 @@ def baseline_grid(
         return done
 
     with ThreadPoolExecutor(concurrency) as pool:
+        drawn = dict(zip(seeds, pool.map(lambda seed: split_test(df, seed=seed), seeds)))
         parts = [p for parts in pool.map(lambda rs: run(*rs), [(r, s) for r in ratios for s in seeds]) for p in parts]
     if not parts:
         raise RuntimeError("no model could be fitted")

@@ -11,7 +11,7 @@ from surveyalign.functions import fixed_values as fv
 from surveyalign.functions.responses import parse_responses
 from surveyalign.functions.text import examples_text
 from surveyalign.functions.vectors import align_proba, argmax_class
-from surveyalign.operators import aggregates, inference, metrics, models
+from surveyalign.operators import aggregates, inference, metrics, models, sampling
 from surveyalign.plans.evidence import run_evidence
 from verification import survey_tables as st
 
@@ -209,3 +209,17 @@ def test_failing_model_is_left_out(spark, labelled):
     predicted, scores = models.baseline_grid(df, [0.1], [1], {"mnl": models.fit_mnl, "broken": broken})
     assert [r[0] for r in predicted.select("model").distinct().collect()] == ["mnl"]
     assert {"accuracy", "nll", "brier_score", "mode_share_js"} <= {r[0] for r in scores.select("metric").collect()}
+
+
+def test_a_grid_draws_test_rows_once_per_seed(spark, labelled, monkeypatch):
+    drawn = []
+    monkeypatch.setattr(models, "split_test", lambda df, seed: (drawn.append(seed), sampling.split_test(df, seed=seed))[1])
+    df = labelled.withColumn("trip_weight", F.lit(1.0))
+    _predicted, scores = models.baseline_grid(df, [0.1, 0.2], [1], {"mnl": models.fit_mnl})
+    assert drawn == [1] and scores.where("metric = 'n_test'").count() == 2
+    test, rest = sampling.split_test(df, seed=1)
+    for ratio in (0.1, 0.2):
+        split = sampling.split_test_pool_fewshot(df, fewshot_ratio=ratio, seed=1)
+        for part, found in (("test", test), ("few_shot", sampling.sample_fewshot(rest, ratio, 1))):
+            wanted = split.where(F.col("split") == part).drop("split")
+            assert found.columns == wanted.columns and found.exceptAll(wanted).isEmpty() and wanted.exceptAll(found).isEmpty()
